@@ -1,0 +1,11 @@
+"""The query catalogue: every registered query with its SQL twin."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
