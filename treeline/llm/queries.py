@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, media, mixing
+from treeline.llm import decontaminate, langid, media, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,32 @@ def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: the vocabulary file, by default the public byte-level one; it must be at the same place on every machine."""
+    import public_tokenizers
+
+    return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.crc_mod(F.col("doc_id"), 4)
+    model = langid.train(docs.filter(fold != 2))
+    return langid.identify(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_decontaminate": op2_decontaminate,
         "op3_media_tiles": op3_media_tiles,
+        "op5_quality": op5_quality,
+        "op9_token_output": op9_token_output,
+        "op10_language_id": op10_language_id,
     }
 
 
