@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,63 @@ def per_row(make: Callable[[], Callable[..., tuple]], out: pa.Schema) -> Callabl
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return run
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text and a unique long `key` in the order of doc_id, null first; and whether the key is doc_id itself.
+
+    Where ids repeat or are null, rows are ranged and sorted by doc_id and text, numbered and written once.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
+    if odd.isEmpty():
+        return rows.withColumn("key", F.col("doc_id")), True
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = F.col("doc_id").asc_nulls_first()
+    ranged = rows.repartitionByRange(n, by).sortWithinPartitions(by, F.col("text").asc_nulls_first())
+    return written(ranged.withColumn("key", F.monotonically_increasing_id()), "keyed"), False
+
+
+def with_ids(results: DataFrame, rows: DataFrame, same: bool) -> DataFrame:
+    """results by key with their doc_id: rows and same are what keyed() gave."""
+    return results.withColumn("doc_id", F.col("key")) if same else results.join(rows.select("key", "doc_id"), "key")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """key and text -> key and the text's compressed UTF-8 bytes (null: empty), so that a shuffle of texts stays small."""
+    out = pa.schema([("key", pa.int64()), ("packed", pa.binary())])
+
+    def make():
+        press = zstandard.ZstdCompressor(level=3)
+
+        def each(key, text):
+            return key, press.compress((text or "").encode("utf-8", "surrogatepass"))
+
+        return each
+
+    return rows.select("key", "text").mapInArrow(per_row(make, out), "key long, packed binary")
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    BOUND = 400_000
+
+    def __missing__(self, word: str) -> int:
+        found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < self.BOUND:
+            self[word] = found
+        return found
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def rolled(values: np.ndarray, n: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit hash of each run of n values."""
+    out = np.zeros(max(0, len(values) - n + 1), dtype=np.uint64)
+    by = np.uint64(factor)
+    for k in range(n):
+        out = out * by + values[k : k + len(out)]
+        out ^= out >> np.uint64(29)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, langid, media, mixing, quality, tokens
+from treeline.llm import decontaminate, langid, media, mixing, quality, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """tokenizer: the vocabulary file, by default the public byte-level one; it must be at the same place on every machine."""
     import public_tokenizers
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_media_tiles": op3_media_tiles,
         "op5_quality": op5_quality,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_token_output": op9_token_output,
         "op10_language_id": op10_language_id,
     }
