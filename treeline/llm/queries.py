@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, langid, media, mixing, quality, substring, tokens
+from treeline.llm import decontaminate, jaccard, langid, media, mixing, quality, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """tokenizer: the vocabulary file, by default the public byte-level one; it must be at the same place on every machine."""
     import public_tokenizers
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media_tiles": op3_media_tiles,
         "op5_quality": op5_quality,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_token_output": op9_token_output,
         "op10_language_id": op10_language_id,
     }
