@@ -13,16 +13,16 @@ empty or clean results; columns other than the named ones are passed over.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from treeline.llm.common import per_row
+from treeline.llm.common import per_row, written
 
 #: Windows in one broadcast: about 50 MB of ids and hashes at the most.
 BLOCK_WINDOWS = 200_000
@@ -108,34 +108,38 @@ def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _scan(docs: DataFrame, make: Callable, out: pa.Schema, schema: str) -> DataFrame:
-    return docs.mapInArrow(per_row(make, out), schema)
+RUN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+RUNS = "array<struct<start:long,end:long>>"
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, n_words, runs array<struct<start, end>> of hit words, items array<string>."""
+def carried(docs: DataFrame, carry: Sequence[str]) -> tuple[list[pa.Field], str]:
+    """The carried columns as Arrow fields and as the end of a schema string."""
+    fields = [docs.schema[c] for c in carry]
+    return [pa.field(f.name, to_arrow_type(f.dataType)) for f in fields], "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
+
+
+def found_by(windows: WindowSet, text: str | None) -> tuple[int, list[dict], list[str]]:
+    words = words_of(text)
+    hit, items = windows.hits(words)
+    return len(words), [{"start": a, "end": b} for a, b in runs_of(hit)], sorted(map(str, items))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, carry: Sequence[str] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text, n_words, runs array<struct<start, end>> of hit words, items array<string>, and the carried columns."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("runs", run), ("items", pa.list_(pa.string()))])
-    schema = "doc_id long, text string, n_words long, runs array<struct<start:long,end:long>>, items array<string>"
+    more, kinds = carried(docs, carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("runs", RUN), ("items", pa.list_(pa.string())), *more])
+    schema = f"doc_id long, text string, n_words long, runs {RUNS}, items array<string>{kinds}"
     blocks = window_blocks(benchmark, n, block_windows)
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(WindowSet(blocks[0]))
 
         def make():
             windows = shared.value
+            return lambda doc_id, text, *rest: (doc_id, text, *found_by(windows, text), *rest)
 
-            def each(doc_id, text):
-                words = words_of(text)
-                hit, items = windows.hits(words)
-                return doc_id, text, len(words), [{"start": a, "end": b} for a, b in runs_of(hit)], sorted(map(str, items))
-
-            return each
-
-        return _scan(rows, make, out, schema)
-
-    from treeline.llm.common import written
+        return rows.mapInArrow(per_row(make, out), schema)
 
     # Several passes over rows that are written once, so that a row is the same row in each.
     keyed = written(rows.withColumn("row", F.monotonically_increasing_id()), "leak-rows")
@@ -143,31 +147,25 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows:
     for block in blocks:
         shared = spark.sparkContext.broadcast(WindowSet(block))
 
-        def make(shared=shared):
+        def make_part(shared=shared):
             windows = shared.value
+            return lambda row, text: (row, *found_by(windows, text)[1:])
 
-            def each(row, text):
-                hit, items = windows.hits(words_of(text))
-                return row, [{"start": a, "end": b} for a, b in runs_of(hit)], sorted(map(str, items))
-
-            return each
-
-        some = pa.schema([("row", pa.int64()), ("runs", run), ("items", pa.list_(pa.string()))])
-        part = _scan(keyed.select("row", "text"), make, some, "row long, runs array<struct<start:long,end:long>>, items array<string>").filter(F.size("runs") > 0)
+        some = pa.schema([("row", pa.int64()), ("runs", RUN), ("items", pa.list_(pa.string()))])
+        part = keyed.select("row", "text").mapInArrow(per_row(make_part, some), f"row long, runs {RUNS}, items array<string>").filter(F.size("runs") > 0)
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("all_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def make_merge():
-        def each(doc_id, text, runs, items):
-            words = words_of(text)
-            hit = np.zeros(len(words), dtype=bool)
+        def each(doc_id, text, runs, items, *rest):
+            hit = np.zeros(len(words_of(text)), dtype=bool)
             for r in runs or []:
                 hit[r["start"] : r["end"]] = True
-            return doc_id, text, len(words), [{"start": a, "end": b} for a, b in runs_of(hit)], items or []
+            return doc_id, text, len(hit), [{"start": a, "end": b} for a, b in runs_of(hit)], items or [], *rest
 
         return each
 
-    return _scan(keyed.join(merged, "row", "left").select("doc_id", "text", "all_runs", "items"), make_merge, out, schema)
+    return keyed.join(merged, "row", "left").select("doc_id", "text", "runs", "items", *carry).mapInArrow(per_row(make_merge, out), schema)
 
 
 def judged(hits: DataFrame) -> DataFrame:
@@ -190,16 +188,20 @@ def cleaned_text(text: str | None, runs: list) -> str | None:
     return "".join([*kept, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, dropped: spans of benchmark windows are cut; over drop_share of words hit, the document goes."""
-    hits = find_hits(docs, benchmark, n)
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("dropped", pa.bool_())])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text, dropped, and the carried columns.
+
+    Spans of benchmark windows are cut from the text. A document with over drop_share of its words hit is marked dropped.
+    """
+    more, kinds = carried(docs, carry)
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("dropped", pa.bool_()), *more])
 
     def make():
-        def each(doc_id, text, n_words, runs):
+        def each(doc_id, text, n_words, runs, *rest):
             hit = sum(r["end"] - r["start"] for r in runs)
-            return doc_id, cleaned_text(text, runs), hit > drop_share * max(1, n_words)
+            return doc_id, cleaned_text(text, runs), hit > drop_share * max(1, n_words), *rest
 
         return each
 
-    return _scan(hits.select("doc_id", "text", "n_words", "runs"), make, out, "doc_id long, text string, dropped boolean")
+    hits = find_hits(docs, benchmark, n, carry=carry)
+    return hits.select("doc_id", "text", "n_words", "runs", *carry).mapInArrow(per_row(make, out), f"doc_id long, text string, dropped boolean{kinds}")

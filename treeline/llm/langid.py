@@ -158,7 +158,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score, and the carried columns after them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
