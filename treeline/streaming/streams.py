@@ -20,13 +20,13 @@ def call_counts(events: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts by event time, tumbling or sliding; events later than `late` are dropped by the watermark."""
     when = F.window("ts", size, slide) if slide else F.window("ts", size)
-    rows = events.withWatermark("ts", late).filter("src is not null and tgt is not null and src != tgt")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).filter("src is not null and tgt is not null and src != tgt")
     return rows.groupBy(when.alias("w"), "src", "tgt").agg(F.count("*").alias("cnt")).select(F.col("w.start").alias("start"), "src", "tgt", "cnt")
 
 
 def bursts(changes: DataFrame, by: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """changes(ts, by, path): runs of events nearer than the gap, with their paths; the debounce of a watcher as session windows."""
-    rows = changes.withWatermark("ts", late) if changes.isStreaming else changes
+    rows = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if changes.isStreaming else changes
     grouped = rows.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths"))
     return grouped.select(by, F.col("w.start").alias("start"), "events", "paths")
 
