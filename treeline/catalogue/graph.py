@@ -11,7 +11,7 @@ from treeline.functions.ids import import_target, module_id, top_module
 from treeline.functions.scores import LADDERS, WEIGHTS
 from treeline.operators import graph, health, resolve, runtime, vectors
 from treeline.plans import retrieve
-from treeline.plans.bindings import REPO, Tables, with_tables
+from treeline.plans.bindings import REPO, Tables, cte, with_tables
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -154,7 +154,7 @@ def khop_callers(t: Tables) -> DataFrame:
     return graph.khop(edges_of(t), t.seeds(), 2, "callers", t.entities())
 
 
-@query(walk_sql(OUT, 3).replace("SELECT id FROM supp WHERE id LIKE 'NATION_5.%'", "SELECT n AS id FROM nat") + FOUND)
+@query(walk_sql(OUT, 3).replace(cte()["seeds"], "SELECT n AS id FROM nat") + FOUND)
 def khop_callees(t: Tables) -> DataFrame:
     seeds = t.nations().select(F.lit(REPO).alias("repo"), F.col("n").alias("seed"), F.col("n").alias("id"))
     return graph.khop(edges_of(t), seeds, 3, "callees", t.entities())
@@ -173,7 +173,7 @@ def symbol_neighbourhood(t: Tables) -> DataFrame:
     return graph.induced_edges(graph.khop(edges, roots, 1, "both", t.entities()), edges)
 
 
-@query(with_tables("ent calls nat supp", "hit AS (SELECT n AS id FROM nat WHERE r='EUROPE' UNION SELECT id FROM supp WHERE id LIKE 'NATION_5.%'), lone AS (SELECT id FROM hit WHERE id NOT IN (SELECT src_id FROM calls) AND id NOT IN (SELECT tgt_id FROM calls))") + "SELECT 'tpc' AS repo, id AS seed, id FROM hit UNION ALL SELECT 'tpc', lone.id, ent.id FROM lone JOIN ent ON starts_with(ent.id, lone.id||'.')")
+@query(with_tables("ent calls nat supp seeds", "hit AS (SELECT n AS id FROM nat WHERE r='EUROPE' UNION SELECT id FROM seeds), lone AS (SELECT id FROM hit WHERE id NOT IN (SELECT src_id FROM calls) AND id NOT IN (SELECT tgt_id FROM calls))") + "SELECT 'tpc' AS repo, id AS seed, id FROM hit UNION ALL SELECT 'tpc', lone.id, ent.id FROM lone JOIN ent ON starts_with(ent.id, lone.id||'.')")
 def prefix_expand(t: Tables) -> DataFrame:
     """Modules have no calls of their own, so they stand for all that is in them."""
     hits = t.nations().filter("r = 'EUROPE'").select(F.lit(REPO).alias("repo"), F.col("n").alias("id")).unionByName(t.seeds().select("repo", "id"))

@@ -67,9 +67,11 @@ class Tables:
     def relations(self) -> DataFrame:
         return self.calls().unionByName(self.imports()).unionByName(self.handles())
 
-    def seeds(self, nation: str = "NATION_5") -> DataFrame:
-        """The suppliers of one nation."""
-        return self.callees().filter(F.col("id").startswith(f"{nation}.")).select(F.lit(REPO).alias("repo"), F.col("id").alias("seed"), "id")
+    def seeds(self) -> DataFrame:
+        """The richest supplier of each region."""
+        c = self.callees().join(F.broadcast(self.nations().select("n", "r")), F.substring_index("id", ".", 1) == F.col("n"))
+        top = c.groupBy("r").agg(F.max_by("id", F.struct("balance", "id")).alias("id"))
+        return top.select(F.lit(REPO).alias("repo"), F.col("id").alias("seed"), "id")
 
     def doc_path(self) -> Column:
         return F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".py"))
@@ -124,7 +126,7 @@ def cte() -> dict[str, str]:
         "hand": "SELECT split_part(id,'.',1) AS src_id, id AS tgt_id, 'handles' AS kind, 1.0::DOUBLE AS weight, file_path, 0 AS seq FROM cust WHERE c_mktsegment='BUILDING'",
         "rel": "SELECT * FROM calls UNION ALL SELECT * FROM imps UNION ALL SELECT * FROM hand",
         "edges": "SELECT src_id, tgt_id, arg_max(kind, seq) AS kind, arg_max(weight, seq) AS weight, arg_max(file_path, seq) AS file_path FROM rel GROUP BY 1,2",
-        "seeds": "SELECT id FROM supp WHERE id LIKE 'NATION_5.%'",
+        "seeds": "SELECT id FROM (SELECT supp.id, row_number() OVER (PARTITION BY r ORDER BY balance DESC, supp.id DESC) AS k FROM supp JOIN nat ON n=split_part(supp.id,'.',1)) WHERE k=1",
         "files": "SELECT source||'/'||lang||'/d'||doc_id||'.py' AS rel_path, coalesce(text,'') AS content, source, lang, doc_id, len(string_split(replace(coalesce(text,''),chr(13)||chr(10),chr(10)),chr(10))) AS n_lines, string_split(replace(coalesce(text,''),chr(13)||chr(10),chr(10)),chr(10)) AS lines FROM documents",
         "now_h": "SELECT rel_path, sha256(content) AS sha256 FROM files",
         "old_h": "SELECT rel_path, sha256(CASE WHEN lang='fr' THEN content||'!' ELSE content END) AS sha256 FROM files WHERE source<>'src3' UNION ALL SELECT 'old/b'||item_id||'.py', sha256(text) FROM benchmark",
