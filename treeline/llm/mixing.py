@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 from treeline.llm.common import word_count, written
 
 #: Documents of one (source, length) are ranked in buckets of about this many, so that no task holds a whole hot length.
-RANKED_TOGETHER = 1024
+RANKED_TOGETHER = 256
+
+#: Steps of the knapsack that are always affordable, and documents given back before it otherwise.
+WHOLE, GIVEN_BACK = 50_000_000, 4
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to budget, or as near below as can be.
 
-    First every length gives its even share, carried from the longest to the shortest so that what is left is at most
-    about one document. Then a bounded knapsack over what is left of each count fills that remainder, after giving back
-    one longest document to widen the choice.
+    A small problem goes to the knapsack whole. Else every length first gives its even share, carried from the longest
+    to the shortest so that what is left is at most about one document; then, after a few of the longest are given back to widen
+    the choice, a bounded knapsack over what is left of each count fills the remainder.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -37,6 +40,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return take
     if budget >= total:
         return counts.astype(np.int64).copy()
+    if budget * len(lengths) <= WHOLE:
+        return knapsack(lengths, counts, budget)
     order = np.argsort(-lengths, kind="stable")
     wanted = 0.0
     got = 0
@@ -47,8 +52,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         n = int(min(counts[i], max(0, (min(wanted, budget) - got) // lengths[i])))
         take[i] = n
         got += n * int(lengths[i])
-    back = next((i for i in order if take[i] > 0), None)
-    if back is not None and got < budget:
+    for back in [i for i in order if take[i] > 0][:GIVEN_BACK] if got < budget else []:
         take[back] -= 1
         got -= int(lengths[back])
     rest = budget - got
