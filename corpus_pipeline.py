@@ -17,7 +17,7 @@ from treeline.llm.common import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: A document stays if its language is known and at least this likely.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 #: No SQL can state the learned language model or the tokenizer; tests compare with plain Python instead.
 ORACLE_SQL = None

@@ -151,8 +151,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sample = known.withColumn("draw", draw).filter(F.col("draw") < chance[F.col("lang")]).select("lang", "text", "draw")
     rows = sample.mapInArrow(per_row(make, out), "lang string, draw double, at array<int>, share array<float>").filter(F.size("at") > 0)
     got = rows.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
-    columns = [got["lang"].to_pylist(), got["at"].to_pylist(), got["share"].to_pylist()]
-    return fit([(lang, np.array(at, dtype=np.int64), np.array(share)) for lang, at, share in zip(*columns, strict=True)])
+    arrays = lambda c: [x.values.to_numpy() for x in got[c]]
+    return fit(list(zip(got["lang"].to_pylist(), arrays("at"), arrays("share"), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:

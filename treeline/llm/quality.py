@@ -6,7 +6,7 @@ Vectors and output weights are trained together by stochastic gradient descent i
 sample of labelled rows; the output's bias is then set back to the labels' true shares.
 
 Because the output is linear in the mean, scoring needs one number a feature: the difference of the two classes'
-products with its vector. Each word's sum is remembered while a worker lives.
+products with its vector.
 
 Defined cases: null, empty and wordless texts have no features and get the bias alone; labels other than 0 and 1 and
 labels of unknown documents teach nothing; without labels every score is 0.5; repeated rows are scored alike; an empty
@@ -15,7 +15,6 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,34 +28,45 @@ from treeline.llm.langid import crc_mod, softmax
 BUCKETS = 1 << 16
 DIMENSIONS = 10
 PER_CLASS = 1500
-REMEMBERED = 250_000
 
 
-def word_features(word: str) -> np.ndarray:
-    """Buckets of a word and of its marked character 3- to 5-grams."""
-    data = f"<{word}>".encode()
-    crc = zlib.crc32
-    found = [crc(data)]
-    for n in (3, 4, 5):
-        found += [crc(data[i : i + n], n) for i in range(len(data) - n + 1)]
-    return np.array(found, dtype=np.uint32) % BUCKETS
+#: Weights of a byte by its place in a word; words are hashed as weighted sums, places beyond the table start it again.
+PLACES = np.cumprod(np.full(4096, 0x01000193, dtype=np.uint32), dtype=np.uint32)
 
 
 def pair_features(hashes: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring words, bucket 0 where they are equal."""
     a, b = hashes[:-1], hashes[1:]
     mixed = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))
-    return np.where(a == b, 0, 1 + (mixed >> np.uint32(7)) % np.uint32(BUCKETS - 1))
+    return np.where(a == b, np.uint32(0), 1 + (mixed >> np.uint32(7)) % np.uint32(BUCKETS - 1))
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and how often each occurs."""
+def text_buckets(text: str | None) -> np.ndarray:
+    """Buckets of all features of a text: marked words, their 3- to 5-grams of bytes, and word pairs."""
     words = (text or "").split()
     if not words:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint32)
-    parts = [word_features(w) for w in words]
-    return np.unique(np.concatenate([*parts, pair_features(hashes)]).astype(np.int64), return_counts=True)
+        return np.zeros(0, dtype=np.uint32)
+    data = np.frombuffer(("<" + "> <".join(words) + ">").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    space = data == 32
+    starts = np.concatenate([[0], np.flatnonzero(space) + 1])
+    word = np.cumsum(space)
+    c = data.astype(np.uint32)
+    place = (np.arange(len(c)) - starts[word]) % len(PLACES)
+    hashes = np.add.reduceat(np.where(space, np.uint32(0), (c + np.uint32(1)) * PLACES[place]), starts, dtype=np.uint32)
+    found = [(hashes ^ (hashes >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16), pair_features(hashes)]
+    h = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
+    for n in (3, 4, 5):
+        h = h[:-1] * np.uint32(0x9E3779B1) + c[n - 1 :] + np.uint32(n)
+        inside = word[n - 1 :] == word[: len(word) - n + 1]
+        inside &= ~space[: len(inside)]
+        kept = h[inside]
+        found.append((kept ^ (kept >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(16))
+    return np.concatenate(found)
+
+
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each occurs."""
+    return np.unique(text_buckets(text).astype(np.int64), return_counts=True)
 
 
 @dataclass
@@ -64,42 +74,9 @@ class Model:
     gain: np.ndarray  # per bucket: how much it speaks for class 1
     bias: float
 
-
-class Scorer:
-    """A model with the words that it has met."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sums, self.counts, self.hashes = [np.zeros(1024, dtype=t) for t in (np.float64, np.int64, np.uint32)]
-
-    def place_of(self, word: str) -> int:
-        at = len(self.place)
-        if at == len(self.sums):
-            self.sums, self.counts, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.counts, self.hashes))
-        found = word_features(word)
-        self.sums[at], self.counts[at] = self.model.gain[found].sum(dtype=np.float64), len(found)
-        self.hashes[at] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        self.place[word] = at
-        return at
-
     def score(self, text: str | None) -> float:
-        words = (text or "").split()
-        total, count = 0.0, 0
-        if words:
-            if len(self.place) > REMEMBERED:
-                self.forget()
-            known, new = self.place.get, self.place_of
-            at = np.fromiter((known(w, -1) for w in words), dtype=np.int64, count=len(words))
-            for i in np.flatnonzero(at < 0):
-                at[i] = known(words[i], -1) if words[i] in self.place else new(words[i])
-            pairs = pair_features(self.hashes[at])
-            total = float(self.sums[at].sum() + self.model.gain[pairs].sum(dtype=np.float64))
-            count = int(self.counts[at].sum()) + len(pairs)
-        logit = self.model.bias + (total / count if count else 0.0)
+        at = text_buckets(text)
+        logit = self.bias + (float(self.gain[at].mean(dtype=np.float64)) if len(at) else 0.0)
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -50, 50))))
 
 
@@ -152,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(sample), "doc_id").select("quality", "draw", "text")  # at most 2 * per_class rows
     got = rows.mapInArrow(per_row(make, out), "quality int, draw long, at array<int>, n array<int>").toArrow().sort_by([("draw", "ascending")])
-    columns = [got[c].to_pylist() for c in ("quality", "at", "n")]
-    return fit([(q, np.array(at, dtype=np.int64), np.array(n, dtype=np.float64)) for q, at, n in zip(*columns, strict=True)], counts[1] / (counts[0] + counts[1]))
+    arrays = lambda c: [x.values.to_numpy() for x in got[c]]
+    return fit(list(zip(got["quality"].to_pylist(), arrays("at"), arrays("n"), strict=True)), counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -162,7 +139,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def make():
-        own = Scorer(shared.value)
+        own = shared.value
 
         def each(doc_id, text):
             return doc_id, own.score(text)
