@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,10 +34,12 @@ from treeline.llm.common import per_row, scratch_path, written
 SAMPLE = 400
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 4 * 1024 * 1024
-#: Words whose ids a worker remembers: about 100 MB.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers: about 170 MB.
+REMEMBERED = 700_000
 
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^\s|\s$")
+
+class OddSpace(Exception):
+    """White space other than single spaces and newlines between other characters."""
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,6 +49,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(dict):
     """Ids, as little-endian 32-bit bytes, of words that follow `lead` ('' or a space). Words without a room are worked out each time."""
 
@@ -55,13 +61,19 @@ class Words(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, word: str) -> bytes:
-        lines = word.split("\n")
-        if len(lines) > 1:
-            newline, first = self.encoder.first["\n"] if "\n" in self.encoder.first else self.encoder.whole("\n"), self.encoder.first
-            return newline.join([self[lines[0]], *(first[x] for x in lines[1:])])
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-            return self[word[:-1]] + self.encoder.marks[word[-1]]
-        ids = self.encoder.letters(self.lead + word) if word.isalpha() else self.encoder.whole(self.lead + word)
+        if not word:
+            raise OddSpace
+        if word.isalpha():
+            ids = self.encoder.letters(self.lead + word)
+        elif word[-1] in ".," and word[:-1].isalpha():
+            ids = self[word[:-1]] + self.encoder.marks[word[-1]]
+        elif "\n" in word:
+            head, *lines = word.split("\n")
+            return self.encoder.newline.join([self[head], *(self.encoder.first[x] for x in lines)])
+        elif word.split() != [word]:
+            raise OddSpace
+        else:
+            ids = self.encoder.whole(self.lead + word)
         if len(self) < REMEMBERED:
             self[word] = ids
         return ids
@@ -80,26 +92,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.byte_letters = byte_letters()
         self.first, self.later = Words(self, ""), Words(self, " ")
         self.marks = {m: self.whole(m) for m in ".,"}
-        dict.__setitem__(self.first, "\n", self.whole("\n"))
+        self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def letters(self, piece: str) -> bytes:
         """Letters, after a space or not, are one piece: the model alone encodes them."""
-        written_out = piece.encode("utf-8").decode("latin-1").translate(self.byte_letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(written_out)], dtype="<u4").tobytes()
+        written_out = piece.replace(" ", self.byte_letters[32]) if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.byte_letters)
+        return packed_ids([t.id for t in self.model.tokenize(written_out)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
-            return self.whole(text)
         head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        try:
+            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        except OddSpace:
+            return self.whole(text)
 
 
 def id_width(path: str) -> int:
@@ -148,7 +162,10 @@ def store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
     spark.createDataFrame([(name, bytearray(dictionary), width)], "sha256 string, dictionary binary, id_bytes int").coalesce(1).write.parquet(f"{at}/dictionary")
 
     def make():
-        own, press = shared_encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=zstd_dictionary(dictionary), write_content_size=True, write_checksum=False)
+        own, shared = shared_encoder(tokenizer), zstd_dictionary(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=3)
+        press = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True, write_checksum=False)
 
         def each(doc_id, text):
             ids = own.ids(text) + end
@@ -157,7 +174,7 @@ def store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
         return each
 
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
-    frames = written(rows.mapInArrow(per_row(make, out), "doc_id long, n_tokens long, frame binary"), "frames")
+    frames = written(rows.mapInArrow(per_row(make, out), "doc_id long, n_tokens long, frame binary"), "frames", "uncompressed")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = frames.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame").withColumn("shard", F.spark_partition_id())
     ordered.mapInArrow(blocked(name), "shard int, block int, dictionary_sha256 string, doc_ids array<long>, n_tokens array<long>, starts array<long>, offsets array<long>, data binary").write.option("compression", "uncompressed").parquet(f"{at}/blocks")
