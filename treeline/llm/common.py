@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +33,10 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/treeline-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and outlives lost executors."""
     at = scratch_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -96,19 +95,30 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(per_row(make, out), "key long, packed binary")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    BOUND = 400_000
-
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < self.BOUND:
-            self[word] = found
-        return found
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+#: White space of ASCII, by byte; a random odd factor for each place of a byte in a word, used again in longer words.
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+FACTORS = np.random.default_rng(64).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, between ASCII white space, of all texts end to end, and where each text begins, with the end of the last."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    space = IS_SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = np.flatnonzero(begins)
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    offsets = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), offsets
+    first = starts[0]
+    place = np.arange(first, len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    values = (data[first:].astype(np.uint64) + np.uint64(1)) * FACTORS[place & 4095]
+    values[space[first:]] = 0
+    h = np.add.reduceat(values, starts - first)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(33)), offsets
 
 
 def rolled(values: np.ndarray, n: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -11,10 +11,14 @@ copies has n * n of them:
    links give components, within which nothing more need be compared.
 4. Product: in columns that still hold several components, the rows outside the column's most common component are
    multiplied with all rows of other components. Shared columns are added up for each pair, and pairs below the
-   overlap that their sizes and prefixes demand are discarded; the rest are verified on whole sets. Together, 3 and 4
-   miss no link between two components.
+   overlap that their sizes and prefixes demand are discarded; the rest are verified on whole sets.
+5. Nodes that share many columns with one smallest node form a dense group, as near copies of one text do, whether
+   they link or not. A group of DENSE nodes or more that is still in several components makes no pairs within itself.
+   It is multiplied in blocks of about BLOCK rows: a task has two blocks, adds up the overlaps of its rows over runs of
+   columns, and passes on a spanning forest of the links that it finds. Work there grows with the square of such a
+   group, rows do not.
 
-Blocks are shuffle partitions of columns. Frequent shingles come from a frequent-items sketch of bounded size, which only orders and salts.
+Together, 3 to 5 miss no link between two components. Frequent shingles come from a frequent-items sketch of bounded size, which only orders and salts.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing, their component is their own
 id; texts of under five words have one shingle, the whole sequence; repeated rows are in one component; component ids
@@ -24,7 +28,7 @@ Nodes and shingles are 64-bit hashes.
 
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import WordHashes, keyed, packed, per_row, rolled, written
+from treeline.llm.common import keyed, packed, rolled, word_hashes, written
 from treeline.llm.graph import components
 
 SHINGLE = 5
@@ -42,20 +46,37 @@ FREQUENT, TRACKED = 20_000, 150_000
 #: A column of more rows than this is salted into groups of about so many.
 TOGETHER = 2000
 
-WORD = re.compile("[^\\x20\\x09-\\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Nodes of a dense group, rows of a block, and columns of one step of the product.
+DENSE, BLOCK, STEP = 32, 400, 16_384
+
+#: Texts or pairs that one step works on.
+TEXTS = 256
+
+#: Bytes of UTF-8 with A-Z lower-cased.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Shingler:
     def __init__(self, n: int = SHINGLE):
-        self.hashes, self.n = WordHashes(), n
+        self.n = n
+
+    def of_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The distinct shingles of each text, in UTF-8, as sorted hashes."""
+        h, offsets = word_hashes([t.translate(LOWER) for t in texts])
+        every, sets = rolled(h, self.n), []
+        for a, b in itertools.pairwise(offsets.tolist()):
+            if 0 < b - a < self.n:
+                sets.append(rolled(h[a:b], b - a, 0x27D4EB2F165667C5 + 2 * (b - a)))
+                continue
+            found = np.sort(every[a : max(a, b - self.n + 1)])
+            new = np.ones(len(found), dtype=bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            sets.append(found[new])
+        return sets
 
-    def of(self, text: str | None) -> np.ndarray:
-        """The distinct shingles of a text as sorted hashes."""
-        h = self.hashes.of(WORD.findall((text or "").translate(LOWER)))
-        if 0 < len(h) < self.n:
-            return rolled(h, len(h), 0x27D4EB2F165667C5 + 2 * len(h))
-        return np.unique(rolled(h, self.n))
+
+def utf8(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
 def node_of(shingles: np.ndarray) -> int | None:
@@ -72,24 +93,24 @@ def document_nodes(rows: DataFrame) -> DataFrame:
     """key, doc_id, text -> key, doc_id, node, n."""
     out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
-    def make():
+    def run(batches):
         shingler = Shingler()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                sets = shingler.of_all(utf8(part.column("text").to_pylist()))
+                columns = [part.column("key"), part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-        def each(key, doc_id, text):
-            shingles = shingler.of(text)
-            return key, doc_id, node_of(shingles), len(shingles)
-
-        return each
-
-    return rows.select("key", "doc_id", "text").mapInArrow(per_row(make, out), "key long, doc_id long, node long, n long")
+    return rows.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, node long, n long")
 
 
 def all_shingles(rows: DataFrame) -> DataFrame:
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                parts = [shingler.of(t) for t in batch.column("text").slice(lo, 256).to_pylist()]
+            for lo in range(0, batch.num_rows, TEXTS):
+                parts = shingler.of_all(utf8(batch.column("text").slice(lo, TEXTS).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], names=["shingle"])
 
     return rows.select("text").mapInArrow(run, "shingle long")
@@ -112,10 +133,9 @@ def incidence(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
     def run(batches):
         shingler, met = Shingler(), set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for lo in range(0, batch.num_rows, TEXTS):
                 columns, salts, nodes, sizes = [], [], [], []
-                for text in batch.column("text").slice(lo, 256).to_pylist():
-                    s = shingler.of(text)
+                for s in shingler.of_all(utf8(batch.column("text").slice(lo, TEXTS).to_pylist())):
                     node = node_of(s)
                     if node is None or node in met:
                         continue
@@ -141,49 +161,63 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs(a, b) of nodes that link; texts(node, packed) has every node once."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.bool_())])
 
-    def make():
-        shingler, unpress, last = Shingler(), zstandard.ZstdDecompressor(), [None, None]
-
-        def set_of(data: bytes) -> np.ndarray:
-            return shingler.of(unpress.decompress(data).decode("utf-8", "surrogatepass"))
-
-        def each(a, b, packed_a, packed_b):
-            if last[0] != b:
-                last[:] = b, set_of(packed_b)
-            x, y = set_of(packed_a), last[1]
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            return a, b, 100 * shared >= 75 * (len(x) + len(y) - shared)
-
-        return each
+    def run(batches):
+        shingler, unpress = Shingler(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                # Each node's set is worked out once a step, however many pairs hold it.
+                packed_of = dict(zip(a + b, part.column("packed_a").to_pylist() + part.column("packed_b").to_pylist(), strict=True))
+                sets = dict(zip(packed_of, shingler.of_all([unpress.decompress(d) for d in packed_of.values()]), strict=True))
+                links = []
+                for x, y in zip(a, b, strict=True):
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    links.append(100 * shared >= 75 * (len(sets[x]) + len(sets[y]) - shared))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(links, pa.bool_())], schema=out)
 
     one = texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
     two = texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "packed_a", "packed_b")
-    return both.mapInArrow(per_row(make, out), "a long, b long, links boolean").filter("links").select("a", "b")
+    return both.mapInArrow(run, "a long, b long, links boolean").filter("links").select("a", "b")
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """For each node of shared columns, the column minimum that it meets most often: a, b with b < a."""
+    """For each node of shared columns, the column minimum that it meets most often: a, b with b < a, and whether it does so in two fifths of its prefix."""
     by_column = Window.partitionBy("shingle", "salt")
     local = shared.withColumn("least", F.min("node").over(by_column))
-    pairs = local.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    salted = local.filter("salt > 0 and node = least").select("shingle", "node")
-    pairs = pairs.unionByName(salted.withColumn("least", F.min("node").over(Window.partitionBy("shingle"))).filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
-    return counted.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-
-
-def crossing_pairs(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components whose shared columns allow a link. joined: node, component."""
-    name = joined.select(F.col("node").alias("j"), "component")
-    rows = shared.join(name, F.col("node") == F.col("j"), "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
-    rows = written(rows, "incidence-components")
+    pairs = local.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"), "n")
+    salted = local.filter("salt > 0 and node = least").select("shingle", "node", "n")
+    pairs = pairs.unionByName(salted.withColumn("least", F.min("node").over(Window.partitionBy("shingle"))).filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"), "n"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n"))
+    best = counted.groupBy("a").agg(F.max_by(F.struct("b", "times", "n"), F.struct("times", "b")).alias("m")).select("a", "m.*")
+    prefix = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    return best.select("a", "b", (5 * F.col("times") >= 2 * prefix).alias("strong"))
+
+
+def dense_groups(stars: DataFrame, joined: DataFrame) -> DataFrame:
+    """node, cluster: groups of strong stars of at least DENSE nodes that are in several components. joined: node, component."""
+    found = components(stars.filter("strong").select("a", "b")).withColumnRenamed("component", "cluster")
+    placed = found.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("nodes")).groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("nodes").alias("nodes"))
+    wanted = written(parts.filter((F.col("parts") > 1) & (F.col("nodes") >= DENSE)).select("cluster", "nodes"), "dense")
+    return found.join(wanted, "cluster").select("node", "cluster", "nodes")
+
+
+def contested(shared: DataFrame, joined: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of columns with several components, as shingle, node, n, component, cluster, main. joined: node, component; groups: node, cluster. main is a column's most common component."""
+    rows = shared.join(joined, "node", "left").join(groups.select("node", "cluster"), "node", "left")
+    rows = written(rows.select("shingle", "node", "n", F.coalesce("component", "node").alias("component"), "cluster"), "incidence-components")
     counted = rows.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
-    mixed = counted.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")).filter("parts > 1").select("shingle", "main")
-    open_rows = rows.join(mixed, "shingle")
-    few = open_rows.filter("component != main").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    many = open_rows.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-    near = (F.col("cx") != F.col("cy")) & (F.lit(4) * F.least("nx", "ny") >= F.lit(3) * F.greatest("nx", "ny")) & (F.col("in_main") | (F.col("x") < F.col("y")))
+    columns = counted.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main"))
+    return written(rows.join(columns.filter("parts > 1").select("shingle", "main"), "shingle"), "contested")
+
+
+def crossing_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components, and not in one dense group, whose shared columns allow a link."""
+    few = rows.filter("component != main").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("cluster").alias("gx"))
+    many = rows.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("cluster").alias("gy"), (F.col("component") == F.col("main")).alias("in_main"))
+    near = (F.col("cx") != F.col("cy")) & ~F.coalesce(F.col("gx") == F.col("gy"), F.lit(False)) & (F.lit(4) * F.least("nx", "ny") >= F.lit(3) * F.greatest("nx", "ny")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     pairs = few.join(many, "shingle").filter(near)
     pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "nx", "ny")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("nx").alias("nx"), F.min("ny").alias("ny"))
@@ -192,6 +226,46 @@ def crossing_pairs(shared: DataFrame, joined: DataFrame) -> DataFrame:
     return counted.filter(F.col("times") >= F.ceil((F.col("nx") + F.col("ny")) * 3 / 7) - F.greatest(rest("nx"), rest("ny"))).select("a", "b")
 
 
+def product_links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some nodes, by adding up products of their incidence, STEP columns at a time."""
+    sizes = np.array([len(s) for s in sets], dtype=np.float32)
+    shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
+    kept = shingles[counts > 1]
+    overlap = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    places = [np.searchsorted(kept, s[np.isin(s, kept, assume_unique=True)]) for s in sets]
+    for lo in range(0, len(kept), STEP):
+        part = np.zeros((len(sets), min(STEP, len(kept) - lo)), dtype=np.float32)
+        for row, at in enumerate(places):
+            part[row, at[(at >= lo) & (at < lo + STEP)] - lo] = 1.0
+        overlap += part @ part.T
+    linked = 100.0 * overlap >= 75.0 * (sizes[:, None] + sizes[None, :] - overlap)
+    todo, forest = set(range(len(sets))), []
+    while todo:
+        front = [todo.pop()]
+        while front:
+            x = front.pop()
+            near = [y for y in np.flatnonzero(linked[x]).tolist() if y in todo]
+            todo.difference_update(near)
+            forest += [(int(nodes[x]), int(nodes[y])) for y in near]
+            front += near
+    return forest
+
+
+def dense_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """groups(node, cluster, nodes) -> links a, b that join up all linked nodes of each group."""
+    sized = groups.withColumn("blocks", F.ceil(F.col("nodes") / BLOCK))
+    own = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tasks = own.select("node", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "node")
+
+    def multiply(table: pa.Table) -> pa.Table:
+        shingler, unpress = Shingler(), zstandard.ZstdDecompressor()
+        sets = shingler.of_all([unpress.decompress(d) for d in table.column("packed").to_pylist()])
+        found = product_links(table.column("node").to_numpy(), sets)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return tasks.groupBy("cluster", "i", "j").applyInArrow(multiply, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> key, doc_id, n_shingles, component_id; key is unique, rows of a component share component_id."""
     rows, _ = keyed(docs)
@@ -203,18 +277,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A node that two tasks met is there twice; the columns that stay are small enough to tell.
     shared = written(shared.filter("lo != hi or salt > 0").select("shingle", "salt", "node", "n"), "incidence").distinct()
     texts = node_texts(rows, nodes, shared.select("node").distinct())
-    stars = verified(star_pairs(shared), texts)
-    first = written(components(stars), "components")
-    pairs = written(crossing_pairs(shared, first), "pairs")
+    stars = written(star_pairs(shared), "stars")
+    first = written(components(verified(stars.select("a", "b"), texts)), "components")
+    groups = written(dense_groups(stars, first), "groups")
+    late = verified(written(crossing_pairs(contested(shared, first, groups)), "pairs"), texts)
+    if not groups.isEmpty():
+        late = late.unionByName(dense_links(groups, texts))
+    up = first.select(F.col("node").alias("j"), "component")
+    ends = late.join(up.withColumnsRenamed({"j": "a", "component": "ca"}), "a", "left").join(up.withColumnsRenamed({"j": "b", "component": "cb"}), "b", "left")
+    late = written(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "late-links")
     joined = first
-    if not pairs.isEmpty():
-        late = verified(pairs, texts)
-        up = first.select(F.col("node").alias("j"), "component")
-        ends = late.join(up.withColumnsRenamed({"j": "a", "component": "ca"}), "a", "left").join(up.withColumnsRenamed({"j": "b", "component": "cb"}), "b", "left")
-        joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
+    if not late.isEmpty():
+        joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed.select("key", "doc_id", "n", "component"), "placed")
-    least = placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below meets two plain tables and can split a large component.
+    least = written(placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "component", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -4,13 +4,14 @@ Seeds are winnowed anchors. Each window of THRESHOLD words picks, of the k-grams
 (the rightmost of equals), so equal windows pick equal anchors at equal offsets, and only about two in w + 1 positions
 are anchors. Documents meet on their anchors; an anchor that occurs once is dropped.
 
-A surviving anchor is extended both ways as far as the windows that picked it reach. Occurrences with one extension
-all repeat their first one and are decided as a whole; what is left, one occurrence for each different extension, is
-decided window by window. The repeats found in a document are joined to maximal ones and cut.
+A surviving anchor is extended both ways as far as the windows that picked it reach, and goes, with these windows'
+hashes, to the task that holds its other occurrences; there each window is kept where it is first and marked where
+it repeats. The repeats found in a document are joined to maximal ones and cut. Whole copies of a text are told by the
+text's hash and are not extended: all their windows repeat the first copy's.
 
 No pairs are made: a group only has to know its first member. Anchors that are frequent, found by a bounded
-frequent-items sketch, are dealt into salted groups whose first members meet once more. Keys are 128 bits, of an anchor's hash and
-its extension's or window's, so that unequal runs are not taken for equal ones at any size.
+frequent-items sketch, need no counting and are dealt into salted groups whose first members meet once more. A window is told by 128 bits,
+its anchor's hash and its own, so that unequal runs are not taken for equal ones at any size.
 
 Defined cases: null, empty and short texts have no windows and stay; where doc_ids repeat or are null, rows rank by
 doc_id (null first), then text, so of equal rows the first stays; an empty table gives an empty result; columns other
@@ -20,25 +21,31 @@ than doc_id and text are never read.
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import WordHashes, keyed, packed, per_row, rolled, with_ids, written
+from treeline.llm.common import keyed, packed, per_row, rolled, with_ids, word_count, word_hashes, written
 
 THRESHOLD = 20
 ANCHOR = 10
 #: An anchor of more occurrences than this is salted into groups of about so many.
-TOGETHER = 2000
+TOGETHER = 500
 #: Frequent anchors that the sketch reports, and what it tracks to find them.
 FREQUENT, TRACKED = 2000, 40_000
 
-WORD = re.compile("[^\\x20\\x09-\\x0D]+")
+
+#: Texts that one step works on.
+TEXTS = 256
+
+
+def utf8(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -46,54 +53,66 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Seeds:
-    """Word hashes, anchors and windows of texts."""
+    """Anchors and windows of texts, worked out for many texts at once: arrays run over all their words, end to end."""
 
     def __init__(self, threshold: int = THRESHOLD, anchor: int = ANCHOR):
-        self.hashes, self.threshold, self.anchor = WordHashes(), threshold, anchor
+        self.threshold, self.anchor = threshold, anchor
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window start, where its anchor stands; the hash of each k-gram; the words' hashes."""
-        h = self.hashes.of(WORD.findall(text or ""))
+    def of(self, texts: list[bytes]) -> Batch:
+        h, offsets = word_hashes(texts)
         grams = rolled(h, self.anchor)
-        wide = self.threshold - self.anchor + 1
-        if len(h) < self.threshold:
-            return np.zeros(0, dtype=np.int64), grams, h
-        view = np.lib.stride_tricks.sliding_window_view(grams, wide)
-        return np.arange(len(view)) + (wide - 1 - np.argmin(view[:, ::-1], axis=1)), grams, h
+        n = max(0, len(h) - self.threshold + 1)
+        least, shift = grams[:n].copy(), np.zeros(n, dtype=np.int64)
+        for k in range(1, self.threshold - self.anchor + 1):
+            lower = grams[k : k + n] <= least
+            np.copyto(least, grams[k : k + n], where=lower)
+            shift[lower] = k
+        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(h))  # words from here to the text's end
+        starts = np.flatnonzero(left >= self.threshold)
+        return Batch(h, offsets, grams, starts, starts + shift[starts])
+
+
+@dataclass
+class Batch:
+    """hashes of words, beginnings of texts, hashes of k-grams; starts of windows and the places of the anchors that they pick."""
 
+    hashes: np.ndarray
+    offsets: np.ndarray
+    grams: np.ndarray
+    starts: np.ndarray
+    picked: np.ndarray
 
-def columns_batch(parts: list[tuple], out: pa.Schema) -> pa.RecordBatch:
-    """One batch from per-document tuples of arrays."""
-    joined = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (zip(*parts, strict=True) if parts else [[] for _ in out])]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(joined, out, strict=True)], schema=out)
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, places, "right") - 1
 
 
-def salts(hot: dict[int, int], seeds: np.ndarray, key: int) -> np.ndarray:
+def salts(hot: dict[int, int], seeds: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """0 for most anchors; for a frequent one, which of its groups, from 1 on, the document falls in."""
     out = np.zeros(len(seeds), dtype=np.int32)
     if hot:
         for i in np.flatnonzero(np.isin(seeds, np.fromiter(hot, dtype=np.int64, count=len(hot)))):
-            out[i] = 1 + ((key * 2654435761) >> 7) % hot[int(seeds[i])]
+            out[i] = 1 + ((int(keys[i]) * 2654435761) >> 7) % hot[int(seeds[i])]
     return out
 
 
 def anchors(rows: DataFrame, hot: dict[int, int], threshold: int, anchor: int) -> DataFrame:
-    """key, text -> one row an anchor: anchor hash, salt, key, place."""
-    out = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("place", pa.int32())])
+    """key, text -> one row an anchor: anchor hash (null for a frequent one, which needs no counting), key, place."""
+    out = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("place", pa.int32())])
+    names = np.fromiter(hot, dtype=np.int64, count=len(hot))
 
     def run(batches):
         seeds = Seeds(threshold, anchor)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                parts = []
-                for key, text in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    picked, grams, _ = seeds.of(text)
-                    at = np.unique(picked)
-                    own = signed(grams[at])
-                    parts.append((own, salts(hot, own, key), np.full(len(at), key, dtype=np.int64), at.astype(np.int32)))
-                yield columns_batch(parts, out)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                got = seeds.of(utf8(part.column("text").to_pylist()))
+                at = got.picked[np.diff(got.picked, prepend=-1) != 0]
+                text, found = got.text_of(at), signed(got.grams[at])
+                often = np.isin(found, names) if hot else None
+                columns = [pa.array(found, mask=often), pa.array(part.column("key").to_numpy()[text]), pa.array((at - got.offsets[text]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return rows.select("key", "text").mapInArrow(run, "anchor long, salt int, key long, place int")
+    return rows.select("key", "text").mapInArrow(run, "anchor long, key long, place int")
 
 
 def frequent(found: DataFrame) -> dict[int, int]:
@@ -103,79 +122,92 @@ def frequent(found: DataFrame) -> dict[int, int]:
 
 
 def extensions(texts: DataFrame, hot: dict[int, int], threshold: int, anchor: int) -> DataFrame:
-    """key, packed, places -> one row a surviving anchor: its hash, salt, extension's hash, first window and all window hashes."""
-    out = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("extension", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.list_(pa.int64()))])
+    """key, packed, places -> one row a surviving anchor: its hash, salt, key, first window and the hashes of all windows that picked it."""
+    out = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("base", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def run(batches):
         seeds, unpress = Seeds(threshold, anchor), zstandard.ZstdDecompressor()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                rows = []
-                for key, data, places in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
-                    picked, grams, h = seeds.of(unpress.decompress(data).decode("utf-8", "surrogatepass"))
-                    windows = rolled(h, threshold, 0xC2B2AE3D27D4EB4F)
-                    places = np.array(places)
-                    first, last = np.searchsorted(picked, places, "left"), np.searchsorted(picked, places, "right")
-                    own, anchors_here = signed(windows), signed(grams[places])
-                    dealt = salts(hot, anchors_here, key)
-                    for seed, group, a, b in zip(anchors_here.tolist(), dealt.tolist(), first.tolist(), last.tolist(), strict=True):
-                        whole = xxhash.xxh3_64_intdigest(windows[a:b].tobytes())
-                        rows.append((seed, group, whole - (1 << 63), key, a, own[a:b].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in out], out, strict=True)], schema=out)
-
-    return texts.mapInArrow(run, "anchor long, salt int, extension long, key long, start int, windows array<long>")
-
-
-def marked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """rows with `first`: whether the row is the first of its group. Rows of salted groups meet once more by their first ones."""
-    once = rows.withColumn("first", F.row_number().over(Window.partitionBy(*group, "salt").orderBy(*order)) == 1)
-    again = once.filter((F.col("salt") > 0) & F.col("first"))
-    again = again.withColumn("first", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1)
-    return once.filter((F.col("salt") == 0) | ~F.col("first")).unionByName(again)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                got = seeds.of([unpress.decompress(d) for d in part.column("packed").to_pylist()])
+                lists = part.column("places")
+                text = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                places = lists.flatten().to_numpy() + got.offsets[text]
+                keys, found = part.column("key").to_numpy()[text], signed(got.grams[places])
+                first, last = np.searchsorted(got.picked, places, "left"), np.searchsorted(got.picked, places, "right")
+                inside = np.zeros(len(got.picked) + 1, dtype=np.int64)
+                inside[first] += 1
+                inside[last] -= 1
+                windows = signed(rolled(got.hashes, threshold, 0xC2B2AE3D27D4EB4F))[got.starts[np.cumsum(inside[:-1]) > 0]]
+                base = (got.starts[first] - got.offsets[text]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(salts(hot, found, keys)), pa.array(keys), pa.array(base), pa.ListArray.from_arrays(pa.array(ends), pa.array(windows))], schema=out)
+
+    return texts.mapInArrow(run, "anchor long, salt int, key long, base int, windows array<long>")
+
+
+def later_windows(runs: DataFrame) -> DataFrame:
+    """extensions' rows -> key, start of every window that is not the first of its kind.
+
+    Rows are dealt by anchor and salt once, as runs; their windows are unfolded and ranked where they lie. The first
+    windows of salted groups are ranked once more among themselves.
+    """
+    each = runs.repartition("anchor", "salt").select("anchor", "salt", "key", "base", F.posexplode("windows").alias("step", "window"))
+    each = each.select("anchor", "salt", "window", "key", (F.col("base") + F.col("step")).alias("start"))
+    ranked = each.withColumn("nth", F.row_number().over(Window.partitionBy("anchor", "salt", "window").orderBy("key", "start")))
+    ranked = ranked.filter("nth > 1 or salt > 0")
+    again = ranked.filter("nth = 1").withColumn("nth", F.row_number().over(Window.partitionBy("anchor", "window").orderBy("key", "start")))
+    return ranked.filter("nth > 1").select("key", "start").unionByName(again.filter("nth > 1").select("key", "start"))
+
+
+def copies(rows: DataFrame, threshold: int) -> DataFrame:
+    """key of texts of at least threshold words that an earlier row holds whole."""
+    digest = F.sha2("text", 256)
+    named = rows.filter(word_count(F.col("text")) >= threshold).select("key", digest.alias("digest"))
+    first = named.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    return named.join(first, "digest").filter("key != first").select("key")
 
 
 def repeats(rows: DataFrame, threshold: int = THRESHOLD, anchor: int = ANCHOR) -> DataFrame:
-    """key, text -> key, spans array<struct<start, end>>: words of windows that start earlier somewhere, not yet merged."""
+    """key, text -> key, starts, copy: starts of windows that begin earlier somewhere, or that the whole text is a copy."""
     hot = frequent(anchors(rows, {}, threshold, anchor))
-    there = F.count("*").over(Window.partitionBy("anchor", "salt"))
-    alive = anchors(rows, hot, threshold, anchor).withColumn("n", there).filter((F.col("n") > 1) | (F.col("salt") > 0))
-    places = alive.groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    texts = packed(rows).join(places, "key").select("key", "packed", "places")
-    runs = written(marked(extensions(texts, hot, threshold, anchor), ["anchor", "extension"], ["key", "start"]), "extensions")
-    whole = runs.filter(~F.col("first")).select("key", "start", (F.col("start") + F.size("windows") + threshold - 1).alias("end"))
-    single = runs.filter("first").select("anchor", "salt", "key", F.col("start").alias("base"), F.posexplode("windows").alias("step", "window"))
-    single = single.select("anchor", "salt", "window", "key", (F.col("base") + F.col("step")).alias("start"))
-    later = marked(single, ["anchor", "window"], ["key", "start"]).filter(~F.col("first")).select("key", "start", (F.col("start") + threshold).alias("end"))
-    return whole.unionByName(later).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-
-def covered(n: int, spans: list[dict] | None) -> np.ndarray:
-    """Which of n words the spans cover."""
+    again = written(copies(rows, threshold).withColumn("copy", F.lit(True)), "copies")
+    found = anchors(rows, hot, threshold, anchor)
+    counted = found.filter("anchor is not null").withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1").select("key", "place")
+    alive = counted.unionByName(found.filter("anchor is null").select("key", "place")) if hot else counted
+    places = alive.join(again, "key", "left_anti").groupBy("key").agg(F.collect_list("place").alias("places"))
+    texts = packed(rows).join(places.withColumn("places", F.array_sort("places")), "key").select("key", "packed", "places")
+    starts = later_windows(extensions(texts, hot, threshold, anchor)).groupBy("key").agg(F.collect_list("start").alias("starts"))
+    return starts.withColumn("copy", F.lit(False)).unionByName(again.select("key", F.array().cast("array<int>").alias("starts"), "copy"))
+
+
+def covered(n: int, starts: list[int] | None, threshold: int) -> np.ndarray:
+    """Which of n words the windows at starts cover."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    for s in spans or []:
-        edge[s["start"]] += 1
-        edge[s["end"]] -= 1
+    if starts:
+        np.add.at(edge, np.array(starts), 1)
+        np.add.at(edge, np.array(starts) + threshold, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, anchor: int = ANCHOR, texts: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: the text's remaining words, one space between."""
     rows, same = keyed(docs)
-    spans = repeats(rows, threshold, anchor)
+    found = repeats(rows, threshold, anchor)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if texts else [])])
 
     def make():
         unpress = zstandard.ZstdDecompressor()
 
-        def each(doc_id, data, spans):
-            words = WORD.findall(unpress.decompress(data).decode("utf-8", "surrogatepass"))
-            gone = covered(len(words), spans)
-            kept = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if spans else " ".join(words)
-            digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
-            return (doc_id, len(words), int(gone.sum()), digest, *([kept] if texts else []))
+        def each(doc_id, data, starts, copy):
+            words = unpress.decompress(data).split()
+            gone = np.ones(len(words), dtype=bool) if copy else covered(len(words), starts, threshold)
+            kept = b" ".join(itertools.compress(words, (~gone).tolist()))
+            return (doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] if texts else []))
 
         return each
 
-    joined = with_ids(packed(rows).join(spans, "key", "left"), rows, same)
+    joined = with_ids(packed(rows).join(found, "key", "left"), rows, same)
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
-    return joined.select("doc_id", "packed", "spans").mapInArrow(per_row(make, out), kinds)
+    return joined.select("doc_id", "packed", "starts", "copy").mapInArrow(per_row(make, out), kinds)
