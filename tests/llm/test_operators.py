@@ -382,6 +382,29 @@ def test_jaccard_components(spark, docs, monkeypatch, together, dense):
     assert got == want
 
 
+def test_crossing_pairs_lose_no_link(spark):
+    """Sets of unequal sizes that share frequent passages, in columns whose main component is now one's, now the other's."""
+    rng, rows, sets, component = np.random.default_rng(3), [], {}, {}
+    for pair in range(40):
+        # The first pair's prefixes share just as many columns as a link needs.
+        short, long, shared = (90, 100, 82) if pair == 0 else (int(n := rng.integers(40, 120)), int(n + rng.integers(0, n // 4)), int(n - rng.integers(0, n // 6)))
+        nodes = rng.permutation([3 * pair, 3 * pair + 1]).tolist()
+        passage = [(1, pair, i) for i in range(shared)]
+        for node, n in zip(nodes, (short, long), strict=True):
+            sets[node], component[node] = passage + [(0, node, i) for i in range(n - shared)], node
+        columns = collections.defaultdict(list)
+        for node in nodes:
+            for s in sorted(sets[node])[: jaccard.least_shared(len(sets[node]))]:
+                columns[s].append(node)
+        for s, there in columns.items():
+            main = int(rng.choice([*nodes, 3 * pair + 2]))
+            rows += [(zlib.crc32(repr(s).encode()), node, len(sets[node]), component[node], None, main) for node in there if len(there) > 1]
+    found = spark.createDataFrame(rows, "shingle long, node long, n int, component long, cluster long, main long")
+    got = {(r["a"], r["b"]) for r in jaccard.crossing_pairs(found).collect()}
+    links = {(a, b) for a in sets for b in sets if a > b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len({*sets[a], *sets[b]})}
+    assert (1, 0) in links and len(links) > 10 and links <= got
+
+
 def test_jaccard_awkward(spark, odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == 12

@@ -219,11 +219,13 @@ def crossing_pairs(rows: DataFrame) -> DataFrame:
     many = rows.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("cluster").alias("gy"), (F.col("component") == F.col("main")).alias("in_main"))
     near = (F.col("cx") != F.col("cy")) & ~F.coalesce(F.col("gx") == F.col("gy"), F.lit(False)) & (F.lit(4) * F.least("nx", "ny") >= F.lit(3) * F.greatest("nx", "ny")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     pairs = few.join(many, "shingle").filter(near)
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "nx", "ny")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("nx").alias("nx"), F.min("ny").alias("ny"))
+    # Which node is x differs by column; sizes go with the nodes.
+    x_is_a = F.col("x") > F.col("y")
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.when(x_is_a, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(x_is_a, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     # A link needs ceil(3 (x + y) / 7) common shingles. Those outside the shorter-reaching prefix number at most its set's size less the prefix.
     rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * 3 / 4) + 1)
-    return counted.filter(F.col("times") >= F.ceil((F.col("nx") + F.col("ny")) * 3 / 7) - F.greatest(rest("nx"), rest("ny"))).select("a", "b")
+    return counted.filter(F.col("times") >= F.ceil((F.col("na") + F.col("nb")) * 3 / 7) - F.greatest(rest("na"), rest("nb"))).select("a", "b")
 
 
 def product_links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
