@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import ids, scores, text
 from treeline.operators import audit, corpus, facts, graph, health, impact, quality, resolve, runtime, sync, vectors
+from treeline.plans import retrieve
 from treeline.schema import assert_schema
 from treeline.sources import readers, reports
 
@@ -234,6 +235,72 @@ def test_sources(spark, tmp_path):
         assert_schema(links, "entities")
 
 
+def test_retrieval_matches_plain(spark):
+    """Hits deep in a long text, entities, their prefixes and neighbours, and relations, against plain Python."""
+    import re
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    filler = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    texts = {"long": filler(1500) + " needle haystack pin\n" * 30 + filler(1500), "one": "".join(map(chr, rng.integers(97, 123, 2500))), "blank": " \n" * 900, "few": "apple pear plum", "odd": " ".join(f"é😀{i}" for i in range(400)), **{f"t{i}": filler(300) for i in range(4)}}
+    ents = {"pkg": "module box", "pkg.a": "function needle thread", "pkg.b": "class pear tree", "util": "module plum", "util.c": "function haystack"}
+    rels = [("pkg.a", "pkg.b", "calls"), ("pkg.b", "util.c", "calls"), ("util.c", "ext.x", "calls"), ("util", "pkg.a", "imports"), ("util", "util.c", "handles")] + [(f"far{i}", "util.c", "calls") for i in range(30)]
+    asked = {1: "needle haystack pin", 2: "apple pear plum", 3: "box", 4: "w1 w2 w3 w1", 5: "q " * 700 + "needle " * 900}
+    k = 3
+    chunks = spark.createDataFrame([(R, *x) for x in texts.items()], "repo string, id string, content string")
+    cuts = {}
+    for r in retrieve.pieces(chunks).collect():
+        assert len(r["content"]) <= 1000
+        cuts[r["id"]] = r["content"]
+    of = lambda d: [cuts[c] for c in sorted((c for c in cuts if c.split("#")[0] == d), key=lambda c: int(c.split("#")[1]))]
+    assert {d: "".join(of(d)) for d in texts if d != "blank"} == {d: t for d, t in texts.items() if d != "blank"} and not of("blank")
+    assert all(re.search(r"\s$", p) for d in ("long", "t0") for p in of(d)[:-1])
+
+    def make(texts):
+        import zlib
+
+        import numpy as np
+
+        word = lambda w: np.random.default_rng(zlib.crc32(w.encode())).normal(size=48)
+        rows = [sum((word(w) for w in t.split()), np.zeros(48)) for t in texts]
+        return [(v / np.linalg.norm(v)).tolist() for v in rows]
+
+    def best(rows, q):
+        score = dict(zip(rows, np.array(make(list(rows.values())), dtype=np.float32) @ np.array(make([q])[0], dtype=np.float32), strict=True))
+        top = sorted(rows, key=lambda i: -score[i])
+        assert len(rows) == k or score[top[k - 1]] > score[top[k]] + 1e-6, "the fixture must have no ties at the edge"
+        return [(i, float(score[i])) for i in top[:k]]
+
+    def plain(q):
+        e, c, around = best(ents, q), best(cuts, q), set()
+        for i, _ in e:
+            seeds = {i} | ({j for j in ents if j.startswith(i + ".")} if not any(i in r[:2] for r in rels) else set())
+            seen = seeds | {b for a, b, _ in rels if a in seeds} | {a for a, b, _ in rels if b in seeds}
+            around |= {r for r in rels if r[0] in seen and r[1] in seen}
+        return e, c, sorted(around)[:20]
+
+    def parsed(text):
+        head, *rest = re.split(r"\n\n(?=Relations:\n|Chunks:\n)", text)
+        return set(head.split("\n")[1:]), rest[0].split("\n")[1:], rest[1].removeprefix("Chunks:\n")
+
+    described = spark.createDataFrame([(R, i, d.split()[0], d) for i, d in ents.items()], "repo string, id string, kind string, description string")
+    queries = spark.createDataFrame(list(asked.items()), "qid long, text string")
+    got = {r["qid"]: r for r in retrieve.retrieve(queries, described, edges(spark, rels), chunks, k, embed_texts=make).collect()}
+    for q, text_ in asked.items():
+        e, c, around = plain(text_)
+        found, told, shown = parsed(got[q]["context"])
+        assert got[q]["hits"] == 2 * k and found == {f"{ents[i].split()[0]} {i}" for i, _ in e}
+        assert told == [f"{a} -{kind}-> {b}" for a, b, kind in around]
+        assert sorted(shown.split("\n")) == sorted("\n".join(cuts[i][:500] for i, _ in c).split("\n"))
+    assert "needle haystack pin" in got[1]["context"]
+
+    rounds = spark.createDataFrame([(9, 1, asked[2]), (9, 0, asked[1]), (8, 0, asked[4])], "question long, round int, text string")
+    by = {r["question"]: r for r in retrieve.retrieve_rounds(rounds, described, edges(spark, rels), chunks, k, make).collect()}
+    assert {q: (r["sub_questions"], r["covered"], r["coverage"]) for q, r in by.items()} == {9: (2, 2, 1.0), 8: (1, 1, 1.0)}
+    assert by[9]["context"] == "\n\n".join(f"## Follow-up: {asked[q]}\n{got[q]['context']}" for q in (1, 2))
+
+
 def test_reports(spark):
     findings = spark.createDataFrame([("e", f"id{i}", "dead", "s") for i in range(5)], "table string, id string, verdict string, summary string")
     row = reports.findings_report(findings, 2).first()

@@ -265,18 +265,22 @@ def hit_dedupe(t: Tables) -> DataFrame:
     return vectors.dedupe_hits(labelled.select("qid", F.col("label").alias("id"), "score")).withColumn("score", F.round("score", 6))
 
 
+def described(t: Tables) -> DataFrame:
+    return t.entities().select("repo", "id", "kind", F.concat_ws(" ", "kind", "name").alias("description"))
+
+
 @query()
 def retrieve_context(t: Tables) -> DataFrame:
-    """Each user turn of the conversations asks the documents."""
+    """Each user turn of the conversations asks the documents and the code graph."""
     asked = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text"))
-    return retrieve.retrieve(asked, t.files().select("repo", F.col("rel_path").alias("id"), "content"), 5)
+    return retrieve.retrieve(asked, described(t), t.relations(), t.files().select("repo", F.col("rel_path").alias("id"), "content"), 5)
 
 
 @query()
 def retrieve_rounds(t: Tables) -> DataFrame:
     """A conversation is a question, its user turns the rounds of follow-ups."""
     asked = t.conversations.filter("role = 'user'").select(F.col("conv_id").alias("question"), F.col("turn").alias("round"), "text")
-    return retrieve.retrieve_rounds(asked, t.files().select("repo", F.col("rel_path").alias("id"), "content"), 3)
+    return retrieve.retrieve_rounds(asked, described(t), t.relations(), t.files().select("repo", F.col("rel_path").alias("id"), "content"), 3)
 
 
 @query(with_tables("imps calls") + "SELECT 'tpc' AS repo, module, n, role FROM (SELECT tgt_id AS module, count(DISTINCT src_id) AS n, 'hub' AS role FROM imps GROUP BY 1 HAVING count(DISTINCT src_id)>=4 UNION ALL SELECT src_id, count(DISTINCT tgt_id), 'forwarder' FROM imps GROUP BY 1 HAVING count(DISTINCT tgt_id)>=5)")

@@ -109,8 +109,8 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embed(rows: DataFrame, embed_texts: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 32, chars: int = 1000) -> DataFrame:
-    """rows(repo, id, owner, text) -> repo, id, owner, vec, dim. Texts are cut to `chars` and sent in batches."""
+def embed(rows: DataFrame, embed_texts: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 32, chars: int | None = 1000) -> DataFrame:
+    """rows(repo, id, owner, text) -> repo, id, owner, vec, dim. Texts are cut to `chars`, unless that is None, and sent in batches."""
     make = embed_texts or hashing_embedder()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

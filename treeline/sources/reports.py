@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Relations of a query that its context shows.
+RELATIONS = 20
+
+
 def capped_text(rows: DataFrame, by: list[str], order: list[str], text: str, cap: int, name: str) -> DataFrame:
     """For each group, its first `cap` texts as lines."""
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= cap)
     return first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda x: x[text]), "\n").alias(name))
 
 
-def context(entities: DataFrame, relations: DataFrame, chunks: DataFrame, entity_cap: int = 10, relation_cap: int = 20, chunk_cap: int = 5, chars: int = 500) -> DataFrame:
+def context(entities: DataFrame, relations: DataFrame, chunks: DataFrame, entity_cap: int = 10, relation_cap: int = RELATIONS, chunk_cap: int = 5, chars: int = 500) -> DataFrame:
     """qid, context from entities(qid, id, kind, score), relations(qid, src_id, tgt_id, kind), chunks(qid, id, content, score)."""
     e = capped_text(entities.withColumn("t", F.concat_ws(" ", "kind", "id")), ["qid"], [F.col("score").desc(), "id"], "t", entity_cap, "e")
     r = capped_text(relations.withColumn("t", F.concat(F.col("src_id"), F.lit(" -"), F.col("kind"), F.lit("-> "), F.col("tgt_id"))), ["qid"], ["src_id", "tgt_id", "kind"], "t", relation_cap, "r")
