@@ -180,6 +180,13 @@ def test_risk_levels(spark):
     assert {r["commit"]: r["level"] for r in impact.risk(changed, reached).collect()} == {"core": "high", "tests": "low", "heavy": "medium", "small": "medium"}
 
 
+def test_risk_names_all_tests(spark):
+    changed = spark.createDataFrame([("c", "src/x.py", "f", 1)], "commit string, path string, name string, lines_changed long")
+    tests = [f"tests/test_{i:02}.py" for i in range(12)]
+    reached = spark.createDataFrame([("c", f"i{n}", p) for n, p in enumerate([*tests[::-1], *tests, "src/y.py"])], "commit string, id string, path string")
+    assert impact.risk(changed, reached).first()["affected_tests"] == tests
+
+
 def test_endpoint_verdicts(spark):
     routes = spark.createDataFrame([(R, f"GET {p}", p, "api.py") for p in ("/api/pilots/list", "/cases", "/cases/{id}/archive", "/{id}", "/lonely/widgets", "/told/gadgets")], "repo string, key string, path string, rel_path string")
     sites = spark.createDataFrame([(R, "ui.ts", "web", "/v9/api/pilots/list/x"), (R, "ui.ts", "web", "/archive"), (R, "n.md", "doc", "/told/gadgets")], "repo string, rel_path string, kind string, path string")

@@ -68,7 +68,7 @@ def is_core(path: Column) -> Column:
 
 
 def risk(changed: DataFrame, reached: DataFrame, low: int = 3, high: int = 10, wide: int = 5, heavy: int = 20) -> DataFrame:
-    """changed(commit, path, name, lines_changed), reached(commit, id, path) -> one row a commit: level, reasons, modules, tests."""
+    """changed(commit, path, name, lines_changed), reached(commit, id, path) -> one row a commit: level, reasons, modules, all tests in order."""
     test = is_test_by_shape(F.col("path"))
     public = ~F.col("name").startswith("_") & ~test
     per = changed.groupBy("commit").agg(
@@ -87,4 +87,4 @@ def risk(changed: DataFrame, reached: DataFrame, low: int = 3, high: int = 10, w
         F.when(~F.col("test_only") & (F.col("callers") >= low), F.concat(F.col("callers").cast("string"), F.lit(" callers"))),
         F.when(~F.col("test_only") & (n >= wide), F.concat(n.cast("string"), F.lit(" modules"))), F.when(~F.col("test_only") & F.col("heavy"), "large public change"),
     ))
-    return rows.select("commit", lifted.alias("level"), "callers", n.alias("n_modules"), F.array_join(reasons, "; ").alias("reasons"), F.slice(F.coalesce("tests", F.array().cast("array<string>")), 1, 5).alias("affected_tests"))
+    return rows.select("commit", lifted.alias("level"), "callers", n.alias("n_modules"), F.array_join(reasons, "; ").alias("reasons"), F.coalesce("tests", F.array().cast("array<string>")).alias("affected_tests"))
