@@ -90,6 +90,35 @@ def test_strong_components(spark):
     assert {(r["node"], r["component"]) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
 
 
+def test_strong_components_of_many_cycles(spark):
+    """Over 64 cycles of two modules that import those after them, falling ones, and random graphs, against what reaches what."""
+    import random
+
+    draw = random.Random(4)
+    pairs = {("up", f"a{i:03}", f"a{j:03}") for i in range(70) for j in (i + 1, i + 8) if j < 70}
+    pairs |= {("up", f"a{i:03}", f"b{i:03}") for i in range(70)} | {("up", f"b{i:03}", f"a{i:03}") for i in range(70)}
+    pairs |= {("down", b, a) for _, a, b in pairs}
+    pairs |= {(f"r{n}", f"n{draw.randrange(14):02}", f"n{draw.randrange(14):02}") for n in range(12) for _ in range(10 + 2 * n)}
+    to = {}
+    for repo, a, b in pairs:
+        to.setdefault((repo, a), set()).add(b)
+
+    def reach(repo, a):
+        seen, todo = set(), [a]
+        while todo:
+            new = to.get((repo, todo.pop()), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    all_reach = {x: reach(*x) for x in {(r, n) for r, a, b in pairs for n in (a, b)}}
+    both = {(r, n): {m for m in there if m != n and n in all_reach[r, m]} for (r, n), there in all_reach.items()}
+    want = {(r, n, min(n, *ms)) for (r, n), ms in both.items() if ms}
+    got = graph.strong_components(spark.createDataFrame(sorted(pairs), "repo string, src string, tgt string"))
+    assert {(r["repo"], r["node"], r["component"]) for r in got.collect()} == want
+    assert len({c for r, _, c in want if r == "up"}) == 70
+
+
 def test_dynamic_replace(spark):
     ents, rel = chain(spark)
     old = rel.withColumn("origin", F.lit("static")).unionByName(edges(spark, [("mod.A", "util.C", "calls")]).withColumn("origin", F.lit("dynamic")))

@@ -144,15 +144,16 @@ def prefix_expand(hits: DataFrame, entities: DataFrame, edges: DataFrame) -> Dat
     return hits.select("repo", F.col("id").alias("seed"), "id").unionByName(under)
 
 
-def strong_components(edges: DataFrame, limit: int = 64) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """edges(repo, src, tgt) -> repo, node, component: strongly connected components of more than one node, named by their least node.
 
-    Nodes without an edge in or out are trimmed. Then the least label flows forward to a fixpoint, and flows back from
-    each label's own node among its label: what it reaches is a component. The rest goes round again.
+    Nodes without an edge in or out are trimmed. Then the least label flows forward to a fixpoint, and so it does backward:
+    a node that one label reaches both ways is in that label's component. Of the rest, edges whose ends have the same two
+    labels go round again, until none are left; each round ends at least the component of the least node.
     """
     left = cut(edges.select("repo", "src", "tgt").filter("src != tgt").distinct())
     done: DataFrame | None = None
-    for _ in range(limit):
+    while True:
         while True:
             ins, outs = left.select("repo", F.col("tgt").alias("n")).distinct(), left.select("repo", F.col("src").alias("n")).distinct()
             core = ins.join(outs, ["repo", "n"], "left_semi")
@@ -163,19 +164,14 @@ def strong_components(edges: DataFrame, limit: int = 64) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        labels = spread(left, left.select("repo", F.col("src").alias("node"), F.col("src").alias("label")).distinct())
-        inside = left.join(labels.withColumnsRenamed({"node": "src", "label": "ls"}), ["repo", "src"]).join(labels.withColumnsRenamed({"node": "tgt", "label": "lt"}), ["repo", "tgt"]).filter("ls = lt")
-        back = cut(inside.select("repo", F.col("tgt").alias("src"), F.col("src").alias("tgt"), F.col("ls").alias("label")))
-        found = cut(labels.filter("node = label"))
-        front = found
-        while True:
-            new = front.join(back.withColumnRenamed("src", "node"), ["repo", "node", "label"]).select("repo", F.col("tgt").alias("node"), "label").distinct().join(found, ["repo", "node", "label"], "left_anti")
-            front = cut(new)
-            if front.isEmpty():
-                break
-            found = cut(found.unionByName(front))
+        own = left.select("repo", F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+        back = spread(left.select("repo", F.col("tgt").alias("src"), F.col("src").alias("tgt")), own)
+        labels = cut(spread(left, own).join(back.withColumnRenamed("label", "back"), ["repo", "node"]))
+        found = labels.filter("label = back").select("repo", "node", "label")
         done = found if done is None else done.unionByName(found)
-        left = cut(left.join(found.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti").join(found.select("repo", F.col("node").alias("tgt")), ["repo", "tgt"], "left_anti"))
+        rest = labels.filter("label != back")
+        ends = left.join(rest.withColumnsRenamed({"node": "src", "label": "ls", "back": "bs"}), ["repo", "src"]).join(rest.withColumnsRenamed({"node": "tgt", "label": "lt", "back": "bt"}), ["repo", "tgt"])
+        left = cut(ends.filter("ls = lt and bs = bt").select("repo", "src", "tgt"))
     if done is None:
         return left.select("repo", F.col("src").alias("node"), F.col("tgt").alias("component"))
     sized = done.withColumn("n", F.count("*").over(Window.partitionBy("repo", "label")))
