@@ -94,6 +94,35 @@ def test_knapsack_is_exact():
         assert (take <= counts).all() and (take * lengths).sum() == max(s for s in sums if s <= budget)
 
 
+def test_fit_takes_long_as_short():
+    """A small source keeps about the same share of its long as of its short documents, as a large one does."""
+    rng = np.random.default_rng(2)
+    for high, counts_to, whole in [(200, 4, None), (200, 4, 0), (2000, 2, None), (30, 40, None)]:
+        lengths = np.unique(rng.integers(1, high, 150))
+        counts = rng.integers(1, counts_to, len(lengths))
+        budget = int((lengths * counts).sum() * 0.4)
+        with pytest.MonkeyPatch.context() as patch:
+            if whole is not None:
+                patch.setattr(mixing, "WHOLE", whole)
+            take = mixing.fit_lengths(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == budget
+        for part in np.array_split(np.arange(len(lengths)), 3):
+            assert 0.25 < take[part].sum() / counts[part].sum() < 0.55
+
+
+def test_fit_is_as_near_as_can_be():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        lengths = np.unique(rng.integers(0, 40, rng.integers(1, 9)))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 2))
+        sums = {0}
+        for x, n in zip(lengths, counts, strict=True):
+            sums = {s + int(x) * k for s in sums for k in range(n + 1)}
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == max(s for s in sums if s <= budget)
+
+
 def test_mix_awkward(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == 12 and all(r["taken"] <= 3 * r["size"] for r in got)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by (source, exact length). Each source takes whole passes while its target allows, and fits the
-rest of its budget with a bounded-knapsack dynamic programme over the length counts. Which documents of a length are
+rest of its budget with an even share of every length and a bounded-knapsack dynamic programme for what that leaves. Which documents of a length are
 taken is decided by a seeded hash of the document's id.
 
 Defined cases: a null or wordless text has length 0 and is taken 0 words; a null source is a source of its own, after
@@ -11,7 +11,7 @@ gives an empty result; columns other than the three named are passed over.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,48 +23,74 @@ from treeline.llm.common import word_count, written
 #: Documents of one (source, length) are ranked in buckets of about this many, so that no task holds a whole hot length.
 RANKED_TOGETHER = 256
 
-#: Steps of the knapsack that are always affordable, and documents given back before it otherwise.
+#: Steps of a knapsack that are always affordable, and documents that are given back whatever it takes.
 WHOLE, GIVEN_BACK = 50_000_000, 4
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their lengths add up to budget, or as near below as can be.
-
-    A small problem goes to the knapsack whole. Else every length first gives its even share, carried from the longest
-    to the shortest so that what is left is at most about one document; then, after a few of the longest are given back to widen
-    the choice, a bounded knapsack over what is left of each count fills the remainder.
-    """
+def even_shares(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The same share of every length's documents, carried from the longest to the shortest, so that about one document's words are left at most."""
     take = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return take
-    if budget >= total:
-        return counts.astype(np.int64).copy()
-    if budget * len(lengths) <= WHOLE:
-        return knapsack(lengths, counts, budget)
-    order = np.argsort(-lengths, kind="stable")
-    wanted = 0.0
-    got = 0
-    for i in order:
+    total, wanted, got = int((lengths * counts).sum()), 0.0, 0
+    for i in np.argsort(-lengths, kind="stable"):
         if lengths[i] <= 0:
             continue
         wanted += float(lengths[i]) * float(counts[i]) * budget / total
         n = int(min(counts[i], max(0, (min(wanted, budget) - got) // lengths[i])))
         take[i] = n
         got += n * int(lengths[i])
-    for back in [i for i in order if take[i] > 0][:GIVEN_BACK] if got < budget else []:
-        take[back] -= 1
-        got -= int(lengths[back])
-    rest = budget - got
-    if rest > 0:
-        take += knapsack(lengths, counts - take, rest)
     return take
 
 
+def kept_after(take: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """How many documents are given back and what is kept: none, then one of 1, 2, 4 ... lengths spread over all, then 2, 4 ... of each, until nothing is kept."""
+    yield 0, take
+    used, n = np.flatnonzero(take > 0), 1
+    while n < len(used):
+        kept = take.copy()
+        kept[used[(np.arange(n) * len(used) + len(used) // 2) // n]] -= 1
+        yield n, kept
+        n *= 2
+    depth = 1
+    while len(used):
+        kept = take - np.minimum(take, depth)
+        yield int((take - kept).sum()), kept
+        if not kept.any():
+            return
+        depth *= 2
+
+
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take so that their lengths add up to budget, or as near below as can be.
+
+    Every length gives its even share, so short and long documents are taken alike. A bounded knapsack over what is left
+    of each count fills the remainder; where that does not reach the budget, more and more documents are given back to
+    widen its choice, as far as its steps are affordable or up to GIVEN_BACK documents.
+    """
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros(len(lengths), dtype=np.int64)
+    if budget >= total:
+        return counts.astype(np.int64).copy()
+    best, most, goal = None, -1, None
+    for given, kept in kept_after(even_shares(lengths, counts, budget)):
+        rest = budget - int((kept * lengths).sum())
+        if given > GIVEN_BACK and rest * len(lengths) > WHOLE:
+            break
+        tried = kept + knapsack(lengths, counts - kept, rest)
+        reached = int((tried * lengths).sum())
+        if reached > most:
+            best, most = tried, reached
+        if most < budget and goal is None and budget * len(lengths) <= WHOLE:
+            goal = int((knapsack(lengths, counts, budget) * lengths).sum())
+        if most == (budget if goal is None else goal):
+            break
+    return best
+
+
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: the largest sum not over budget. Counts are split into powers of two."""
+    """Bounded subset sum: the largest sum not over budget, from few long documents rather than many short ones. Counts are split into powers of two."""
     items: list[tuple[int, int, int]] = []
-    for i in np.argsort(lengths, kind="stable"):
+    for i in np.argsort(-lengths, kind="stable"):
         length, left, k = int(lengths[i]), int(counts[i]), 1
         if length <= 0 or length > budget:
             continue
