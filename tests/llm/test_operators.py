@@ -411,6 +411,16 @@ def test_jaccard_components(spark, docs, monkeypatch, together, dense):
     assert got == want
 
 
+def test_dense_links_compare_exactly():
+    """Very long sets a hair below the threshold, where both sides are the same in float32, do not link."""
+    n = next(s for s in range(3_200_000, 3_300_000) if s % 7 == 6 and np.float32(100 * (o := (6 * s - 1) // 7)) == np.float32(75 * (2 * s - o)))
+    shared = (6 * n - 1) // 7
+    one = np.arange(n, dtype=np.uint64)
+    assert 100 * shared < 75 * (2 * n - shared)
+    assert jaccard.product_links(np.array([1, 2]), [one, one + np.uint64(n - shared)]) == []
+    assert len(jaccard.product_links(np.array([1, 2]), [one, one + np.uint64(n - shared - 1)])) == 1
+
+
 def test_crossing_pairs_lose_no_link(spark):
     """Sets of unequal sizes that share frequent passages, in columns whose main component is now one's, now the other's."""
     rng, rows, sets, component = np.random.default_rng(3), [], {}, {}
