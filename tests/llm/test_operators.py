@@ -392,56 +392,65 @@ def plain_components(rows):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("together", "dense"), [(2000, 10**6), (2, 3)])
-def test_jaccard_components(spark, docs, monkeypatch, together, dense):
-    monkeypatch.setattr(jaccard, "TOGETHER", together)
-    monkeypatch.setattr(jaccard, "DENSE", dense)
-    monkeypatch.setattr(jaccard, "BLOCK", 15)
+@pytest.mark.parametrize(("bits", "together", "block"), [(22, 2000, 400), (3, 2, 15), (12, 5, 7)])
+def test_jaccard_components(spark, docs, monkeypatch, bits, together, block):
+    """Chains, near copies that hardly link, frequent passages at every share, and nested sets, under any order, salting and blocks."""
     monkeypatch.setattr(jaccard, "STEP", 64)
-    rng = np.random.default_rng(8)
-    base = [f"b{i}" for i in range(60)]
-    more = []
+    rng = np.random.default_rng(bits)
+    base, more = [f"b{i}" for i in range(60)], []
     for i in range(60):  # a chain of near copies whose ends do not link
         base[int(rng.integers(60))] = f"c{i}"
-        more.append((10**6 + i, " ".join(base)))
+        more.append(" ".join(base))
+    for i in range(50):  # near copies of one text, about as far from each other as a link may be
+        words = [f"d{k}" for k in range(100)]
+        for k in rng.choice(100, int(rng.integers(1, 4)), replace=False):
+            words[k] = f"e{i}_{k}"
+        more.append(" ".join(words))
+    for i in range(60):  # a passage that makes up half to all of a document
+        own = int(rng.integers(0, 80))
+        more.append(" ".join([f"p{k}" for k in range(80)] + [f"q{i}_{k}" for k in range(own)]))
+    for i in range(40):  # sets inside larger ones, around three quarters of them
+        n = int(rng.integers(60, 140))
+        more += [" ".join(f"n{i}_{k}" for k in range(n)), " ".join(f"n{i}_{k}" for k in range(int(n * rng.uniform(0.7, 0.85))))]
+    more = list(enumerate(more, 10**6))
     more += [(2 * 10**6, "Few words"), (2 * 10**6 + 1, "few WORDS"), (2 * 10**6 + 2, "few words here"), (2 * 10**6 + 3, None), (2 * 10**6 + 4, "")]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     want = plain_components([(r["doc_id"], r["text"]) for r in rows.collect()])
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(rows).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(rows, bits, together, block).collect()}
     assert got == want
 
 
-def test_dense_links_compare_exactly():
+def test_product_links_compare_exactly():
     """Very long sets a hair below the threshold, where both sides are the same in float32, do not link."""
     n = next(s for s in range(3_200_000, 3_300_000) if s % 7 == 6 and np.float32(100 * (o := (6 * s - 1) // 7)) == np.float32(75 * (2 * s - o)))
     shared = (6 * n - 1) // 7
     one = np.arange(n, dtype=np.uint64)
     assert 100 * shared < 75 * (2 * n - shared)
-    assert jaccard.product_links(np.array([1, 2]), [one, one + np.uint64(n - shared)]) == []
-    assert len(jaccard.product_links(np.array([1, 2]), [one, one + np.uint64(n - shared - 1)])) == 1
+    assert jaccard.product_links(np.array([1]), [one], np.array([2]), [one + np.uint64(n - shared)]) == []
+    assert len(jaccard.product_links(np.array([1]), [one], np.array([2]), [one + np.uint64(n - shared - 1)])) == 1
 
 
 def test_crossing_pairs_lose_no_link(spark):
-    """Sets of unequal sizes that share frequent passages, in columns whose main component is now one's, now the other's."""
-    rng, rows, sets, component = np.random.default_rng(3), [], {}, {}
-    for pair in range(40):
-        # The first pair's prefixes share just as many columns as a link needs.
-        short, long, shared = (90, 100, 82) if pair == 0 else (int(n := rng.integers(40, 120)), int(n + rng.integers(0, n // 4)), int(n - rng.integers(0, n // 6)))
+    """Sets of unequal sizes that share frequent passages, in columns whose main group is now one's, now the other's."""
+    rng, rows, sets = np.random.default_rng(3), [], {}
+    for pair in range(60):
+        # The first pairs share just as many shingles as a link needs.
+        short, long, shared = {0: (90, 100, 82), 1: (75, 100, 75), 2: (3, 4, 3)}.get(pair) or (int(n := rng.integers(1, 120)), int(n + rng.integers(0, n // 4 + 1)), int(n - rng.integers(0, n // 6 + 1)))
         nodes = rng.permutation([3 * pair, 3 * pair + 1]).tolist()
         passage = [(1, pair, i) for i in range(shared)]
         for node, n in zip(nodes, (short, long), strict=True):
-            sets[node], component[node] = passage + [(0, node, i) for i in range(n - shared)], node
+            sets[node] = passage + [(0, node, i) for i in range(n - shared)]
         columns = collections.defaultdict(list)
         for node in nodes:
-            for s in sorted(sets[node])[: jaccard.least_shared(len(sets[node]))]:
-                columns[s].append(node)
+            for place, s in enumerate(sorted(sets[node])[: jaccard.prefix_length(len(sets[node]))]):
+                columns[s].append((node, place))
         for s, there in columns.items():
             main = int(rng.choice([*nodes, 3 * pair + 2]))
-            rows += [(zlib.crc32(repr(s).encode()), node, len(sets[node]), component[node], None, main) for node in there if len(there) > 1]
-    found = spark.createDataFrame(rows, "shingle long, node long, n int, component long, cluster long, main long")
+            rows += [(zlib.crc32(repr(s).encode()), node, len(sets[node]), place, node, node, main) for node, place in there if len(there) > 1]
+    found = spark.createDataFrame(rows, "shingle long, node long, n int, place int, group long, component long, main long")
     got = {(r["a"], r["b"]) for r in jaccard.crossing_pairs(found).collect()}
     links = {(a, b) for a in sets for b in sets if a > b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len({*sets[a], *sets[b]})}
-    assert (1, 0) in links and len(links) > 10 and links <= got
+    assert {(1, 0), (4, 3), (7, 6)} <= links and len(links) > 10 and links <= got
 
 
 def test_jaccard_awkward(spark, odd):
