@@ -103,13 +103,25 @@ def test_fit_takes_long_as_short():
         budget = int((lengths * counts).sum() * 0.4)
         with pytest.MonkeyPatch.context() as patch:
             if whole is not None:
-                patch.setattr(mixing, "WHOLE", whole)
+                patch.setattr(mixing, "STEPS", whole)
             take = mixing.fit_lengths(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == budget
         for part in np.array_split(np.arange(len(lengths)), 3):
             assert 0.25 < take[part].sum() / counts[part].sum() < 0.55
 
 
+def test_fit_is_alike_at_ten_times_the_size():
+    """Ten times the documents of each length, ten times the budget: the same share of each length, to a document or so."""
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 500, 80))
+    counts = rng.integers(5, 30, len(lengths))
+    budget = int((lengths * counts).sum() * 0.3)
+    one, ten = mixing.fit_lengths(lengths, counts, budget), mixing.fit_lengths(lengths, 10 * counts, 10 * budget)
+    assert abs(ten.sum() / 10 - one.sum()) <= 0.1 * one.sum()
+    for part in np.array_split(np.arange(len(lengths)), 4):
+        assert abs(ten[part].sum() / (10 * counts[part].sum()) - one[part].sum() / counts[part].sum()) < 0.06
+
+
 def test_fit_is_as_near_as_can_be():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -163,6 +175,19 @@ def test_decontaminate_matches_plain(spark, sf, docs, block):
     assert got[10**6]["n_hit"] == 4 and got[10**6 + 3]["n_hit"] == 10
 
 
+def test_decontaminate_awkward(spark, odd):
+    bench = spark.createDataFrame([("i1", "one two three four five six seven eight nine ten"), ("i1", "one two three four five six seven eight nine ten"), (None, "text"), ("i2", None), ("i3", "?!")], "item_id string, text string").withColumn("doc_id", F.lit(1))
+    for block in (decontaminate.BLOCK_WINDOWS, 1):
+        got = decontaminate.judged(decontaminate.find_hits(odd, bench, block_windows=block)).collect()
+        assert len(got) == 12
+        same = [r for r in got if r["n_words"] == 30]
+        assert {(r["n_hit"], r["n_items"]) for r in same} == {(30, 1)} and len(same) == 4
+        assert [tuple(r["items"]) for r in got if r["doc_id"] == 7] == [("",)]
+        assert all((r["n_words"], r["n_hit"], r["contaminated"]) == (0, 0, False) for r in got if r["doc_id"] in (1, 2, 3, 9))
+        assert decontaminate.find_hits(empty(spark), bench, block_windows=block).count() == 0
+        assert decontaminate.judged(decontaminate.find_hits(odd, bench.limit(0), block_windows=block)).filter("contaminated").count() == 0
+
+
 def test_decontaminate_cuts(spark):
     bench = spark.createDataFrame([(1, "secret test words")], "item_id long, text string")
     rows = spark.createDataFrame([(1, "Keep this. Secret, TEST words! And this, and that."), (2, "secret test words"), (3, None)], "doc_id long, text string")
@@ -293,6 +318,14 @@ def test_quality_held_out(spark, sf):
     assert all(g["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, g in got.items())
 
 
+def test_quality_of_contradicting_labels(spark):
+    """A document that is labelled both ways teaches nothing, so the order of rows does not matter."""
+    texts = spark.createDataFrame([(i, f"good text number {i} of some length" if i % 2 else f"bad bad {i} junk") for i in range(40)], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(40)] + [(4, 1), (7, 0)]
+    one, two = (quality.train(texts, spark.createDataFrame(r, "doc_id long, quality int")) for r in (rows, [*rows[::-1], (4, 1)]))
+    assert (one.gain == two.gain).all() and one.bias == two.bias
+
+
 def test_quality_awkward(spark, odd, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.held_out(odd, none).collect()} == {0.5}
@@ -331,6 +364,55 @@ def test_url_words_and_bayes(spark):
     assert got[200]["verdict"] == "block"  # no seed, but the company of one
 
 
+def plain_cut(name, times, total):
+    """The likeliest split of a name, by trying all of them."""
+    def cost(w):
+        return -np.log(times[w] / total) if w in times else np.log(total) + np.log(10.0) * len(w)
+
+    splits = [[]] if not name else [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in plain_splits(name[k:])]
+    return min(sum(map(cost, s)) for s in splits)
+
+
+def plain_splits(name):
+    return [[]] if not name else [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in plain_splits(name[k:])]
+
+
+def test_segmentation_is_the_likeliest():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        name = "".join(rng.choice(list("abc"), int(rng.integers(1, 9))))
+        times = {"".join(rng.choice(list("abc"), int(rng.integers(1, 4)))): int(rng.integers(1, 50)) for _ in range(8)}
+        total = float(sum(times.values()))
+        parts = [{"start": i, "word": name[i : i + n], "times": times[name[i : i + n]]} for i in range(len(name)) for n in range(1, 9) if i + n <= len(name) and name[i : i + n] in times]
+        words = urls.cheapest_cut(name, parts, total)
+        cost = sum(-np.log(times[w] / total) if w in times else np.log(total) + np.log(10.0) * len(w) for w in words)
+        assert "".join(words) == name and cost == pytest.approx(plain_cut(name, times, total))
+
+
+def test_urls_learn_from_company(spark):
+    """Hosts without a seed are blocked for the words and paths that they share with seeded ones; others stay. Recall on planted hosts is at least 0.9."""
+    rng = np.random.default_rng(7)
+    words = "casino bonus jackpot reels winner weather garden kitchen travel school music history".split()
+    html = "<p>" + " ".join(words * 30) + "</p>"
+    company = words[1:5]
+    bad = [f"http://casino{company[i % 4]}.example/play/{i}" for i in range(30)] + [f"http://{company[i % 4]}{company[(i + 1 + i // 4 % 3) % 4]}.example/play/{i}" for i in range(30)]
+    good = [f"http://{rng.choice(words[5:])}{rng.choice(words[5:])}.example/read/{i}" for i in range(200)]
+    rows = [(i, u, html) for i, u in enumerate(bad + good)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(got[i] == "block" for i in range(len(bad))) >= 0.9 * len(bad)
+    assert sum(got[i] == "allow" for i in range(len(bad), len(rows))) >= 0.99 * len(good)
+
+
+def test_urls_awkward(spark):
+    """Very long hosts and words, repeated rows, hosts of other letters, null html; a page full of seeds teaches."""
+    long = "x" * 3000
+    rows = [(1, f"http://{long}.com/a", None), (2, "http://bücher2shop.example/ä", ""), (2, "http://bücher2shop.example/ä", ""), (3, None, "casino casino casino"), (4, "http://a.example/" + "p/" * 5000, long), (None, "x://", "b")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "word": F.lit("w"), "row": F.lit(1)})).collect()
+    assert len(got) == 6
+    by = {r["page_id"]: r for r in got}
+    assert by[3]["verdict"] == "allow" and by[3]["host"] == "" and by[2]["words"].split()[0] == "b" and by[1]["host"] == long + ".com"
+
+
 # --- substring dedup --------------------------------------------------------------------------------------------------
 
 
@@ -349,17 +431,30 @@ def plain_dedup(rows, n=20):
     return out
 
 
-@pytest.mark.parametrize("together", [2000, 1])
-def test_substring_dedup(spark, docs, monkeypatch, together):
-    monkeypatch.setattr(substring, "TOGETHER", together)
+@pytest.mark.parametrize(("together", "bits"), [(2000, 22), (1, 12)])
+def test_substring_dedup(spark, docs, together, bits):
     passage = " ".join(f"p{i}" for i in range(60))
     more = [(10**6 + i, f"u{i} v{i} {passage if i % 2 else passage[:-5]} w{i}") for i in range(12)] + [(2 * 10**6, "same " * 50), (2 * 10**6 + 1, passage)]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     want = plain_dedup(sorted((r["doc_id"], r["text"]) for r in rows.collect()))
-    got = [tuple(r) for r in substring.dedup(rows, texts=False).collect()]
+    got = [tuple(r) for r in substring.dedup(rows, texts=False, together=together, bits=bits).collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_long_words_are_told_apart():
+    """Bytes that lie 4096 places apart in a word count by their place; pieces do not show."""
+    word = bytearray(b"a" * 9000)
+    word[10], other = ord("b"), bytearray(b"a" * 9000)
+    other[10 + 4096] = ord("b")
+    from treeline.llm import common
+
+    h, offsets = common.word_hashes([bytes(word), bytes(other), b"", b" one two "])
+    assert h[0] != h[1] and offsets.tolist() == [0, 1, 2, 2, 4]
+    text = b" ".join(b"w%d" % i for i in range(300_000))
+    h, offsets = common.word_hashes([text, b"w7", bytes(word) * 200])
+    assert len(set(h.tolist())) == 300_001 and h[7] == h[300_000] and offsets.tolist() == [0, 300_000, 300_001, 300_002]
+
+
 def test_substring_awkward(spark, odd):
     rows = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     got = sorted(((r[0] is None, r[0] or 0, *r[1:4]) for r in substring.dedup(odd).collect()))
@@ -499,6 +594,24 @@ def test_token_awkward(spark, odd, vocabulary):
     assert tokens.token_digest(empty(spark), vocabulary, 2).count() == 0
 
 
+def test_other_vocabularies_are_encoded_whole():
+    """The method of words holds for plain byte-level BPE alone; any other file is encoded by the library, text by text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not own.by_words
+    for text in ("Two Words, here", "don't  stop\n\nNOW 123", "Ünïcödé"):
+        assert np.frombuffer(own.ids(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_samples_do_not_depend_on_order(spark):
+    rows = [(1, f"text {i}") for i in range(50)] + [(None, "x")] * 3
+    one, two = (tokens.sampled_texts(spark.createDataFrame(r, "doc_id long, text string"), 10) for r in (rows, rows[::-1]))
+    assert one == two and len(one) == 10
+
+
 def test_encoder_equals_the_library(vocabulary):
     encoder = tokens.Encoder(vocabulary)
     rng = np.random.default_rng(9)

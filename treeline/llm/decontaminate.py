@@ -3,11 +3,12 @@
 A window is `n` consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A document
 word inside any occurrence of a window is hit. Hash hits are verified word by word, so results are exact.
 
-The set is broadcast in blocks of at most BLOCK_WINDOWS windows. A benchmark of more windows is scanned in several
-blocks, each a pass over the documents, and the hits of a document are merged, so no broadcast grows with the data.
+The set is broadcast in blocks of about BLOCK_WINDOWS windows. A benchmark of more windows is dealt into several blocks
+by Spark, each a pass over the documents, and the hits of a document are merged: neither the driver nor a broadcast
+grows with the data.
 
 Defined cases: null, empty and wordless texts have no words and no hits; null or wordless items have no windows; an
-item that is there twice counts once, by its id; repeated document rows each get their own result; empty tables give
+item that is there twice counts once, by its id; items without an id count as one whose id is empty; repeated document rows each get their own result; empty tables give
 empty or clean results; columns other than the named ones are passed over.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from treeline.llm.common import per_row, written
+from treeline.llm.common import per_row, small_batches, written
 
 #: Windows in one broadcast: about 50 MB of ids and hashes at the most.
 BLOCK_WINDOWS = 200_000
@@ -84,22 +85,32 @@ class WindowSet:
         return np.cumsum(covered[:-1]) > 0, items
 
 
-def item_windows(text: str | None, n: int) -> set[tuple[str, ...]]:
-    words = words_of(text)
-    if not words:
-        return set()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+def benchmark_windows(benchmark: DataFrame, n: int, limit: int) -> DataFrame:
+    """Written rows window, item, block: each item's distinct windows, words joined by spaces, dealt by hash into blocks of about limit rows."""
+    out = pa.schema([("window", pa.string()), ("item", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                found = sorted({" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}) if words else []
+                for lo in range(0, len(found), 10_000):
+                    part = found[lo : lo + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([item] * len(part), pa.string())], schema=out)
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    found = written(items.mapInArrow(run, "window string, item string").distinct(), "windows")
+    blocks = max(1, -(-found.count() // limit))
+    return written(found.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)).cast("int")).repartition("block"), "window-blocks") if blocks > 1 else found.withColumn("block", F.lit(0))
 
 
-def window_blocks(benchmark: DataFrame, n: int, limit: int) -> list[dict[tuple[str, ...], list]]:
-    """Blocks of at most about limit windows, read item by item so that the driver holds one block at a time."""
-    blocks: list[dict[tuple[str, ...], list]] = [{}]
-    for item, text in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
-        for window in item_windows(text, n):
-            if len(blocks[-1]) >= limit:
-                blocks.append({})
-            blocks[-1].setdefault(window, []).append(item)
-    return blocks
+def window_set(rows: DataFrame) -> WindowSet:
+    """One block's windows."""
+    windows: dict[tuple[str, ...], list] = {}
+    known: dict[str, str] = {}
+    for window, item in rows.select("window", "item").toLocalIterator():
+        windows.setdefault(tuple(known.setdefault(w, w) for w in window.split(" ")), []).append(item)
+    return WindowSet(windows)
 
 
 def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -121,38 +132,42 @@ def carried(docs: DataFrame, carry: Sequence[str]) -> tuple[list[pa.Field], str]
 def found_by(windows: WindowSet, text: str | None) -> tuple[int, list[dict], list[str]]:
     words = words_of(text)
     hit, items = windows.hits(words)
-    return len(words), [{"start": a, "end": b} for a, b in runs_of(hit)], sorted(map(str, items))
+    return len(words), [{"start": a, "end": b} for a, b in runs_of(hit)], sorted(items)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, carry: Sequence[str] = ()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, n_words, runs array<struct<start, end>> of hit words, items array<string>, and the carried columns."""
     spark = docs.sparkSession
+    small_batches(spark)
     more, kinds = carried(docs, carry)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("runs", RUN), ("items", pa.list_(pa.string())), *more])
     schema = f"doc_id long, text string, n_words long, runs {RUNS}, items array<string>{kinds}"
-    blocks = window_blocks(benchmark, n, block_windows)
-    if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast(WindowSet(blocks[0]))
+    windows = benchmark_windows(benchmark, n, block_windows)
+    blocks = windows.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast(window_set(windows))
 
         def make():
-            windows = shared.value
-            return lambda doc_id, text, *rest: (doc_id, text, *found_by(windows, text), *rest)
+            own = shared.value
+            return lambda doc_id, text, *rest: (doc_id, text, *found_by(own, text), *rest)
 
         return rows.mapInArrow(per_row(make, out), schema)
 
-    # Several passes over rows that are written once, so that a row is the same row in each.
+    # Several passes over rows that are written once, so that a row is the same row in each. The driver and the
+    # executors hold one block at a time.
     keyed = written(rows.withColumn("row", F.monotonically_increasing_id()), "leak-rows")
+    some = pa.schema([("row", pa.int64()), ("runs", RUN), ("items", pa.list_(pa.string()))])
     found = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(WindowSet(block))
+    for block in range(blocks):
+        shared = spark.sparkContext.broadcast(window_set(windows.filter(F.col("block") == block)))
 
         def make_part(shared=shared):
-            windows = shared.value
-            return lambda row, text: (row, *found_by(windows, text)[1:])
+            own = shared.value
+            return lambda row, text: (row, *found_by(own, text)[1:])
 
-        some = pa.schema([("row", pa.int64()), ("runs", RUN), ("items", pa.list_(pa.string()))])
-        part = keyed.select("row", "text").mapInArrow(per_row(make_part, some), f"row long, runs {RUNS}, items array<string>").filter(F.size("runs") > 0)
+        part = written(keyed.select("row", "text").mapInArrow(per_row(make_part, some), f"row long, runs {RUNS}, items array<string>").filter(F.size("runs") > 0), "block-hits")
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 

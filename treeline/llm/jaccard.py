@@ -20,7 +20,7 @@ copies has n * n of them:
    added up for each pair, pairs below LEAST are discarded, and the rest are verified on whole sets.
 
 Together, 3 to 5 miss no link between two components, whatever the order of shingles. The order comes from one table
-of 2 ** BITS counters, so that shingles count as frequent from twice the table's mean load on; it saves work and
+of 2 ** bits counters, so that shingles count as frequent from twice the table's mean load on; it saves work and
 salts hot columns, but decides nothing.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing, their component is their own
@@ -41,13 +41,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import keyed, packed, rolled, small_batches, steps, word_hashes, written
+from treeline.llm.counters import BITS, Counters, bucket_of, summed
 from treeline.llm.graph import components
 
 SHINGLE = 5
 #: Common columns at allowed places that a pair must have, where its sizes demand as many common shingles.
 LEAST = 3
-#: The order's table has 2 ** BITS counters, summed in parts of 2 ** PART.
-BITS, PART = 22, 17
 #: A column of more rows than this is salted into groups of about so many.
 TOGETHER = 2000
 #: Rows of a block, and columns of one step of the product.
@@ -102,44 +101,26 @@ def document_sets(rows: DataFrame, bits: int) -> DataFrame:
     out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        shingler, press = Shingler(), zstandard.ZstdCompressor(level=1)
-        met = np.zeros(1 << bits, dtype=np.uint32)
+        shingler, met = Shingler(), Counters(bits)
         for batch in batches:
             for lo, size in steps(batch.column("text")):
                 part = batch.slice(lo, size)
                 sets = shingler.of_all(utf8(part.column("text").to_pylist()))
-                np.add.at(met, (np.concatenate(sets) >> np.uint64(64 - bits)).view(np.int64), np.uint32(1))
+                met.add(np.concatenate(sets))
                 names = [set_name(s) for s in sets]
                 columns = [part.column("key"), part.column("doc_id"), [x[0] for x in names], [x[1] for x in names], [len(s) for s in sets], [None] * size, [None] * size]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
-        for at in range(0, 1 << bits, 1 << min(bits, PART)):
-            counts = met[at : at + (1 << min(bits, PART))]
-            if counts.any():
-                columns = [[None]] * 5 + [[at >> min(bits, PART)], [press.compress(counts.tobytes())]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        for part, counts in met.parts():
+            columns = [[None]] * 5 + [[part], [counts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return rows.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, hi long, lo long, n long, part int, counts binary")
 
 
-def shingle_ranks(parts: DataFrame, bits: int) -> tuple[np.ndarray, float]:
-    """document_sets' counts -> the rank of each bucket, eight to a doubling, 0 up to twice the mean load; and that border. Sums stay within 2 ** bits."""
-    out = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-
-    def run(batches):
-        unpress, sums = zstandard.ZstdDecompressor(), {}
-        for batch in batches:
-            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = np.frombuffer(unpress.decompress(counts), dtype=np.uint32)
-                sums[part] = sums[part] + counts if part in sums else counts.astype(np.uint64)
-        for part, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()])], schema=out)
-
-    totals = np.zeros(1 << bits, dtype=np.uint64)
-    for part, counts in parts.repartition("part").mapInArrow(run, "part int, counts binary").toLocalIterator():
-        at = part << min(bits, PART)
-        totals[at : at + (1 << min(bits, PART))] = np.frombuffer(counts, dtype=np.uint64)
+def shingle_ranks(totals: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums of buckets -> the rank of each, eight to a doubling, 0 up to twice the mean load; and that border."""
     border = 2 * float(totals.mean()) + 2
-    ranks = np.zeros(1 << bits, dtype=np.uint8)
+    ranks = np.zeros(len(totals), dtype=np.uint8)
     often = totals > border
     ranks[often] = np.clip(1 + 8 * np.log2(totals[often] / border), 1, 255)
     return ranks, border
@@ -148,7 +129,7 @@ def shingle_ranks(parts: DataFrame, bits: int) -> tuple[np.ndarray, float]:
 def incidence(texts: DataFrame, ranks: np.ndarray, border: float, together: int) -> DataFrame:
     """node, packed -> shingle, salt, node, n, place: each node's prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(ranks)
-    shift = np.uint64(64 - int(len(ranks)).bit_length() + 1)
+    bits = len(ranks).bit_length() - 1
     groups = np.ceil(np.minimum(border * 2 ** (np.arange(256) / 8) / together, 1e6)).astype(np.int64)
     groups[0] = 1
     out = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
@@ -160,7 +141,7 @@ def incidence(texts: DataFrame, ranks: np.ndarray, border: float, together: int)
                 part = batch.slice(lo, size)
                 columns: list[list[np.ndarray]] = [[], [], [], [], []]
                 for node, s in zip(part.column("node").to_pylist(), shingler.of_all(unpacked(part.column("packed"), press)), strict=True):
-                    own = rank_of[(s >> shift).view(np.int64)]
+                    own = rank_of[bucket_of(s, bits)]
                     first = np.argsort(own, kind="stable")[: prefix_length(len(s))]
                     prefix, many = s[first].view(np.int64), groups[own[first]]
                     salts = np.where(many > 1, 1 + ((node * 0x9E3779B97F4A7C15 >> 20) & 0x7FFFFFFFFFFF) % many, 0)
@@ -318,7 +299,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, together: int = TOGETHER,
     rows, _ = keyed(docs)
     sets = written(document_sets(rows, bits), "sets")
     documents = sets.filter("part is null")
-    ranks, border = shingle_ranks(sets.filter("part is not null").select("part", "counts"), bits)
+    ranks, border = shingle_ranks(summed(sets.filter("part is not null").select("part", "counts"), bits))
     named = written(documents.filter("hi is not null").groupBy("hi", "lo").agg(F.min("key").alias("node")), "nodes")
     texts = written(packed(rows).join(named.select(F.col("node").alias("key")), "key").select(F.col("key").alias("node"), "packed"), "node-texts")
     shared = shared_columns(incidence(texts, ranks, border, together))

@@ -5,8 +5,8 @@ document frequency. The model is trained by follow-the-regularised-leader with a
 sparse), on a bounded sample per language, and its softmax is then cooled or warmed by one temperature fitted on
 sampled rows that the training has not seen.
 
-The sample, at most about PER_LANGUAGE documents of each language by the smallest hashes, is the only bound; every
-whole text is scored.
+The sample, at most about PER_LANGUAGE documents of each language and SAMPLE of all, by the smallest hashes, is the
+only bound; every whole text is scored.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is everything where there is nothing
 to learn from; rows without a language teach nothing; repeated rows are scored alike; an empty table gives an empty
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import per_row
+from treeline.llm.common import per_row, small_batches
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 900
+#: Documents of all languages together in the sample.
+SAMPLE = 20_000
 UNDETERMINED = "und"
 
 
@@ -133,10 +135,12 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs(doc_id, text, lang): the rows to learn from."""
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {lang: n for lang, n in known.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return fit([])
+    per_language = min(per_language, max(1, SAMPLE // len(counts)))
     draw = (F.xxhash64("doc_id", F.lit(10)) / F.lit(2.0**64)) + 0.5
     chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     out = pa.schema([("lang", pa.string()), ("draw", pa.float64()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
@@ -157,6 +161,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score, and the carried columns after them."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the input
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

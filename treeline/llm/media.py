@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import per_row, written
+from treeline.llm.common import per_row, small_batches, written
 
 #: Side of a tile. 24 * 24 bytes, 576, is what a text's payload is padded to a multiple of.
 TILE = 24
@@ -161,6 +161,7 @@ def media_tiles(images: DataFrame, id_col: str = "media_id", data_col: str = "da
 
         return each
 
+    small_batches(images.sparkSession)
     rows = images.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).alias("data"))
     made = rows.mapInArrow(per_row(make, out), "id long, height long, width long, npy binary, dhash string, error string")
     return written(made, "tiles").withColumnRenamed("id", id_col)
@@ -188,6 +189,7 @@ def text_media(docs: DataFrame) -> DataFrame:
 
         return each
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored = written(rows.mapInArrow(per_row(make_store, first), "doc_id long, n_bytes long, npy binary"), "text-tiles")
     last = pa.schema([(n, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for n in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])

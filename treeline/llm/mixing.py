@@ -23,8 +23,13 @@ from treeline.llm.common import word_count, written
 #: Documents of one (source, length) are ranked in buckets of about this many, so that no task holds a whole hot length.
 RANKED_TOGETHER = 256
 
-#: Steps of a knapsack that are always affordable, and documents that are given back whatever it takes.
-WHOLE, GIVEN_BACK = 50_000_000, 4
+#: Documents that are given back whatever it takes; and, for more of them, steps and words of a knapsack that is tried for
+#: the last few words. Shares of lengths are even at every size, only that last remainder differs.
+GIVEN_BACK, STEPS, WORDS = 4, 50_000_000, 4_000_000
+
+
+def affordable(words: int, lengths: np.ndarray) -> bool:
+    return words <= WORDS and words * len(lengths) <= STEPS
 
 
 def even_shares(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -64,7 +69,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
     Every length gives its even share, so short and long documents are taken alike. A bounded knapsack over what is left
     of each count fills the remainder; where that does not reach the budget, more and more documents are given back to
-    widen its choice, as far as its steps are affordable or up to GIVEN_BACK documents.
+    widen its choice: up to GIVEN_BACK documents, and beyond them as far as STEPS and WORDS allow.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -74,13 +79,13 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     best, most, goal = None, -1, None
     for given, kept in kept_after(even_shares(lengths, counts, budget)):
         rest = budget - int((kept * lengths).sum())
-        if given > GIVEN_BACK and rest * len(lengths) > WHOLE:
+        if given > GIVEN_BACK and not affordable(rest, lengths):
             break
         tried = kept + knapsack(lengths, counts - kept, rest)
         reached = int((tried * lengths).sum())
         if reached > most:
             best, most = tried, reached
-        if most < budget and goal is None and budget * len(lengths) <= WHOLE:
+        if most < budget and goal is None and affordable(budget, lengths):
             goal = int((knapsack(lengths, counts, budget) * lengths).sum())
         if most == (budget if goal is None else goal):
             break

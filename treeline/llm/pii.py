@@ -1,10 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they do not cover.
 
-DataFrame functions only. Base matches (seeds) and other words with digits (candidates) become mentions: a value, its
+DataFrame functions only. Base matches (seeds) and other words with a digit or an @ (candidates) become mentions: a value, its
 shape (digits as 9, letters as a) and the word before it. A lexical pattern is a word before and a shape. Patterns
 and values form a graph that Spark scores in rounds: a pattern's confidence in a kind is the mean score of its
-distinct values, a value's score the noisy-or of its confident patterns, seeds staying at 1. Values over the
-threshold that no base pattern covers give new spans of that kind.
+distinct values, a value's score the noisy-or of its confident patterns, seeds staying at 1. Scores never fall, and
+rounds go on until no further value passes the threshold. Values over the threshold that no base pattern covers give
+new spans of that kind. A candidate is one word, so an identifier that is written in several words and that no base
+pattern knows is found word by word or not at all.
 
 Base kinds, leftmost and non-overlapping each: email; ip with parts to 255; card of 16 to 19 digits passing Luhn;
 phone of 8 to 15 digits. Matches that fail are dropped, not retried. Positions are code points, ends exclusive.
@@ -34,10 +36,9 @@ PATTERNS = {
     "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-CANDIDATE = "(?<!\\S)[^\\s0-9]*+[0-9]\\S*+"
+CANDIDATE = "(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-ROUNDS = 2
 #: A pattern counts from this confidence on and with at least so much of seeds' score behind it; a value from this score on.
 CONFIDENT, SUPPORT, FOUND = 0.6, 3.0, 0.8
 
@@ -88,18 +89,18 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def shape(value: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]", "a"), 1, 40)
+    return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]", "a")
 
 
 def word_before(before: Column) -> Column:
     """The last word of what stands before, lower-cased, without marks around it."""
-    return F.regexp_replace(F.lower(F.regexp_extract(F.substring(before, -80, 80), "(\\S+)\\s*$", 1)), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(before, "(?<!\\S)(\\S++)\\s*+$", 1)), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
 
 
 def with_mentions(docs: DataFrame) -> DataFrame:
     """doc_id, base array<struct<kind, start, end>>, mentions array<struct<kind, start, end, value, pattern>>; kind is the place in KINDS, -1 for candidates."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9]"), located(F.col("text"), CANDIDATE)).otherwise(located(F.lit(""), "x")).alias("words"))
+    rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(located(F.lit(""), "x")).alias("words"))
 
     def mention(kind: int, m: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), word_before(m["before"]).alias("word"))
@@ -119,21 +120,26 @@ def with_mentions(docs: DataFrame) -> DataFrame:
 
 
 def scored_values(mentions: DataFrame) -> DataFrame:
-    """mentions(kind, value, pattern) -> value, kind, score: the graph's values after ROUNDS rounds."""
+    """mentions(kind, value, pattern) -> value, kind, score: the graph's values once no further one passes FOUND.
+
+    What is joined is written first, so that joins meet plain tables and can split the rows of a frequent value or pattern.
+    """
     edges = written(mentions.select("pattern", "value", "kind").distinct(), "pattern-edges")
-    links = edges.select("pattern", "value").distinct()
-    seeds = edges.filter("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    links = written(edges.select("pattern", "value").distinct(), "pattern-links")
+    scores = written(edges.filter("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "seed-values")
     sizes = links.groupBy("pattern").agg(F.count("*").alias("values"))
-    scores = seeds
-    for _ in range(ROUNDS):
+    passed = -1
+    while True:
+        now = scores.filter(F.col("score") >= FOUND).count()
+        if now == passed:
+            return scores
+        passed = now
         behind = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
         patterns = behind.join(sizes, "pattern").withColumn("confidence", F.col("support") / F.col("values"))
-        patterns = patterns.filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern", "kind", "confidence")
+        patterns = written(patterns.filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern", "kind", "confidence"), "patterns")
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         reached = links.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        both = reached.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"))
-        scores = written(both, "value-scores")
-    return scores
+        scores = written(reached.unionByName(scores).groupBy("value", "kind").agg(F.max("score").alias("score")), "value-scores")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = written(with_mentions(docs).withColumn("row", F.monotonically_increasing_id()), "mentions")
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.kind", "m.start", "m.end", F.xxhash64("m.value").alias("value"), F.xxhash64(F.col("m.word"), shape(F.col("m.value"))).alias("pattern"))
     found = scored_values(each).filter(F.col("score") >= FOUND)
-    best = found.groupBy("value").agg(F.max_by("kind", F.struct(F.col("score"), -F.col("kind"))).alias("found"))
+    best = written(found.groupBy("value").agg(F.max_by("kind", F.struct(F.col("score"), -F.col("kind"))).alias("found")), "found-values")
     added = each.filter("kind < 0").join(best, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("found").alias("kind"), "start", "end")).alias("added"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return rows.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))

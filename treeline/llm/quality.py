@@ -9,7 +9,7 @@ Because the output is linear in the mean, scoring needs one number a feature: th
 products with its vector.
 
 Defined cases: null, empty and wordless texts have no features and get the bias alone; labels other than 0 and 1 and
-labels of unknown documents teach nothing; without labels every score is 0.5; repeated rows are scored alike; an empty
+labels of unknown documents teach nothing, nor do those of a document that is labelled both ways; without labels every score is 0.5; repeated rows are scored alike; an empty
 table gives an empty result; other columns are never read.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import per_row
+from treeline.llm.common import per_row, small_batches
 from treeline.llm.langid import crc_mod, softmax
 
 BUCKETS = 1 << 16
@@ -110,31 +110,34 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share_of_one: float, epo
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """docs(doc_id, text), labels(doc_id, quality): at most per_class rows of each class, those with the smallest hashes."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    small_batches(docs.sparkSession)
+    given = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = given.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").select("doc_id", "quality")
     counts = dict(known.groupBy("quality").count().collect())  # two rows
     if set(counts) != {0, 1}:
         return fit([], 0.5)
     draw = F.xxhash64("doc_id", F.lit(5))
     picked = [known.filter(F.col("quality") == q).select("quality", "doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(per_class) for q in (0, 1)]
-    sample = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
-    out = pa.schema([("quality", pa.int32()), ("draw", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+    sample = picked[0].unionByName(picked[1])
+    out = pa.schema([("quality", pa.int32()), ("draw", pa.int64()), ("hash", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def make():
-        def each(quality, draw, text):
+        def each(quality, draw, hashed, text):
             at, n = text_features(text)
-            return quality, draw, at.tolist(), n.tolist()
+            return quality, draw, hashed, at.tolist(), n.tolist()
 
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(sample), "doc_id").select("quality", "draw", "text")  # at most 2 * per_class rows
-    got = rows.mapInArrow(per_row(make, out), "quality int, draw long, at array<int>, n array<int>").toArrow().sort_by([("draw", "ascending")])
+    rows = texts.join(F.broadcast(sample), "doc_id").select("quality", "draw", F.xxhash64("text").alias("hash"), "text")  # at most 2 * per_class rows
+    got = rows.mapInArrow(per_row(make, out), "quality int, draw long, hash long, at array<int>, n array<int>").toArrow().sort_by([("draw", "ascending"), ("hash", "ascending")])
     arrays = lambda c: [x.values.to_numpy() for x in got[c]]
     return fit(list(zip(got["quality"].to_pylist(), arrays("at"), arrays("n"), strict=True)), counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score between 0 and 1, higher for better."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -9,7 +9,7 @@ A stored corpus is a folder of Parquet files, so that any file system Spark read
 * `dictionary`: the dictionary's bytes, their sha256 and the width of an id (2 bytes where the vocabulary allows, else 4).
 
 A frame holds one document's ids as little-endian unsigned integers, the end id last. The dictionary is trained on
-the serialized ids of at most SAMPLE documents, those with the smallest hashes of their ids.
+the serialized ids of at most SAMPLE documents of at most SAMPLE_CHARS characters, those with the smallest hashes.
 
 Defined cases: null and empty texts hold the end id alone; a null doc_id comes first; rows with one doc_id are all
 stored, next to each other in order of their frames; an empty table gives no blocks; other columns are passed over.
@@ -18,6 +18,7 @@ stored, next to each other in order of their frames; an empty table gives no blo
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -29,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import per_row, scratch_path, written
+from treeline.llm.common import per_row, scratch_path, small_batches, written
 
-SAMPLE = 400
+#: Documents that train the dictionary, and the longest text among them.
+SAMPLE, SAMPLE_CHARS = 400, 200_000
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 4 * 1024 * 1024
 #: Words whose ids a worker remembers: about 170 MB.
@@ -84,7 +86,7 @@ class Encoder:
 
     The pre-tokenizer starts a new piece at a single space between two other characters, at a single newline between
     two others, and at a mark after letters, so such parts are encoded once and remembered. A text with any other white
-    space is encoded in one go.
+    space is encoded in one go, as is every text where the file says that pieces are cut in another way.
     """
 
     def __init__(self, path: str):
@@ -93,6 +95,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.byte_letters = byte_letters()
         self.first, self.later = Words(self, ""), Words(self, " ")
         self.marks = {m: self.whole(m) for m in ".,"}
@@ -109,6 +112,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.by_words:
+            return self.whole(text)
         head, *rest = text.split(" ")
         try:
             return self.first[head] + b"".join(map(self.later.__getitem__, rest))
@@ -116,6 +121,15 @@ class Encoder:
             return self.whole(text)
 
 
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's file asks for plain byte-level BPE, cut by that method's own rule, so that words can be encoded one by one."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain_cut = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    plain_model = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    alone = all(not t.get("lstrip") and not t.get("rstrip") and t["content"].split() == [t["content"]] and not any(map(str.isalpha, (t["content"][0], t["content"][-1]))) for t in spec.get("added_tokens") or [])
+    return bool(spec.get("normalizer") is None and plain_cut and plain_model and alone)
+
+
 def id_width(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -142,18 +156,16 @@ def zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def sampled_texts(docs: DataFrame, n: int) -> list[str | None]:
-    """Texts of the n documents with the smallest hashes: the hashes first, then only the texts under the last of them."""
-    draw = F.xxhash64("doc_id", F.lit(9))
-    lowest = docs.select(draw.alias("draw")).orderBy("draw").limit(n).agg(F.max("draw")).first()[0]
-    if lowest is None:
-        return []
-    return [r[1] for r in sorted(docs.filter(draw <= F.lit(lowest)).select(draw, "text").limit(2 * n).collect(), key=lambda r: (r[0], r[1] or ""))]
+def sampled_texts(docs: DataFrame, n: int, longest: int = SAMPLE_CHARS) -> list[str | None]:
+    """Texts of the n documents with the smallest hashes of id and text, the same in every run; texts of over `longest` characters are not drawn."""
+    few = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    return [r[1] for r in few.select(F.xxhash64("doc_id", "text", F.lit(9)).alias("draw"), "text").orderBy("draw", "text").limit(n).collect()]
 
 
 def store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
     """Write docs(doc_id, text) to the folder `at`."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width, end = id_width(tokenizer), np.array([end_id], dtype="<u4").tobytes()
     encoder = Encoder(tokenizer)

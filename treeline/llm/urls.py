@@ -2,15 +2,18 @@
 
 Rules give a verdict for a host with its subdomains and a path prefix; the longest that fits wins. Other urls are
 judged by their words: the labels of a host are cut into words by unigram Viterbi, with word counts from all pages'
-text, and a multinomial naive Bayes scores these words and the path's tokens. It learns from the urls themselves:
-those with a seed word among their tokens teach `block`, the rest `allow`, so words that keep such company come to count.
+text, and a multinomial naive Bayes scores these words and the path's tokens. Seed words teach it: a url teaches
+`block` if a seed is among its tokens, or if its page's text is full of seeds, and all other urls teach `allow`. Then
+urls that the model blocks teach `block` as well, until the labels stay (at most ROUNDS times), so words that keep such
+company, and those that keep theirs, come to count.
 
 Each distinct name is segmented once. Its possible words are found by a join with the counts, so neither counts nor
 model are broadcast or collected.
 
-Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; null and empty
-html teach no words; repeated rows are judged alike; an empty table gives an empty result; other columns are never
-read.
+Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and, having no
+tokens, is allowed; null and empty html teach no words; names are runs of a to z, so digits, marks and
+other letters of a host only part names; a word of a name has at most 63 letters, as many as a host's label may have;
+repeated rows are judged alike; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -38,8 +41,12 @@ RULES = (
 #: Words of hosts and paths that are not wanted; also known to the segmentation.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "escort", "gambling", "loans", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
 
-#: No word of a name is longer.
-LONGEST = 24
+#: No word of a name is longer: the limit of a host's label.
+LONGEST = 63
+#: Seeds in a page's text, and their share of its words, from which on its url teaches `block`.
+MENTIONS, SHARE = 3, 0.1
+#: Rounds of learning.
+ROUNDS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -59,13 +66,23 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return found
 
 
+def page_text(html: Column) -> Column:
+    return F.translate(F.regexp_replace(html, "<[^>]*+>", " "), UPPER, LOWER)
+
+
 def page_words(html: DataFrame) -> DataFrame:
     """html -> word, times: the words of a to z in the text of all pages."""
-    text = F.translate(F.regexp_replace("html", "<[^>]*+>", " "), UPPER, LOWER)
-    word = F.explode(F.split(text, "[^a-z]++")).alias("word")
+    word = F.explode(F.split(page_text(F.col("html")), "[^a-z]++")).alias("word")
     return html.select(word).filter(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count("*").alias("times"))
 
 
+def full_of(html: Column, seeds: Sequence[str]) -> Column:
+    """Whether a page's text mentions seeds at least MENTIONS times, and as SHARE of its words."""
+    text = page_text(html)
+    found = F.regexp_count(text, F.lit("\\b(?:" + "|".join(seeds) + ")\\b"))
+    return F.coalesce((found >= MENTIONS) & (found >= F.lit(SHARE) * F.regexp_count(text, F.lit("[a-z]++"))), F.lit(False))
+
+
 def cheapest_cut(name: str, parts: list[dict], total: float) -> list[str]:
     """The likeliest words of a name. parts: start, word, times. An unknown stretch is a word as unlikely as it is long."""
     known: dict[int, list[tuple[int, float]]] = {}
@@ -102,9 +119,27 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     return names.join(parts, "name", "left").select("name", "parts").mapInArrow(per_row(make, out), "name string, words array<string>")
 
 
+def learned(read: DataFrame) -> DataFrame:
+    """read(row, bad, tokens) -> row, score: log odds for block, after rounds of learning from the rows that it blocks."""
+    each = read.select("row", F.explode("tokens").alias("token"))
+    labels, before = read.select("row", F.col("bad").alias("label")), -1
+    for _ in range(ROUNDS):
+        n_block, n = labels.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+        if n_block == before:
+            break
+        before = n_block
+        model = written(each.join(labels, "row").groupBy("token").agg(F.sum("label").alias("block"), F.sum(1 - F.col("label")).alias("allow")), "url-model")
+        size, block, allow = model.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+        prior = math.log((n_block + 1) / (n - n_block + 1))
+        odds = F.log((F.col("block") + 1) / F.lit(float(block + size + 1))) - F.log((F.col("allow") + 1) / F.lit(float(allow + size + 1)))
+        scores = written(each.join(written(model.select("token", odds.alias("odds")), "url-odds"), "token").groupBy("row").agg((F.sum("odds") + prior).alias("score")), "url-scores")
+        labels = written(read.select("row", "bad").join(scores, "row", "left").select("row", F.when((F.col("bad") == 1) | (F.col("score") > 0), 1).otherwise(0).cast("long").alias("label")), "url-labels")
+    return scores
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS) -> DataFrame:
     """pages(page_id, url, html) -> page_id, host, path, rule, verdict, words, score. A score over 0 speaks for block."""
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), full_of(F.col("html"), seeds).alias("full"))
     urls = urls.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     rows = written(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
 
@@ -114,19 +149,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds
     labels = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("place", "name")).filter("name != ''")
     words = segmented(labels.select("name").distinct(), counts)
     host_words = labels.join(words, "name").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("words"))
+    # Written, so that the join below meets two plain tables and can split the rows of a frequent host.
+    host_words = written(host_words, "host-words")
     path_tokens = F.filter(F.split(F.regexp_replace(F.translate("path", UPPER, LOWER), "[0-9]+", "0"), "[^a-z0-9]+"), lambda t: t != "")
     none = F.array().cast("array<string>")
-    read = rows.join(host_words, "host", "left").select("row", F.coalesce("words", none).alias("words"), F.concat(F.coalesce("words", none), F.transform(path_tokens, lambda t: F.concat(F.lit("/"), t))).alias("tokens"))
-    bad = F.arrays_overlap(F.transform("tokens", lambda t: F.regexp_replace(t, "^/", "")), F.array(*[F.lit(s) for s in seeds]))
+    read = rows.join(host_words, "host", "left").select("row", "full", F.coalesce("words", none).alias("words"), F.concat(F.coalesce("words", none), F.transform(path_tokens, lambda t: F.concat(F.lit("/"), t))).alias("tokens"))
+    bad = F.col("full") | F.arrays_overlap(F.transform("tokens", lambda t: F.regexp_replace(t, "^/", "")), F.array(*[F.lit(s) for s in seeds]))
     read = written(read.withColumn("bad", bad.cast("long")), "url-tokens")
-
-    each = read.select("row", "bad", F.explode("tokens").alias("token"))
-    model = written(each.groupBy("token").agg(F.sum("bad").alias("block"), F.sum(1 - F.col("bad")).alias("allow")), "url-model")
-    size, block, allow = model.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
-    n_block, n = read.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
-    prior = math.log((n_block + 1) / (n - n_block + 1))
-    odds = F.log((F.col("block") + 1) / F.lit(float(block + size + 1))) - F.log((F.col("allow") + 1) / F.lit(float(allow + size + 1)))
-    scores = each.join(model.select("token", odds.alias("odds")), "token").groupBy("row").agg((F.sum("odds") + prior).alias("score"))
-    judged = rows.join(scores, "row", "left").join(read.select("row", "words"), "row", "left")
+    judged = rows.join(learned(read), "row", "left").join(read.select("row", "words"), "row", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.array_join("words", " ").alias("words"), "score")
