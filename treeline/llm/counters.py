@@ -6,12 +6,13 @@ sums may order or salt work and must decide nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The table has 2 ** BITS counters, which are sent and summed in parts of 2 ** PART.
 BITS, PART = 22, 17
@@ -27,32 +28,37 @@ class Counters:
     def add(self, hashes: np.ndarray) -> None:
         np.add.at(self.met, bucket_of(hashes, self.bits), np.uint32(1))
 
-    def parts(self) -> Iterator[tuple[int, bytes]]:
-        """The parts that are not empty, compressed."""
+    def parts(self) -> Iterator[tuple[int, int, bytes]]:
+        """The parts that are not empty: their number, how many hashes they count, and their counts, compressed."""
         press, step = zstandard.ZstdCompressor(level=1), 1 << min(self.bits, PART)
         for at in range(0, 1 << self.bits, step):
-            if self.met[at : at + step].any():
-                yield at // step, press.compress(self.met[at : at + step].tobytes())
+            n = int(self.met[at : at + step].sum(dtype=np.int64))
+            if n:
+                yield at // step, n, press.compress(self.met[at : at + step].tobytes())
 
 
 def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).view(np.int64)
 
 
-def summed(parts: DataFrame, bits: int = BITS) -> np.ndarray:
-    """parts(part, counts) of all tasks -> the sums of all buckets, 8 bytes each, whatever the input."""
-    out = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+def summed(parts: DataFrame, bits: int, to: Callable[[np.ndarray, float], np.ndarray], dtype: type) -> np.ndarray:
+    """parts(part, n, counts) of all tasks, a written table -> to(sums, mean load) of all buckets, which does not go by bucket, as an array of dtype.
+
+    Sums are made and judged in tasks; the driver gets what `to` makes of them, a byte or two a bucket.
+    """
+    mean = (parts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    out = pa.schema([("part", pa.int32()), ("values", pa.binary())])
 
     def run(batches):
-        unpress, sums = zstandard.ZstdDecompressor(), {}
+        press, unpress, sums = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = np.frombuffer(unpress.decompress(counts), dtype=np.uint32)
                 sums[part] = sums[part] + counts if part in sums else counts.astype(np.uint64)
         for part, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()])], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([press.compress(to(counts, mean).astype(dtype).tobytes())])], schema=out)
 
-    totals, step = np.zeros(1 << bits, dtype=np.uint64), 1 << min(bits, PART)
-    for part, counts in parts.repartition("part").mapInArrow(run, "part int, counts binary").toLocalIterator():
-        totals[part * step : (part + 1) * step] = np.frombuffer(counts, dtype=np.uint64)
-    return totals
+    found, step, unpress = np.zeros(1 << bits, dtype=dtype), 1 << min(bits, PART), zstandard.ZstdDecompressor()
+    for part, values in parts.select("part", "counts").repartition("part").mapInArrow(run, "part int, values binary").toLocalIterator():
+        found[part * step : (part + 1) * step] = np.frombuffer(unpress.decompress(values), dtype=dtype)
+    return found

@@ -97,7 +97,7 @@ def prefix_length(n: int) -> int:
 
 
 def document_sets(rows: DataFrame, bits: int) -> DataFrame:
-    """key, doc_id, text -> key, doc_id, hi, lo, n of each document; besides, of each task, part and counts: how often buckets of shingles were met."""
+    """key, doc_id, text -> key, doc_id, hi, lo, n of each document; besides, of each task, part, n and counts: how often buckets of shingles were met."""
     out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
@@ -110,20 +110,24 @@ def document_sets(rows: DataFrame, bits: int) -> DataFrame:
                 names = [set_name(s) for s in sets]
                 columns = [part.column("key"), part.column("doc_id"), [x[0] for x in names], [x[1] for x in names], [len(s) for s in sets], [None] * size, [None] * size]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
-        for part, counts in met.parts():
-            columns = [[None]] * 5 + [[part], [counts]]
+        for part, n, counts in met.parts():
+            columns = [[None]] * 4 + [[n], [part], [counts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return rows.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, hi long, lo long, n long, part int, counts binary")
 
 
-def shingle_ranks(totals: np.ndarray) -> tuple[np.ndarray, float]:
-    """Sums of buckets -> the rank of each, eight to a doubling, 0 up to twice the mean load; and that border."""
-    border = 2 * float(totals.mean()) + 2
-    ranks = np.zeros(len(totals), dtype=np.uint8)
-    often = totals > border
-    ranks[often] = np.clip(1 + 8 * np.log2(totals[often] / border), 1, 255)
-    return ranks, border
+def border_of(mean: float) -> float:
+    """What a bucket counts from which on its shingles are frequent: twice the mean load."""
+    return 2 * mean + 2
+
+
+def ranks_of(sums: np.ndarray, mean: float) -> np.ndarray:
+    """The rank of each bucket, eight to a doubling, 0 up to the border."""
+    ranks = np.zeros(len(sums), dtype=np.uint8)
+    often = sums > border_of(mean)
+    ranks[often] = np.clip(1 + 8 * np.log2(sums[often] / border_of(mean)), 1, 255)
+    return ranks
 
 
 def incidence(texts: DataFrame, ranks: np.ndarray, border: float, together: int) -> DataFrame:
@@ -299,7 +303,9 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, together: int = TOGETHER,
     rows, _ = keyed(docs)
     sets = written(document_sets(rows, bits), "sets")
     documents = sets.filter("part is null")
-    ranks, border = shingle_ranks(summed(sets.filter("part is not null").select("part", "counts"), bits))
+    counted = sets.filter("part is not null").select("part", "n", "counts")
+    ranks = summed(counted, bits, ranks_of, np.uint8)
+    border = border_of((counted.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
     named = written(documents.filter("hi is not null").groupBy("hi", "lo").agg(F.min("key").alias("node")), "nodes")
     texts = written(packed(rows).join(named.select(F.col("node").alias("key")), "key").select(F.col("key").alias("node"), "packed"), "node-texts")
     shared = shared_columns(incidence(texts, ranks, border, together))

@@ -91,7 +91,7 @@ def salts(groups: np.ndarray, seeds: np.ndarray, keys: np.ndarray) -> np.ndarray
 
 def frequent(rows: DataFrame, threshold: int, anchor: int, together: int, bits: int) -> np.ndarray:
     """By bucket, the number of groups to deal an anchor into where anchors are frequent, else 0: at most 2 bytes a bucket. It steers work only, never results."""
-    out = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    out = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())])
 
     def run(batches):
         seeds, counters = Seeds(threshold, anchor), Counters(bits)
@@ -99,12 +99,13 @@ def frequent(rows: DataFrame, threshold: int, anchor: int, together: int, bits:
             for lo, size in steps(batch.column("text")):
                 got = seeds.of(utf8(batch.column("text").slice(lo, size).to_pylist()))
                 counters.add(got.grams[got.picked[np.diff(got.picked, prepend=-1) != 0]])
-        for part, counts in counters.parts():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts])], schema=out)
+        for part, n, counts in counters.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([counts])], schema=out)
 
-    sums = summed(rows.select("text").mapInArrow(run, "part int, counts binary"), bits)
-    often = sums > together + 4 * sums.mean()
-    return np.where(often, np.minimum(-(-sums // np.uint64(together)), 65535), 0).astype(np.uint16)
+    def groups(sums: np.ndarray, mean: float) -> np.ndarray:
+        return np.where(sums > together + 4 * mean, np.minimum(-(-sums // np.uint64(together)), 65535), 0)
+
+    return summed(written(rows.select("text").mapInArrow(run, "part int, n long, counts binary"), "anchor-counts"), bits, groups, np.uint16)
 
 
 def anchors(rows: DataFrame, hot: Broadcast, threshold: int, anchor: int) -> DataFrame:

@@ -157,9 +157,12 @@ def zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def sampled_texts(docs: DataFrame, n: int, longest: int = SAMPLE_CHARS) -> list[str | None]:
-    """Texts of the n documents with the smallest hashes of id and text, the same in every run; texts of over `longest` characters are not drawn."""
-    few = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    return [r[1] for r in few.select(F.xxhash64("doc_id", "text", F.lit(9)).alias("draw"), "text").orderBy("draw", "text").limit(n).collect()]
+    """Texts of the rows with the n smallest hashes of id and text, the same in every run: the hashes first, then only the texts under the last of them, equal ones once. Texts of over `longest` characters are not drawn."""
+    few = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= longest).select(F.xxhash64("doc_id", "text", F.lit(9)).alias("draw"), "text")
+    lowest = few.select("draw").orderBy("draw").limit(n).agg(F.max("draw")).first()[0]
+    if lowest is None:
+        return []
+    return [r[1] for r in sorted(few.filter(F.col("draw") <= lowest).dropDuplicates(["draw"]).collect(), key=lambda r: r[0])]
 
 
 def store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
