@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and decides on all that the one before it kept. All but the last return the
 columns of documents. `run` writes each stage's result and reads it again for the next.
+
+Defined cases: documents whose text is null, empty or without a letter have no language and go in the first stage;
+nulls in other columns are kept as they are (a null source is a source of its own). Rows are told apart even where
+doc_ids repeat or are null: of equal texts the first row stays, and of rows that tie in the mix any may be taken. Other
+columns than the five are dropped. An empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
