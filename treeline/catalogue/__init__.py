@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from treeline.catalogue import audits, corpus, graph
+from treeline.catalogue import audits, corpus, evidence, graph, portfolio
+
+PARTS = (graph, corpus, audits, evidence, portfolio)
 
 
 def queries() -> dict:
-    return {name: q for part in (graph, corpus, audits) for name, (q, _) in part.QUERIES.items()}
+    return {name: q for part in PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (graph, corpus, audits) for name, (_, sql) in part.QUERIES.items() if sql}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.text import GENERIC_SEGMENTS
 from treeline.operators import audit
-from treeline.plans.bindings import Tables, with_tables
+from treeline.plans.bindings import Tables, cte, with_tables
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-LITS = "list_filter(string_split(path,'/'), lambda x: x<>'' AND NOT regexp_matches(x,'^(\\{.*\\}|<.*>|:.+|\\$.+|%[sd]|\\*|[0-9]+|\\[.*\\])$'))"
+LITS = "list_filter(list_transform(string_split(path,'/'), lambda x: rtrim(x,'-_.')), lambda x: x<>'' AND NOT regexp_matches(x,'^(\\{.*\\}|<.*>|:.+|\\$.+|%[sd]|\\*|[0-9]+|\\[.*\\])$'))"
 MATCHED = f"""
 r AS (SELECT key, rel_path, {LITS} AS lits FROM routes), s AS (SELECT DISTINCT rel_path, kind, {LITS} AS lits FROM sites),
 m AS (SELECT DISTINCT r.key, s.rel_path, s.kind FROM r JOIN s ON len(r.lits)>0 AND len(s.lits)>0 AND (
@@ -36,9 +36,11 @@ def route_match(t: Tables) -> DataFrame:
     return audit.match_routes(t.routes(), t.sites())
 
 
-@query(with_tables("routes sites", MATCHED) + "SELECT 'web' AS repo, rel_path, hits, share FROM inventory")
+@query(with_tables("routes", f"sites AS ({cte()['sites']} UNION ALL SELECT CASE WHEN length(path)%5=0 THEN 'few' ELSE 'most' END, 'doc', path FROM routes), {MATCHED}") + "SELECT 'web' AS repo, rel_path, hits, share FROM inventory")
 def api_inventory(t: Tables) -> DataFrame:
-    return audit.inventories(audit.match_routes(t.routes(), t.sites()), t.routes())
+    """Two more files list routes: `most` names enough of them to be an inventory."""
+    lists = t.routes().select("repo", F.when(F.length("path") % 5 == 0, "few").otherwise("most").alias("rel_path"), F.lit("doc").alias("kind"), "path")
+    return audit.inventories(audit.match_routes(t.routes(), t.sites().unionByName(lists)), t.routes())
 
 
 GENERIC = "(" + ",".join(f"'{g}'" for g in GENERIC_SEGMENTS) + ")"

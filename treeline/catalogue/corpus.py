@@ -169,24 +169,35 @@ def baseline_delta(t: Tables) -> DataFrame:
     return sync.baseline_delta(*findings(t), ["file", "code"])
 
 
-@query("""
-WITH s AS (SELECT p_partkey, lower(p_type)||'/'||replace(p_brand,'#','')||'/build_p'||p_partkey||'.ts' AS rel_path, p_size FROM part),
+TOP = "['src','scripts','misc','cmd','fixtures','docs','ui','examples'][p_partkey%8+1]"
+STEM = "['run_','x-deploy','latest','update-','helper','seed-','build_','reset_'][p_size%8+1]"
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, p_size, {TOP} AS top, {STEM} AS stem, CASE WHEN p_size%3=0 THEN 'py' ELSE 'ts' END AS ext FROM part),
 used AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount>0.09), uses AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity>49.5)
-SELECT 'tpc' AS repo, rel_path, CASE WHEN p_partkey IN (SELECT l_partkey FROM used) THEN 'source' WHEN p_partkey IN (SELECT l_partkey FROM uses) THEN 'source' WHEN p_size<=1 THEN 'tool' ELSE 'uncertain' END AS class FROM s""")
+SELECT 'tpc' AS repo, top||'/'||p_partkey||'/'||stem||'.'||ext AS rel_path, CASE WHEN p_partkey IN (SELECT l_partkey FROM used) OR p_partkey IN (SELECT l_partkey FROM uses) THEN 'source' WHEN top IN ('src','cmd','ui') THEN 'source' WHEN top IN ('scripts','fixtures','examples') THEN 'tool'
+ WHEN stem IN ('run_','x-deploy','update-','seed-','reset_') AND ((p_size%2=0 AND p_size%5<=2) OR (p_size%5=0 AND ext='ts')) THEN 'tool' ELSE 'uncertain' END AS class FROM s""")
 def script_class(t: Tables) -> DataFrame:
     """Parts as scripts; some line items import them, some are imported by them."""
-    path = F.concat_ws("/", F.lower("p_type"), F.replace("p_brand", F.lit("#")), F.concat(F.lit("build_p"), F.col("p_partkey").cast("string"), F.lit(".ts")))
-    scripts = t.part.select("p_partkey", F.lit(REPO).alias("repo"), path.alias("rel_path"), F.col("p_size").alias("n_symbols"), F.lit(True).alias("has_main"))
+    pick = lambda c, n, *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col(c) % n).cast("int"))
+    stem = pick("p_size", 8, "run_", "x-deploy", "latest", "update-", "helper", "seed-", "build_", "reset_")
+    path = F.concat(pick("p_partkey", 8, "src", "scripts", "misc", "cmd", "fixtures", "docs", "ui", "examples"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/"), stem, F.when(F.col("p_size") % 3 == 0, ".py").otherwise(".ts"))
+    scripts = t.part.select("p_partkey", F.lit(REPO).alias("repo"), path.alias("rel_path"), (F.col("p_size") % 5).alias("n_symbols"), (F.col("p_size") % 2 == 0).alias("has_main"))
     by = lambda cond: scripts.join(t.lineitem.filter(cond).select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey").select("repo", "rel_path")
     return quality.classify_scripts(scripts.drop("p_partkey"), by("l_discount > 0.09"), by("l_quantity > 49.5"))
 
 
-@query("WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html,'href=\"(/[^\"?#]*)',1)) AS path FROM pages), p AS (SELECT page_id, html, regexp_extract(url,'://[^/?#]*([^?#]*)',1) AS path FROM pages), w AS (SELECT DISTINCT path FROM p WHERE regexp_matches(path,'^/[a-z]+/[0-9]{2}$')) SELECT w.path, 'page'||p.page_id AS rel_path FROM w JOIN p ON contains(p.html, w.path) OR (contains(p.html, regexp_extract(w.path,'[^/]*$')))")
+@query("WITH p AS (SELECT page_id, regexp_extract(url,'://[^/?#]*([^?#]*)',1) AS path FROM pages), d AS (SELECT doc_id, 'see '||p.path||', and d'||doc_id%97||'.md' AS content FROM documents JOIN p ON p.page_id=doc_id%500), w AS (SELECT DISTINCT path, regexp_extract(path,'([^/]*)$',1) AS base FROM p UNION SELECT DISTINCT 'docs/d'||doc_id%97||'.md', 'd'||doc_id%97||'.md' FROM documents), n AS (SELECT DISTINCT path, ltrim(path,'/') AS name FROM w WHERE ltrim(path,'/')<>'' UNION SELECT path, base FROM w WHERE base<>''), m AS (SELECT doc_id, unnest(list_distinct(list_concat(ps, ['see','and','d'||doc_id%97||'.md']))) AS name FROM (SELECT doc_id, list_filter(flatten([[array_to_string(s[i:j],'/') for j in range(i, len(s)+1)] for i in range(1, len(s)+1)]), lambda x: x<>'') AS ps FROM (SELECT doc_id, list_filter(string_split(path,'/'), lambda x: x<>'') AS s FROM documents JOIN p ON p.page_id=doc_id%500))) SELECT DISTINCT n.path, 'docs/t'||doc_id||'.txt' AS rel_path FROM m JOIN n USING (name)")
 def blast_radius(t: Tables) -> DataFrame:
-    """Two-digit page paths that other pages' html names."""
-    files = t.pages.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("rel_path"), F.col("html").alias("content"))
-    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path")
-    return quality.blast_radius(files, t.pages.select(path).filter(F.col("path").rlike("^/[a-z]+/[0-9]{2}$")).distinct())
+    """Documents as texts that name a page's path and a note; every page path and note is asked for."""
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    pages = t.pages.select("page_id", path.alias("path"))
+    note = F.concat(F.lit("d"), (F.col("doc_id") % 97).cast("string"), F.lit(".md"))
+    texts = t.documents.select("doc_id", (F.col("doc_id") % 500).alias("page_id")).join(pages, "page_id")
+    files = texts.select(F.concat(F.lit("docs/t"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.concat(F.lit("see "), F.col("path"), F.lit(", and "), note).alias("content"))
+    targets = pages.select("path").unionByName(t.documents.select(F.concat(F.lit("docs/"), note).alias("path"))).distinct()
+    return quality.blast_radius(files, targets)
 
 
 @query("SELECT 'u'||user_id AS src, event_type AS tgt, count(*) AS cnt FROM events WHERE event_type IS NOT NULL GROUP BY 1,2")

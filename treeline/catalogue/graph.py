@@ -209,7 +209,7 @@ def files_as_repo(t: Tables) -> DataFrame:
 
 
 def _health(d: str) -> Callable[[Tables], DataFrame]:
-    return lambda t: health.metrics(t.entities(), edges_of(t), files_as_repo(t), MARKERS)[d]
+    return lambda t: health.metric(d, t.entities(), edges_of(t), files_as_repo(t), MARKERS)
 
 
 for _d in LADDERS:

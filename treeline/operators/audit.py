@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.text import SINKS, distinctive_segment, glob_column, is_sink, is_state_like, literal_segments, path_segments
+from treeline.operators.common import listed
 from treeline.operators.graph import reach_sinks
 
 STRONG = ("web", "code", "shell")
@@ -97,6 +98,17 @@ def fold_domains(events: DataFrame) -> DataFrame:
     )
 
 
+def retired(domains: DataFrame, events: DataFrame, drops: DataFrame) -> DataFrame:
+    """domains without columns that were dropped, alone or with their table, after their last declaration. events: state_events; drops: drop_events."""
+    last = events.groupBy("repo", "table", "column").agg(F.max(F.struct("seq.rel_path", "seq.position")).alias("told"))
+    at = F.struct("rel_path", "position").alias("dropped")
+    whole = drops.filter("column is null").select("repo", "table", at)
+    single = drops.filter("column is not null").select("repo", "table", "column", at)
+    gone = last.join(whole, ["repo", "table"]).filter("dropped > told").select("repo", "table", "column")
+    gone = gone.unionByName(last.join(single, ["repo", "table", "column"]).filter("dropped > told").select("repo", "table", "column"))
+    return domains.join(gone.distinct(), ["repo", "table", "column"], "left_anti")
+
+
 def audit_states(domains: DataFrame, uses: DataFrame) -> DataFrame:
     """domains(repo, table, column, values, defaults), uses(repo, value, is_test, is_read, context) -> repo, table, column, value, verdict.
 
@@ -153,12 +165,12 @@ def audit_envelope(handlers: DataFrame, calls: DataFrame, sinks: tuple[str, ...]
 def apply_exemptions(findings: DataFrame, exemptions: DataFrame) -> DataFrame:
     """findings(table, id, ...) with exempt_reason: of the exact entry, else of the first glob by ord.
 
-    Exact entries meet by equality; globs, which are few, are broadcast.
+    Exact entries meet by equality; globs are a list of a policy's, bounded in size.
     """
     exact = exemptions.filter(~F.col("entry").rlike(r"[*?\[]")).groupBy("table", F.col("entry").alias("id")).agg(F.min_by("reason", "ord").alias("exact_reason"))
     globs = exemptions.filter(F.col("entry").rlike(r"[*?\[]")).select(F.col("table").alias("t"), glob_column(F.col("entry")).alias("like"), "reason", "ord")
     keys = findings.select("table", "id").distinct()
-    met = keys.join(F.broadcast(globs), (F.col("table") == F.col("t")) & F.expr("id rlike like")).groupBy("table", "id").agg(F.min_by("reason", "ord").alias("glob_reason"))
+    met = keys.join(listed(globs), (F.col("table") == F.col("t")) & F.expr("id rlike like")).groupBy("table", "id").agg(F.min_by("reason", "ord").alias("glob_reason"))
     rows = findings.join(exact, ["table", "id"], "left").join(met, ["table", "id"], "left")
     return rows.withColumn("exempt_reason", F.coalesce("exact_reason", "glob_reason")).drop("exact_reason", "glob_reason")
 
@@ -168,7 +180,7 @@ def stale_exemptions(findings: DataFrame, exemptions: DataFrame) -> DataFrame:
     keys = findings.select(F.col("table").alias("t"), F.col("id")).distinct()
     exact = exemptions.filter(~F.col("entry").rlike(r"[*?\[]")).join(keys, (F.col("table") == F.col("t")) & (F.col("entry") == F.col("id")), "left_anti")
     globs = exemptions.filter(F.col("entry").rlike(r"[*?\[]")).withColumn("like", glob_column(F.col("entry")))
-    used = keys.join(F.broadcast(globs), (F.col("table") == F.col("t")) & F.expr("id rlike like")).select("table", "entry").distinct()
+    used = keys.join(listed(globs), (F.col("table") == F.col("t")) & F.expr("id rlike like")).select("table", "entry").distinct()
     return exact.unionByName(globs.drop("like").join(used, ["table", "entry"], "left_anti"))
 
 

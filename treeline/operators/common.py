@@ -1,15 +1,31 @@
-"""Shared by the operators: cut points for loops."""
+"""Shared by the operators: cut points for loops, and lists that are parameters."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a list (rules, globs, names asked for) that is matched by a pattern and not by equality.
+LISTED = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read from the session's checkpoint folder; sets one only where the session has none."""
+    """df computed once and read from the cluster's checkpoint folder. Only in local mode, where all is one process, it may be unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="treeline-"))
+        at = context.getConf().get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="treeline-"))
     return df.checkpoint()
+
+
+def listed(df: DataFrame, most: int = LISTED) -> DataFrame:
+    """A list that goes to every task. It is a parameter, not data: over `most` rows it is refused."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a list of over {most} rows cannot be matched by patterns; join it by equality")
+    return F.broadcast(df)

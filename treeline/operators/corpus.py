@@ -21,12 +21,17 @@ def content_hash(files: DataFrame) -> DataFrame:
 
 
 def symbol_chunks(files: DataFrame, symbols: DataFrame, limit: int = SYMBOL_CHARS) -> DataFrame:
-    """One chunk a symbol: its lines, cut at `limit` characters with a mark; blank ones are left out."""
-    joined = symbols.join(files.select("repo", "rel_path", "content"), ["repo", "rel_path"])
-    body = F.array_join(F.slice(F.split("content", "\r?\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    """One chunk a symbol: its lines, cut at `limit` characters with a mark; blank ones are left out.
+
+    A file's spans are gathered first, so that its text moves and is split once, however many symbols it has.
+    """
+    spans = symbols.groupBy("repo", "rel_path").agg(F.collect_list(F.struct("name", "line_start", "line_end")).alias("spans"))
+    split = files.select("repo", "rel_path", "content").join(spans, ["repo", "rel_path"]).select("repo", "rel_path", F.split("content", "\r?\n").alias("lines"), "spans")
+    body = lambda s: F.array_join(F.slice("lines", s["line_start"], s["line_end"] - s["line_start"] + 1), "\n")
+    each = F.transform("spans", lambda s: F.struct(s["name"].alias("name"), s["line_start"].alias("line_start"), s["line_end"].alias("line_end"), body(s).alias("body")))
     module = module_id(F.col("rel_path"))
     cut = F.when(F.length("body") > limit, F.concat(F.substring("body", 1, limit), F.lit(CUT_MARK))).otherwise(F.col("body"))
-    rows = joined.withColumn("body", body).filter(F.trim(F.regexp_replace("body", r"\s+", "")) != "")
+    rows = split.select("repo", "rel_path", F.explode(each).alias("s")).select("repo", "rel_path", "s.*").filter(F.col("body").rlike(r"\S"))
     return rows.select("repo", chunk_id(entity_id(module, F.col("name"))).alias("id"), cut.alias("content"), F.col("rel_path").alias("file_path"), "line_start", "line_end", F.col("name").alias("symbol_name"))
 
 

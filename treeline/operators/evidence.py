@@ -1,164 +1,186 @@
 """What audits read from text: call sites, configuration keys, state declarations and uses, writes, and guarded handlers.
 
-All of it is column work on files and lines, except where a statement's parentheses must be counted.
+Lines are split once and judged by column functions; SQL statements are read by tokens inside tasks.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from treeline.functions.text import GATES, READ_SHAPED, STATE_COLUMNS, has_gate
+from treeline.functions.text import GATES, STATE_COLUMNS, has_gate, is_read_shaped
 from treeline.operators.corpus import line_context, lines
+from treeline.operators.statements import lines_of, schema_events, written_literals
 
 
 def all_of(pattern: str, group: int = 1, text: str = "content") -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def exploded(files: DataFrame, found: Column, name: str) -> DataFrame:
-    return files.select("repo", "rel_path", "kind", "is_test", F.explode(F.array_distinct(found)).alias(name))
+#: An upper-case name of three characters or more.
+NAME = "[A-Z][A-Z0-9_]{2,}"
+#: What may stand in a path as a call writes it, and what may stand around it.
+PATH_PIECE = r"([\w.$%*(){}-]?)(\s*['\"`]?)((?:/[\w.${}%*()-]*)+)([?#'\"`]?)"
 
 
-def call_sites(files: DataFrame) -> DataFrame:
-    """repo, rel_path, kind, path: runs of path segments, tails after an interpolation, and quoted single segments; tests are of kind test."""
-    seg = r"/[A-Za-z0-9_\-.{}$%*]"
-    runs = all_of(rf"((?:{seg}[A-Za-z0-9_\-.{{}}$%*()]*+){{2,}})")
-    tails = all_of(rf"[}}\)+]\s*['\"`]?({seg}+)")
-    solo = all_of(rf"['\"`]({seg}+)(?:[?#][^'\"`]*)?['\"`]")
-    found = exploded(files, F.concat(runs, tails, solo), "path")
+def line_paths(line: Column) -> Column:
+    """array<string> of what reads like a path that is called in a line.
+
+    A run of slashes and segments is cut out once, with the mark before it and the one after it. It counts whole from
+    two segments on; each segment that closes an interpolation or a sum before it counts alone; so does a single
+    segment that is all of a quoted string, up to a query.
+    """
+    part = lambda g: F.regexp_extract_all(line, F.lit(PATH_PIECE), F.lit(g))
+    found = F.arrays_zip(part(1).alias("lead"), part(2).alias("quote"), part(3).alias("body"), part(4).alias("end"))
+
+    def of_piece(p: Column) -> Column:
+        segments = F.filter(F.split(p["body"], "/"), lambda s: s != "")
+        opened = F.filter(segments, lambda s: ~s.rlike("^[()]"))
+        bare = F.transform(segments, lambda s: F.regexp_extract(s, "^[^()]*", 0))
+        before = F.concat(F.array(p["lead"]), F.transform(segments, lambda s: F.right(s, F.lit(1))))
+        tails = F.filter(F.transform(bare, lambda s, i: F.when(F.get(before, i).isin("}", ")", "+"), s)), lambda s: s.isNotNull() & (s != ""))
+        whole = F.when(F.size(opened) > 1, F.array(F.concat(F.lit("/"), F.array_join(opened, "/"))))
+        alone = F.when((F.size(segments) == 1) & (F.trim(p["quote"]) != "") & (p["end"] != "") & ~p["body"].contains("("), F.array(F.concat(F.lit("/"), F.get(segments, F.lit(0)))))
+        none = F.array().cast("array<string>")
+        return F.concat(F.coalesce(whole, none), F.transform(tails, lambda s: F.concat(F.lit("/"), s)), F.coalesce(alone, none))
+
+    return F.array_distinct(F.flatten(F.transform(found, of_piece)))
+
+
+def call_sites(files: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """repo, rel_path, kind, path of each path that is called; tests are of kind test. Lines of declarations, routes(repo, rel_path, line_start, line_end), call nothing."""
+    rows = lines(files).filter(F.contains(F.col("line"), F.lit("/"))).select("repo", "rel_path", "line_no", line_paths(F.col("line")).alias("paths")).filter(F.size("paths") > 0)
+    if routes is not None:
+        spans = routes.select("repo", "rel_path", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct()
+        rows = rows.join(spans, ["repo", "rel_path", "line_no"], "left_anti")
+    found = rows.select("repo", "rel_path", F.explode("paths").alias("path")).distinct().join(files.select("repo", "rel_path", "kind", "is_test"), ["repo", "rel_path"])
     return found.select("repo", "rel_path", F.when(F.col("is_test"), "test").otherwise(F.col("kind")).alias("kind"), "path")
 
 
+def base_name(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+
+
+def line_head(line: Column) -> tuple[Column, Column]:
+    """The name that a line begins with, after export, a dash, ENV or ARG, and the mark after it: = or : or none."""
+    shape = rf"^\s*(?:(export|-|ENV|ARG|const|export const)\s+)?({NAME})\s*(=|:(?=\s|$)|:)?"
+    return F.regexp_extract(line, shape, 2), F.concat(F.regexp_extract(line, shape, 1), F.regexp_extract(line, shape, 3))
+
+
 def env_declarations(files: DataFrame) -> DataFrame:
-    """repo, key, rel_path of the first file, by path, that declares an environment key."""
-    name = F.lower(F.regexp_extract("rel_path", "([^/]*)$", 1))
-    env = all_of(r"(?m)^\s*(?:export\s+|-\s+)?([A-Z][A-Z0-9_]{2,})\s*=")
-    compose = all_of(r"(?m)^\s+([A-Z][A-Z0-9_]{2,})\s*:\s")
-    docker = all_of(r"(?m)^\s*(?:ENV|ARG)\s+([A-Z][A-Z0-9_]{2,})")
-    keys = F.when(name.rlike(r"^\.env|\.env\.|\.env$"), env).when(name.contains("compose"), F.concat(env, compose)).when(name.startswith("dockerfile"), docker)
-    return files.select("repo", F.explode(keys).alias("key"), "rel_path").groupBy("repo", "key").agg(F.min("rel_path").alias("rel_path"))
+    """repo, key, rel_path of the first file, by path, that declares an environment key: KEY= of env and compose files, KEY: of compose files, ENV and ARG of Dockerfiles."""
+    base = base_name(F.col("rel_path"))
+    sort = F.when(base.startswith(".env") | base.contains(".env.") | base.endswith(".env"), "env").when(base.contains("compose") & (F.col("kind") == "config"), "compose").when(base.startswith("dockerfile"), "docker")
+    known = files.withColumn("sort", sort).filter("sort is not null")
+    name, around = line_head(F.col("line"))
+    rows = lines(known).join(known.select("repo", "rel_path", "sort"), ["repo", "rel_path"]).select("repo", "rel_path", "sort", "line", name.alias("key"), around.alias("around")).filter("key != ''")
+    assigns = F.col("around").isin("=", "export=", "-=")
+    maps = (F.col("around") == ":") & F.col("line").rlike(rf"^\s+{NAME}\s*:(\s|$)")
+    declares = F.when(F.col("sort") == "env", assigns).when(F.col("sort") == "compose", assigns | maps).otherwise(F.col("around").rlike("^(ENV|ARG)"))
+    return rows.filter(declares).groupBy("repo", "key").agg(F.min("rel_path").alias("rel_path"))
 
 
 def config_constants(files: DataFrame) -> DataFrame:
-    """repo, name, rel_path, self_used: upper-case constants of configuration modules, and whether their own file uses them again."""
-    module = files.filter(~F.col("is_test") & F.col("rel_path").rlike(r"(^|/)(config|settings|constants|env|conf)(_\w+)?\.(py|ts|js|mjs)$"))
-    python, script = all_of(r"(?m)^([A-Z][A-Z0-9_]{2,})\s*(?::[^=\n]+)?="), all_of(r"(?m)^\s*(?:export\s+)?const\s+([A-Z][A-Z0-9_]{2,})\s*[:=]")
-    rows = module.select("repo", "rel_path", "content", F.explode(F.array_distinct(F.when(F.col("rel_path").endswith(".py"), python).otherwise(script))).alias("name"))
-    words = all_of(r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_]{2,})(?![A-Za-z0-9_])")
-    return rows.select("repo", "name", "rel_path", (F.size(F.filter(words, lambda w: w == F.col("name"))) > 1).alias("self_used"))
+    """repo, name, rel_path, self_used: upper-case constants of configuration modules, in the first that has them, and whether its own file uses them again."""
+    base = F.regexp_extract("rel_path", "([^/]*)$", 1)
+    stem, ending = F.substring_index(F.substring_index(base, ".", 1), "_", 1), F.regexp_extract(base, r"^\w+\.(py|ts|js|mjs)$", 1)
+    module = files.filter(~F.col("is_test") & (ending != "") & stem.isin("config", "settings", "constants", "env", "conf"))
+    name, around = line_head(F.col("line"))
+    python = F.col("rel_path").endswith(".py")
+    is_constant = F.when(python, F.col("line").rlike("^[A-Z]") & (F.col("around").isin("=") | (F.col("around").startswith(":") & F.contains(F.col("line"), F.lit("="))))).otherwise(F.col("around").rlike("const[=:]$"))
+    found = lines(module).select("repo", "rel_path", "line", name.alias("name"), around.alias("around")).filter((F.col("name") != "") & is_constant).groupBy("repo", "name").agg(F.min("rel_path").alias("rel_path"))
+    uses = module.select("repo", "rel_path", F.explode(all_of(rf"\b({NAME})\b")).alias("name")).groupBy("repo", "rel_path", "name").agg(F.count("*").alias("times"))
+    return found.join(uses, ["repo", "rel_path", "name"], "left").select("repo", "name", "rel_path", (F.coalesce("times", F.lit(0)) > 1).alias("self_used"))
 
 
 def settings_keys(files: DataFrame) -> DataFrame:
-    """repo, key: each env_prefix of a file with each annotated field of the same file, upper-cased."""
-    py = files.filter(F.col("rel_path").endswith(".py"))
-    prefixes = py.select("repo", "rel_path", F.explode(all_of(r"env_prefix\s*=\s*['\"]([^'\"]*)['\"]")).alias("prefix"))
-    fields = py.select("repo", "rel_path", F.explode(all_of(r"(?m)^[ \t]+([a-z_][a-z0-9_]*)\s*:\s*\w")).alias("field"))
+    """repo, key: each env_prefix of a Python file that is no test with each annotated field of the same file, upper-cased. A prefix is a name: empty ones bind nothing."""
+    rows = lines(files.filter(F.col("rel_path").endswith(".py") & ~F.col("is_test")))
+    prefixes = rows.select("repo", "rel_path", F.explode(F.regexp_extract_all("line", F.lit("env_prefix\\s*[=:]\\s*['\"](\\w*)['\"]"), F.lit(1))).alias("prefix")).filter(F.col("prefix").rlike("^[A-Za-z]"))
+    name = F.regexp_extract(F.trim(F.substring_index("line", ":", 1)), "^[a-z][a-z0-9_]*$", 0)
+    indent = F.length("line") - F.length(F.ltrim(F.replace("line", F.lit("\t"), F.lit(" "))))
+    value = F.trim(F.regexp_extract("line", ":(.*)$", 1))
+    fields = rows.filter(indent.between(2, 8) & F.contains(F.col("line"), F.lit(":")) & (value != "") & ~value.startswith("=")).select("repo", "rel_path", name.alias("field")).filter("field != ''")
     return prefixes.join(fields, ["repo", "rel_path"]).select("repo", F.upper(F.concat("prefix", "field")).alias("key")).distinct()
 
 
 def interpolations(files: DataFrame) -> DataFrame:
-    """repo, key, rel_path of ${KEY} and ${KEY:-default}."""
-    return exploded(files, all_of(r"\$\{([A-Z][A-Z0-9_]{2,})(?::?[-?+][^}]*)?\}"), "key").select("repo", "key", "rel_path")
+    """repo, key, rel_path of $KEY, ${KEY} and ${KEY:-default}: what follows a dollar sign, with or without a brace."""
+    after = F.transform(F.slice(F.split("content", r"\$\{?"), 2, F.size(F.split("content", r"\$"))), lambda s: F.regexp_extract(s, f"^{NAME}", 0))
+    return files.select("repo", F.explode(F.array_distinct(after)).alias("key"), "rel_path").filter("key != ''").select("repo", "key", "rel_path")
+
 
+EVENTS = "repo string, rel_path string, event string, table string, column string, values array<string>, is_replace boolean, owner_at long, position long, line_start int, line_end int"
 
-def statements(files: DataFrame) -> DataFrame:
-    """SQL files as repo, rel_path, line_no, line, owner: the table of the nearest CREATE or ALTER above a line is carried down."""
-    rows = lines(files.filter(F.col("kind") == "sql"))
-    owner = F.regexp_extract("line", r"(?i)(?:CREATE|ALTER)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?[\"`]?([\w.]+)", 1)
-    down = Window.partitionBy("repo", "rel_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("owner", F.last(F.when(owner != "", owner), True).over(down))
 
+def in_tasks(rows: DataFrame, schema: str, of_row: Callable[..., list[dict]]) -> DataFrame:
+    """of_row(*values) -> rows of schema, for each row, in Arrow batches."""
+    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
 
-def state_events(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS) -> DataFrame:
-    """repo, table, column, values, is_check, is_replace, default_value, seq from migrations in file order: checks, then defaults, then enum types."""
-    rows = statements(files)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                found = [r for row in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True) for r in of_row(*row)]
+                yield pa.RecordBatch.from_pylist(found, schema=pa.schema(fields))
+
+    return rows.mapInArrow(run, schema)
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """What SQL files declare and drop, as rows of EVENTS."""
+    return in_tasks(files.filter("kind = 'sql'").select("repo", "rel_path", "content"), EVENTS, lambda repo, path, text: [e | {"repo": repo, "rel_path": path} for e in schema_events(text or "")])
+
+
+def state_events(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS, events: DataFrame | None = None) -> DataFrame:
+    """repo, table, column, values, is_check, is_replace, default_value, seq from migrations in file order: of a file checks first, then defaults, then enum types.
+
+    Checks of one statement on one column are taken together. seq compares by file, sort and place, so nothing is numbered over a whole repository.
+    """
+    rows = events if events is not None else declarations(files)
     state = F.exists(F.array(*[F.lit(c) for c in columns]), lambda c: F.contains(F.lower("column"), c))
-    literals = lambda c: F.regexp_extract_all(c, F.lit("'([^']*)'"), F.lit(1))
-    check = r"(?i)[\"`]?(\w+)[\"`]?\s+IN\s*\(\s*((?:'[^']*'\s*,?\s*)+)\)"
-    # Only a constraint of an ALTER replaces what was allowed before.
-    checks = rows.withColumn("column", F.regexp_extract("line", check, 1)).filter("column != ''").select("repo", "rel_path", "line_no", F.col("owner").alias("table"), "column", literals(F.regexp_extract("line", check, 2)).alias("values"), F.lit(True).alias("is_check"), F.col("line").rlike(r"(?i)ADD\s+CONSTRAINT").alias("is_replace"), F.lit(None).cast("string").alias("default_value"), F.lit(1).alias("phase"))
-    default = r"(?i)^\s*(?:ADD\s+COLUMN\s+(?:IF\s+NOT\s+EXISTS\s+)?|ALTER\s+COLUMN\s+)?[\"`]?(\w+)[\"`]?[^,;()\n]*?\bDEFAULT\s+'([^']+)'"
-    defaults = rows.withColumn("column", F.regexp_extract("line", default, 1)).withColumn("d", F.regexp_extract("line", default, 2)).filter("d != ''").select("repo", "rel_path", "line_no", F.col("owner").alias("table"), "column", F.array("d").alias("values"), F.lit(False).alias("is_check"), F.lit(False).alias("is_replace"), F.col("d").alias("default_value"), F.lit(2).alias("phase"))
-    enum = r"(?is)CREATE\s+TYPE\s+[\"`]?([\w.]+)[\"`]?\s+AS\s+ENUM\s*\(\s*((?:'[^']*'\s*,?\s*)+)\)"
-    enums = rows.withColumn("column", F.regexp_extract("line", enum, 1)).filter("column != ''").select("repo", "rel_path", "line_no", F.lit("").alias("table"), "column", literals(F.regexp_extract("line", enum, 2)).alias("values"), F.lit(False).alias("is_check"), F.lit(False).alias("is_replace"), F.lit(None).cast("string").alias("default_value"), F.lit(3).alias("phase"))
-    every = checks.unionByName(defaults).unionByName(enums).filter(state | (F.col("phase") == 3))
-    order = F.row_number().over(Window.partitionBy("repo").orderBy("rel_path", "phase", "line_no")).cast("long")
-    return every.withColumn("seq", order).drop("rel_path", "line_no", "phase")
-
-
-def drop_events(files: DataFrame) -> DataFrame:
-    """repo, table, column (null: the table itself), rel_path, line_no of the last drop in migration order."""
-    rows = statements(files)
-    table = F.regexp_extract("line", r"(?i)DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?[\"`]?([\w.]+)", 1)
-    column = F.regexp_extract("line", r"(?i)DROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?[\"`]?(\w+)", 1)
-    found = rows.select("repo", F.when(table != "", table).otherwise(F.col("owner")).alias("table"), F.when(column != "", column).alias("column"), "rel_path", "line_no", (table != "").alias("whole")).filter("whole or column is not null")
-    last = F.max(F.struct("rel_path", "line_no")).alias("at")
-    return found.groupBy("repo", "table", "column").agg(last).select("repo", "table", "column", "at.*")
-
-
-def literal_uses(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(repo, value) -> uses: repo, value, rel_path, line_no, is_test, is_read, context of two lines to either side; SQL is left out."""
-    code = files.filter(F.col("kind") != "sql")
-    rows = line_context(lines(code), F.col("line").rlike("['\"]"))
-    each = rows.select("repo", "rel_path", "line_no", "line", "context", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("['\"]([^'\"]+)['\"]"), F.lit(1)))).alias("value"))
-    kept = each.join(wanted.select("repo", "value").distinct(), ["repo", "value"], "left_semi").join(code.select("repo", "rel_path", "is_test"), ["repo", "rel_path"])
-    return kept.select("repo", "value", "rel_path", "line_no", "is_test", F.col("line").rlike(READ_SHAPED).alias("is_read"), "context")
-
-
-INSERT = re.compile(r"INSERT\s+INTO\s+[\"`]?([\w.]+)[\"`]?\s*\(([^)]*)\)\s*VALUES\s*", re.I)
-UPDATE = re.compile(r"UPDATE\s+[\"`]?([\w.]+)[\"`]?\s+SET\s+(.{0,400}?)(?:\bWHERE\b|;|$)", re.I | re.S)
-
-
-def tuple_items(text: str, at: int) -> tuple[list[str], int]:
-    """The items of a parenthesised list from `at`, quotes and inner parentheses kept whole, and where it ends."""
-    items, depth, quote, start = [], 0, False, at + 1
-    for i in range(at, len(text)):
-        c = text[i]
-        if c == "'":
-            quote = not quote
-        elif not quote and c == "(":
-            depth += 1
-        elif not quote and (c == ")" or c == ",") and depth == 1:
-            items.append(text[start:i].strip())
-            start = i + 1
-            if c == ")":
-                return items, i + 1
-        elif not quote and c == ")":
-            depth -= 1
-    return items, len(text)
-
-
-def written_literals(text: str) -> Iterator[tuple[str, str, str, int]]:
-    """table, column, value, position of literals in INSERT tuples and UPDATE assignments."""
-    for m in INSERT.finditer(text):
-        columns, at = [c.strip(' "`') for c in m[2].split(",")], m.end()
-        while at < len(text) and text[at] == "(":
-            items, at = tuple_items(text, at)
-            yield from ((m[1], c, v[1:-1], m.start()) for c, v in zip(columns, items, strict=False) if re.fullmatch(r"'[^']*'", v))
-            rest = re.match(r"\s*,\s*(?=\()", text[at:])
-            at += rest.end() if rest else len(text)
-    for m in UPDATE.finditer(text):
-        yield from ((m[1], c, v, m.start()) for c, v in re.findall(r"[\"`]?(\w+)[\"`]?\s*=\s*'([^']*)'", m[2]))
+    phase = F.when(F.col("event") == "check", 1).when(F.col("event") == "default", 2).when(F.col("event") == "enum", 3)
+    known = rows.withColumn("phase", phase).filter(phase.isNotNull() & state)
+    together = F.when(F.col("phase") == 1, F.col("owner_at")).otherwise(-2 - F.col("position"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "values", "is_replace")))
+    grouped = known.groupBy("repo", "rel_path", "table", "column", "phase", together.alias("statement")).agg(ordered.alias("parts"))
+    values = F.flatten(F.transform("parts", lambda p: p["values"]))
+    return grouped.select(
+        "repo", "table", "column", values.alias("values"), (F.col("phase") == 1).alias("is_check"), F.element_at("parts", -1)["is_replace"].alias("is_replace"),
+        F.when(F.col("phase") == 2, F.element_at(values, 1)).alias("default_value"), F.struct("rel_path", "phase", F.element_at("parts", 1)["position"].alias("position")).alias("seq"),
+    )
+
+
+def drop_events(files: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """repo, table, column (null: the table itself), rel_path, position, line_no of the last drop in migration order; tests drop nothing."""
+    rows = (events if events is not None else declarations(files)).filter(F.col("event").startswith("drop")).join(files.filter(~F.col("is_test")).select("repo", "rel_path"), ["repo", "rel_path"], "left_semi")
+    last = F.max(F.struct("rel_path", "position", F.col("line_start").alias("line_no"))).alias("at")
+    return rows.groupBy("repo", "table", F.when(F.col("event") == "drop_column", F.col("column")).alias("column")).agg(last).select("repo", "table", "column", "at.*")
+
+
+def literal_uses(files: DataFrame, wanted: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """wanted(repo, value) -> uses: repo, value, rel_path, line_no, is_test, is_read, context of two lines to either side. Lines that declare a value do not use it; other lines of SQL do."""
+    rows = line_context(lines(files), F.col("line").rlike("['\"]"))
+    declared = (events if events is not None else declarations(files)).filter(F.col("event").isin("check", "default", "enum"))
+    rows = rows.join(declared.select("repo", "rel_path", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct(), ["repo", "rel_path", "line_no"], "left_anti")
+    each = rows.select("repo", "rel_path", "line_no", "line", "context", F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(f"{q}([^{q}]+){q}"), F.lit(1)) for q in ("'", '"')]))).alias("value"))
+    kept = each.join(wanted.select("repo", "value").distinct(), ["repo", "value"], "left_semi").join(files.select("repo", "rel_path", "is_test"), ["repo", "rel_path"])
+    return kept.select("repo", "value", "rel_path", "line_no", "is_test", is_read_shaped(F.col("line")).alias("is_read"), "context")
 
 
 def literal_writes(files: DataFrame) -> DataFrame:
-    """repo, table, column, value, place of literals that statements write. Only files with INSERT or UPDATE are read."""
-    out = pa.schema([("repo", pa.string()), ("table", pa.string()), ("column", pa.string()), ("value", pa.string()), ("place", pa.string())])
+    """repo, table, column, value, place of literals that statements write, wherever they stand. Only files with INSERT or UPDATE are read, and no tests."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for repo, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(repo, t, c, v, f"{path}:{text.count(chr(10), 0, p) + 1}") for t, c, v, p in written_literals(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in out], out, strict=True)], schema=out)
+    def rows(repo: str, path: str, text: str) -> list[dict]:
+        line = lines_of(text)
+        return [{"repo": repo, "table": t, "column": c, "value": v, "place": f"{path}:{line(at)}"} for t, c, v, at in written_literals(text)]
 
-    some = files.filter(F.col("content").rlike(r"(?i)\b(INSERT\s+INTO|UPDATE)\b")).select("repo", "rel_path", "content")
-    return some.mapInArrow(run, "repo string, table string, column string, value string, place string")
+    some = files.filter(~F.col("is_test") & F.col("content").rlike(r"(?i)\b(insert|update)\b")).select("repo", "rel_path", "content")
+    return in_tasks(some, "repo string, table string, column string, value string, place string", rows)
 
 
 def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, reach: int = 25) -> DataFrame:

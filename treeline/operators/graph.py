@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.scores import call_weight
-from treeline.operators.common import cut
+from treeline.operators.common import cut, listed
 
 
 def collapse_edges(relations: DataFrame) -> DataFrame:
@@ -47,12 +47,23 @@ def remove_files(entities: DataFrame, relations: DataFrame, files: DataFrame) ->
     return entities.join(files, ["repo", "file_path"], "left_anti"), relations.join(files, ["repo", "file_path"], "left_anti")
 
 
-def redirect_reexports(relations: DataFrame, reexports: DataFrame, rounds: int = 5) -> DataFrame:
-    """Edges with both ends moved from phantom_id to real_id, chains followed; an edge that is there already stays as it is, loops go."""
-    chain = reexports.select("repo", "phantom_id", "real_id")
-    for _ in range(rounds):
+def redirect_reexports(relations: DataFrame, reexports: DataFrame) -> DataFrame:
+    """Edges with both ends moved from phantom_id to real_id, chains followed; an edge that is there already stays as it is, loops go.
+
+    Chains halve in each round, to the end however long they are; what goes round in a circle is no re-export.
+    """
+    chain = cut(reexports.select("repo", "phantom_id", "real_id").filter("phantom_id != real_id").dropDuplicates(["repo", "phantom_id"]))
+    longest = chain.count()
+    while True:
         step = chain.select("repo", F.col("phantom_id").alias("real_id"), F.col("real_id").alias("next"))
-        chain = chain.join(step, ["repo", "real_id"], "left").select("repo", "phantom_id", F.coalesce("next", "real_id").alias("real_id")).filter("phantom_id != real_id")
+        further = chain.join(step, ["repo", "real_id"], "left")
+        if longest == 0:  # what still goes on has gone round
+            chain = further.filter("next is null").select("repo", "phantom_id", "real_id")
+            break
+        if further.filter("next is not null").isEmpty():
+            break
+        chain = cut(further.select("repo", "phantom_id", F.coalesce("next", "real_id").alias("real_id")).filter("phantom_id != real_id"))
+        longest //= 2
     moved = relations
     for end in ("src_id", "tgt_id"):
         to = chain.select("repo", F.col("phantom_id").alias(end), F.col("real_id").alias(f"new_{end}"))
@@ -102,11 +113,13 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both"
     """seeds(repo, seed, id) -> repo, seed, id, depth: what each seed reaches within depth steps, by its first discovery.
 
     Phantoms are reported and not expanded, where entities are given. All seeds walk at once; each hop is one join on
-    (repo, id), one anti-join with what is known, and is cut, so plans stay short however deep the walk.
+    (repo, id), one anti-join with what is known, and is cut, so plans stay short however deep the walk. The steps are
+    worked out once: a hop reads them as they were written.
     """
     steps = neighbours(edges.select("repo", "src_id", "tgt_id", "kind"), direction).select("repo", "id", "next").distinct()
     if entities is not None:
         steps = steps.join(entities.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
+    steps = cut(steps)
     found = cut(seeds.select("repo", "seed", "id", F.lit(0).alias("depth")).distinct())
     frontier = found
     for hop in range(1, depth + 1):
@@ -129,8 +142,8 @@ def induced_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def lookup(entities: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbols(repo, symbol), a broadcast list -> entities whose id is it, ends with .it, or whose name contains it: repo, symbol, id."""
-    sym = F.broadcast(symbols.select(F.col("repo").alias("r"), "symbol"))
+    """symbols(repo, symbol), a list of what is asked for -> entities whose id is it, ends with .it, or whose name contains it: repo, symbol, id."""
+    sym = listed(symbols.select(F.col("repo").alias("r"), "symbol"))
     fits = (F.col("id") == F.col("symbol")) | F.col("id").endswith(F.concat(F.lit("."), F.col("symbol"))) | F.col("name").contains(F.col("symbol"))
     return entities.join(sym, (F.col("repo") == F.col("r")) & fits).select("repo", "symbol", "id")
 
@@ -194,7 +207,7 @@ def reach_sinks(edges: DataFrame, starts: DataFrame, sink: Column, hops: int = 4
 
     `sink` is a condition on the column tgt_id. A start leaves the walk once it has found a sink.
     """
-    calls = edges.select("repo", "src_id", "tgt_id", sink.alias("is_sink")).distinct()
+    calls = cut(edges.select("repo", "src_id", "tgt_id", sink.alias("is_sink")).distinct())
     known = cut(starts.select("repo", "start", F.col("start").alias("id")).distinct())
     front, found = known, None
     for hop in range(1, hops + 1):

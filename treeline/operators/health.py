@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treeline.functions.ids import short_name, top_module
 from treeline.functions.scores import LADDERS, WEIGHTS, grade, ratio, step_score
 from treeline.functions.text import is_test_by_folder
+from treeline.operators.common import cut
 from treeline.operators.graph import strong_components
 
 #: Names that are called everywhere and say nothing of coupling. Fixed values.
@@ -118,13 +119,19 @@ def barrel_modules(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("repo", "part", "whole", ratio(F.col("part"), F.col("whole")).alias("value"))
 
 
-def metrics(entities: DataFrame, edges: DataFrame, files: DataFrame | None = None, markers: str = DEBT_MARKERS) -> dict[str, DataFrame]:
-    """Each dimension as repo, part, whole, value. edges are collapsed ones."""
-    found = {
-        "mc": module_coupling(edges), "cd": circular_dependencies(edges), "fi": fan_in_concentration(edges), "dc": dead_code(entities, edges),
-        "fs": oversized_functions(entities), "mf": fragmentation(entities), "re": barrel_modules(entities, edges),
+def metric(dimension: str, entities: DataFrame, edges: DataFrame, files: DataFrame | None = None, markers: str = DEBT_MARKERS) -> DataFrame:
+    """One dimension as repo, part, whole, value. edges are collapsed ones."""
+    made = {
+        "mc": lambda: module_coupling(edges), "cd": lambda: circular_dependencies(edges), "fi": lambda: fan_in_concentration(edges), "dc": lambda: dead_code(entities, edges),
+        "fs": lambda: oversized_functions(entities), "mf": lambda: fragmentation(entities), "re": lambda: barrel_modules(entities, edges), "td": lambda: debt_density(files, markers),
     }
-    return found | ({"td": debt_density(files, markers)} if files is not None else {})
+    return made[dimension]()
+
+
+def metrics(entities: DataFrame, edges: DataFrame, files: DataFrame | None = None, markers: str = DEBT_MARKERS) -> dict[str, DataFrame]:
+    """Each dimension as repo, part, whole, value. edges are collapsed ones; they are worked out once for all dimensions."""
+    edges = cut(edges.select("repo", "src_id", "tgt_id", "kind"))
+    return {d: metric(d, entities, edges, files, markers) for d in LADDERS if d != "td" or files is not None}
 
 
 def dimensions(parts: dict[str, DataFrame], repos: DataFrame) -> DataFrame:

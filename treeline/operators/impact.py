@@ -52,6 +52,7 @@ def lazy_importers(edges: DataFrame, changed: DataFrame) -> DataFrame:
 def call_chains(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
     """repo, seed, id, depth, chain: for each caller the least of its shortest chains, written a -> b -> changed."""
     steps = edges.filter("kind = 'calls'").select("repo", F.col("tgt_id").alias("id"), F.col("src_id").alias("next")).distinct()
+    steps = cut(steps)
     front = cut(changed.select("repo", "seed", "id", F.col("id").alias("chain")).distinct())
     known, found = front.select("repo", "seed", "id"), None
     for hop in range(1, depth + 1):

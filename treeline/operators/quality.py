@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.ids import module_id
 from treeline.functions.scores import coverage_band
+from treeline.operators.common import listed
 
 
 def coverage_totals(coverage: DataFrame) -> DataFrame:
@@ -57,8 +58,9 @@ def test_corpus(files: DataFrame, milestone: str = "milestone") -> DataFrame:
 
 
 def executions(runner_lines: DataFrame, checkers: DataFrame) -> DataFrame:
-    """checkers(name), broadcast while few -> name, runs: call-shaped lines that name it; 0 never runs, over 1 is a duplicate."""
-    hits = runner_lines.join(F.broadcast(checkers.select("name")), F.col("line").contains(F.col("name")) & ~F.trim("line").startswith("#")).groupBy("name").agg(F.count("*").alias("runs"))
+    """checkers(name) -> name, runs, state: lines of runners, comments apart, that hold the name as a word; 0 never runs, over 1 is a duplicate. Words of lines and names meet by equality."""
+    words = F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("line", F.lit(r"[\w./-]+"), F.lit(0)), lambda w: F.array(w, F.substring_index(w, "/", -1)))))).alias("name")
+    hits = runner_lines.filter(~F.trim("line").startswith("#")).select(words).join(checkers.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count("*").alias("runs"))
     state = F.when(F.coalesce("runs", F.lit(0)) == 0, "never").when(F.col("runs") > 1, "duplicate").otherwise("once")
     return checkers.select("name").distinct().join(hits, "name", "left").select("name", F.coalesce("runs", F.lit(0)).alias("runs"), state.alias("state"))
 
@@ -73,12 +75,22 @@ def vacuous_checks(all_lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def blast_radius(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets(path), broadcast while few -> path, rel_path: files whose text names the path, or its base name where only one file has that."""
+    """targets(path) -> path, rel_path: files whose text names the path, or its base name where at most one file has that.
+
+    Runs of path characters in the text give their slash-separated parts, and the joined runs of parts, once a file;
+    these meet paths and base names by equality. A path is named where it stands between other characters or parts.
+    """
     base = F.regexp_extract("path", "([^/]*)$", 1)
     counts = files.groupBy(F.regexp_extract("rel_path", "([^/]*)$", 1).alias("base")).agg(F.count("*").alias("n"))
-    wanted = targets.withColumn("base", base).join(counts, "base", "left").withColumn("by_base", F.coalesce("n", F.lit(0)) <= 1)
-    named = F.contains(F.col("content"), F.col("path")) | (F.col("by_base") & F.contains(F.col("content"), F.col("base")))
-    return files.select("rel_path", "content").join(F.broadcast(wanted.select("path", "base", "by_base")), named).filter("rel_path != path").select("path", "rel_path").distinct()
+    wanted = targets.select("path").distinct().withColumn("base", base).join(counts, "base", "left")
+    names = wanted.select("path", F.regexp_replace("path", "^/+", "").alias("name")).unionByName(wanted.filter("coalesce(n, 0) <= 1").select("path", F.col("base").alias("name"))).filter("name != ''").distinct()
+    longest = names.agg(F.coalesce(F.max(F.size(F.split("name", "/"))), F.lit(1))).first()[0]
+    runs = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w.$~+-]+(?:/[\w.$~+-]+)*"), F.lit(0)))
+    parts = files.select("rel_path", F.explode(runs).alias("run")).select("rel_path", F.split("run", "/").alias("parts"))
+    starts = F.sequence(F.lit(1), F.size("parts"))
+    sub = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("parts") - a + 1)), lambda n: F.array_join(F.slice("parts", a, n), "/"))))
+    mentions = parts.select("rel_path", F.explode(F.array_distinct(sub)).alias("name")).distinct()
+    return mentions.join(names, "name").filter("rel_path != path").select("path", "rel_path").distinct()
 
 
 def importer_map(imports: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -89,24 +101,38 @@ def importer_map(imports: DataFrame, scripts: DataFrame) -> DataFrame:
     return heads.join(own, ["repo", "module"]).filter("by != rel_path").select("repo", "rel_path").distinct()
 
 
-#: Names and folders of tools, and of sources. Fixed values.
-TOOL_NAME = r"(^|/)(build|deploy|release|setup|install|migrate|seed|gen(erate)?|fix|check|lint|clean|bench|run|sync|export|import)[-_.]?[^/]*$"
-TOOL_FOLDERS = ("scripts", "tools", "bin", "hack", "ci", "build")
-SOURCE_FOLDERS = ("src", "lib", "app", "core", "pkg", "internal")
+#: Words that a tool's name begins with, or ends with, before or after a - or _. Fixed values.
+TOOL_BEGINS = ("deploy", "setup", "install", "migrate", "seed", "admin", "run", "start", "stop", "init", "bootstrap", "cleanup", "reset", "update", "helper")
+TOOL_ENDS = ("deploy", "setup", "admin", "update", "helper")
+#: Top folders of tools, and of sources. Fixed values.
+TOOL_FOLDERS = ("scripts", "tools", "bin", "examples", "demo", "fixtures")
+SOURCE_FOLDERS = (
+    "src", "lib", "core", "app", "pkg", "internal", "extensions", "packages", "ui",
+    "cmd", "api", "web", "server", "client", "service", "services", "modules", "skills",
+)
+
+
+def is_tool_name(path: Column) -> Column:
+    """The file's name without its ending begins or ends with a tool's word."""
+    stem = F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"(.)\.[^.]*$", "$1"))
+    words = F.split(stem, "[-_]")
+    begins = (F.size(words) > 1) & F.get(words, F.lit(0)).isin(*TOOL_BEGINS)
+    ends = (F.size(words) > 1) & F.element_at(words, -1).isin(*TOOL_ENDS)
+    return begins | ends
 
 
 def classify_scripts(scripts: DataFrame, imported: DataFrame, importing: DataFrame) -> DataFrame:
     """scripts(repo, rel_path, n_symbols, has_main) -> repo, rel_path, class: source, tool or uncertain; the first rule that holds.
 
-    Imported by others; imports the project; in a source folder; in a tool folder; a tool's name with a single main;
-    a tool's name without exports, Python apart.
+    Imported by others; imports the project; in a source folder; in a tool folder; a tool's name with a main and at
+    most two public names; a tool's name without public names, Python apart. n_symbols counts public names but main.
     """
     rows = scripts.join(imported.select("repo", "rel_path").distinct().withColumn("used", F.lit(True)), ["repo", "rel_path"], "left").join(importing.select("repo", "rel_path").distinct().withColumn("uses", F.lit(True)), ["repo", "rel_path"], "left")
-    top = F.substring_index("rel_path", "/", 1)
-    tool = F.lower("rel_path").rlike(TOOL_NAME)
+    top = F.when(F.contains(F.col("rel_path"), F.lit("/")), F.substring_index("rel_path", "/", 1)).otherwise("")
+    tool = is_tool_name(F.col("rel_path"))
     found = (
         F.when(F.col("used"), "source").when(F.col("uses"), "source").when(top.isin(*SOURCE_FOLDERS), "source").when(top.isin(*TOOL_FOLDERS), "tool")
-        .when(tool & F.col("has_main") & (F.col("n_symbols") <= 1), "tool").when(tool & (F.col("n_symbols") == 0) & ~F.col("rel_path").endswith(".py"), "tool").otherwise("uncertain")
+        .when(tool & F.col("has_main") & (F.col("n_symbols") <= 2), "tool").when(tool & (F.col("n_symbols") == 0) & ~F.col("rel_path").endswith(".py"), "tool").otherwise("uncertain")
     )
     return rows.select("repo", "rel_path", found.alias("class"))
 
@@ -131,8 +157,8 @@ def triage(candidates: DataFrame, confirm: tuple[str, ...], reject: tuple[str, .
 
 
 def assurance_matrix(rules: DataFrame, files: DataFrame) -> DataFrame:
-    """rules(layer, cell, config_like, run_like), broadcast -> repo, layer, cell, state and the first file of evidence."""
-    r = F.broadcast(rules)
+    """rules(layer, cell, config_like, run_like), a list -> repo, layer, cell, state and the first file of evidence. Every repository has a row for each cell: as many as repositories times the list's cells."""
+    r = listed(rules)
     configured = files.join(r, F.expr("rel_path rlike config_like")).groupBy("repo", "layer", "cell").agg(F.min("rel_path").alias("evidence"))
     executed = files.filter(F.col("kind").isin("config", "shell")).join(r, F.expr("content rlike run_like")).select("repo", "layer", "cell").distinct().withColumn("runs", F.lit(True))
     all_cells = files.select("repo").distinct().join(r.select("layer", "cell").distinct())

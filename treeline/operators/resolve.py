@@ -17,23 +17,28 @@ def local_packages(files: DataFrame, entities: DataFrame | None = None) -> DataF
 def imported_names(imports: DataFrame, packages: DataFrame) -> DataFrame:
     """repo, rel_path, name, target, external: what each imported short name means in its file.
 
-    A name is external if its import is not relative and its top package is not local.
+    A name is external if its import is not relative and its top package is not local. aliases, where there are any,
+    are the short names of names, in their order.
     """
     target = import_target(F.col("rel_path"), F.col("module"))
-    names = F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.coalesce("alias", "module")))
-    rows = imports.select("repo", "rel_path", "module", "is_from", target.alias("base"), F.explode(names).alias("name"))
+    short = F.col("aliases") if "aliases" in imports.columns else F.col("names")
+    pairs = F.when(F.size("names") > 0, F.arrays_zip(short.alias("name"), F.col("names").alias("real"))).otherwise(F.array(F.struct(F.coalesce("alias", "module").alias("name"), F.coalesce("alias", "module").alias("real"))))
+    rows = imports.select("repo", "rel_path", "module", "is_from", target.alias("base"), F.explode(pairs).alias("p")).select("repo", "rel_path", "module", "is_from", "base", "p.name", "p.real")
     rows = rows.withColumn("top", top_module(F.col("module"))).join(packages.withColumn("local", F.lit(True)), ["repo", "top"], "left")
     external = ~F.col("module").startswith(".") & F.col("local").isNull()
-    return rows.select("repo", "rel_path", "name", F.when(F.col("is_from"), F.concat_ws(".", "base", "name")).otherwise(F.col("base")).alias("target"), external.alias("external"))
+    return rows.select("repo", "rel_path", "name", F.when(F.col("is_from"), F.concat_ws(".", "base", "real")).otherwise(F.col("base")).alias("target"), external.alias("external"))
 
 
 def resolve_callees(calls: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
     """calls with callee_id, null where the callee is external or unknown.
 
     In order: a name of the file itself, an external name, an imported name, a relative path, an imported prefix.
-    Three equi-joins and one ordered choice.
+    Three equi-joins and one ordered choice. A class of the file stands for its constructor.
     """
-    locals_ = symbols.select("repo", "rel_path", F.col("name").alias("callee"), F.lit(True).alias("is_local")).distinct()
+    own = symbols.select("repo", "rel_path", F.col("name").alias("callee"))
+    if "kind" in symbols.columns:
+        own = own.unionByName(symbols.filter("kind = 'class'").select("repo", "rel_path", F.concat("name", F.lit(".__init__")).alias("callee")))
+    locals_ = own.withColumn("is_local", F.lit(True)).distinct()
     known = names.groupBy("repo", "rel_path", "name").agg(F.bool_or("external").alias("external"), F.max("target").alias("target"))
     full = known.withColumnsRenamed({"name": "callee", "external": "full_external", "target": "full_target"})
     part = known.withColumnsRenamed({"name": "prefix", "external": "part_external", "target": "part_target"})

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values of query vectors in one broadcast block; more queries take more passes over the vectors.
-BLOCK_VALUES = 8_000_000
+from treeline.operators.common import cut
+
+#: Values in one block of vectors, 8 MB, and blocks of queries that are broadcast.
+BLOCK_VALUES, BROADCAST_BLOCKS = 1_000_000, 8
 LEAST_NORM = 1e-10
 
 
@@ -28,51 +30,65 @@ def assert_dimension(vectors: DataFrame, dim: int, vec: str = "vec") -> DataFram
     return vectors.filter(F.coalesce(right.cast("string"), F.lit("")) == "")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows, held = [], [], 0
-    for qid, vec in queries.select("qid", "vec").toLocalIterator():
-        ids.append(qid)
-        rows.append(vec)
-        held += len(vec)
-        if held >= BLOCK_VALUES:
-            yield ids, np.array(rows, dtype=np.float64)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield ids, np.array(rows, dtype=np.float64)
+def blocks_of(rows: DataFrame, key: str, most: int = BLOCK_VALUES) -> DataFrame:
+    """rows(key long, vec) -> dim, keys, units: vectors of unit length, packed by dimension in blocks of at most about `most` values.
+
+    Vectors that are null, empty or hold a null or no number are left out.
+    """
+    whole = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    out = pa.schema([("dim", pa.int32()), ("keys", pa.list_(pa.int64())), ("units", pa.binary())])
+
+    def block(dim: int, keys: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+        units = np.concatenate(parts)
+        units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), LEAST_NORM)
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.concatenate(keys)], pa.list_(pa.int64())), pa.array([units.tobytes()])], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for batch in batches:
+            sizes = batch.column("vec").value_lengths().to_numpy()
+            values, ends = batch.column("vec").flatten().to_numpy().astype(np.float64), np.cumsum(sizes)
+            keys = batch.column(key).to_numpy()
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                rows = values[(ends[at] - dim)[:, None] + np.arange(dim)]
+                for lo in range(0, len(at), max(1, most // dim)):
+                    own = held.setdefault(dim, ([], []))
+                    own[0].append(keys[at[lo : lo + max(1, most // dim)]])
+                    own[1].append(rows[lo : lo + max(1, most // dim)])
+                    if sum(map(len, own[0])) * dim >= most:
+                        yield block(dim, *held.pop(dim))
+        for dim, own in held.items():
+            yield block(dim, *own)
+
+    return rows.select(F.col(key).cast("long").alias(key), "vec").filter(whole).mapInArrow(run, "dim int, keys array<long>, units binary")
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors(id long, vec), queries(qid long, vec) -> qid, id, score, rank: the k most alike by cosine, ties by id.
 
-    Queries are broadcast in blocks of bounded size. A task multiplies each Arrow batch with a block and passes on each query's
-    k best of the batch, so one small shuffle on qid finishes.
+    Both sides are packed into blocks in tasks, and blocks of one dimension meet: up to BROADCAST_BLOCKS blocks of
+    queries go to every task, more are met partition by partition. A pair of blocks is one matrix product, of which
+    each query's k best go on, so one small shuffle on qid finishes.
     """
-    spark = vectors.sparkSession
     out = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    parts: DataFrame | None = None
-    for ids, matrix in query_blocks(queries):
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), LEAST_NORM)
-        shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), unit))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, unit = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("id").to_numpy()
-                rows = batch.column("vec").flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), LEAST_NORM)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, keys, units, qkeys, qunits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, qids = np.array(keys, dtype=np.int64), np.array(qkeys, dtype=np.int64)
+                rows, asked = np.frombuffer(units).reshape(-1, dim), np.frombuffer(qunits).reshape(-1, dim)
                 for lo in range(0, len(qids), 256):
-                    scores = unit[lo : lo + 256] @ rows.T
+                    scores = asked[lo : lo + 256] @ rows.T
                     order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + 256], order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], schema=out)
 
-        found = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec")).mapInArrow(best, "qid long, id long, score double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return spark.createDataFrame([], "qid long, id long, score double, rank int")
+    asked = cut(blocks_of(queries, "qid")).withColumnsRenamed({"keys": "qkeys", "units": "qunits"})
+    few = asked.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    met = blocks_of(vectors, "id").join(F.broadcast(asked) if few else asked.hint("shuffle_replicate_nl"), "dim")
+    found = met.select("dim", "keys", "units", "qkeys", "qunits").mapInArrow(best, "qid long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    return parts.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:

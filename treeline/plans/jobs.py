@@ -5,24 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.ids import description, entity_id, module_id
-from treeline.functions.text import is_test_by_tokens
+from treeline.functions.text import STATE_COLUMNS, distinctive_segment, is_test_by_tokens, path_segments
 from treeline.operators import audit, corpus, evidence, facts, graph, impact, resolve, sync, vectors
+from treeline.operators.common import cut
 
 
 def build(files: DataFrame, known: DataFrame | None = None, routes: DataFrame | None = None) -> dict[str, DataFrame]:
     """entities, relations, chunks and file_hashes of files; known are entities that other files gave."""
-    found = facts.extract(files).persist()
+    found = cut(facts.extract(files))
     symbols, calls, imports, inheritances = (facts.fact_table(found, n) for n in ("symbols", "calls", "imports", "inheritances"))
     module = module_id(F.col("rel_path"))
     none = F.array().cast("array<string>")
     modules = files.select("repo", module.alias("id"), F.lit("module").alias("kind"), module.alias("name"), F.concat(F.lit("module: "), module).alias("description"), F.col("rel_path").alias("file_path"), F.lit(1).alias("line_start"), F.col("n_lines").alias("line_end"), none.alias("decorators"))
     named = symbols.select("repo", entity_id(module, F.col("name")).alias("id"), "kind", "name", description(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring")).alias("description"), F.col("rel_path").alias("file_path"), "line_start", "line_end", F.col("annotations").alias("decorators"))
     entities = modules.unionByName(named).dropDuplicates(["repo", "id"])
-    routes = routes if routes is not None else files.sparkSession.createDataFrame([], "repo string, rel_path string, path string, method string, handler string")
+    routes = routes if routes is not None else facts.all_routes(files, found).filter("handler != ''")
     relations = resolve.relations(calls, inheritances, imports, routes, symbols, resolve.local_packages(files, known))
     chunks = corpus.symbol_chunks(files, symbols).unionByName(corpus.residual_chunks(files, symbols), allowMissingColumns=True)
     return {"entities": entities, "relations": relations, "chunks": chunks, "file_hashes": corpus.content_hash(files)}
@@ -59,23 +60,46 @@ def finding(rows: DataFrame, table: str, key, where: str) -> DataFrame:
 
 
 def audit_endpoints(files: DataFrame) -> DataFrame:
-    found = facts.route_declarations(files)
+    """Routes without callers. Only the lines that declare routes are no call sites; the rest of their files is."""
+    found = cut(facts.all_routes(files))
     routes = found.select("repo", F.concat_ws(" ", "method", "path").alias("key"), "path", "rel_path").dropDuplicates(["repo", "key"])
-    return finding(audit.audit_endpoints(routes, evidence.call_sites(files.join(routes.select("repo", "rel_path").distinct(), ["repo", "rel_path"], "left_anti"))), "endpoints", F.col("key"), "routes")
+    segments = routes.select("repo", distinctive_segment(path_segments(F.col("path"))).alias("token")).filter("token != ''")
+    return finding(audit.audit_endpoints(routes, evidence.call_sites(files, found), audit.token_mentions(files, segments)), "endpoints", F.col("key"), "routes")
 
 
-def audit_configs(files: DataFrame) -> DataFrame:
-    declared = evidence.env_declarations(files).join(evidence.settings_keys(files), ["repo", "key"], "left_anti")
-    own = evidence.interpolations(files).join(declared.select("repo", "key", F.col("rel_path").alias("at")), ["repo", "key"]).filter("rel_path = at").select("repo", "key").distinct()
-    name = F.lower(F.regexp_extract("rel_path", "([^/]*)$", 1))
-    found = corpus.tokens_index(files).join(files.select("repo", "rel_path", "kind"), ["repo", "rel_path"])
-    readers = found.select("repo", F.col("token").alias("key"), "rel_path", "kind", F.col("rel_path").rlike("(deploy|infra|ops|charts|helm|k8s|terraform)/").alias("is_deploy"), name.rlike(r"\.env|docker-compose|compose\.y|dockerfile").alias("declares"))
-    return finding(audit.audit_configs(declared.join(own, ["repo", "key"], "left_anti"), readers), "configs", F.concat(F.lit("env:"), F.col("key")), "environment")
+#: Folders of what only passes a key on. Fixed values.
+DEPLOY_FOLDERS = ("deploy/", "infra/", "ops/", "charts/", "helm/", "k8s/", "terraform/")
+#: Parts of the names of files that declare and do not read. Fixed values.
+DECLARING_NAMES = (".env", "docker-compose", "compose.y", "dockerfile")
+
 
+def any_in(text: Column, parts: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p))
 
-def audit_states(files: DataFrame) -> DataFrame:
-    domains = audit.fold_domains(evidence.state_events(files))
-    uses = evidence.literal_uses(files, domains.select("repo", F.explode("values").alias("value")))
+
+def audit_configs(files: DataFrame) -> DataFrame:
+    """Environment keys and configuration constants without a reader. A key that a settings class binds, or that its own file interpolates, is read."""
+    path = F.col("rel_path")
+    declared = cut(evidence.env_declarations(files).join(evidence.settings_keys(files), ["repo", "key"], "left_anti"))
+    used = cut(evidence.interpolations(files))
+    own = used.join(declared.select("repo", "key", path.alias("at")), ["repo", "key"]).filter("rel_path = at").select("repo", "key").distinct()
+    kinds = files.select("repo", "rel_path", F.when(F.col("is_test"), "test").otherwise(F.col("kind")).alias("kind"))
+    index = cut(corpus.tokens_index(files))
+    named = index.select("repo", F.col("token").alias("key"), "rel_path", any_in(F.lower(F.substring_index(path, "/", -1)), DECLARING_NAMES).alias("declares"))
+    readers = named.unionByName(used.select("repo", "key", "rel_path", F.lit(False).alias("declares"))).join(kinds, ["repo", "rel_path"]).withColumn("is_deploy", any_in(path, DEPLOY_FOLDERS))
+    keys = finding(audit.audit_configs(declared.join(own, ["repo", "key"], "left_anti"), readers), "configs", F.concat(F.lit("env:"), F.col("key")), "environment")
+    constants = evidence.config_constants(files)
+    elsewhere = index.select("repo", F.col("token").alias("name"), path.alias("by")).join(constants.select("repo", "name", "rel_path"), ["repo", "name"]).filter("by != rel_path").select("repo", "name").distinct()
+    unread = constants.filter(~F.col("self_used")).join(elsewhere, ["repo", "name"], "left_anti").withColumn("verdict", F.lit("dead"))
+    return keys.unionByName(finding(unread, "configs", F.concat_ws(":", F.lit("const"), "rel_path", "name"), "constants"))
+
+
+def audit_states(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS) -> DataFrame:
+    """Declared values that nothing writes or reads, and writes that no check allows; what a later migration drops is neither."""
+    events = cut(evidence.declarations(files))
+    states = evidence.state_events(files, columns, events)
+    domains = cut(audit.retired(audit.fold_domains(states), states, evidence.drop_events(files, events)))
+    uses = evidence.literal_uses(files, domains.select("repo", F.explode("values").alias("value")), events)
     name = F.concat(F.lit("state:"), F.concat_ws(".", "table", "column"), F.lit("='"), F.col("value"), F.lit("'"))
     bad = audit.illegal_writes(domains, evidence.literal_writes(files)).withColumn("verdict", F.lit("dead"))
     return finding(audit.audit_states(domains, uses), "states", name, "schema").unionByName(finding(bad, "states", F.regexp_replace(name, "^state", "write"), "statements"))

@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from treeline.functions.text import LANGUAGES, evidence_kind, excluded, extension, is_test_by_tokens, language
-
-#: Built-in folders that no corpus wants.
-EXCLUDES = ["**/.git/**", "**/.svn/**", "**/.hg/**", "**/.venv/**", "**/venv/**", "**/node_modules/**", "**/__pycache__/**", "**/dist/**", "**/build/**"]
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from treeline.functions.text import GATES, SINKS, STATE_COLUMNS, evidence_kind, excluded, extension, is_test_by_tokens, language
+
+#: Folders that no corpus wants: version control, environments, packages, build outputs, editors, coverage, caches and tests. Fixed values.
+EXCLUDED_FOLDERS = (
+    ".git", ".svn", ".hg", ".worktrees", ".codex-worktrees",
+    ".venv", "venv", "__pycache__", "*.egg-info", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache",
+    "node_modules", ".yarn", ".pnpm-store", "bower_components",
+    "dist", "build", "out", "target", "_build", ".next", ".nuxt", ".output", ".svelte-kit", ".turbo",
+    ".gradle", ".m2", ".idea", ".vscode", ".vs", ".eclipse", "htmlcov", ".nyc_output", "coverage", ".cache", ".tmp", ".temp",
+    "tests", "test", "__tests__", "spec", "e2e", "cypress",
+)
+EXCLUDES = [f"**/{f}/**" for f in EXCLUDED_FOLDERS]
+#: Folders that audits never enter. Fixed values.
+SKIPPED_FOLDERS = (
+    ".git", ".hg", ".svn", "node_modules", ".pnpm-store", ".yarn", "bower_components",
+    "__pycache__", ".venv", "venv", ".tox", ".nox", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".cache",
+    "dist", "build", "out", "target", "_build", ".next", ".nuxt", ".output", ".svelte-kit", ".turbo",
+    "coverage", "htmlcov", ".nyc_output", ".idea", ".vscode", ".worktrees", ".playwright-mcp", "vendor", "third_party",
+)
+#: Generated stores, and what names of suffixed environments begin with. Fixed values.
+GENERATED_FOLDERS, ENVIRONMENTS = ("indexes", "saas_indexes", "saas_repos"), (".venv", ".virtualenv", "venv", "virtualenv")
+MAX_AUDIT_BYTES = 2 * 1024 * 1024
+
+
+def is_generated(folder: Column) -> Column:
+    """A generated store, or an environment with a suffix such as .venv-a or venv_2."""
+    name = F.lower(folder)
+    found = name.isin(*GENERATED_FOLDERS)
+    for e in ENVIRONMENTS:
+        rest = F.substr(name, F.lit(len(e) + 1))
+        found = found | (name.startswith(e) & F.substring(rest, 1, 1).isin(".", "_", "-") & (F.length(rest) > 1))
+    return found
+
+
+def generated_patterns(files: DataFrame) -> DataFrame:
+    """repo, pattern: the generated top folders of each repository as exclude patterns."""
+    top = F.substring_index("rel_path", "/", 1)
+    rows = files.filter(F.contains(F.col("rel_path"), F.lit("/")) & is_generated(top))
+    return rows.select("repo", F.concat(F.lit("**/"), top, F.lit("/**")).alias("pattern")).distinct()
 
 
 def exclude_table(spark: SparkSession, user: list[str] = (), detected: list[str] = ()) -> DataFrame:
@@ -21,21 +59,37 @@ def exclude_table(spark: SparkSession, user: list[str] = (), detected: list[str]
     return table.groupBy("pattern").agg(F.min("source").alias("source"))
 
 
-def corpus(spark: SparkSession, root: str, repo: str, patterns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """All files of a tree with a known extension. Paths and sizes are filtered before contents are read."""
+def tree(spark: SparkSession, root: str, keep: Column, limit: int | None = None) -> DataFrame:
+    """rel_path, content, bytes of a tree's files that `keep` keeps by rel_path; paths and sizes are filtered before contents are read. Hidden folders are listed too; links are followed where the file system hides them."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), f"^{base}/", "")
-    rows = found.withColumn("rel_path", rel).filter(~excluded(F.col("rel_path"), EXCLUDES if patterns is None else patterns))
+    rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), f"^{re.escape(base)}/", "")
+    rows = found.withColumn("rel_path", rel).filter(keep)
     if limit is not None:
         rows = rows.filter(F.col("length") <= limit)
-    rows = rows.filter(F.lower(extension(F.col("rel_path"))).isin(*LANGUAGES, "sql", "sh", "yml", "yaml", "json", "toml", "md", "env"))
-    return as_files(rows.select(F.lit(repo).alias("repo"), "rel_path", F.decode("content", "utf-8").alias("content"), F.col("length").alias("bytes")))
+    return rows.select("rel_path", F.decode("content", "utf-8").alias("content"), F.col("length").alias("bytes"))
+
+
+def corpus(spark: SparkSession, root: str, repo: str, patterns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """All files of a tree with a known extension, without what the patterns and generated folders exclude."""
+    path = F.col("rel_path")
+    known = evidence_kind(path) != "other"
+    keep = ~excluded(path, EXCLUDES if patterns is None else patterns) & ~is_generated(F.substring_index(path, "/", 1)) & (known | language(path).isNotNull())
+    return as_files(tree(spark, root, keep, limit).select(F.lit(repo).alias("repo"), "rel_path", "content", "bytes"))
 
 
-def audit_corpus(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """corpus() for audits: files of at most 2 MiB."""
-    return corpus(spark, root, repo, limit=2 * 1024 * 1024)
+def audit_corpus(spark: SparkSession, root: str, repo: str, patterns: tuple[str, ...] = (), links: DataFrame | None = None) -> DataFrame:
+    """What audits read: files of a known kind and at most 2 MiB, outside skipped and generated folders. links(rel_path) names symbolic links, which Spark's listing does not tell from files."""
+    folders = F.split("rel_path", "/")
+    inside = F.slice(folders, 1, F.size(folders) - 1)
+    skip = F.arrays_overlap(inside, F.array(*[F.lit(f) for f in SKIPPED_FOLDERS])) | F.exists(inside, is_generated)
+    keep = ~skip & (evidence_kind(F.col("rel_path")) != "other")
+    if patterns:
+        keep = keep & ~excluded(F.col("rel_path"), list(patterns))
+    rows = tree(spark, root, keep, MAX_AUDIT_BYTES)
+    if links is not None:
+        rows = rows.join(links.select("rel_path").distinct(), "rel_path", "left_anti")
+    return as_files(rows.select(F.lit(repo).alias("repo"), "rel_path", "content", "bytes"))
 
 
 def as_files(texts: DataFrame) -> DataFrame:
@@ -96,46 +150,78 @@ def diff_hunks(lines: DataFrame) -> DataFrame:
 
 
 def lcov(lines: DataFrame) -> DataFrame:
-    """repo, report, line_no, line -> coverage; a file's records add up."""
+    """repo, report, line_no, line -> coverage; a file's records add up, and end_of_record ends a file."""
     file = F.regexp_extract("line", "^SF:(.*)$", 1)
-    rows = lines.withColumn("file", F.last(F.when(file != "", file), True).over(carried(["repo", "report"], "line_no")))
+    marks = F.when(file != "", F.trim(file)).when(F.trim("line") == "end_of_record", "")
+    rows = lines.withColumn("file", F.last(marks, True).over(carried(["repo", "report"], "line_no")))
     value = lambda tag: F.coalesce(F.sum(F.when(F.col("line").startswith(f"{tag}:"), F.try_to_number(F.regexp_extract("line", r":(\d+)", 1), F.lit("999999999999")).cast("long"))), F.lit(0)).alias(tag.lower())
-    return rows.filter(F.col("file").isNotNull()).groupBy("repo", "file").agg(*[value(t) for t in ("LH", "LF", "FNH", "FNF")])
+    return rows.filter("file != ''").groupBy("repo", "file").agg(*[value(t) for t in ("LH", "LF", "FNH", "FNF")])
+
 
+def go_profile(lines: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """repo, report, line_no, line of Go cover profiles -> coverage by statements.
 
-def go_profile(lines: DataFrame) -> DataFrame:
-    """repo, line of a Go cover profile -> coverage by statements."""
-    shape = r"^(.*):\d+\.\d+,\d+\.\d+ (\d+) (\d+)$"
-    rows = lines.filter(F.col("line").rlike(shape)).select("repo", F.regexp_extract("line", shape, 1).alias("file"), F.regexp_extract("line", shape, 2).cast("long").alias("n"), F.regexp_extract("line", shape, 3).cast("long").alias("hits"))
+    A report whose first line is no mode: is not read. modules(repo, module) names the module whose prefix paths lose.
+    """
+    own = [c for c in ("repo", "report") if c in lines.columns]
+    rows = lines
+    if "line_no" in lines.columns:
+        told = lines.groupBy(*own).agg(F.min_by("line", "line_no").alias("first")).filter(F.col("first").startswith("mode:")).select(*own)
+        rows = lines.join(told, own, "left_semi")
+    part = F.split("line", " ")
+    rows = rows.filter((F.size(part) == 3) & F.get(part, F.lit(0)).rlike(r":\d+\.\d+,\d+\.\d+$"))
+    rows = rows.select("repo", F.regexp_replace(F.get(part, F.lit(0)), ":[^:]*$", "").alias("file"), F.get(part, F.lit(1)).try_cast("long").alias("n"), F.get(part, F.lit(2)).try_cast("long").alias("hits")).filter("n is not null and hits is not null")
+    if modules is not None:
+        rows = rows.join(modules.select("repo", "module"), "repo", "left")
+        rows = rows.withColumn("file", F.when(F.col("file").startswith(F.concat("module", F.lit("/"))), F.substr("file", F.length("module") + 2)).otherwise(F.col("file"))).drop("module")
     zero = F.lit(0).cast("long")
     return rows.groupBy("repo", "file").agg(F.sum(F.when(F.col("hits") > 0, F.col("n")).otherwise(zero)).alias("lh"), F.sum("n").alias("lf")).select("*", zero.alias("fnh"), zero.alias("fnf"))
 
 
-def policies(texts: DataFrame) -> DataFrame:
-    """repo, content of policy files -> repo, table, entry, reason, ord, error.
+POLICY = "repo string, error string, exempt array<struct<table:string,entry:string,reason:string,ord:int>>, gates array<string>, sinks array<string>, state_columns array<string>"
 
-    Exemptions stand as lists, lists of {id, reason} or maps. A file that cannot be read gives a row with its error and
-    no exemptions: the defaults hold, audits are never off.
+
+def policy_files(texts: DataFrame) -> DataFrame:
+    """repo, content of policy files -> a row of POLICY each: exemptions as lists, lists of {id, reason} or {name, reason}, or maps, and a repository's own gate, sink and state patterns.
+
+    Patterns that a file does not give are the defaults. A file that cannot be read gives its error, no exemptions and
+    the defaults: audits are never off.
     """
-    out = pa.schema([("repo", pa.string()), ("table", pa.string()), ("entry", pa.string()), ("reason", pa.string()), ("ord", pa.int32()), ("error", pa.string())])
+    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(POLICY)]
+    defaults = {"gates": list(GATES), "sinks": list(SINKS), "state_columns": list(STATE_COLUMNS)}
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(raw) -> list[tuple[str, str]]:
+        if isinstance(raw, dict):
+            return [(str(k), "" if v is None else str(v)) for k, v in raw.items()]
+        named = [(e.get("id") or e.get("name"), str(e.get("reason", ""))) if isinstance(e, dict) else (e, "") for e in raw or []]
+        return [(str(k), v) for k, v in named if k]
+
+    def of(repo: str, text: str | None) -> dict:
         import yaml
 
+        row = {"repo": repo, "error": None, "exempt": [], **defaults}
+        try:
+            said = yaml.safe_load(text or "") or {}
+            own = said.get("envelope") or {}
+            row["exempt"] = [{"table": t, "entry": k, "reason": v, "ord": n} for t, raw in (said.get("exempt") or {}).items() for n, (k, v) in enumerate(entries(raw))]
+            given = {"gates": own.get("gate_patterns"), "sinks": own.get("sink_patterns"), "state_columns": said.get("state_columns")}
+            return row | {k: [str(x) for x in v] for k, v in given.items() if v}
+        except (yaml.YAMLError, AttributeError, TypeError) as e:
+            return {"repo": repo, "error": str(e)[:200], "exempt": [], **defaults}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for repo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    exempt = (yaml.safe_load(text or "") or {}).get("exempt") or {}
-                    for table, entries in exempt.items():
-                        pairs = list(entries.items()) if isinstance(entries, dict) else [(e.get("id"), e.get("reason", "")) if isinstance(e, dict) else (e, "") for e in entries or []]
-                        rows += [(repo, table, str(i), str(r or ""), n, None) for n, (i, r) in enumerate(pairs)]
-                except (yaml.YAMLError, AttributeError, TypeError) as e:
-                    rows.append((repo, None, None, None, None, str(e)[:200]))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
-
-    return texts.select("repo", "content").mapInArrow(read, "repo string, table string, entry string, reason string, ord int, error string")
+            rows = [of(repo, text) for repo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+
+    return texts.select("repo", "content").mapInArrow(read, POLICY)
+
+
+def policies(texts: DataFrame) -> DataFrame:
+    """repo, content of policy files -> repo, table, entry, reason, ord, error: their exemptions; an unreadable file gives a row with its error."""
+    rows = policy_files(texts)
+    listed = rows.select("repo", "error", F.explode_outer("exempt").alias("e")).filter("e is not null or error is not null")
+    return listed.select("repo", "e.table", "e.entry", "e.reason", "e.ord", "error")
 
 
 def baseline(lines: DataFrame) -> DataFrame:
