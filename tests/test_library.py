@@ -352,3 +352,71 @@ def test_traces_and_quality(spark):
     assert got == {"a": (9, False, 1), "b": (None, False, 2), "c": (None, True, 1)}
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "path string")
     assert {tuple(r) for r in quality.manifest_closure(names("a", "b"), names("b", "c")).collect()} == {("a", "orphan"), ("c", "stale")}
+
+
+def test_long_chains_and_circles_of_reexports(spark):
+    """A chain of 100 links is followed to its end; what goes round in a circle moves nothing."""
+    chain = [(R, f"p{i}", f"p{i + 1}") for i in range(100)] + [(R, "c1", "c2"), (R, "c2", "c3"), (R, "c3", "c1"), (R, "to", "c1"), (R, "self", "self")]
+    rel = edges(spark, [("a.f", "p0", "calls"), ("a.f", "p57", "imports"), ("a.f", "to", "calls"), ("a.f", "self", "calls")])
+    got = {(r["src_id"], r["tgt_id"]) for r in graph.redirect_reexports(rel, spark.createDataFrame(chain, "repo string, phantom_id string, real_id string")).collect()}
+    assert got == {("a.f", "p100"), ("a.f", "to"), ("a.f", "self")}
+
+
+def test_ragged_and_null_vectors(spark):
+    """Vectors of one dimension meet; null, empty and broken ones take part in nothing."""
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0, 1.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [0.0, 0.0]), (8, [1.0, 0.1])], "id long, vec array<float>")
+    q = v.withColumnRenamed("id", "qid")
+    got = {(r["qid"], r["rank"]): r["id"] for r in vectors.topk(v, q, 2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 8, (8, 1): 8, (8, 2): 1, (7, 1): 1, (7, 2): 7, (4, 1): 4}
+
+
+def test_many_query_blocks_give_what_one_gives(spark, sf, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = v.filter("id % 7 = 0").withColumnRenamed("id", "qid")
+    one = sorted(map(tuple, vectors.topk(v, q, 5).select("qid", "rank", "id").collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, vectors.topk(v, q, 5).select("qid", "rank", "id").collect())) == one
+
+
+def test_lists_are_bounded(spark):
+    from treeline.operators.common import listed
+
+    with pytest.raises(ValueError, match="list of over 5"):
+        listed(spark.range(10), 5)
+
+
+def test_python_calls_are_led_to_what_they_mean(spark):
+    found = facts.python_facts("import numpy as np\nfrom m import f as g\n\n\nclass A(Base):\n    def run(self):\n        super().run()\n        self.go(1)\n        x: Store = make()\n        x.put()\n        Store.of(2)\n        Outer.Inner()\n        getattr(x, 'y')\n        np.array([])\n        g()\n")
+    calls = {(c[1], c[2]) for c in found["calls"]}
+    assert {("Base.run", "method"), ("A.go", "method"), ("Store.put", "method"), ("Store.of", "static_method"), ("Outer.Inner.__init__", "constructor"), ("getattr", "dynamic"), ("np.array", "method"), ("g", "function")} <= calls
+    imports = spark.createDataFrame([(R, "a.py", "m", ["f"], ["g"], True, None), (R, "a.py", "numpy", [], [], False, "np")], "repo string, rel_path string, module string, names array<string>, aliases array<string>, is_from boolean, alias string")
+    names = resolve.imported_names(imports, spark.createDataFrame([(R, "m")], "repo string, top string"))
+    assert {(r["name"], r["target"], r["external"]) for r in names.collect()} == {("g", "m.f", False), ("np", "numpy", True)}
+
+
+def test_statements():
+    from treeline.operators.statements import schema_events, written_literals
+
+    sql = "CREATE TABLE a.t (\n status text DEFAULT 'new' CHECK (status IN ('new',\n 'old')),\n n int DEFAULT 3\n);\nALTER TABLE t DROP CONSTRAINT c, ADD CONSTRAINT c CHECK (\"status\" IN ('only'));\nDROP TABLE IF EXISTS u;\nSELECT 1 WHERE x IN (1, 'a');\nCREATE TYPE \"mood\" AS ENUM ('up','down');\n"
+    got = [(e["event"], e["table"], e["column"], tuple(e["values"]), e["is_replace"], e["line_start"], e["line_end"]) for e in schema_events(sql)]
+    assert got == [("default", "a.t", "status", ("new",), False, 2, 2), ("check", "a.t", "status", ("new", "old"), False, 2, 3), ("check", "t", "status", ("only",), True, 6, 6), ("drop_table", "u", "", (), False, 7, 7), ("enum", "", "mood", ("up", "down"), False, 9, 9)]
+    code = "x('''INSERT INTO t (a, b) VALUES ('1', f(2, '3')), ('4', 'x,(y') ON CONFLICT (a) DO UPDATE SET b = '5', c = 6''')\ny = '7'\nz(\"UPDATE t SET a = '8', b='9' WHERE c = '10'\")\ninsert into\nupdate"
+    assert [(t, c, v) for t, c, v, _ in written_literals(code)] == [("t", "a", "1"), ("t", "a", "4"), ("t", "b", "x,(y"), ("t", "b", "5"), ("t", "a", "8"), ("t", "b", "9")]
+
+
+def test_policy_patterns(spark):
+    texts = spark.createDataFrame([("a", "exempt:\n  states: [x, {name: y, reason: z}]\nenvelope:\n  gate_patterns: [mine]\nstate_columns: [flag]\n"), ("b", "{"), ("c", "")], "repo string, content string")
+    got = {r["repo"]: r for r in readers.policy_files(texts).collect()}
+    assert (got["a"]["gates"], got["a"]["state_columns"], got["a"]["sinks"]) == (["mine"], ["flag"], list(text.SINKS))
+    assert [(e["entry"], e["reason"]) for e in got["a"]["exempt"]] == [("x", ""), ("y", "z")]
+    assert got["b"]["error"] and got["b"]["gates"] == got["c"]["gates"] == list(text.GATES) and not got["c"]["error"]
+
+
+def test_audit_scan_skips_folders(spark, tmp_path):
+    for name in ("src/a.py", "node_modules/b.js", ".venv-p0/c.py", "vendor/d.go", "tests/e.py", "x/indexes/f.py", "pic.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    links = spark.createDataFrame([("tests/e.py",)], "rel_path string")
+    assert {r["rel_path"] for r in readers.audit_corpus(spark, str(tmp_path), R).collect()} == {"src/a.py", "tests/e.py"}
+    assert {r["rel_path"] for r in readers.audit_corpus(spark, str(tmp_path), R, links=links).collect()} == {"src/a.py"}
+    assert {r["rel_path"] for r in readers.corpus(spark, str(tmp_path), R).collect()} == {"src/a.py", "vendor/d.go", "x/indexes/f.py"}
