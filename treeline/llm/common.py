@@ -51,7 +51,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/treeline-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and outlives lost executors."""
     at = scratch_path(df.sparkSession, what)
     small_batches(df.sparkSession)
