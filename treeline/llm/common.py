@@ -90,6 +90,7 @@ def per_row(make: Callable[[], Callable[..., tuple]], out: pa.Schema) -> Callabl
                 rows = [each(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return run
 

@@ -15,7 +15,8 @@ empty or clean results; columns other than the named ones are passed over.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,15 @@ RUN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 RUNS = "array<struct<start:long,end:long>>"
 
 
+@dataclass(frozen=True)
+class Finish:
+    """A function of find_hits' values, and the columns before the carried ones that it gives."""
+
+    each: Callable[..., tuple]
+    fields: tuple[pa.Field, ...]
+    schema: str
+
+
 def carried(docs: DataFrame, carry: Sequence[str]) -> tuple[list[pa.Field], str]:
     """The carried columns as Arrow fields and as the end of a schema string."""
     fields = [docs.schema[c] for c in carry]
@@ -135,14 +145,20 @@ def found_by(windows: WindowSet, text: str | None) -> tuple[int, list[dict], lis
     return len(words), [{"start": a, "end": b} for a, b in runs_of(hit)], sorted(items)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, carry: Sequence[str] = ()) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, n_words, runs array<struct<start, end>> of hit words, items array<string>, and the carried columns."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, carry: Sequence[str] = (), finish: Finish | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text, n_words, runs array<struct<start, end>> of hit words, items array<string>, and the carried columns.
+
+    finish, where given, makes other columns of these values in the same pass over a row.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     more, kinds = carried(docs, carry)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("runs", RUN), ("items", pa.list_(pa.string())), *more])
     schema = f"doc_id long, text string, n_words long, runs {RUNS}, items array<string>{kinds}"
+    last = finish.each if finish else lambda *row: row
+    if finish:
+        out, schema = pa.schema([*finish.fields, *more]), finish.schema + kinds
     windows = benchmark_windows(benchmark, n, block_windows)
     blocks = windows.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
     if blocks == 1:
@@ -150,7 +166,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows:
 
         def make():
             own = shared.value
-            return lambda doc_id, text, *rest: (doc_id, text, *found_by(own, text), *rest)
+            return lambda doc_id, text, *rest: last(doc_id, text, *found_by(own, text), *rest)
 
         return rows.mapInArrow(per_row(make, out), schema)
 
@@ -176,7 +192,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows:
             hit = np.zeros(len(words_of(text)), dtype=bool)
             for r in runs or []:
                 hit[r["start"] : r["end"]] = True
-            return doc_id, text, len(hit), [{"start": a, "end": b} for a, b in runs_of(hit)], items or [], *rest
+            return last(doc_id, text, len(hit), [{"start": a, "end": b} for a, b in runs_of(hit)], items or [], *rest)
 
         return each
 
@@ -208,15 +224,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share
 
     Spans of benchmark windows are cut from the text. A document with over drop_share of its words hit is marked dropped.
     """
-    more, kinds = carried(docs, carry)
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("dropped", pa.bool_()), *more])
-
-    def make():
-        def each(doc_id, text, n_words, runs, *rest):
-            hit = sum(r["end"] - r["start"] for r in runs)
-            return doc_id, cleaned_text(text, runs), hit > drop_share * max(1, n_words), *rest
-
-        return each
+    def each(doc_id, text, n_words, runs, items, *rest):
+        hit = sum(r["end"] - r["start"] for r in runs)
+        return doc_id, cleaned_text(text, runs), hit > drop_share * max(1, n_words), *rest
 
-    hits = find_hits(docs, benchmark, n, carry=carry)
-    return hits.select("doc_id", "text", "n_words", "runs", *carry).mapInArrow(per_row(make, out), f"doc_id long, text string, dropped boolean{kinds}")
+    fields = (pa.field("doc_id", pa.int64()), pa.field("text", pa.string()), pa.field("dropped", pa.bool_()))
+    return find_hits(docs, benchmark, n, carry=carry, finish=Finish(each, fields, "doc_id long, text string, dropped boolean"))
