@@ -66,6 +66,13 @@ def test_mix_meets_targets(docs):
         assert taken - passes * sizes[s] == max(x for x in sums if x <= round(target - passes * sizes[s]))
 
 
+def test_mix_does_not_depend_on_the_order_of_rows(spark, docs):
+    """However rows lie, the same documents are taken as often."""
+    rows = docs.select("doc_id", "text", F.lit("a").alias("source")).unionByName(docs.select(F.col("doc_id") + 1000, F.concat("text", F.lit(" x y z")), F.lit("b"))).persist()
+    one, two = (sorted(mixing.mix(rows.repartition(n, F.rand(n))).select("doc_id", "copies").collect()) for n in (3, 11))
+    assert one == two
+
+
 def test_knapsack_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(30):

@@ -143,18 +143,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     per_language = min(per_language, max(1, SAMPLE // len(counts)))
     draw = (F.xxhash64("doc_id", F.lit(10)) / F.lit(2.0**64)) + 0.5
     chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    out = pa.schema([("lang", pa.string()), ("draw", pa.float64()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
+    out = pa.schema([("lang", pa.string()), ("draw", pa.float64()), ("hash", pa.int64()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
 
     def make():
-        def each(lang, text, draw):
+        def each(lang, text, draw, hashed):
             at, n = np.unique(grams(text), return_counts=True) if has_letter(text) else (np.zeros(0, dtype=int), np.zeros(0))
-            return lang, draw, at.tolist(), (n / max(1, n.sum())).tolist()
+            return lang, draw, hashed, at.tolist(), (n / max(1, n.sum())).tolist()
 
         return each
 
-    sample = known.withColumn("draw", draw).filter(F.col("draw") < chance[F.col("lang")]).select("lang", "text", "draw")
-    rows = sample.mapInArrow(per_row(make, out), "lang string, draw double, at array<int>, share array<float>").filter(F.size("at") > 0)
-    got = rows.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
+    sample = known.withColumn("draw", draw).filter(F.col("draw") < chance[F.col("lang")]).select("lang", "text", "draw", F.xxhash64("text").alias("hash"))
+    rows = sample.mapInArrow(per_row(make, out), "lang string, draw double, hash long, at array<int>, share array<float>").filter(F.size("at") > 0)
+    got = rows.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("hash", "ascending")])
     arrays = lambda c: [x.values.to_numpy() for x in got[c]]
     return fit(list(zip(got["lang"].to_pylist(), arrays("at"), arrays("share"), strict=True)))
 

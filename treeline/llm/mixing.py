@@ -156,6 +156,7 @@ def plan_lengths(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("size")  # rows come in any order, and reruns must agree
         total, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
         passes = int(target // total) if total else 0
         budget = int(round(target - passes * total))
