@@ -68,8 +68,8 @@ def test_mix_meets_targets(docs):
 
 def test_mix_does_not_depend_on_the_order_of_rows(spark, docs):
     """However rows lie, the same documents are taken as often."""
-    rows = docs.select("doc_id", "text", F.lit("a").alias("source")).unionByName(docs.select(F.col("doc_id") + 1000, F.concat("text", F.lit(" x y z")), F.lit("b"))).persist()
-    one, two = (sorted(mixing.mix(rows.repartition(n, F.rand(n))).select("doc_id", "copies").collect()) for n in (3, 11))
+    rows = docs.select("doc_id", "text", F.lit("a").alias("source")).unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), F.concat("text", F.lit(" x y z")).alias("text"), F.lit("b").alias("source")))
+    one, two = (sorted(mixing.mix(rows.orderBy(F.rand(n))).select("doc_id", "copies").collect()) for n in (3, 11))
     assert one == two
 
 
