@@ -25,6 +25,7 @@ COLUMNS = {
     "op8_jaccard_join": {"doc_id", "n_shingles", "component_id"},
     "op9_token_output": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
 }
 
 
@@ -42,7 +43,7 @@ def texts(spark, sf):
 def test_columns_and_rows(results, texts, spark, sf, name):
     got = results[name]
     assert COLUMNS[name] <= set(got[0])
-    assert len(got) == (spark.read.parquet(f"{sf}/pages.parquet").count() if name.startswith("op6") else len(texts))
+    assert len(got) == (spark.read.parquet(f"{sf}/pages.parquet").count() if name.startswith(("op6", "op11")) else len(texts))
 
 
 @pytest.mark.parametrize(("name", "folds", "out"), [("op5_quality", 5, 0), ("op10_language_id", 4, 2)])
