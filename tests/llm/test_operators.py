@@ -256,6 +256,38 @@ def test_pii_finds_by_context(spark):
     assert all(not got[i]["added"] and len(got[i]["base"]) == 1 for i in range(8))
 
 
+def test_pii_recall_of_planted_identifiers(spark):
+    """Card numbers with a wrong digit and addresses out of range, in the company of right ones: at least nine of ten are found, and no number elsewhere."""
+    rng = np.random.default_rng(8)
+    leads = {"card": ["account", "card no.", "konto:"], "ip": ["host", "from", "server ="]}
+    rows, planted = [], {}
+    for i in range(900):
+        kind = ("card", "ip")[i % 2]
+        good = i % 3 > 0
+        while True:
+            value = "".join(map(str, rng.integers(0, 10, 16))) if kind == "card" else f"{rng.integers(1, 10)}{rng.integers(10, 30)}.10.20.{rng.integers(100, 1000)}"
+            if good == (luhn(value) if kind == "card" else all(int(x) < 256 for x in value.split("."))):
+                break
+        text = f"say {rng.choice(leads[kind])} "
+        if not good:
+            planted[i] = (2 if kind == "card" else 1, len(text), len(text) + len(value))
+        rows.append((i, f"{text}{value} and more"))
+    rows += [(1000 + i, f"chapter {rng.integers(10**15, 10**16)} of {rng.integers(300, 999)}.10.20.{rng.integers(300, 999)}") for i in range(100)]
+    got = rows_of(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = sum([tuple(s) for s in got[i]["added"]] == [span] for i, span in planted.items())
+    assert len(planted) == 300 and found >= 0.9 * len(planted)
+    assert not any(got[1000 + i]["added"] for i in range(100))
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """The work on a text does not grow with the square of its matches."""
+    n = 10_000
+    text = " ".join(f"w{i} 10.0.{i % 256}.1, 😀 {i:07d}" for i in range(n))
+    [got] = pii.digest(pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    spans = plain_spans(text)
+    assert got["n_ip"] == n == len(spans) and got["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
 def test_pii_awkward(spark, odd):
     assert pii.personal_data(odd).count() == 12 and pii.personal_data(empty(spark)).count() == 0
 

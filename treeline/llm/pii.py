@@ -4,24 +4,27 @@ DataFrame functions only. Base matches (seeds) and other words with a digit or a
 shape (digits as 9, letters as a) and the word before it. A lexical pattern is a word before and a shape. Patterns
 and values form a graph that Spark scores in rounds: a pattern's confidence in a kind is the mean score of its
 distinct values, a value's score the noisy-or of its confident patterns, seeds staying at 1. Scores never fall, and
-rounds go on until no further value passes the threshold. Values over the threshold that no base pattern covers give
+rounds go on until none rises by more than RISE. Values over the threshold that no base pattern covers give
 new spans of that kind. A candidate is one word, so an identifier that is written in several words and that no base
 pattern knows is found word by word or not at all.
 
+A text is cut at its matches into lengths, and matches become rows: positions are running sums of lengths over a text's rows, and
+a candidate that touches a seed is told by the running maximum of where seeds end. So the work on a text of n matches is that of sorting n small rows.
+
 Base kinds, leftmost and non-overlapping each: email; ip with parts to 255; card of 16 to 19 digits passing Luhn;
 phone of 8 to 15 digits. Matches that fail are dropped, not retried. Positions are code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows each get their own result; values that several kinds
 claim go to the likeliest, then the first of the list above; an empty table gives an empty result; columns other than
-doc_id and text are never read. Regular expressions never go back over a run of characters that has failed, so very
-long texts and words take linear time.
+doc_id and text are never read. Regular expressions never go back over a run of characters that has failed, so they take
+linear time on very long texts and words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import written
@@ -41,21 +44,14 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: A pattern counts from this confidence on and with at least so much of seeds' score behind it; a value from this score on.
 CONFIDENT, SUPPORT, FOUND = 0.6, 3.0, 0.8
+#: Rounds end when no score rises by more.
+RISE = 0.001
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before>> of a pattern's matches; before is what stands between this match and the last one."""
+def cut_at(text: Column, pattern: str) -> Column:
+    """array<struct<value, before>> of a pattern's matches in order; before is what stands between this match and the last one."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("before"), found.alias("value"))
-    row = "struct<start:int,end:int,value:string,before:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{row}>").alias("rows"))
-
-    def step(done: Column, pair: Column) -> Column:
-        begin = done["at"] + F.length(pair["before"])
-        end = begin + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(done["rows"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["before"].alias("before")))).alias("rows"))
-
-    return F.aggregate(pairs, start, step, lambda done: done["rows"])
+    return F.arrays_zip(found.alias("value"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("before"))
 
 
 def digits(value: Column) -> Column:
@@ -80,14 +76,6 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The kind's valid matches. Texts without the kind's tell-tale character are not searched."""
-    mark = {"email": "@", "phone": "+"}.get(kind)
-    there = text.contains(mark) if mark else text.rlike("[0-9]\\.[0-9]" if kind == "ip" else "[0-9]")
-    some = F.filter(located(text, PATTERNS[kind]), lambda m: passes(kind, m["value"]))
-    return F.when(there, some).otherwise(F.filter(located(F.lit(""), "x"), lambda m: F.lit(False)))
-
-
 def shape(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]", "a")
 
@@ -97,30 +85,50 @@ def word_before(before: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(before, "(?<!\\S)(\\S++)\\s*+$", 1)), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
 
 
-def with_mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, base array<struct<kind, start, end>>, mentions array<struct<kind, start, end, value, pattern>>; kind is the place in KINDS, -1 for candidates."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(located(F.lit(""), "x")).alias("words"))
-
-    def mention(kind: int, m: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), word_before(m["before"]).alias("word"))
+def matches(text: Column, kind: int) -> Column:
+    """A kind's matches, -1 for candidates, in order: struct<kind, place, gap, size, lead, length, fits, value, pattern>.
 
-    def trimmed(m: Column) -> Column:
-        lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], "^[^A-Za-z0-9]+", ""))
-        value = F.regexp_replace(F.regexp_replace(m["value"], "^[^A-Za-z0-9]+", ""), "(?<=[A-Za-z0-9])[^A-Za-z0-9]+$", "")
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(value)).alias("end"), value.alias("value"), m["before"].alias("before"))
-
-    def as_mention(kind: int) -> Callable[[Column], Column]:
-        return lambda m: mention(kind, m)
-
-    seeds = F.concat(*[F.transform(k, as_mention(i)) for i, k in enumerate(KINDS)])
-    rows = rows.select("doc_id", seeds.alias("seeds"), F.transform("words", lambda m: mention(-1, trimmed(m))).alias("words"))
-    clear = F.filter("words", lambda w: (F.length(w["value"]) > 0) & ~F.exists("seeds", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return rows.select("doc_id", F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.concat("seeds", clear).alias("mentions"))
+    gap is how far the match stands behind the one before it, and size is its length. What counts of it is `length` code points from
+    `lead` on, if it fits. Texts without the kind's tell-tale character are not searched.
+    """
+    name = KINDS[kind] if kind >= 0 else "candidate"
+    there = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike("[0-9]\\.[0-9]"), "card": text.rlike("[0-9]"), "candidate": text.rlike("[0-9@]")}[name]
+
+    def one(m: Column, place: Column) -> Column:
+        value = m["value"]
+        if kind < 0:
+            tail = F.regexp_replace(value, "^[^A-Za-z0-9]+", "")
+            lead, value = F.length(value) - F.length(tail), F.regexp_replace(tail, "(?<=[A-Za-z0-9])[^A-Za-z0-9]+$", "")
+            fits = F.length(value) > 0
+        else:
+            lead, fits = F.lit(0), passes(name, value)
+        parts = [F.lit(kind).alias("kind"), place.alias("place"), F.length(m["before"]).alias("gap"), F.length(m["value"]).alias("size"), lead.alias("lead"), F.length(value).alias("length"), fits.alias("fits")]
+        return F.struct(*parts, F.xxhash64(value).alias("value"), F.xxhash64(word_before(m["before"]), shape(value)).alias("pattern"))
+
+    return F.transform(cut_at(F.when(there, text).otherwise(""), PATTERNS.get(name, CANDIDATE)), one)
+
+
+def with_mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents(row, doc_id) and mentions(row, kind, start, end, value, pattern), both written: valid base matches, and candidates, of kind -1, that touch none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    found = F.concat(*[matches(F.col("text"), k) for k in (*range(len(KINDS)), -1)])
+    each = written(rows.select("row", "doc_id", F.posexplode_outer(found).alias("at", "m")).select("row", "doc_id", "at", "m.*"), "matches")
+    documents = each.filter("at is null or at = 0").select("row", "doc_id")
+
+    in_kind = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.filter("kind is not null").drop("doc_id", "at").repartition("row").withColumn("start", F.sum(F.col("gap") + F.col("size")).over(in_kind) - F.col("size") + F.col("lead"))
+    placed = placed.filter("fits").withColumn("end", F.col("start") + F.col("length"))
+    seed = F.col("kind") >= 0
+    # Seeds come in where they begin, candidates where they end, before the seeds that begin there.
+    up_to = Window.partitionBy("row").orderBy(F.when(seed, F.col("start")).otherwise(F.col("end")), seed).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    touched = F.max(F.when(seed, F.col("end"))).over(up_to)
+    clear = placed.withColumn("touched", touched).filter(seed | F.col("touched").isNull() | (F.col("touched") <= F.col("start")))
+    return documents, written(clear.select("row", "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value", "pattern"), "mentions")
 
 
 def scored_values(mentions: DataFrame) -> DataFrame:
-    """mentions(kind, value, pattern) -> value, kind, score: the graph's values once no further one passes FOUND.
+    """mentions(kind, value, pattern) -> value, kind, score: the graph's values once no score rises by more than RISE.
 
     What is joined is written first, so that joins meet plain tables and can split the rows of a frequent value or pattern.
     """
@@ -128,29 +136,29 @@ def scored_values(mentions: DataFrame) -> DataFrame:
     links = written(edges.select("pattern", "value").distinct(), "pattern-links")
     scores = written(edges.filter("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "seed-values")
     sizes = links.groupBy("pattern").agg(F.count("*").alias("values"))
-    passed = -1
     while True:
-        now = scores.filter(F.col("score") >= FOUND).count()
-        if now == passed:
-            return scores
-        passed = now
         behind = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
         patterns = behind.join(sizes, "pattern").withColumn("confidence", F.col("support") / F.col("values"))
         patterns = written(patterns.filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern", "kind", "confidence"), "patterns")
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         reached = links.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        scores = written(reached.unionByName(scores).groupBy("value", "kind").agg(F.max("score").alias("score")), "value-scores")
+        both = reached.withColumn("was", F.lit(0.0)).unionByName(scores.withColumn("was", F.col("score")))
+        further = written(both.groupBy("value", "kind").agg(F.max("score").alias("score"), F.max("was").alias("was")), "value-scores")
+        scores = further.select("value", "kind", "score")
+        if further.filter(F.col("score") > F.col("was") + RISE).isEmpty():
+            return scores
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, base and added, arrays of struct<kind, start, end> with kind as the place in KINDS."""
-    rows = written(with_mentions(docs).withColumn("row", F.monotonically_increasing_id()), "mentions")
-    each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.kind", "m.start", "m.end", F.xxhash64("m.value").alias("value"), F.xxhash64(F.col("m.word"), shape(F.col("m.value"))).alias("pattern"))
-    found = scored_values(each).filter(F.col("score") >= FOUND)
+    documents, mentions = with_mentions(docs)
+    found = scored_values(mentions.select("kind", "value", "pattern")).filter(F.col("score") >= FOUND)
     best = written(found.groupBy("value").agg(F.max_by("kind", F.struct(F.col("score"), -F.col("kind"))).alias("found")), "found-values")
-    added = each.filter("kind < 0").join(best, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("found").alias("kind"), "start", "end")).alias("added"))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    base = mentions.filter("kind >= 0").select("row", F.struct("kind", "start", "end").alias("base"))
+    added = mentions.filter("kind < 0").join(best, "value").select("row", F.struct(F.col("found").alias("kind"), "start", "end").alias("added"))
+    spans = documents.unionByName(base, allowMissingColumns=True).unionByName(added, allowMissingColumns=True)
+    lists = [F.array_sort(F.collect_list(c)).alias(c) for c in ("base", "added")]
+    return spans.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *lists).drop("row")
 
 
 def listed(spans: Column) -> Column:
