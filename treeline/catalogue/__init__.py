@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeline.catalogue import audits, corpus, evidence, graph, portfolio
+from treeline.catalogue import audits, corpus, evidence, graph, portfolio, stores
 
-PARTS = (graph, corpus, audits, evidence, portfolio)
+PARTS = (graph, corpus, audits, evidence, portfolio, stores)
 
 
 def queries() -> dict:

@@ -151,18 +151,18 @@ FOUND = "SELECT 'tpc' AS repo, seed, id, min(depth) AS depth FROM walk GROUP BY
 
 @query(walk_sql(BACK, 2) + FOUND)
 def khop_callers(t: Tables) -> DataFrame:
-    return graph.khop(edges_of(t), t.seeds(), 2, "callers", t.entities())
+    return graph.khop(t.relations(), t.seeds(), 2, "callers", t.entities())
 
 
 @query(walk_sql(OUT, 3).replace(cte()["seeds"], "SELECT n AS id FROM nat") + FOUND)
 def khop_callees(t: Tables) -> DataFrame:
     seeds = t.nations().select(F.lit(REPO).alias("repo"), F.col("n").alias("seed"), F.col("n").alias("id"))
-    return graph.khop(edges_of(t), seeds, 3, "callees", t.entities())
+    return graph.khop(t.relations(), seeds, 3, "callees", t.entities())
 
 
 @query(walk_sql(f"{BACK} UNION {OUT}", 2) + FOUND)
 def khop_both(t: Tables) -> DataFrame:
-    return graph.khop(edges_of(t), t.seeds(), 2, "both", t.entities())
+    return graph.khop(t.relations(), t.seeds(), 2, "both", t.entities())
 
 
 @query(with_tables("edges ent", "hit AS (SELECT '_s7' AS seed, id FROM ent WHERE id='_s7' OR id LIKE '%._s7' OR contains(name,'_s7')), near AS (SELECT seed, id FROM hit UNION SELECT h.seed, e.src_id FROM hit h JOIN edges e ON e.tgt_id=h.id UNION SELECT h.seed, e.tgt_id FROM hit h JOIN edges e ON e.src_id=h.id)") + "SELECT 'tpc' AS repo, a.seed, e.src_id, e.tgt_id, e.kind FROM edges e JOIN near a ON a.id=e.src_id JOIN near b ON b.id=e.tgt_id AND a.seed=b.seed")

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a list (rules, globs, names asked for) that is matched by a pattern and not by equality.
 LISTED = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read from the cluster's checkpoint folder. Only in local mode, where all is one process, it may be unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        at = context.getConf().get("spark.checkpoint.dir", None)
-        if not at and not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors and the driver see, spark.checkpoint.dir. Only in local mode, where all is one process, it may be unset."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="treeline-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
+        at = context.getCheckpointDir()
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, written to the shared folder and read from there: plans stay short, lost executors cost nothing that is done, and readers keep sizes, columns and compression."""
+    at = f"{shared_dir(df.sparkSession)}/treeline-cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def listed(df: DataFrame, most: int = LISTED) -> DataFrame:

@@ -64,14 +64,11 @@ def blocks_of(rows: DataFrame, key: str, most: int = BLOCK_VALUES) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), "vec").filter(whole).mapInArrow(run, "dim int, keys array<long>, units binary")
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors(id long, vec), queries(qid long, vec) -> qid, id, score, rank: the k most alike by cosine, ties by id.
+HIT = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
-    Both sides are packed into blocks in tasks, and blocks of one dimension meet: up to BROADCAST_BLOCKS blocks of
-    queries go to every task, more are met partition by partition. A pair of blocks is one matrix product, of which
-    each query's k best go on, so one small shuffle on qid finishes.
-    """
-    out = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+def met(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs(dim, keys, units, qkeys, qunits) of blocks -> qid, id, score: the k best of each query in each pair, by one matrix product."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +78,28 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 for lo in range(0, len(qids), 256):
                     scores = asked[lo : lo + 256] @ rows.T
                     order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + 256], order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + 256], order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], schema=HIT)
+
+    return pairs.select("dim", "keys", "units", "qkeys", "qunits").mapInArrow(best, "qid long, id long, score double")
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits of each query with their rank, ties by id."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors(id long, vec), queries(qid long, vec) -> qid, id, score, rank: the k most alike by cosine, ties by id.
 
+    Both sides are packed into blocks in tasks, and blocks of one dimension meet: up to BROADCAST_BLOCKS blocks of
+    queries go to every task, more are met partition by partition. A pair of blocks is one matrix product, of which
+    each query's k best go on, so one small shuffle on qid finishes. Every query meets every vector: for many queries
+    there are the lists of operators.inverted.
+    """
     asked = cut(blocks_of(queries, "qid")).withColumnsRenamed({"keys": "qkeys", "units": "qunits"})
     few = asked.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
-    met = blocks_of(vectors, "id").join(F.broadcast(asked) if few else asked.hint("shuffle_replicate_nl"), "dim")
-    found = met.select("dim", "keys", "units", "qkeys", "qunits").mapInArrow(best, "qid long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked(met(blocks_of(vectors, "id").join(F.broadcast(asked) if few else asked.hint("shuffle_replicate_nl"), "dim"), k), k)
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.operators import graph, vectors
+from treeline.operators import graph, inverted, vectors
 from treeline.operators.common import cut
 from treeline.sources.reports import RELATIONS, context
 
@@ -23,7 +23,7 @@ def pieces(chunks: DataFrame) -> DataFrame:
     return cuts.filter(F.regexp_replace("content", r"\s+", "") != "").select("repo", F.concat("id", F.lit("#"), (F.col("at") + 1).cast("string")).alias("id"), "content")
 
 
-def retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, k: int = 10, depth: int = 1, embed_texts: Callable | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, k: int = 10, depth: int = 1, embed_texts: Callable | None = None, exact: bool = True) -> DataFrame:
     """queries(qid, text), entities(repo, id, kind, description), chunks(repo, id, content) -> qid, hits, context: as retrieve_with_graph, after embedding.
 
     Chunks are cut into pieces first, so that all of a text can be found.
@@ -36,15 +36,21 @@ def retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, chun
         return vectors.embed(named, embed_texts, chars=None).select(F.col("id").cast("long").alias("id"), "owner", "vec")
 
     asked = vecs(queries.withColumn("key", F.col("qid")), "text", "query").select(F.col("id").alias("qid"), "vec")
-    return retrieve_with_graph(vecs(parts, "content", "chunk").unionByName(vecs(ents, "description", "entity")), asked, ents, relations, parts, k, depth)
+    return retrieve_with_graph(vecs(parts, "content", "chunk").unionByName(vecs(ents, "description", "entity")), asked, ents, relations, parts, k, depth, exact)
 
 
-def retrieve_with_graph(vectors_: DataFrame, query_vectors: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, k: int = 10, depth: int = 1) -> DataFrame:
+def retrieve_with_graph(vectors_: DataFrame, query_vectors: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, k: int = 10, depth: int = 1, exact: bool = True) -> DataFrame:
     """qid, hits, context of each query that finds anything: entities and chunks nearest to it, the relations around the entities, and all that written.
 
     vectors_(id long, owner, vec), entities(repo, id, kind, key), chunks(repo, id, content, key): key names a row in vectors_.
+    All vectors have one dimension. They are listed by cells (operators.inverted); without `exact` only the nearest lists are searched.
     """
-    hit = lambda owner: cut(vectors.dedupe_hits(vectors.topk(vectors_.filter(F.col("owner") == owner).select("id", "vec"), query_vectors, k)))
+    vectors_, asked = cut(vectors_), cut(query_vectors)
+
+    def hit(owner: str) -> DataFrame:
+        index = inverted.built(vectors_.filter(F.col("owner") == owner).select("id", "vec"))
+        return cut(vectors.dedupe_hits(inverted.search(index, asked, k, exact=exact)))
+
     e = cut(hit("entity").join(entities.withColumnRenamed("id", "entity").withColumnRenamed("key", "id"), "id").select("qid", "repo", F.col("entity").alias("id"), "kind", "score"))
     near = hit("chunk")
     c = near.join(chunks.withColumnRenamed("id", "chunk").withColumnRenamed("key", "id"), "id").select("qid", F.col("chunk").alias("id"), "content", "score")
