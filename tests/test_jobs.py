@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.operators import evidence, vectors
+from treeline.operators import audit, evidence, vectors
 from treeline.plans import jobs
 from treeline.sources import readers
 
@@ -73,3 +73,32 @@ def test_configuration_evidence(spark):
     assert table(evidence.interpolations(files), "key") == [("IMAGE_TAG",)]
     drops = evidence.drop_events(tree(spark, {"a.sql": "ALTER TABLE t DROP COLUMN c;\nDROP TABLE u;\n"}))
     assert table(drops.fillna(""), "table", "column") == [("t", "c"), ("u", "")]
+
+
+def test_repositories_do_not_mix(spark):
+    """Two repositories with the same paths: exemptions, commits and coverage of one say nothing of the other."""
+    findings = spark.createDataFrame([("a", "e", "x1", "dead"), ("b", "e", "x1", "dead"), ("b", "e", "x2", "dead")], "repo string, table string, id string, verdict string")
+    rules = spark.createDataFrame([("a", "e", "x1", "why", 1), ("a", "e", "x[2-9]", "class", 2), ("b", "e", "y*", "stale", 1)], "repo string, table string, entry string, reason string, ord int")
+    assert table(audit.apply_exemptions(findings, rules).fillna("-"), "repo", "id", "exempt_reason") == [("a", "x1", "why"), ("b", "x1", "-"), ("b", "x2", "-")]
+    assert table(audit.stale_exemptions(findings, rules), "repo", "entry") == [("a", "x[2-9]"), ("b", "y*")]
+    body = {"m.py": "def f():\n    pass\n"} | {f"u{i}.py": "from m import f\n\n\ndef g():\n    f()\n" for i in range(12)}
+    files = readers.as_files(spark.createDataFrame([("b", p, c) for p, c in body.items()] + [("a", "m.py", body["m.py"])], "repo string, rel_path string, content string"))
+    built = jobs.build(files)
+    hunks = spark.createDataFrame([("a", "c1", "m.py", "modified", 2, 2), ("b", "c1", "m.py", "modified", 2, 2)], "repo string, commit string, path string, change_type string, start int, end int")
+    want = [("a", "c1", "low", 0), ("b", "c1", "high", 12)]
+    assert table(jobs.judge_change(hunks, built["entities"], built["relations"]), "repo", "commit", "level", "callers") == want
+    assert table(jobs.judge_change(hunks.drop("repo").distinct(), built["entities"], built["relations"]), "repo", "commit", "level", "callers") == want
+
+
+def test_paths_with_brackets(spark):
+    lines = ["go('/app/(auth)/login')", "go(`/a/(b)/c/d`)", "go('/x/y/(z)')"]
+    got = [sorted(r[0]) for r in spark.createDataFrame([(line,) for line in lines], "line string").select(evidence.line_paths(F.col("line"))).collect()]
+    assert got == [["/login"], ["/c", "/c/d"], ["/x/y"]]
+
+
+def test_settings_and_handlers_are_parsed(spark):
+    code = "env_prefix: str = ''\nclass A(BaseSettings):\n    model_config = dict(env_prefix='app_')\n    Port: int\n    port: int = 1\n    host = 'x'\n\n\nclass B:\n    class Config:\n        env_prefix = 'old_'\n    url: str\n"
+    files = tree(spark, {"conf/a.py": code, "conf/broken.py": "env_prefix='z_'\nclass X(:\n    y: int\n", "tests/t.py": code})
+    assert table(evidence.settings_keys(files), "key") == [("APP_PORT",), ("APP_URL",), ("OLD_PORT",), ("OLD_URL",)]
+    routes = "@router.get('/a')\n@require_admin\nasync def a(\n    x: int = 1,\n): return 1\n\n\n@app.route('/b', methods=['POST'])\ndef b(user=Depends(current_user)):\n    pass\n\n\n@router.post('/c')\ndef c():\n    current_user()\n\n\n@cached\ndef d(): pass\n\n\n@a.b.get('/e')\ndef e(): pass\n"
+    assert table(evidence.routed_handlers(tree(spark, {"api.py": routes})), "handler", "guarded") == [("a", True), ("b", True), ("c", False)]

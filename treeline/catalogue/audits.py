@@ -127,6 +127,14 @@ def exemption_match(t: Tables) -> DataFrame:
     return audit.apply_exemptions(open_findings(t), exemptions(t))
 
 
+@query("WITH f AS (SELECT 'n'||c_nationkey AS repo, 'states' AS \"table\", c_mktsegment||'/'||(c_custkey%10) AS id, c_custkey AS n FROM customer) SELECT f.*, CASE WHEN repo='n1' AND id='BUILDING/3' THEN 'exact' WHEN repo='n1' AND regexp_matches(id,'^[AB].*/[0-4]$') THEN 'low' WHEN repo='n2' AND NOT regexp_matches(id,'/[13579]$') THEN 'even' END AS exempt_reason FROM f")
+def exemption_repos(t: Tables) -> DataFrame:
+    """Nations are repositories with the same findings; policies of two of them, with character classes, hold there alone."""
+    findings = t.customer.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repo"), F.lit("states").alias("table"), F.concat("c_mktsegment", F.lit("/"), (F.col("c_custkey") % 10).cast("string")).alias("id"), F.col("c_custkey").alias("n"))
+    rules = [("n1", "states", "[AB]*/[0-4]", "low", 1), ("n1", "states", "BUILDING/3", "exact", 2), ("n2", "states", "*/[!13579]", "even", 1)]
+    return audit.apply_exemptions(findings, t.spark.createDataFrame(rules, "repo string, table string, entry string, reason string, ord int"))
+
+
 USED = "SELECT 'GET /the' AS entry WHERE EXISTS (SELECT 1 FROM f WHERE id='GET /the') UNION ALL SELECT 'GET /never' WHERE EXISTS (SELECT 1 FROM f WHERE id='GET /never') UNION ALL SELECT 'GET /th*' WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(id,'GET /th')) UNION ALL SELECT 'GET /*e' WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(id,'GET /') AND ends_with(id,'e')) UNION ALL SELECT 'PUT *' WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(id,'PUT '))"
 ENTRIES = ", ".join(f"('{a}','{b}','{c}',{d})" for a, b, c, d in EXEMPTIONS)
 

@@ -101,6 +101,19 @@ def diff_overlap(t: Tables) -> DataFrame:
     return overlapped(t)
 
 
+JUDGED = "sym AS (SELECT 'n'||s_nationkey AS repo, 'm/f'||(s_suppkey%4)||'.py' AS path, 's'||s_suppkey AS id, 1+10*(s_suppkey//4) AS a, 8+10*(s_suppkey//4) AS b FROM supplier), hk AS (SELECT DISTINCT 'n'||s_nationkey AS repo, 'c'||(s_suppkey%3) AS commit, 'm/f'||(s_suppkey%4)||'.py' AS path, 2+10*(s_suppkey//4) AS s, 5+10*(s_suppkey//4) AS e FROM supplier WHERE s_acctbal<4000)"
+
+
+@query(f"WITH {JUDGED} SELECT hk.repo, commit, hk.path, id AS name, 'modified' AS change_type, sum(least(e,b)-greatest(s,a)+1)::BIGINT AS lines_changed FROM hk JOIN sym ON hk.repo=sym.repo AND hk.path=sym.path AND s<=b AND a<=e GROUP BY 1,2,3,4")
+def diff_overlap_repos(t: Tables) -> DataFrame:
+    """Nations are repositories that have the same four files; hunks of one touch nothing of another."""
+    key, block = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 4).cast("int") * 10
+    text = lambda mark, number: F.concat(F.lit(mark), number.cast("string"))
+    rows = t.supplier.select(text("n", F.col("s_nationkey")).alias("repo"), F.concat(text("m/f", key % 4), F.lit(".py")).alias("path"), text("s", key).alias("name"), (block + 1).alias("line_start"), (block + 8).alias("line_end"), text("c", key % 3).alias("commit"), "s_acctbal")
+    hunks = rows.filter("s_acctbal < 4000").select("repo", "commit", "path", F.lit("modified").alias("change_type"), (F.col("line_start") + 1).alias("start"), (F.col("line_start") + 4).alias("end")).distinct()
+    return impact.changed_symbols(hunks, rows.select("repo", "path", "name", "line_start", "line_end"))
+
+
 @query(with_tables("calls", """
 ch AS (SELECT r AS commit, file_path AS path, supp.name, line_end AS lines_changed, supp.id FROM supp JOIN nat ON starts_with(supp.id, n||'.') WHERE balance<0),
 re AS (SELECT DISTINCT ch.commit, c.src_id AS id, c.file_path AS path FROM ch JOIN calls c ON c.tgt_id=ch.id),
@@ -123,12 +136,25 @@ def coverage(t: Tables) -> DataFrame:
 COV = "cov AS (SELECT p_brand AS file, count(*) FILTER (WHERE l_returnflag='R') AS lh, count(*) AS lf FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1), fan AS (SELECT p_brand AS file, count(DISTINCT p_type) AS n FROM part WHERE p_size>20 GROUP BY 1)"
 
 
-@query(f"WITH {COV}, w AS (SELECT file, 100.0::DOUBLE*lh/greatest(lf,1) AS pct, lf-lh AS uncovered FROM cov WHERE lf>0 AND 100.0::DOUBLE*lh/greatest(lf,1)<=80 ORDER BY 2, file LIMIT 60), x AS (SELECT w.*, n, CASE WHEN n>=5 THEN 3 WHEN n>=2 THEN 2 WHEN n>=1 THEN 1 END*CASE WHEN pct<=0 THEN 3 WHEN pct<=50 THEN 2 ELSE 1 END AS weight, coalesce(n,-1)=0 AS dead FROM w LEFT JOIN fan USING (file)) SELECT file, pct, n, uncovered, weight, dead, row_number() OVER (PARTITION BY dead ORDER BY weight DESC NULLS LAST, uncovered DESC, file) AS rank FROM x")
+@query(f"WITH {COV}, w AS (SELECT file, 100.0::DOUBLE*lh/greatest(lf,1) AS pct, lf-lh AS uncovered FROM cov WHERE lf>0 AND 100.0::DOUBLE*lh/greatest(lf,1)<=80 QUALIFY row_number() OVER (ORDER BY 100.0::DOUBLE*lh/greatest(lf,1), file)<=60), x AS (SELECT w.*, n, CASE WHEN n>=5 THEN 3 WHEN n>=2 THEN 2 WHEN n>=1 THEN 1 END*CASE WHEN pct<=0 THEN 3 WHEN pct<=50 THEN 2 ELSE 1 END AS weight, coalesce(n,-1)=0 AS dead FROM w LEFT JOIN fan USING (file)) SELECT 'tpc' AS repo, file, pct, n, uncovered, weight, dead, row_number() OVER (PARTITION BY dead ORDER BY weight DESC NULLS LAST, uncovered DESC, file) AS rank FROM x")
 def coverage_rank(t: Tables) -> DataFrame:
     fan = t.part.filter("p_size > 20").groupBy(F.col("p_brand").alias("file")).agg(F.countDistinct("p_type").alias("n"))
     return quality.coverage_rank(coverage(t), fan)
 
 
+BY_SIZE = "cov AS (SELECT 'size'||p_size AS repo, p_brand AS file, count(*) FILTER (WHERE l_returnflag='R') AS lh, count(*) AS lf FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2), fan AS (SELECT 'size'||p_size AS repo, p_brand AS file, count(DISTINCT p_type) AS n FROM part WHERE p_size%3>0 GROUP BY 1,2)"
+
+
+@query(f"WITH {BY_SIZE}, w AS (SELECT repo, file, 100.0::DOUBLE*lh/greatest(lf,1) AS pct, lf-lh AS uncovered FROM cov WHERE 100.0::DOUBLE*lh/greatest(lf,1)<=80 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY 100.0::DOUBLE*lh/greatest(lf,1), file)<=5), x AS (SELECT w.*, n, CASE WHEN n>=5 THEN 3 WHEN n>=2 THEN 2 WHEN n>=1 THEN 1 END*CASE WHEN pct<=0 THEN 3 WHEN pct<=50 THEN 2 ELSE 1 END AS weight, coalesce(n,-1)=0 AS dead FROM w LEFT JOIN fan USING (repo, file)) SELECT repo, file, pct, n, uncovered, weight, dead, row_number() OVER (PARTITION BY repo, dead ORDER BY weight DESC NULLS LAST, uncovered DESC, file) AS rank FROM x")
+def coverage_rank_repos(t: Tables) -> DataFrame:
+    """Sizes are repositories that have the same files: the five worst of each."""
+    repo = F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("repo")
+    rows = t.lineitem.select("l_partkey", "l_returnflag").join(t.part.select(F.col("p_partkey").alias("l_partkey"), repo, F.col("p_brand").alias("file")), "l_partkey")
+    cov = rows.groupBy("repo", "file").agg(F.count_if(F.col("l_returnflag") == "R").alias("lh"), F.count("*").alias("lf"))
+    fan = t.part.filter("p_size % 3 > 0").groupBy(repo, F.col("p_brand").alias("file")).agg(F.countDistinct("p_type").alias("n"))
+    return quality.coverage_rank(cov, fan, considered=5)
+
+
 @query(f"WITH {COV}, a AS (SELECT count(DISTINCT p_brand||p_type) AS on_disk FROM part), b AS (SELECT count(DISTINCT file) AS in_report FROM cov) SELECT 'tpc' AS repo, on_disk, in_report, in_report/greatest(on_disk,1)::DOUBLE AS share, in_report/greatest(on_disk,1)::DOUBLE>=0.9 AS complete FROM a, b")
 def coverage_denominator(t: Tables) -> DataFrame:
     files = t.part.select(F.lit(REPO).alias("repo"), F.concat("p_brand", "p_type").alias("rel_path"))

@@ -171,11 +171,11 @@ def route_declarations(t: Tables) -> DataFrame:
     return facts.all_routes(page_sources(t)).select("repo", "rel_path", "var", "method", "path", "line_end")
 
 
-@query(f"WITH {URLS}, c AS (SELECT page_id, path, list_filter(string_split(path,'/'), lambda x: x<>'') AS s FROM u) SELECT 'web' AS repo, 'c'||page_id||'.ts' AS rel_path, CASE WHEN page_id%5=0 THEN 'test' ELSE 'code' END AS kind, path FROM (SELECT page_id, '/'||array_to_string(s,'/') AS path FROM c WHERE len(s)>1 UNION SELECT page_id, '/'||s[1] FROM c UNION SELECT page_id, '/ping' FROM c)")
+@query(f"WITH {URLS}, c AS (SELECT page_id, path, list_filter(string_split(path,'/'), lambda x: x<>'') AS s FROM u) SELECT 'web' AS repo, 'c'||page_id||'.ts' AS rel_path, CASE WHEN page_id%5=0 THEN 'test' ELSE 'code' END AS kind, path FROM (SELECT page_id, '/'||array_to_string(s,'/') AS path FROM c WHERE len(s)>1 UNION SELECT page_id, '/'||s[1] FROM c UNION SELECT page_id, unnest(['/ping','/left/door','/left','/yard/gate']) FROM c)")
 def call_sites(t: Tables) -> DataFrame:
-    """Each page's path as it is called: whole, after an interpolation, and with a query; the declared one is not called. Every fifth file is a test."""
+    """Each page's path as it is called: whole, after an interpolation, with a query, and parted by a segment in brackets; the declared one is not called. Every fifth file is a test."""
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
-    line = F.concat(F.lit("router.get('/declared/here')\nfetch(`${base}"), path, F.lit("`)\nhttp(\"/ping?x=1\")\n"))
+    line = F.concat(F.lit("router.get('/declared/here')\nfetch(`${base}"), path, F.lit("`)\nhttp(\"/ping?x=1\")\ngo('/wing/(group)/left/door')\ngo('/yard/gate/(open)')\n"))
     files = text_files(t.pages, "web", F.concat(F.lit("c"), number("page_id"), F.lit(".ts")), line).withColumn("is_test", F.regexp_extract("rel_path", "([0-9]+)", 1).cast("long") % 5 == 0)
     routes = files.select("repo", "rel_path", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
     return evidence.call_sites(files, routes)
@@ -219,10 +219,12 @@ def interpolations(t: Tables) -> DataFrame:
     return evidence.interpolations(text_files(t.documents, "docs", F.concat(F.lit("d"), number("doc_id"), F.lit(".sh")), content))
 
 
-@query("SELECT DISTINCT 'docs' AS repo, key FROM (SELECT 'APP_'||upper(unnest(regexp_extract_all(lower(coalesce(text,'')), '(?m)^([a-z][a-z0-9_]*) ', 1))) AS key FROM documents WHERE doc_id%3=0)")
+@query("SELECT DISTINCT 'docs' AS repo, key FROM (SELECT 'APP_F_'||upper(unnest(regexp_extract_all(lower(coalesce(text,'')), '(?m)^([a-z][a-z0-9_]*) ', 1))) AS key FROM documents WHERE doc_id%3=0)")
 def settings_keys(t: Tables) -> DataFrame:
-    """Documents whose lines annotate a field with their first word; every third binds a prefix, one of them an empty one too, and the next third is tests."""
-    content = F.concat(F.when(F.col("doc_id") % 3 == 0, "env_prefix = 'app_'\nenv_prefix: ''\n").when(F.col("doc_id") % 3 == 1, "env_prefix='test_'\n").otherwise(""), F.regexp_replace(F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("env_prefix"), F.lit("x")), "(?m)^([a-z][a-z0-9_]*) ", "    $1: int "))
+    """Documents whose first words of lines are fields of a class; every third binds a prefix, and an empty one too, the next third is tests, and the others bind none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("(?m)^([a-z][a-z0-9_]*) "), F.lit(1))
+    head = F.when(F.col("doc_id") % 3 == 0, "c = Config(env_prefix='app_')\nd = {'env_prefix': ''}\n").when(F.col("doc_id") % 3 == 1, "env_prefix = 'test_'\n").otherwise("env = 'prefix'\n")
+    content = F.concat(head, F.lit("class Settings:\n    Other: int\n    none = 1\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("    f_"), w, F.lit(": int = 0\n"))), ""))
     path = F.concat(F.when(F.col("doc_id") % 3 == 1, "tests/").otherwise("src/"), F.lit("d"), number("doc_id"), F.lit(".py"))
     return evidence.settings_keys(text_files(t.documents, "docs", path, content))
 

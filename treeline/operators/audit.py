@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.text import SINKS, distinctive_segment, glob_column, is_sink, is_state_like, literal_segments, path_segments
-from treeline.operators.common import listed
+from treeline.operators.common import by_repo, listed
 from treeline.operators.graph import reach_sinks
 
 STRONG = ("web", "code", "shell")
@@ -162,26 +162,36 @@ def audit_envelope(handlers: DataFrame, calls: DataFrame, sinks: tuple[str, ...]
     return reach_sinks(calls, starts, is_sink(F.col("tgt_id"), sinks)).withColumn("verdict", F.lit("suspect"))
 
 
+GLOB = r"[*?\[]"
+
+
+def globs_met(keys: DataFrame, exemptions: DataFrame, by: list[str]) -> DataFrame:
+    """keys(*by, id) with the entry, reason and ord of each glob that fits."""
+    globs = exemptions.filter(F.col("entry").rlike(GLOB)).select(*[F.col(c).alias(f"g_{c}") for c in by], glob_column(F.col("entry")).alias("like"), "entry", "reason", "ord")
+    same = F.expr(" and ".join([*(f"{c} = g_{c}" for c in by), "id rlike like"]))
+    return keys.join(listed(globs), same).drop("like", *[f"g_{c}" for c in by])
+
+
 def apply_exemptions(findings: DataFrame, exemptions: DataFrame) -> DataFrame:
-    """findings(table, id, ...) with exempt_reason: of the exact entry, else of the first glob by ord.
+    """findings(repo, table, id, ...) with exempt_reason: of the exact entry, else of the first glob by ord.
 
-    Exact entries meet by equality; globs are a list of a policy's, bounded in size.
+    Entries hold for their own repository; entries without that column hold for all. Exact entries meet by equality;
+    globs are a list of a policy's, bounded in size.
     """
-    exact = exemptions.filter(~F.col("entry").rlike(r"[*?\[]")).groupBy("table", F.col("entry").alias("id")).agg(F.min_by("reason", "ord").alias("exact_reason"))
-    globs = exemptions.filter(F.col("entry").rlike(r"[*?\[]")).select(F.col("table").alias("t"), glob_column(F.col("entry")).alias("like"), "reason", "ord")
-    keys = findings.select("table", "id").distinct()
-    met = keys.join(listed(globs), (F.col("table") == F.col("t")) & F.expr("id rlike like")).groupBy("table", "id").agg(F.min_by("reason", "ord").alias("glob_reason"))
-    rows = findings.join(exact, ["table", "id"], "left").join(met, ["table", "id"], "left")
+    by = [*by_repo(findings, exemptions), "table"]
+    exact = exemptions.filter(~F.col("entry").rlike(GLOB)).groupBy(*by, F.col("entry").alias("id")).agg(F.min_by("reason", "ord").alias("exact_reason"))
+    met = globs_met(findings.select(*by, "id").distinct(), exemptions, by).groupBy(*by, "id").agg(F.min_by("reason", "ord").alias("glob_reason"))
+    rows = findings.join(exact, [*by, "id"], "left").join(met, [*by, "id"], "left")
     return rows.withColumn("exempt_reason", F.coalesce("exact_reason", "glob_reason")).drop("exact_reason", "glob_reason")
 
 
 def stale_exemptions(findings: DataFrame, exemptions: DataFrame) -> DataFrame:
-    """Entries that match no finding."""
-    keys = findings.select(F.col("table").alias("t"), F.col("id")).distinct()
-    exact = exemptions.filter(~F.col("entry").rlike(r"[*?\[]")).join(keys, (F.col("table") == F.col("t")) & (F.col("entry") == F.col("id")), "left_anti")
-    globs = exemptions.filter(F.col("entry").rlike(r"[*?\[]")).withColumn("like", glob_column(F.col("entry")))
-    used = keys.join(listed(globs), (F.col("table") == F.col("t")) & F.expr("id rlike like")).select("table", "entry").distinct()
-    return exact.unionByName(globs.drop("like").join(used, ["table", "entry"], "left_anti"))
+    """Entries that match no finding, of their own repository where they have one."""
+    by = [*by_repo(findings, exemptions), "table"]
+    keys = findings.select(*by, "id").distinct()
+    exact = exemptions.filter(~F.col("entry").rlike(GLOB)).join(keys.withColumnRenamed("id", "entry"), [*by, "entry"], "left_anti")
+    used = globs_met(keys, exemptions, by).select(*by, "entry").distinct()
+    return exact.unionByName(exemptions.filter(F.col("entry").rlike(GLOB)).join(used, [*by, "entry"], "left_anti"))
 
 
 def audit_rollup(findings: DataFrame) -> DataFrame:

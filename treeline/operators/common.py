@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def by_repo(*tables: DataFrame) -> list[str]:
+    """The key by which tables of several repositories are kept apart: none where a table has no such column and so holds for all."""
+    return ["repo"] if all("repo" in t.columns for t in tables) else []
+
+
 def listed(df: DataFrame, most: int = LISTED) -> DataFrame:
     """A list that goes to every task. It is a parameter, not data: over `most` rows it is refused."""
     n = df.limit(most + 1).count()

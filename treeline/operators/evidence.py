@@ -5,16 +5,19 @@ Lines are split once and judged by column functions; SQL statements are read by
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from treeline.functions.text import GATES, STATE_COLUMNS, has_gate, is_read_shaped
+from treeline.operators import facts
 from treeline.operators.corpus import line_context, lines
+from treeline.operators.facts import text_of
 from treeline.operators.statements import lines_of, schema_events, written_literals
 
 
@@ -31,8 +34,8 @@ PATH_PIECE = r"([\w.$%*(){}-]?)(\s*['\"`]?)((?:/[\w.${}%*()-]*)+)([?#'\"`]?)"
 def line_paths(line: Column) -> Column:
     """array<string> of what reads like a path that is called in a line.
 
-    A run of slashes and segments is cut out once, with the mark before it and the one after it. It counts whole from
-    two segments on; each segment that closes an interpolation or a sum before it counts alone; so does a single
+    A run of slashes and segments is cut out once, with the mark before it and the one after it. It counts from
+    two segments on, whole or, where a segment in brackets parts it, on either side; each segment that closes an interpolation or a sum before it counts alone; so does a single
     segment that is all of a quoted string, up to a query.
     """
     part = lambda g: F.regexp_extract_all(line, F.lit(PATH_PIECE), F.lit(g))
@@ -40,14 +43,15 @@ def line_paths(line: Column) -> Column:
 
     def of_piece(p: Column) -> Column:
         segments = F.filter(F.split(p["body"], "/"), lambda s: s != "")
-        opened = F.filter(segments, lambda s: ~s.rlike("^[()]"))
+        # A bracketed segment ends a run: what stands before and after it are two paths.
+        runs = F.transform(F.split(p["body"], "/[()][^/]*"), lambda r: F.filter(F.split(r, "/"), lambda s: s != ""))
         bare = F.transform(segments, lambda s: F.regexp_extract(s, "^[^()]*", 0))
         before = F.concat(F.array(p["lead"]), F.transform(segments, lambda s: F.right(s, F.lit(1))))
         tails = F.filter(F.transform(bare, lambda s, i: F.when(F.get(before, i).isin("}", ")", "+"), s)), lambda s: s.isNotNull() & (s != ""))
-        whole = F.when(F.size(opened) > 1, F.array(F.concat(F.lit("/"), F.array_join(opened, "/"))))
+        whole = F.transform(F.filter(runs, lambda r: F.size(r) > 1), lambda r: F.concat(F.lit("/"), F.array_join(r, "/")))
         alone = F.when((F.size(segments) == 1) & (F.trim(p["quote"]) != "") & (p["end"] != "") & ~p["body"].contains("("), F.array(F.concat(F.lit("/"), F.get(segments, F.lit(0)))))
         none = F.array().cast("array<string>")
-        return F.concat(F.coalesce(whole, none), F.transform(tails, lambda s: F.concat(F.lit("/"), s)), F.coalesce(alone, none))
+        return F.concat(whole, F.transform(tails, lambda s: F.concat(F.lit("/"), s)), F.coalesce(alone, none))
 
     return F.array_distinct(F.flatten(F.transform(found, of_piece)))
 
@@ -98,15 +102,33 @@ def config_constants(files: DataFrame) -> DataFrame:
     return found.join(uses, ["repo", "rel_path", "name"], "left").select("repo", "name", "rel_path", (F.coalesce("times", F.lit(0)) > 1).alias("self_used"))
 
 
+def bound_keys(content: str) -> set[str]:
+    """Upper-cased keys that the settings classes of a Python module read: each env_prefix, as an argument, a variable or a key of a literal, with each annotated field of a class."""
+    prefixes, fields = [], set()
+    for node in ast.walk(ast.parse(content)):
+        if isinstance(node, ast.ClassDef):
+            fields |= {s.target.id for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name) and s.target.id[0].isalpha() and s.target.id == s.target.id.lower()}
+        elif isinstance(node, ast.keyword) and node.arg == "env_prefix":
+            prefixes.append(node.value)
+        elif isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "env_prefix" for t in node.targets):
+            prefixes.append(node.value)
+        elif isinstance(node, ast.Dict):
+            prefixes += [v for k, v in zip(node.keys, node.values, strict=True) if text_of(k) == "env_prefix"]
+    names = {p for p in map(text_of, prefixes) if p and p.isidentifier() and p[0] != "_"}
+    return {(p + f).upper() for p in names for f in fields}
+
+
 def settings_keys(files: DataFrame) -> DataFrame:
-    """repo, key: each env_prefix of a Python file that is no test with each annotated field of the same file, upper-cased. A prefix is a name: empty ones bind nothing."""
-    rows = lines(files.filter(F.col("rel_path").endswith(".py") & ~F.col("is_test")))
-    prefixes = rows.select("repo", "rel_path", F.explode(F.regexp_extract_all("line", F.lit("env_prefix\\s*[=:]\\s*['\"](\\w*)['\"]"), F.lit(1))).alias("prefix")).filter(F.col("prefix").rlike("^[A-Za-z]"))
-    name = F.regexp_extract(F.trim(F.substring_index("line", ":", 1)), "^[a-z][a-z0-9_]*$", 0)
-    indent = F.length("line") - F.length(F.ltrim(F.replace("line", F.lit("\t"), F.lit(" "))))
-    value = F.trim(F.regexp_extract("line", ":(.*)$", 1))
-    fields = rows.filter(indent.between(2, 8) & F.contains(F.col("line"), F.lit(":")) & (value != "") & ~value.startswith("=")).select("repo", "rel_path", name.alias("field")).filter("field != ''")
-    return prefixes.join(fields, ["repo", "rel_path"]).select("repo", F.upper(F.concat("prefix", "field")).alias("key")).distinct()
+    """repo, key: what settings classes of Python files that are no tests read from the environment. A prefix is a name: empty ones bind nothing; a file that does not parse binds nothing."""
+
+    def rows(repo: str, content: str) -> list[dict]:
+        try:
+            return [{"repo": repo, "key": k} for k in bound_keys(content)]
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+
+    some = files.filter(F.col("rel_path").endswith(".py") & ~F.col("is_test") & F.contains(F.col("content"), F.lit("env_prefix")))
+    return in_tasks(some.select("repo", "content"), "repo string, key string", rows).distinct()
 
 
 def interpolations(files: DataFrame) -> DataFrame:
@@ -183,22 +205,17 @@ def literal_writes(files: DataFrame) -> DataFrame:
     return in_tasks(some, "repo string, table string, column string, value string, place string", rows)
 
 
-def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, reach: int = 25) -> DataFrame:
-    """repo, rel_path, handler, line_no, guarded: functions under a route decorator, within `reach` lines, and whether what stands from the decorator to the signature names a gate."""
-    rows = lines(files.filter(F.col("rel_path").endswith(".py")))
-    order = Window.partitionBy("repo", "rel_path").orderBy("line_no")
-    name = F.regexp_extract("line", r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", 1)
-    routed = F.col("line").rlike(r"(?i)^\s*@(\w+)\.(get|post|put|patch|delete|head|options|route)\(")
-    since = F.last(F.when(routed, F.col("line_no")), True).over(order.rowsBetween(-reach, 0))
-    earlier = F.last(F.when(name != "", F.col("line_no")), True).over(order.rowsBetween(-reach, -1))
-    signature = F.collect_list(F.struct("line_no", "line")).over(order.rowsBetween(-reach, 10))
-    found = rows.select("repo", "rel_path", "line_no", name.alias("handler"), since.alias("since"), earlier.alias("earlier"), signature.alias("around"))
-    found = found.filter((F.col("handler") != "") & F.col("since").isNotNull() & (F.coalesce("earlier", F.lit(0)) < F.col("since")))
-    # The signature ends at the first line from the definition on that closes with a colon.
-    ends = F.filter("around", lambda x: (x["line_no"] >= F.col("line_no")) & x["line"].rlike(r":\s*(#.*)?$"))
-    end = F.coalesce(F.array_min(F.transform(ends, lambda x: x["line_no"])), F.col("line_no"))
-    before_body = F.array_join(F.transform(F.filter("around", lambda x: (x["line_no"] >= F.col("since")) & (x["line_no"] <= end)), lambda x: x["line"]), "\n")
-    return found.select("repo", "rel_path", "handler", "line_no", has_gate(before_body, gates).alias("guarded"))
+def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, found: DataFrame | None = None) -> DataFrame:
+    """repo, rel_path, handler, line_no, guarded: functions with a decorator that registers a route on a variable, and whether their decorators or their signature name a gate. found: facts of the files."""
+    facts_ = found if found is not None else facts.extract(files.filter(F.col("rel_path").endswith(".py")))
+
+    def registers(decorator: Column) -> Column:
+        called = F.split(F.substring_index(decorator, "(", 1), r"\.")
+        return F.contains(decorator, F.lit("(")) & (F.size(called) == 2) & F.lower(F.element_at(called, -1)).isin(*facts.METHODS, "route")
+
+    rows = facts.fact_table(facts_, "symbols").filter((F.col("kind") != "class") & F.exists("annotations", registers))
+    told = F.array_join(F.concat("annotations", F.array("signature")), "\n")
+    return rows.select("repo", "rel_path", F.substring_index("name", ".", -1).alias("handler"), F.col("line_start").alias("line_no"), has_gate(told, gates).alias("guarded"))
 
 
 def gate_signals(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.ids import module_id
 from treeline.functions.text import is_test_by_shape
-from treeline.operators.common import cut
+from treeline.operators.common import by_repo, cut
 from treeline.operators.graph import khop
 
 #: Fragments of paths whose change is core. Fixed values.
@@ -18,22 +18,25 @@ BUCKET = 256
 
 
 def changed_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """hunks(commit, path, change_type, start, end), symbols(path, name, line_start, line_end) -> commit, path, name, change_type, lines_changed.
+    """hunks(repo, commit, path, change_type, start, end), symbols(repo, path, name, line_start, line_end) -> repo, commit, path, name, change_type, lines_changed.
+
+    Both have repo or neither does: files of one path in two repositories are two files.
 
     Modified files give the symbols whose span a range overlaps, with the summed overlaps; added files all their
     symbols; deleted ones a single row without a name. Ranges and spans meet on their file and on buckets of lines,
     so a file of very many symbols is not one group; a pair counts in the first bucket that it shares.
     """
     buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.col(b) / BUCKET)))
-    spans = symbols.select("path", "name", "line_start", "line_end", buckets("line_start", "line_end").alias("bucket"))
-    ranges = hunks.filter((F.col("change_type") == "modified") & (F.col("start") <= F.col("end"))).select("commit", "path", "change_type", "start", "end", buckets("start", "end").alias("bucket"))
-    met = ranges.join(spans, ["path", "bucket"]).filter("line_start <= end and start <= line_end and bucket = floor(greatest(start, line_start) / 256)")
+    by = by_repo(hunks, symbols)
+    spans = symbols.select(*by, "path", "name", "line_start", "line_end", buckets("line_start", "line_end").alias("bucket"))
+    ranges = hunks.filter((F.col("change_type") == "modified") & (F.col("start") <= F.col("end"))).select(*by, "commit", "path", "change_type", "start", "end", buckets("start", "end").alias("bucket"))
+    met = ranges.join(spans, [*by, "path", "bucket"]).filter("line_start <= end and start <= line_end and bucket = floor(greatest(start, line_start) / 256)")
     overlap = F.least("end", "line_end") - F.greatest("start", "line_start") + 1
-    modified = met.groupBy("commit", "path", "name", "change_type").agg(F.sum(overlap).alias("lines_changed"))
-    whole = hunks.filter("change_type = 'added'").select("commit", "path", "change_type").distinct()
-    added = whole.join(symbols, "path").select("commit", "path", "name", "change_type", (F.col("line_end") - F.col("line_start") + 1).alias("lines_changed"))
-    deleted = hunks.filter("change_type = 'deleted'").select("commit", "path", F.lit("").alias("name"), "change_type", F.lit(0).alias("lines_changed")).distinct()
-    cols = ["commit", "path", "name", "change_type", F.col("lines_changed").cast("long").alias("lines_changed")]
+    modified = met.groupBy(*by, "commit", "path", "name", "change_type").agg(F.sum(overlap).alias("lines_changed"))
+    whole = hunks.filter("change_type = 'added'").select(*by, "commit", "path", "change_type").distinct()
+    added = whole.join(symbols, [*by, "path"]).select(*by, "commit", "path", "name", "change_type", (F.col("line_end") - F.col("line_start") + 1).alias("lines_changed"))
+    deleted = hunks.filter("change_type = 'deleted'").select(*by, "commit", "path", F.lit("").alias("name"), "change_type", F.lit(0).alias("lines_changed")).distinct()
+    cols = [*by, "commit", "path", "name", "change_type", F.col("lines_changed").cast("long").alias("lines_changed")]
     return modified.select(*cols).unionByName(added.select(*cols)).unionByName(deleted.select(*cols))
 
 
@@ -69,15 +72,16 @@ def is_core(path: Column) -> Column:
 
 
 def risk(changed: DataFrame, reached: DataFrame, low: int = 3, high: int = 10, wide: int = 5, heavy: int = 20) -> DataFrame:
-    """changed(commit, path, name, lines_changed), reached(commit, id, path) -> one row a commit: level, reasons, modules, all tests in order."""
+    """changed(repo, commit, path, name, lines_changed), reached(repo, commit, id, path) -> one row a commit of a repository: level, reasons, modules, all tests in order. Both have repo or neither does."""
+    by = [*by_repo(changed, reached), "commit"]
     test = is_test_by_shape(F.col("path"))
     public = ~F.col("name").startswith("_") & ~test
-    per = changed.groupBy("commit").agg(
+    per = changed.groupBy(*by).agg(
         F.bool_and(test).alias("test_only"), F.bool_or(is_core(F.col("path"))).alias("core"),
         F.count_if(public).alias("public"), F.bool_or(public & (F.col("lines_changed") > heavy)).alias("heavy"), F.collect_set(module_id(F.col("path"))).alias("own"),
     )
-    met = reached.groupBy("commit").agg(F.countDistinct("id").alias("callers"), F.collect_set(module_id(F.col("path"))).alias("theirs"), F.array_sort(F.collect_set(F.when(test, F.col("path")))).alias("tests"))
-    rows = per.join(met, "commit", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
+    met = reached.groupBy(*by).agg(F.countDistinct("id").alias("callers"), F.collect_set(module_id(F.col("path"))).alias("theirs"), F.array_sort(F.collect_set(F.when(test, F.col("path")))).alias("tests"))
+    rows = per.join(met, by, "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
     rows = rows.withColumn("modules", F.array_sort(F.array_union("own", F.coalesce("theirs", F.array().cast("array<string>")))))
     n = F.size("modules")
     base = F.when(F.col("core") | (F.col("callers") >= high) | (n >= wide), "high").when(F.col("callers") >= low, "medium").otherwise("low")
@@ -88,4 +92,4 @@ def risk(changed: DataFrame, reached: DataFrame, low: int = 3, high: int = 10, w
         F.when(~F.col("test_only") & (F.col("callers") >= low), F.concat(F.col("callers").cast("string"), F.lit(" callers"))),
         F.when(~F.col("test_only") & (n >= wide), F.concat(n.cast("string"), F.lit(" modules"))), F.when(~F.col("test_only") & F.col("heavy"), "large public change"),
     ))
-    return rows.select("commit", lifted.alias("level"), "callers", n.alias("n_modules"), F.array_join(reasons, "; ").alias("reasons"), F.coalesce("tests", F.array().cast("array<string>")).alias("affected_tests"))
+    return rows.select(*by, lifted.alias("level"), "callers", n.alias("n_modules"), F.array_join(reasons, "; ").alias("reasons"), F.coalesce("tests", F.array().cast("array<string>")).alias("affected_tests"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.ids import module_id
 from treeline.functions.scores import coverage_band
-from treeline.operators.common import listed
+from treeline.operators.common import by_repo, listed
 
 
 def coverage_totals(coverage: DataFrame) -> DataFrame:
@@ -25,13 +25,16 @@ def coverage_denominator(coverage: DataFrame, files: DataFrame, least: float = 0
 
 
 def coverage_rank(coverage: DataFrame, fan_in: DataFrame, weak: float = 80.0, considered: int = 60) -> DataFrame:
-    """The `considered` worst files at or below `weak` percent, by fan-in and coverage bands; an unknown fan-in ranks last, none at all is dead."""
+    """The `considered` worst files of each repository at or below `weak` percent, by fan-in and coverage bands; an unknown fan-in ranks last, none at all is dead."""
+    by = by_repo(coverage, fan_in)
+    own = by_repo(coverage)
     pct = F.lit(100.0) * F.col("lh") / F.greatest("lf", F.lit(1))
-    worst = coverage.filter("lf > 0").withColumn("pct", pct).filter(F.col("pct") <= weak).orderBy("pct", "file").limit(considered)
-    rows = worst.join(fan_in.select("file", "n"), "file", "left")
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("pct", "file"))
+    worst = coverage.filter("lf > 0").withColumn("pct", pct).filter(F.col("pct") <= weak).withColumn("place", place).filter(F.col("place") <= considered)
+    rows = worst.join(fan_in.select(*by, "file", "n"), [*by, "file"], "left")
     band = F.when(F.col("n") >= 5, 3).when(F.col("n") >= 2, 2).when(F.col("n") >= 1, 1)
-    rows = rows.select("file", "pct", "n", (F.col("lf") - F.col("lh")).alias("uncovered"), (band * coverage_band(F.col("pct"))).alias("weight"), (F.coalesce("n", F.lit(-1)) == 0).alias("dead"))
-    rank = F.row_number().over(Window.partitionBy("dead").orderBy(F.col("weight").desc_nulls_last(), F.col("uncovered").desc(), "file"))
+    rows = rows.select(*own, "file", "pct", "n", (F.col("lf") - F.col("lh")).alias("uncovered"), (band * coverage_band(F.col("pct"))).alias("weight"), (F.coalesce("n", F.lit(-1)) == 0).alias("dead"))
+    rank = F.row_number().over(Window.partitionBy(*own, "dead").orderBy(F.col("weight").desc_nulls_last(), F.col("uncovered").desc(), "file"))
     return rows.withColumn("rank", rank)
 
 

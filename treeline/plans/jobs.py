@@ -46,13 +46,18 @@ def synchronise(files: DataFrame, previous: dict[str, DataFrame], reexports: Dat
 
 
 def judge_change(hunks: DataFrame, entities: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """One row a commit: risk level with reasons, from the symbols that its hunks overlap and all that calls them."""
+    """One row a commit of a repository: risk level with reasons, from the symbols that its hunks overlap and all that calls them.
+
+    hunks have repo; those without it are judged in each repository that has their path, apart.
+    """
+    if "repo" not in hunks.columns:
+        hunks = hunks.join(entities.select("repo", F.col("file_path").alias("path")).distinct(), "path")
     spans = entities.filter("kind != 'module'").select("repo", "id", F.col("file_path").alias("path"), "name", "line_start", "line_end")
-    changed = impact.changed_symbols(hunks, spans.select("path", F.col("id").alias("name"), "line_start", "line_end"))
-    seeds = changed.join(spans.select("repo", "id"), changed["name"] == spans["id"]).select("repo", F.col("commit").alias("seed"), "id").distinct()
+    changed = cut(impact.changed_symbols(hunks, spans.select("repo", "path", F.col("id").alias("name"), "line_start", "line_end")))
+    seeds = changed.filter("name != ''").select("repo", F.col("commit").alias("seed"), F.col("name").alias("id")).distinct()
     reached = impact.callers(edges, seeds, depth).join(entities.select("repo", "id", F.col("file_path").alias("path")), ["repo", "id"])
     short = changed.withColumn("name", F.substring_index("name", ".", -1))
-    return impact.risk(short, reached.select(F.col("seed").alias("commit"), "id", "path"))
+    return impact.risk(short, reached.select("repo", F.col("seed").alias("commit"), "id", "path"))
 
 
 def finding(rows: DataFrame, table: str, key, where: str) -> DataFrame:
@@ -119,7 +124,7 @@ AUDITS: dict[str, Callable[[DataFrame], DataFrame]] = {"endpoints": audit_endpoi
 
 def audit_report(files: DataFrame, exemptions: DataFrame, tables: tuple[str, ...] = tuple(AUDITS)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """findings with exemptions, their rollup, and stale exemptions."""
-    found = reduce(DataFrame.unionByName, [AUDITS[t](files) for t in tables])
+    found = cut(reduce(DataFrame.unionByName, [AUDITS[t](files) for t in tables]))
     judged = audit.apply_exemptions(found, exemptions)
     return judged, audit.audit_rollup(judged), audit.stale_exemptions(found, exemptions)
 
