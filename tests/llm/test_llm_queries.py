@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests_llm_plain import plain_components
 from treeline.llm import queries, urls
@@ -93,14 +94,12 @@ def test_components_of_the_table(results, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in results["op8_jaccard_join"]} == want
 
 
-def plain_scores(rows, seeds):
-    """Naive Bayes in rounds over tokens of rows(key, tokens, full): log odds for block."""
-    bad = {k: int(full or any(t.removeprefix("/") in seeds for t in tokens)) for k, (tokens, full) in rows.items()}
-    label, before, scores = dict(bad), -1, {}
-    for _ in range(urls.ROUNDS):
-        if sum(label.values()) == before:
-            break
-        before = sum(label.values())
+def plain_scores(rows, seeds, told=None):
+    """Naive Bayes in rounds over tokens of rows(key, tokens, full): log odds for block. told: rules' verdicts."""
+    told = told or {}
+    label, before, scores = {k: told.get(k, int(full or any(t.removeprefix("/") in seeds for t in tokens))) for k, (tokens, full) in rows.items()}, None, {}
+    while label != before:
+        before_label, before = label, sum(label.values())
         count = {}
         for k, (tokens, _) in rows.items():
             for t in tokens:
@@ -108,7 +107,7 @@ def plain_scores(rows, seeds):
         v, allow, block = len(count), sum(c[0] for c in count.values()), sum(c[1] for c in count.values())
         prior = math.log((before + 1) / (len(rows) - before + 1))
         scores = {k: prior + sum(math.log((count[t][1] + 1) / (block + v + 1)) - math.log((count[t][0] + 1) / (allow + v + 1)) for t in tokens) for k, (tokens, _) in rows.items() if tokens}
-        label = {k: int(bad[k] or scores.get(k, 0) > 0) for k in rows}
+        label, before = {k: told.get(k, int(label[k] or scores.get(k, 0) > 0)) for k in rows}, before_label
     return scores
 
 
@@ -127,3 +126,19 @@ def test_url_scores_are_naive_bayes(spark):
     got = [r.asDict() for r in urls.judge(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()]
     want = plain_scores({k: (tokens, False) for k, (tokens, _) in rows.items()}, urls.SEEDS)
     assert all(r["score"] == pytest.approx(want[r["page_id"]]) and r["verdict"] == ("block" if r["score"] > 0 else "allow") for r in got)
+
+
+def test_rules_teach_the_given_pages(spark, sf):
+    """Urls without a rule are judged by what the rules' urls teach: plain Bayes agrees, and both verdicts are given."""
+    got = [r.asDict() for r in urls.judge(spark.read.parquet(f"{sf}/pages.parquet")).collect()]
+    full = {r["page_id"] for r in spark.read.parquet(f"{sf}/pages.parquet").filter(urls.full_of(F.col("html"), urls.SEEDS)).collect()}
+    rows, told = {}, {}
+    for r in got:
+        path = [t for t in re.split("[^a-z0-9]+", re.sub("[0-9]+", "0", r["path"].lower())) if t]
+        rows[r["page_id"]] = ([*filter(None, r["words"].split(" ")), *("/" + t for t in path)], r["page_id"] in full)
+        if r["rule"]:
+            told[r["page_id"]] = int(r["verdict"] == "block")
+    want = plain_scores(rows, urls.SEEDS, told)
+    free = [r for r in got if not r["rule"]]
+    assert told and all(r["score"] == pytest.approx(want[r["page_id"]]) and r["verdict"] == ("block" if r["score"] > 0 else "allow") for r in free)
+    assert {r["verdict"] for r in free} == {"allow", "block"}

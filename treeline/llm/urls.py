@@ -2,10 +2,11 @@
 
 Rules give a verdict for a host with its subdomains and a path prefix; the longest that fits wins. Other urls are
 judged by their words: the labels of a host are cut into words by unigram Viterbi, with word counts from all pages'
-text, and a multinomial naive Bayes scores these words and the path's tokens. Seed words teach it: a url teaches
-`block` if a seed is among its tokens, or if its page's text is full of seeds, and all other urls teach `allow`. Then
-urls that the model blocks teach `block` as well, until the labels stay (at most ROUNDS times), so words that keep such
-company, and those that keep theirs, come to count.
+text, and a multinomial naive Bayes scores these words and the path's tokens. Rules teach it: a url that a rule fits
+teaches the rule's verdict. Of the others, those with a seed among their tokens, or on whose page the text is full of seeds,
+teach `block`, and the rest teach `allow` at first. Then urls that the model blocks teach `block` from there on, until no
+further one does, so words that keep such company, and those that keep theirs, come to count. Labels only ever turn to
+`block`, so rounds end; there are as many as the longest chain of urls of which each one's words give the next away.
 
 Each distinct name is segmented once. Its possible words are found by a join with the counts, so neither counts nor
 model are broadcast or collected.
@@ -45,8 +46,6 @@ SEEDS = ("adult", "ads", "bet", "bets", "casino", "escort", "gambling", "loans",
 LONGEST = 63
 #: Seeds in a page's text, and their share of its words, from which on its url teaches `block`.
 MENTIONS, SHARE = 3, 0.1
-#: Rounds of learning.
-ROUNDS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -120,21 +119,21 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def learned(read: DataFrame) -> DataFrame:
-    """read(row, bad, tokens) -> row, score: log odds for block, after rounds of learning from the rows that it blocks."""
+    """read(row, bad, ruled, tokens) -> row, score: log odds for block, after rounds of learning from the rows that it blocks. Rows that are ruled keep their label, bad."""
     each = read.select("row", F.explode("tokens").alias("token"))
-    labels, before = read.select("row", F.col("bad").alias("label")), -1
-    for _ in range(ROUNDS):
+    labels, before = read.select("row", F.col("bad").alias("label"), "ruled"), -1
+    while True:
         n_block, n = labels.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
         if n_block == before:
-            break
+            return scores
         before = n_block
         model = written(each.join(labels, "row").groupBy("token").agg(F.sum("label").alias("block"), F.sum(1 - F.col("label")).alias("allow")), "url-model")
         size, block, allow = model.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
         prior = math.log((n_block + 1) / (n - n_block + 1))
         odds = F.log((F.col("block") + 1) / F.lit(float(block + size + 1))) - F.log((F.col("allow") + 1) / F.lit(float(allow + size + 1)))
         scores = written(each.join(written(model.select("token", odds.alias("odds")), "url-odds"), "token").groupBy("row").agg((F.sum("odds") + prior).alias("score")), "url-scores")
-        labels = written(read.select("row", "bad").join(scores, "row", "left").select("row", F.when((F.col("bad") == 1) | (F.col("score") > 0), 1).otherwise(0).cast("long").alias("label")), "url-labels")
-    return scores
+        now = F.when((F.col("label") == 1) | (~F.col("ruled") & (F.col("score") > 0)), 1).otherwise(0).cast("long")
+        labels = written(labels.join(scores, "row", "left").select("row", now.alias("label"), "ruled"), "url-labels")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS) -> DataFrame:
@@ -153,9 +152,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds
     host_words = written(host_words, "host-words")
     path_tokens = F.filter(F.split(F.regexp_replace(F.translate("path", UPPER, LOWER), "[0-9]+", "0"), "[^a-z0-9]+"), lambda t: t != "")
     none = F.array().cast("array<string>")
-    read = rows.join(host_words, "host", "left").select("row", "full", F.coalesce("words", none).alias("words"), F.concat(F.coalesce("words", none), F.transform(path_tokens, lambda t: F.concat(F.lit("/"), t))).alias("tokens"))
+    read = rows.join(host_words, "host", "left").select("row", "full", F.col("fit.verdict").alias("told"), F.coalesce("words", none).alias("words"), F.concat(F.coalesce("words", none), F.transform(path_tokens, lambda t: F.concat(F.lit("/"), t))).alias("tokens"))
     bad = F.col("full") | F.arrays_overlap(F.transform("tokens", lambda t: F.regexp_replace(t, "^/", "")), F.array(*[F.lit(s) for s in seeds]))
-    read = written(read.withColumn("bad", bad.cast("long")), "url-tokens")
+    bad = F.when(F.col("told").isNotNull(), F.col("told") == "block").otherwise(bad)
+    read = written(read.withColumn("bad", bad.cast("long")).withColumn("ruled", F.col("told").isNotNull()), "url-tokens")
     judged = rows.join(learned(read), "row", "left").join(read.select("row", "words"), "row", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.array_join("words", " ").alias("words"), "score")
