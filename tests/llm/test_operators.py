@@ -89,14 +89,11 @@ def test_knapsack_is_exact():
 def test_fit_takes_long_as_short():
     """A small source keeps about the same share of its long as of its short documents, as a large one does."""
     rng = np.random.default_rng(2)
-    for high, counts_to, whole in [(200, 4, None), (200, 4, 0), (2000, 2, None), (30, 40, None)]:
+    for high, counts_to in [(200, 4), (2000, 2), (30, 40)]:
         lengths = np.unique(rng.integers(1, high, 150))
         counts = rng.integers(1, counts_to, len(lengths))
         budget = int((lengths * counts).sum() * 0.4)
-        with pytest.MonkeyPatch.context() as patch:
-            if whole is not None:
-                patch.setattr(mixing, "STEPS", whole)
-            take = mixing.fit_lengths(lengths, counts, budget)
+        take = mixing.fit_lengths(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == budget
         for part in np.array_split(np.arange(len(lengths)), 3):
             assert 0.25 < take[part].sum() / counts[part].sum() < 0.55
@@ -114,6 +111,19 @@ def test_fit_is_alike_at_ten_times_the_size():
         assert abs(ten[part].sum() / (10 * counts[part].sum()) - one[part].sum() / counts[part].sum()) < 0.06
 
 
+def test_fit_meets_budgets_at_every_size():
+    """A source of a hundred times the documents, or of documents a hundred times as long, is fitted by the same steps and as near."""
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(20, 900, 60))
+    for times, longer in [(1, 1), (100, 1), (1, 100), (100, 100)]:
+        lengths, counts = base * longer, rng.integers(1, 6, len(base)) * times
+        budget = int((lengths * counts).sum() * 0.37) // longer * longer
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == budget
+    gaps = [len(list(mixing.kept_after(np.full(5, n)))) for n in (1, 100)]
+    assert gaps == [5, 11]  # 0, 1, 2, 4 and all of 5; 0, 1, 2 ... 256 and all of 500
+
+
 def test_fit_is_as_near_as_can_be():
     rng = np.random.default_rng(3)
     for _ in range(200):

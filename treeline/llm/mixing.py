@@ -23,13 +23,9 @@ from treeline.llm.common import word_count, written
 #: Documents of one (source, length) are ranked in buckets of about this many, so that no task holds a whole hot length.
 RANKED_TOGETHER = 256
 
-#: Documents that are given back whatever it takes; and, for more of them, steps and words of a knapsack that is tried for
-#: the last few words. Shares of lengths are even at every size, only that last remainder differs.
-GIVEN_BACK, STEPS, WORDS = 4, 50_000_000, 4_000_000
-
-
-def affordable(words: int, lengths: np.ndarray) -> bool:
-    return words <= WORDS and words * len(lengths) <= STEPS
+#: Documents of a source that are given back at most to meet its budget, whatever its size: the remainder that a knapsack
+#: fills is never more than their words and one document's.
+GIVEN_BACK = 64
 
 
 def even_shares(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -47,47 +43,46 @@ def even_shares(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 
 def kept_after(take: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """How many documents are given back and what is kept: none, then one of 1, 2, 4 ... lengths spread over all, then 2, 4 ... of each, until nothing is kept."""
+    """How many documents are given back and what is kept: none, then 1, 2, 4 ... of them, and at last all.
+
+    They come from lengths spread over all, and from a length again only once every length has given one.
+    """
     yield 0, take
-    used, n = np.flatnonzero(take > 0), 1
-    while n < len(used):
-        kept = take.copy()
-        kept[used[(np.arange(n) * len(used) + len(used) // 2) // n]] -= 1
+    n, total = 1, int(take.sum())
+    while n < total:
+        kept, left = take.copy(), n
+        while left > 0:
+            used = np.flatnonzero(kept > 0)
+            some = min(left, len(used))
+            kept[used[(np.arange(some) * len(used) + len(used) // 2) // some]] -= 1
+            left -= some
         yield n, kept
         n *= 2
-    depth = 1
-    while len(used):
-        kept = take - np.minimum(take, depth)
-        yield int((take - kept).sum()), kept
-        if not kept.any():
-            return
-        depth *= 2
+    yield total, np.zeros_like(take)
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their lengths add up to budget, or as near below as can be.
+    """How many documents of each length to take so that their lengths add up to budget, or as near below as GIVEN_BACK documents allow.
 
     Every length gives its even share, so short and long documents are taken alike. A bounded knapsack over what is left
     of each count fills the remainder; where that does not reach the budget, more and more documents are given back to
-    widen its choice: up to GIVEN_BACK documents, and beyond them as far as STEPS and WORDS allow.
+    widen its choice, up to GIVEN_BACK of them or to all.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.astype(np.int64).copy()
-    best, most, goal = None, -1, None
+    best, most = None, -1
     for given, kept in kept_after(even_shares(lengths, counts, budget)):
-        rest = budget - int((kept * lengths).sum())
-        if given > GIVEN_BACK and not affordable(rest, lengths):
+        if given > GIVEN_BACK:
             break
+        rest = budget - int((kept * lengths).sum())
         tried = kept + knapsack(lengths, counts - kept, rest)
         reached = int((tried * lengths).sum())
         if reached > most:
             best, most = tried, reached
-        if most < budget and goal is None and affordable(budget, lengths):
-            goal = int((knapsack(lengths, counts, budget) * lengths).sum())
-        if most == (budget if goal is None else goal):
+        if most == budget:
             break
     return best
 
