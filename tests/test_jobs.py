@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.operators import audit, evidence, vectors
+from treeline.operators import audit, evidence, statements, vectors
 from treeline.plans import jobs
 from treeline.sources import readers
 
@@ -90,6 +90,19 @@ def test_repositories_do_not_mix(spark):
     assert table(jobs.judge_change(hunks.drop("repo").distinct(), built["entities"], built["relations"]), "repo", "commit", "level", "callers") == want
 
 
+def test_long_statements_are_read_whole():
+    """However long the list of columns, what stands within the fixed reach after it is read; a literal that goes on beyond that is not."""
+    for n in (3, 300, 3000):
+        names = [f"column_{i}" for i in range(n)]
+        text = f"INSERT INTO t ({', '.join(names)}) VALUES ('a'{', 1' * 20});\nINSERT INTO u (x, y) VALUES ('b', 'c'), (1, 'd') ON CONFLICT DO UPDATE SET x = 'e', y = 2 WHERE z = 'f'"
+        got = [x[:3] for x in statements.written_literals(text)]
+        assert [g for g in got if g[0] == "u"] == [("u", "x", "b"), ("u", "y", "c"), ("u", "y", "d"), ("u", "x", "e")]
+        wide = f"INSERT INTO t ({', '.join(names)}) VALUES ({', '.join(['0'] * (n - 1))}, 'last')"
+        assert [x[:3] for x in statements.written_literals(wide)] == ([("t", names[-1], "last")] if n <= 200 else [])
+    over = "INSERT INTO t (a, b) VALUES ('x', '" + "y" * 900 + "'), ('p', 'q')"
+    assert list(statements.written_literals(over)) == []
+
+
 def test_paths_with_brackets(spark):
     lines = ["go('/app/(auth)/login')", "go(`/a/(b)/c/d`)", "go('/x/y/(z)')"]
     got = [sorted(r[0]) for r in spark.createDataFrame([(line,) for line in lines], "line string").select(evidence.line_paths(F.col("line"))).collect()]

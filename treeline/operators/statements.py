@@ -29,11 +29,20 @@ class Token:
 NONE = Token("none", "", -1, -1)
 
 
+def tokens_from(text: str, start: int, end: int | None = None) -> Iterator[Token]:
+    return (Token(m.lastgroup, m[m.lastgroup], m.start(), m.end()) for m in TOKEN.finditer(text, start, len(text) if end is None else end))
+
+
 class Tokens(list):
-    """Tokens of a text from `start` to `end`; beyond its ends there is none."""
+    """Tokens of a text from `start` to `end`; beyond its ends there is none, and what goes on beyond the end is left out."""
 
     def __init__(self, text: str, start: int = 0, end: int | None = None):
-        super().__init__(Token(m.lastgroup, m[m.lastgroup], m.start(), m.end()) for m in TOKEN.finditer(text, start, len(text) if end is None else min(end, len(text))))
+        super().__init__()
+        end = len(text) if end is None else min(end, len(text))
+        for t in tokens_from(text, start, end):
+            if end < len(text) and (t.end == end and t.kind == "word" or t.value == "'"):
+                return
+            self.append(t)
 
     def at(self, i: int) -> Token:
         return self[i] if 0 <= i < len(self) else NONE
@@ -136,29 +145,45 @@ def assigned(text: str, table: str, at: int) -> Iterator[tuple[str, str, str, in
             yield table, t.value.split(".")[-1], tokens[i + 2].value, t.start
 
 
+def column_list(text: str, at: int) -> tuple[str, list[str], int] | None:
+    """The table, its columns and where their list ends, of what follows INSERT INTO; None if it is no bracketed list of names. A list is as long as it is."""
+    tokens, names, before = tokens_from(text, at), [], "("
+    table, opening = next(tokens, NONE), next(tokens, NONE)
+    if opening.upper != "(":
+        return None
+    for t in tokens:
+        if t.upper == ")":
+            return (table.value, names, t.end) if names else None
+        if t.kind != "word" and t.upper != ",":
+            return None
+        names += [t.value] if t.kind == "word" and before in ("(", ",") else []
+        before = t.upper
+    return None
+
+
 def written_literals(text: str) -> Iterator[tuple[str, str, str, int]]:
     """table, column, value, position of literals in INSERT tuples, ON CONFLICT assignments and UPDATE assignments."""
     for head in re.finditer(r"\b(?:insert\s+into|update)\b", text, re.I):
-        tokens = Tokens(text, head.start(), head.start() + 4 * STATEMENT_CHARS)
-        if tokens[0].upper == "UPDATE":
-            if tokens.at(1).kind == "word" and tokens.follows(2, "SET"):
-                yield from assigned(text, tokens[1].value, tokens[2].end)
+        if head[0].upper() == "UPDATE":
+            tokens = tokens_from(text, head.end())
+            table, word = next(tokens, NONE), next(tokens, NONE)
+            if table.kind == "word" and word.upper == "SET":
+                yield from assigned(text, table.value, word.end)
             continue
-        table, (columns, k) = tokens.at(2).value, tokens.items(3) if tokens.follows(3, "(") else ([], 0)
-        if not columns:
+        listed = column_list(text, head.end())
+        if listed is None:
             continue
-        names, limit = [c[0].value for c in columns], tokens[k - 1].end + STATEMENT_CHARS
-        while k < len(tokens) and tokens[k].end <= limit and not tokens.follows(k, "VALUES", "("):
+        table, names, end = listed
+        tokens, k = Tokens(text, end, end + STATEMENT_CHARS), 0
+        while k < len(tokens) and not tokens.follows(k, "VALUES", "("):
             k += 1
         k += 1
-        while tokens.follows(k, "(") and tokens[k].end <= limit:
+        while tokens.follows(k, "("):
             start, (items, k) = tokens[k].start, tokens.items(k)
             if len(items) == len(names):
                 yield from ((table, c, x[0].value, start) for c, x in zip(names, items, strict=True) if len(x) == 1 and x[0].kind == "text")
             k += tokens.follows(k, ",", "(")
-        for i, t in enumerate(tokens):
-            if t.end > limit:
-                break
+        for i in range(len(tokens)):
             if tokens.follows(i, "DO", "UPDATE", "SET"):
                 yield from assigned(text, table, tokens[i + 2].end)
                 break
