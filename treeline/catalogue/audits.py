@@ -28,7 +28,7 @@ r AS (SELECT key, rel_path, {LITS} AS lits FROM routes), s AS (SELECT DISTINCT r
 m AS (SELECT DISTINCT r.key, s.rel_path, s.kind FROM r JOIN s ON len(r.lits)>0 AND len(s.lits)>0 AND (
   len(list_filter(range(1, len(s.lits)-len(r.lits)+2), lambda i: s.lits[i:i+len(r.lits)-1]=r.lits))>0 OR (len(s.lits)<=len(r.lits) AND r.lits[len(r.lits)-len(s.lits)+1:len(r.lits)]=s.lits))),
 inv AS (SELECT rel_path, count(DISTINCT key) AS hits, count(DISTINCT key)/(SELECT count(DISTINCT key) FROM r)::DOUBLE AS share FROM m GROUP BY 1),
-inventory AS (SELECT * FROM inv WHERE (SELECT count(DISTINCT key) FROM r)>=10 AND hits>=8 AND share>=0.75)"""
+inventory AS (SELECT * FROM inv WHERE regexp_matches(lower(rel_path),'(openapi|swagger|api-docs|apidocs|postman|insomnia)[^/]*$') OR ((SELECT count(DISTINCT key) FROM r)>=10 AND hits>=8 AND share>=0.75))"""
 
 
 @query(with_tables("routes sites", MATCHED) + "SELECT 'web' AS repo, key, rel_path, kind FROM m")
@@ -36,10 +36,12 @@ def route_match(t: Tables) -> DataFrame:
     return audit.match_routes(t.routes(), t.sites())
 
 
-@query(with_tables("routes", f"sites AS ({cte()['sites']} UNION ALL SELECT CASE WHEN length(path)%5=0 THEN 'few' ELSE 'most' END, 'doc', path FROM routes), {MATCHED}") + "SELECT 'web' AS repo, rel_path, hits, share FROM inventory")
+@query(with_tables("routes", f"sites AS ({cte()['sites']} UNION ALL SELECT CASE WHEN length(path)%5=0 THEN 'few' ELSE 'most' END, 'doc', path FROM routes UNION ALL SELECT n, 'web', path FROM routes, (VALUES ('docs/API-Docs.html'),('x/insomnia_v4.json'),('a.Postman.json'),('openapi/calls.ts')) v(n) WHERE length(path)%7=0), {MATCHED}") + "SELECT 'web' AS repo, rel_path, hits, share FROM inventory")
 def api_inventory(t: Tables) -> DataFrame:
-    """Two more files list routes: `most` names enough of them to be an inventory."""
+    """More files list routes: `most` names enough of them to be an inventory, three are named as one, and one only lies in a folder so named."""
     lists = t.routes().select("repo", F.when(F.length("path") % 5 == 0, "few").otherwise("most").alias("rel_path"), F.lit("doc").alias("kind"), "path")
+    named = F.explode(F.array(*[F.lit(n) for n in ("docs/API-Docs.html", "x/insomnia_v4.json", "a.Postman.json", "openapi/calls.ts")]))
+    lists = lists.unionByName(t.routes().filter(F.length("path") % 7 == 0).select("repo", named.alias("rel_path"), F.lit("web").alias("kind"), "path"))
     return audit.inventories(audit.match_routes(t.routes(), t.sites().unionByName(lists)), t.routes())
 
 

@@ -225,10 +225,12 @@ def health_score(t: Tables) -> DataFrame:
     return health.health(t.entities(), edges_of(t), files_as_repo(t), MARKERS)
 
 
-RULES = ", ".join(f"('{d}',{b},'{p}',{k})" for d, b, p, k in health.PRINCIPLES)
+#: What the dimensions call for, and the principles' names, as the twin states them.
+CALLED = "('dc',10,'C4',1),('cd',10,'C7',2),('cd',10,'A1',2),('mc',9,'M4',3),('mc',9,'M2',3),('mc',9,'A4',3),('fi',9,'M1',4),('fi',9,'A1',4),('fs',9,'C8',5),('td',9,'C6',6),('td',9,'C1',6),('mf',9,'A2',7),('mf',9,'C2',7),('mf',9,'C3',7),('re',9,'C1',8),('re',9,'C6',8),('re',9,'A3',8)"
+NAMES = "('A1','Unnecessary layers'),('A2','Over-modularization'),('A3','Premature generalization'),('A4','Over-decoupling'),('A5','Config complexity'),('A6','Event system overkill'),('A7','Over-patterning'),('M1','Feature bloat'),('M2','Unclear boundaries'),('M3','Duplication'),('M4','Excessive dependencies'),('C1','Indirection / barrel exports'),('C2','Over-fragmentation'),('C3','Deep directory nesting'),('C4','Dead code'),('C5','Split by tech layer'),('C6','Unnecessary abstraction'),('C7','Circular dependencies'),('C8','Low cohesion')"
 
 
-@query(SCORED + f"SELECT 'tpc' AS repo, count(*) AS signals, string_agg(r.d||': '||r.p, '; ' ORDER BY r.k, r.d) AS message FROM scored JOIN (VALUES {RULES}) r(d,b,p,k) ON r.d=dimension WHERE score<r.b HAVING count(*)>0")
+@query(SCORED + f"SELECT 'tpc' AS repo, left(p.code,1) AS layer, p.code, p.name, CASE WHEN s.signal IS NULL THEN 'normal' ELSE 'high' END AS priority, s.signal FROM (VALUES {NAMES}) p(code,name) LEFT JOIN (SELECT c.code, string_agg(upper(c.d)||'='||printf('%.1f', score::DOUBLE)||' < '||c.b, '; ' ORDER BY c.n) AS signal FROM scored JOIN (VALUES {CALLED}) c(d,b,code,n) ON c.d=dimension WHERE score<c.b GROUP BY 1) s USING (code)")
 def principle_signals(t: Tables) -> DataFrame:
     parts = health.metrics(t.entities(), edges_of(t), files_as_repo(t), MARKERS)
     return health.principle_signals(health.dimensions(parts, t.entities().select("repo").distinct()))

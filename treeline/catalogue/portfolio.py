@@ -122,9 +122,18 @@ def named_files(t: Tables) -> DataFrame:
     return readers.as_files(t.callers().select(F.substring_index("id", ".", 1).alias("repo"), path.alias("rel_path"), F.lit("x").alias("content")))
 
 
-@query(with_tables("cust", NAMED) + "SELECT repo, c AS config, e AS event, p AS pattern, d AS deep, c>=5 AS many_config, e>=4 AS many_event, p>=3 AS many_pattern, d>=3 AS many_deep FROM (SELECT repo, count(*) FILTER (WHERE name IN ('user_config','app_settings')) AS c, count(*) FILTER (WHERE name IN ('on_event','event_handler')) AS e, count(*) FILTER (WHERE name IN ('view_factory','db_adapter')) AS p, count(*) FILTER (WHERE deep) AS d FROM f GROUP BY 1)")
+#: More names with their folders: technical layers, deep folders, and what is passed over.
+LAID = ("models/user", "app/views/env_list", "app/Controllers/bus", "docs/settings", "a/b/c/d/e/f/hook", "tests/state_builder", "app/mock_options", ".x/proxy", "event", "services/command-template")
+LAID_SQL = f"l AS (SELECT split_part(id,'.',1) AS repo, {list(LAID)!r}[key%10+1] AS place FROM cust WHERE balance>=2000 UNION ALL SELECT repo, CASE WHEN deep THEN 'a/b/c/d/e/' ELSE 's'||key%3||'/' END||name FROM f)"
+STEMS = "g AS (SELECT repo, place, string_split(place,'/')[1:len(string_split(place,'/'))-1] AS dirs, replace(lower(string_split(place,'/')[-1]),'-','_') AS stem FROM l WHERE NOT regexp_matches(place,'^(docs|tests|\\.x)/')), d AS (SELECT DISTINCT repo, unnest(range(1,len(dirs)+1)) AS n, dirs FROM g), dd AS (SELECT repo, count(DISTINCT CASE WHEN lower(dirs[n]) IN ('models','views','controllers','services') THEN lower(dirs[n]) END) AS layers, count(DISTINCT CASE WHEN n>=5 THEN array_to_string(dirs[1:n],'/') END) AS deep FROM d GROUP BY 1)"
+COUNTS = "k AS (SELECT repo, count(*) FILTER (WHERE s AND regexp_matches(stem,'config|settings|options|env|constants|defaults|schema|flags|preferences|params')) AS config, count(*) FILTER (WHERE s AND regexp_matches(stem,'event|emitter|listener|subscriber|publisher|dispatch|handler|bus|signal|observable|hook')) AS event, count(*) FILTER (WHERE s AND regexp_matches(stem,'factory|strategy|observer|adapter|decorator|builder|singleton|mediator|proxy|facade|visitor|command|state|template')) AS pattern FROM (SELECT *, len(dirs)>0 AND NOT regexp_matches(stem,'test|spec|mock|fixture') AS s FROM g) GROUP BY 1)"
+
+
+@query(with_tables("cust", f"{NAMED}, {LAID_SQL}, {STEMS}, {COUNTS}") + "SELECT repo, config, event, pattern, layers, deep, config>=5 AS many_config, event>=4 AS many_event, pattern>=3 AS many_pattern, layers>=3 AS many_layers, deep>=1 AS many_deep FROM (SELECT k.*, coalesce(layers,0) AS layers, coalesce(deep,0) AS deep FROM k LEFT JOIN dd USING (repo))")
 def naming_signals(t: Tables) -> DataFrame:
-    return corpus.naming_signals(named_files(t))
+    more = F.get(F.array(*[F.lit(n) for n in LAID]), (F.col("key") % 10).cast("int"))
+    laid = t.callers().filter("balance >= 2000").select(F.substring_index("id", ".", 1).alias("repo"), F.concat(more, F.lit(".ts")).alias("rel_path"), F.lit("x").alias("content"))
+    return corpus.naming_signals(named_files(t).unionByName(readers.as_files(laid)))
 
 
 @query(with_tables("cust", NAMED) + "SELECT repo, '['||string_agg('\"'||top||'\"', ',' ORDER BY top)||']' AS signature FROM (SELECT DISTINCT repo, CASE WHEN deep THEN 'a' ELSE 's'||key%3 END AS top FROM f) GROUP BY 1")
@@ -137,9 +146,27 @@ def language_set(t: Tables) -> DataFrame:
     return corpus.language_set(named_files(t))
 
 
-@query(with_tables("cust", NAMED) + "SELECT repo, list_sort(list(DISTINCT CASE name WHEN 'conftest' THEN 'pytest' ELSE 'go' END)) AS frameworks, list_sort(list(DISTINCT CASE name WHEN 'conftest' THEN '**/tests/**' ELSE '**/*_test.go' END)) AS patterns FROM f WHERE name IN ('conftest','x_test') GROUP BY 1")
+#: Files that show a framework or a test folder, one for each nation by its key, with what is in them.
+SHOWN = (
+    ("sub/conftest.py", "x"), ("a/b/conftest.py", "x"), ("pyproject.toml", "[tool.pytest.ini_options]"), ("pyproject.toml", "[tool.ruff]"), ("setup.cfg", "[tool:pytest]"), ("web/jest.config.mjs", "x"), ("package.json", '{"jest": 1}'),
+    ("package.json", '{"vitest": 1}'), ("web/package.json", '{"jest": 1}'), ("cypress/a.ts", "x"), ("playwright.config.ts", "x"), ("go.mod", "x"), ("src/test/java/A.java", "x"), ("Cargo.toml", "x"), ("tests/a.rs", "x"), ("spec/b.rb", "x"), ("x/e2e/c.ts", "x"),
+)
+SHOWN_SQL = ", ".join(f"({n}, '{p}', '{c}')" for n, (p, c) in enumerate(SHOWN))
+SCRIPTS = "['**/__tests__/**','**/*.test.ts','**/*.test.tsx','**/*.test.js','**/*.test.jsx','**/*.spec.ts','**/*.spec.tsx','**/*.spec.js','**/*.spec.jsx']"
+FRAMES = f"""w AS (SELECT n AS repo, p, c FROM nat, (VALUES {SHOWN_SQL}) v(k, p, c) WHERE (n_nationkey*3+k*k)%7<2 UNION ALL SELECT n, 'm/a_test.go', 'x' FROM nat WHERE n_nationkey%2=0),
+fw AS (SELECT DISTINCT repo, CASE WHEN p IN ('sub/conftest.py','setup.cfg') OR (p='pyproject.toml' AND contains(c,'pytest')) THEN 'pytest' WHEN p='web/jest.config.mjs' OR (p='package.json' AND contains(c,'jest')) THEN 'jest' WHEN p='package.json' THEN 'vitest' WHEN p='cypress/a.ts' THEN 'cypress' WHEN p='playwright.config.ts' THEN 'playwright'
+  WHEN p='go.mod' AND repo IN (SELECT repo FROM w WHERE p='m/a_test.go') THEN 'go test' WHEN p='src/test/java/A.java' THEN 'java/maven' WHEN p='Cargo.toml' AND repo IN (SELECT repo FROM w WHERE p='tests/a.rs') THEN 'rust' END AS fw FROM w),
+pt AS (SELECT repo, unnest(CASE fw WHEN 'pytest' THEN ['**/test_*.py','**/*_test.py','**/conftest.py','**/tests/**'] WHEN 'jest' THEN {SCRIPTS} WHEN 'vitest' THEN {SCRIPTS} WHEN 'cypress' THEN ['**/cypress/**','**/*.cy.ts','**/*.cy.js'] WHEN 'playwright' THEN ['**/*.spec.ts','**/*.spec.js','**/e2e/**'] WHEN 'go test' THEN ['**/*_test.go'] WHEN 'java/maven' THEN ['**/src/test/**'] ELSE ['**/tests/**'] END) AS pattern FROM fw WHERE fw IS NOT NULL),
+dirs AS (SELECT repo, '**/'||split_part(p,'/',1)||'/**' AS pattern FROM w WHERE p IN ('tests/a.rs','spec/b.rb','cypress/a.ts') EXCEPT SELECT repo, pattern FROM pt)"""
+
+
+@query(with_tables("nat", FRAMES) + "SELECT repo, list_sort(coalesce((SELECT list(fw) FROM (SELECT fw FROM fw WHERE fw.repo=r.repo AND fw IS NOT NULL UNION SELECT 'folders' FROM dirs WHERE dirs.repo=r.repo)), [])) AS frameworks, list_sort(coalesce((SELECT list(pattern) FROM (SELECT pattern FROM pt WHERE pt.repo=r.repo UNION SELECT pattern FROM dirs WHERE dirs.repo=r.repo)), [])) AS patterns FROM (SELECT DISTINCT repo FROM w) r")
 def test_frameworks(t: Tables) -> DataFrame:
-    return corpus.test_frameworks(named_files(t))
+    """Each nation shows some of the files, and every second one has a Go test besides."""
+    every = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.lit(p).alias("p"), F.lit(c).alias("c")) for n, (p, c) in enumerate(SHOWN)])).alias("s")
+    some = t.nations().select(F.col("n").alias("repo"), "n_nationkey", every).filter((F.col("n_nationkey") * 3 + F.col("s.k") * F.col("s.k")) % 7 < 2).select("repo", F.col("s.p").alias("rel_path"), F.col("s.c").alias("content"))
+    tests = t.nations().filter("n_nationkey % 2 = 0").select(F.col("n").alias("repo"), F.lit("m/a_test.go").alias("rel_path"), F.lit("x").alias("content"))
+    return corpus.test_frameworks(readers.as_files(some.unionByName(tests)))
 
 
 @query("SELECT DISTINCT 'parts' AS repo, '**/'||top||'/**' AS pattern FROM (SELECT ['src','.venv-p0','venv','indexes','Saas_Repos','virtualenv_3'][p_partkey%6+1] AS top FROM part) WHERE top NOT IN ('src','venv')")

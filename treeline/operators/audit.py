@@ -15,6 +15,8 @@ from treeline.operators.graph import reach_sinks
 
 STRONG = ("web", "code", "shell")
 INVENTORY_SHARE, INVENTORY_ROUTES, INVENTORY_HITS = 0.75, 10, 8
+#: What stands in the names of files that list an API. Fixed values.
+INVENTORY_NAMES = ("openapi", "swagger", "api-docs", "apidocs", "postman", "insomnia")
 GUARD_FLOOR = 0.25
 
 
@@ -50,7 +52,8 @@ def inventories(matches: DataFrame, routes: DataFrame) -> DataFrame:
     total = routes.groupBy("repo").agg(F.countDistinct("key").alias("routes"))
     hits = matches.groupBy("repo", "rel_path").agg(F.countDistinct("key").alias("hits")).join(total, "repo")
     share = F.col("hits") / F.col("routes")
-    listed = F.lower("rel_path").rlike("(openapi|swagger|postman|routes?[-_]manifest|api[-_]inventory)[^/]*$")
+    name = F.lower(F.substring_index("rel_path", "/", -1))
+    listed = F.exists(F.array(*[F.lit(m) for m in INVENTORY_NAMES]), lambda m: F.contains(name, m))
     many = (F.col("routes") >= INVENTORY_ROUTES) & (F.col("hits") >= INVENTORY_HITS) & (share >= INVENTORY_SHARE)
     return hits.filter(listed | many).select("repo", "rel_path", "hits", share.alias("share"))
 

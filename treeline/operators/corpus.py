@@ -108,13 +108,57 @@ def small_file_clusters(files: DataFrame, least: int = 4, below: int = 80) -> Da
     return files.filter(F.col("n_lines") < below).groupBy("repo", folder).agg(F.count("*").alias("small_files"), F.sum("n_lines").alias("small_lines")).filter(F.col("small_files") >= least)
 
 
+#: Extensions of source files, and folders that are no part of a project's structure. Fixed values.
+STRUCTURE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "go", "java", "rs", "rb", "php")
+STRUCTURE_SKIPS = (
+    ".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build",
+    ".dao", ".codeindex", "htmlcov", ".tox", ".mypy_cache",
+    "tests", "test", "__tests__", "fixtures", "examples", "docs",
+)
+#: Parts of names that speak of configuration, events and patterns, and of what only tests. Fixed values.
+CONFIG_NAMES = (
+    "config", "settings", "options", "env", "constants", "defaults",
+    "schema", "flags", "preferences", "params",
+)
+EVENT_NAMES = (
+    "event", "emitter", "listener", "subscriber", "publisher",
+    "dispatch", "handler", "bus", "signal", "observable", "hook",
+)
+PATTERN_NAMES = (
+    "factory", "strategy", "observer", "adapter", "decorator",
+    "builder", "singleton", "mediator", "proxy", "facade",
+    "visitor", "command", "state", "template",
+)
+TRIAL_NAMES = ("test", "spec", "mock", "fixture")
+#: Folders named for a technical layer. Fixed values.
+TECH_LAYERS = (
+    "models", "views", "controllers", "services", "repositories",
+    "handlers", "middleware", "routes", "resolvers", "schemas",
+    "entities", "dtos", "mappers", "adapters", "validators",
+)
+#: Files, layers and folders from which on a signal is one; depth of a deep folder. Fixed values.
+MANY = {"config": 5, "event": 4, "pattern": 3, "layers": 3, "deep": 1}
+DEEP = 5
+
+
 def naming_signals(files: DataFrame) -> DataFrame:
-    """Per repo: files named for configuration, events or patterns, and deep folders, with whether each passes its threshold."""
-    name = F.lower(F.regexp_extract("rel_path", "([^/]*)$", 1))
-    flags = {"config": name.rlike("config|settings|options"), "event": name.rlike("event|listener|handler|subscriber"), "pattern": name.rlike("factory|manager|adapter|wrapper|proxy|facade"), "deep": F.size(F.split("rel_path", "/")) > 5}
-    least = {"config": 5, "event": 4, "pattern": 3, "deep": 3}
-    counted = files.groupBy("repo").agg(*[F.count_if(v).alias(k) for k, v in flags.items()])
-    return counted.select("*", *[(F.col(k) >= n).alias(f"many_{k}") for k, n in least.items()])
+    """Per repo: files named for configuration, events or patterns, technical layers among folder names, deep folders, and whether each is many."""
+    folders = F.slice(F.split("rel_path", "/"), 1, F.size(F.split("rel_path", "/")) - 1)
+    skipped = F.exists(folders, lambda f: f.isin(*STRUCTURE_SKIPS) | f.startswith("."))
+    rows = files.filter(~skipped).select("repo", folders.alias("folders"), "ext", F.replace(F.lower(F.regexp_replace(F.substring_index("rel_path", "/", -1), r"(?<=.)\.[^.]*$", "")), F.lit("-"), F.lit("_")).alias("stem"))
+
+    def named(parts: tuple[str, ...]) -> Column:
+        return F.exists(F.array(*[F.lit(x) for x in parts]), lambda x: F.contains(F.col("stem"), x))
+
+    source = (F.size("folders") > 0) & F.col("ext").isin(*STRUCTURE_EXTENSIONS) & ~named(TRIAL_NAMES)
+    kinds = {"config": CONFIG_NAMES, "event": EVENT_NAMES, "pattern": PATTERN_NAMES}
+    counted = rows.groupBy("repo").agg(*[F.count_if(source & named(v)).alias(k) for k, v in kinds.items()])
+    # A folder is each head of a file's path.
+    heads = F.transform(F.sequence(F.lit(1), F.size("folders")), lambda n: F.struct(n.alias("depth"), F.lower(F.element_at("folders", n)).alias("name"), F.array_join(F.slice("folders", 1, n), "/").alias("at")))
+    every = rows.select("repo", F.explode(F.when(F.size("folders") > 0, heads)).alias("f")).select("repo", "f.*").distinct()
+    placed = every.groupBy("repo").agg(F.countDistinct(F.when(F.col("name").isin(*TECH_LAYERS), F.col("name"))).alias("layers"), F.countDistinct(F.when(F.col("depth") >= DEEP, F.col("at"))).alias("deep"))
+    counted = counted.join(placed, "repo", "left").fillna(0, ["layers", "deep"])
+    return counted.select("repo", *MANY, *[(F.col(k) >= n).alias(f"many_{k}") for k, n in MANY.items()])
 
 
 def language_set(files: DataFrame, depth: int = 5) -> DataFrame:
@@ -122,11 +166,57 @@ def language_set(files: DataFrame, depth: int = 5) -> DataFrame:
     return shallow.groupBy("repo").agg(F.array_sort(F.collect_set("language")).alias("languages"))
 
 
+#: Test frameworks. Files of these names, in the root or a folder of it, show one; so do texts in files of the root, and folders
+#: of it. Then these patterns are tests. Fixed values.
+SCRIPT_TESTS = (
+    "**/__tests__/**", "**/*.test.ts", "**/*.test.tsx", "**/*.test.js",
+    "**/*.test.jsx", "**/*.spec.ts", "**/*.spec.tsx", "**/*.spec.js", "**/*.spec.jsx",
+)
+FRAMEWORK_FILES = {
+    "pytest": ("conftest.py", "pytest.ini"),
+    "jest": ("jest.config.js", "jest.config.ts", "jest.config.mjs", "jest.config.cjs", "jest.config.json"),
+    "vitest": ("vitest.config.js", "vitest.config.ts", "vitest.config.mjs", "vitest.config.cjs"),
+    "cypress": ("cypress.config.js", "cypress.config.ts", "cypress.config.mjs", "cypress.config.cjs"),
+    "playwright": ("playwright.config.js", "playwright.config.ts", "playwright.config.mjs", "playwright.config.cjs"),
+}
+FRAMEWORK_TEXTS = {
+    "pytest": (("pyproject.toml", "[tool.pytest"), ("setup.cfg", "[tool:pytest")),
+    "jest": (("package.json", '"jest"'),),
+    "vitest": (("package.json", '"vitest"'),),
+}
+FRAMEWORK_PATTERNS = {
+    "pytest": ("**/test_*.py", "**/*_test.py", "**/conftest.py", "**/tests/**"),
+    "jest": SCRIPT_TESTS,
+    "vitest": SCRIPT_TESTS,
+    "cypress": ("**/cypress/**", "**/*.cy.ts", "**/*.cy.js"),
+    "playwright": ("**/*.spec.ts", "**/*.spec.js", "**/e2e/**"),
+    "go test": ("**/*_test.go",),
+    "java/maven": ("**/src/test/**",),
+    "rust": ("**/tests/**",),
+}
+#: Folders of the root that hold tests by convention. Fixed values.
+TEST_FOLDERS = ("tests", "test", "__tests__", "spec", "e2e", "cypress")
+
+
 def test_frameworks(files: DataFrame) -> DataFrame:
-    """Patterns to exclude, by the test frameworks that a repo's files show."""
-    rules = files.sparkSession.createDataFrame(
-        [("pytest", r"(^|/)(conftest\.py|pytest\.ini)$", "**/tests/**"), ("jest", r"(^|/)jest\.config\.\w+$", "**/__tests__/**"), ("vitest", r"(^|/)vitest\.config\.\w+$", "**/*.spec.ts"), ("go", r"_test\.go$", "**/*_test.go"), ("junit", r"(^|/)src/test/java/", "**/src/test/**")],
-        "framework string, path_like string, pattern string",
-    )
-    hits = files.join(F.broadcast(rules), F.expr("rel_path rlike path_like"))
-    return hits.groupBy("repo").agg(F.array_sort(F.collect_set("framework")).alias("frameworks"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    """repo, frameworks, patterns: the test frameworks that a repository's files show, and what to exclude for them and for folders that hold tests by convention, which count as `folders` where they add a pattern."""
+    path, text = F.col("rel_path"), F.col("content")
+    name, depth = F.substring_index(path, "/", -1), F.size(F.split(path, "/")) - 1
+    near = depth <= 1
+    within = lambda folder: path.startswith(f"{folder}/")
+    shown = {k: near & name.isin(*v) for k, v in FRAMEWORK_FILES.items()}
+    for k, pairs in FRAMEWORK_TEXTS.items():
+        for file, needle in pairs:
+            shown[k] = shown[k] | ((path == file) & F.contains(text, F.lit(needle)))
+    shown["cypress"] = shown["cypress"] | within("cypress")
+    shown["java/maven"] = within("src/test")
+    marks = {"go module": near & (name == "go.mod"), "go file": name.endswith("_test.go"), "cargo": near & (name == "Cargo.toml"), **{f"in {f}": within(f) for f in TEST_FOLDERS}}
+    per = files.groupBy("repo").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in (shown | marks).items()])
+    known = {k: F.col(f"`{k}`") for k in shown} | {"go test": F.col("`go module`") & F.col("`go file`"), "rust": F.col("cargo") & F.col("`in tests`")}
+    several = lambda items: F.array_compact(F.array(*items))
+    patterns = F.array_distinct(several([F.when(c, F.lit(p)) for k, c in known.items() for p in FRAMEWORK_PATTERNS[k]]))
+    rows = per.withColumn("patterns", patterns)
+    folders = several([F.when(F.col(f"`in {f}`") & ~F.array_contains("patterns", f"**/{f}/**"), F.lit(f"**/{f}/**")) for f in TEST_FOLDERS])
+    rows = rows.withColumn("folders", folders)
+    frameworks = several([*[F.when(c, F.lit(k)) for k, c in known.items()], F.when(F.size("folders") > 0, F.lit("folders"))])
+    return rows.select("repo", F.array_sort(frameworks).alias("frameworks"), F.array_sort(F.concat("patterns", "folders")).alias("patterns"))

@@ -151,17 +151,47 @@ def health(entities: DataFrame, edges: DataFrame, files: DataFrame | None = None
     return scored.select("repo", (F.col("total") / 10).alias("score"), grade(F.col("total")).alias("grade"), F.lit(True).alias("reliable"))
 
 
-#: Rules from a weak dimension to design principles: dimension, score below, principle, priority. Fixed values.
+#: Design principles: layer, code, name. Fixed values.
 PRINCIPLES = (
-    ("mc", 8, "low coupling", 1), ("cd", 10, "acyclic dependencies", 1), ("fi", 8, "single responsibility", 2), ("dc", 8, "remove what is unused", 2),
-    ("fs", 8, "small functions", 2), ("td", 8, "pay debts early", 3), ("mf", 8, "cohesive modules", 3), ("re", 8, "few indirections", 3),
-)
+    ("A", "A1", "Unnecessary layers"),
+    ("A", "A2", "Over-modularization"),
+    ("A", "A3", "Premature generalization"),
+    ("A", "A4", "Over-decoupling"),
+    ("A", "A5", "Config complexity"),
+    ("A", "A6", "Event system overkill"),
+    ("A", "A7", "Over-patterning"),
+    ("M", "M1", "Feature bloat"),
+    ("M", "M2", "Unclear boundaries"),
+    ("M", "M3", "Duplication"),
+    ("M", "M4", "Excessive dependencies"),
+    ("C", "C1", "Indirection / barrel exports"),
+    ("C", "C2", "Over-fragmentation"),
+    ("C", "C3", "Deep directory nesting"),
+    ("C", "C4", "Dead code"),
+    ("C", "C5", "Split by tech layer"),
+    ("C", "C6", "Unnecessary abstraction"),
+    ("C", "C7", "Circular dependencies"),
+    ("C", "C8", "Low cohesion"),
+)
+#: Dimensions, in this order, with the score below which they call for principles. Fixed values.
+SIGNALS = (
+    ("dc", 10, ("C4",)),
+    ("cd", 10, ("C7", "A1")),
+    ("mc", 9, ("M4", "M2", "A4")),
+    ("fi", 9, ("M1", "A1")),
+    ("fs", 9, ("C8",)),
+    ("td", 9, ("C6", "C1")),
+    ("mf", 9, ("A2", "C2", "C3")),
+    ("re", 9, ("C1", "C6", "A3")),
+)
 
 
 def principle_signals(scored: DataFrame) -> DataFrame:
-    """Per repo: the principles that its weak dimensions call for, by priority, as one text."""
-    rules = scored.sparkSession.createDataFrame(list(PRINCIPLES), "dimension string, below int, principle string, priority int")
-    hits = scored.join(F.broadcast(rules), "dimension").filter("score < below")
-    listed = F.array_sort(F.collect_list(F.struct("priority", "dimension", "principle")))
-    text = F.array_join(F.transform(listed, lambda x: F.concat(x["dimension"], F.lit(": "), x["principle"])), "; ")
-    return hits.groupBy("repo").agg(F.count("*").alias("signals"), text.alias("message"))
+    """scored(repo, dimension, score) -> repo, layer, code, name, priority, signal: every principle for every repository, of high priority with its reasons where a weak dimension calls for it, else normal."""
+    spark = scored.sparkSession
+    links = spark.createDataFrame([(d, below, code, n) for n, (d, below, codes) in enumerate(SIGNALS) for code in codes], "dimension string, below int, code string, n int")
+    told = F.format_string("%s=%.1f < %d", F.upper("dimension"), F.col("score").cast("double"), F.col("below"))
+    hits = scored.join(F.broadcast(links), "dimension").filter("score < below").groupBy("repo", "code").agg(F.array_sort(F.collect_list(F.struct("n", told.alias("told")))).alias("all"))
+    hits = hits.select("repo", "code", F.array_join(F.transform("all", lambda x: x["told"]), "; ").alias("signal"))
+    rows = scored.select("repo").distinct().select("repo", F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.lit(c).alias("code"), F.lit(n).alias("name")) for x, c, n in PRINCIPLES])).alias("p")).select("repo", "p.*")
+    return rows.join(hits, ["repo", "code"], "left").select("repo", "layer", "code", "name", F.when(F.col("signal").isNull(), "normal").otherwise("high").alias("priority"), "signal")
