@@ -214,7 +214,7 @@ def script_class(t: Tables) -> DataFrame:
     return quality.classify_scripts(scripts.drop("p_partkey"), by("l_discount > 0.09"), by("l_quantity > 49.5"))
 
 
-@query("WITH p AS (SELECT page_id, regexp_extract(url,'://[^/?#]*([^?#]*)',1) AS path FROM pages), d AS (SELECT doc_id, 'see '||p.path||', and d'||doc_id%97||'.md' AS content FROM documents JOIN p ON p.page_id=doc_id%500), w AS (SELECT DISTINCT path, regexp_extract(path,'([^/]*)$',1) AS base FROM p UNION SELECT DISTINCT 'docs/d'||doc_id%97||'.md', 'd'||doc_id%97||'.md' FROM documents), n AS (SELECT DISTINCT path, ltrim(path,'/') AS name FROM w WHERE ltrim(path,'/')<>'' UNION SELECT path, base FROM w WHERE base<>''), m AS (SELECT doc_id, unnest(list_distinct(list_concat(ps, ['see','and','d'||doc_id%97||'.md']))) AS name FROM (SELECT doc_id, list_filter(flatten([[array_to_string(s[i:j],'/') for j in range(i, len(s)+1)] for i in range(1, len(s)+1)]), lambda x: x<>'') AS ps FROM (SELECT doc_id, list_filter(string_split(path,'/'), lambda x: x<>'') AS s FROM documents JOIN p ON p.page_id=doc_id%500))) SELECT DISTINCT n.path, 'docs/t'||doc_id||'.txt' AS rel_path FROM m JOIN n USING (name)")
+@query("WITH p AS (SELECT page_id, regexp_extract(url,'://[^/?#]*([^?#]*)',1) AS path FROM pages), d AS (SELECT 'docs/t'||doc_id||'.txt' AS rel_path, 'see '||p.path||', and d'||doc_id%97||'.md' AS content FROM documents JOIN p ON p.page_id=doc_id%500), w AS (SELECT DISTINCT path, regexp_extract(path,'([^/]*)$',1) AS base FROM p UNION SELECT DISTINCT 'docs/d'||doc_id%97||'.md', 'd'||doc_id%97||'.md' FROM documents), n AS (SELECT path, path AS name FROM w UNION SELECT path, base FROM w) SELECT DISTINCT n.path, d.rel_path FROM d JOIN n ON name<>'' AND contains(content, name)")
 def blast_radius(t: Tables) -> DataFrame:
     """Documents as texts that name a page's path and a note; every page path and note is asked for."""
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.text import SINKS, distinctive_segment, glob_column, is_sink, is_state_like, literal_segments, path_segments
-from treeline.operators.common import by_repo, listed
+from treeline.operators.common import by_repo
 from treeline.operators.graph import reach_sinks
 
 STRONG = ("web", "code", "shell")
@@ -172,14 +172,14 @@ def globs_met(keys: DataFrame, exemptions: DataFrame, by: list[str]) -> DataFram
     """keys(*by, id) with the entry, reason and ord of each glob that fits."""
     globs = exemptions.filter(F.col("entry").rlike(GLOB)).select(*[F.col(c).alias(f"g_{c}") for c in by], glob_column(F.col("entry")).alias("like"), "entry", "reason", "ord")
     same = F.expr(" and ".join([*(f"{c} = g_{c}" for c in by), "id rlike like"]))
-    return keys.join(listed(globs), same).drop("like", *[f"g_{c}" for c in by])
+    return keys.join(globs, same).drop("like", *[f"g_{c}" for c in by])
 
 
 def apply_exemptions(findings: DataFrame, exemptions: DataFrame) -> DataFrame:
     """findings(repo, table, id, ...) with exempt_reason: of the exact entry, else of the first glob by ord.
 
     Entries hold for their own repository; entries without that column hold for all. Exact entries meet by equality;
-    globs are a list of a policy's, bounded in size.
+    globs are compared with the findings of their repository and table, which they meet by equality.
     """
     by = [*by_repo(findings, exemptions), "table"]
     exact = exemptions.filter(~F.col("entry").rlike(GLOB)).groupBy(*by, F.col("entry").alias("id")).agg(F.min_by("reason", "ord").alias("exact_reason"))

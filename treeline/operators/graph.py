@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.scores import call_weight
-from treeline.operators.common import cut, listed
+from treeline.operators.common import cut
+from treeline.operators.patterns import contained
 
 
 def collapse_edges(relations: DataFrame) -> DataFrame:
@@ -142,10 +143,16 @@ def induced_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def lookup(entities: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbols(repo, symbol), a list of what is asked for -> entities whose id is it, ends with .it, or whose name contains it: repo, symbol, id."""
-    sym = listed(symbols.select(F.col("repo").alias("r"), "symbol"))
-    fits = (F.col("id") == F.col("symbol")) | F.col("id").endswith(F.concat(F.lit("."), F.col("symbol"))) | F.col("name").contains(F.col("symbol"))
-    return entities.join(sym, (F.col("repo") == F.col("r")) & fits).select("repo", "symbol", "id")
+    """symbols(repo, symbol), however many -> entities whose id is it, ends with .it, or whose name contains it: repo, symbol, id.
+
+    Ids meet by equality, on exploded dotted tails; names run through automata of the symbols.
+    """
+    asked = cut(symbols.select("repo", "symbol").filter("symbol != ''").distinct())
+    parts = F.split("id", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    by_id = entities.select("repo", "id", F.explode(F.array_distinct(tails)).alias("symbol")).join(asked, ["repo", "symbol"])
+    by_name = contained(entities.select("repo", "id", "name"), "name", asked.select(F.col("symbol").alias("pattern"))).withColumnRenamed("pattern", "symbol").join(asked, ["repo", "symbol"])
+    return by_id.select("repo", "symbol", "id").unionByName(by_name.select("repo", "symbol", "id")).distinct()
 
 
 def prefix_expand(hits: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:

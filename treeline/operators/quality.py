@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from treeline.functions.ids import module_id
 from treeline.functions.scores import coverage_band
-from treeline.operators.common import by_repo, listed
+from treeline.operators.common import by_repo, cut, listed
+from treeline.operators.patterns import contained
 
 
 def coverage_totals(coverage: DataFrame) -> DataFrame:
@@ -78,22 +79,15 @@ def vacuous_checks(all_lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def blast_radius(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets(path) -> path, rel_path: files whose text names the path, or its base name where at most one file has that.
-
-    Runs of path characters in the text give their slash-separated parts, and the joined runs of parts, once a file;
-    these meet paths and base names by equality. A path is named where it stands between other characters or parts.
-    """
-    base = F.regexp_extract("path", "([^/]*)$", 1)
-    counts = files.groupBy(F.regexp_extract("rel_path", "([^/]*)$", 1).alias("base")).agg(F.count("*").alias("n"))
-    wanted = targets.select("path").distinct().withColumn("base", base).join(counts, "base", "left")
-    names = wanted.select("path", F.regexp_replace("path", "^/+", "").alias("name")).unionByName(wanted.filter("coalesce(n, 0) <= 1").select("path", F.col("base").alias("name"))).filter("name != ''").distinct()
-    longest = names.agg(F.coalesce(F.max(F.size(F.split("name", "/"))), F.lit(1))).first()[0]
-    runs = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w.$~+-]+(?:/[\w.$~+-]+)*"), F.lit(0)))
-    parts = files.select("rel_path", F.explode(runs).alias("run")).select("rel_path", F.split("run", "/").alias("parts"))
-    starts = F.sequence(F.lit(1), F.size("parts"))
-    sub = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("parts") - a + 1)), lambda n: F.array_join(F.slice("parts", a, n), "/"))))
-    mentions = parts.select("rel_path", F.explode(F.array_distinct(sub)).alias("name")).distinct()
-    return mentions.join(names, "name").filter("rel_path != path").select("path", "rel_path").distinct()
+    """targets(repo, path) -> repo, path, rel_path: files whose text contains the path, or its base name where at most one file of the repository has that. Without repo in both there is one repository."""
+    by = by_repo(files, targets)
+    base = F.substring_index("path", "/", -1)
+    counts = files.groupBy(*by, F.substring_index("rel_path", "/", -1).alias("base")).agg(F.count("*").alias("n"))
+    wanted = targets.select(*by, "path").distinct().withColumn("base", base).join(counts, [*by, "base"], "left")
+    keys = wanted.select(*by, "path", F.col("path").alias("pattern")).unionByName(wanted.filter("coalesce(n, 0) <= 1").select(*by, "path", F.col("base").alias("pattern")))
+    keys = cut(keys.filter("pattern != ''").distinct())
+    met = contained(files.select(*by, "rel_path", "content"), "content", keys.select("pattern"))
+    return met.join(keys, [*by, "pattern"]).filter("rel_path != path").select(*by, "path", "rel_path").distinct()
 
 
 def importer_map(imports: DataFrame, scripts: DataFrame) -> DataFrame:
