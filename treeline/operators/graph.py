@@ -110,26 +110,44 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return {"callees": out, "callers": back}.get(direction, out.unionByName(back) if direction == "both" else out)
 
 
-def khop(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", entities: DataFrame | None = None) -> DataFrame:
-    """seeds(repo, seed, id) -> repo, seed, id, depth: what each seed reaches within depth steps, by its first discovery.
+def numbered_seeds(seeds: DataFrame) -> DataFrame:
+    """seeds(repo, seed, id) -> repo, seed, id, word, bit: each (repo, seed) is a bit of a long, 64 seeds a word. Words are a task's own, so nothing is numbered in one place."""
+    each = cut(seeds.select("repo", "seed").distinct().withColumn("number", F.monotonically_increasing_id()))
+    return cut(seeds.select("repo", "seed", "id").distinct().join(each, ["repo", "seed"]).select("repo", "seed", "id", F.shiftright("number", 6).alias("word"), F.expr("shiftleft(1L, cast(number & 63 as int))").alias("bit")))
+
+
+def khop_bits(edges: DataFrame, numbered: DataFrame, depth: int, direction: str = "both", entities: DataFrame | None = None) -> DataFrame:
+    """numbered_seeds -> repo, word, id, bits, depth: which seeds of a word first reach an id at a depth.
 
-    Phantoms are reported and not expanded, where entities are given. All seeds walk at once; each hop is one join on
-    (repo, id), one anti-join with what is known, and is cut, so plans stay short however deep the walk. The steps are
-    worked out once: a hop reads them as they were written.
+    Frontiers are bit sets: a row stands for up to 64 seeds at a node, so a hop's rows grow with the nodes and the words, not with
+    the seeds that share a node. A hop is one join on (repo, id), one bit_or on (repo, word, id), which tasks begin before they
+    shuffle, and one join with what is known. Phantoms are reported and not expanded, where entities are given. The steps are worked
+    out once, and each hop is cut, so plans stay short however deep the walk.
     """
     steps = neighbours(edges.select("repo", "src_id", "tgt_id", "kind"), direction).select("repo", "id", "next").distinct()
     if entities is not None:
         steps = steps.join(entities.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
     steps = cut(steps)
-    found = cut(seeds.select("repo", "seed", "id", F.lit(0).alias("depth")).distinct())
-    frontier = found
+    frontier = cut(numbered.groupBy("repo", "word", "id").agg(F.bit_or("bit").alias("bits")))
+    known, found = frontier, frontier.withColumn("depth", F.lit(0))
     for hop in range(1, depth + 1):
-        new = frontier.join(steps, ["repo", "id"]).select("repo", "seed", F.col("next").alias("id")).distinct()
-        frontier = cut(new.join(found.select("repo", "seed", "id"), ["repo", "seed", "id"], "left_anti").withColumn("depth", F.lit(hop)))
-        found = found.unionByName(frontier)
+        met = frontier.join(steps, ["repo", "id"]).groupBy("repo", "word", F.col("next").alias("id")).agg(F.bit_or("bits").alias("met"))
+        joined = met.join(known, ["repo", "word", "id"], "left")
+        frontier = cut(joined.select("repo", "word", "id", F.expr("met & ~coalesce(bits, 0L)").alias("bits")).filter("bits != 0"))
+        found = found.unionByName(frontier.withColumn("depth", F.lit(hop)))
+        if hop < depth:
+            known = cut(known.unionByName(frontier).groupBy("repo", "word", "id").agg(F.bit_or("bits").alias("bits")))
     return found
 
 
+def khop(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", entities: DataFrame | None = None) -> DataFrame:
+    """seeds(repo, seed, id) -> repo, seed, id, depth: what each seed reaches within depth steps, by its first discovery. All seeds walk at once, as bits (khop_bits); their names come back by word."""
+    numbered = numbered_seeds(seeds)
+    found = khop_bits(edges, numbered, depth, direction, entities)
+    names = numbered.select("repo", "seed", "word", "bit").distinct()
+    return found.join(names, ["repo", "word"]).filter("bits & bit != 0").select("repo", "seed", "id", "depth")
+
+
 def with_kind(reached: DataFrame, entities: DataFrame) -> DataFrame:
     """Reached ids with their entity's kind, `external` for phantoms."""
     return reached.join(entities.select("repo", "id", "kind"), ["repo", "id"], "left").withColumn("kind", F.coalesce("kind", F.lit("external")))
@@ -167,46 +185,44 @@ def prefix_expand(hits: DataFrame, entities: DataFrame, edges: DataFrame) -> Dat
 def strong_components(edges: DataFrame) -> DataFrame:
     """edges(repo, src, tgt) -> repo, node, component: strongly connected components of more than one node, named by their least node.
 
-    Nodes without an edge in or out are trimmed. Then the least label flows forward to a fixpoint, and so it does backward:
-    a node that one label reaches both ways is in that label's component. Of the rest, edges whose ends have the same two
-    labels go round again, until none are left; each round ends at least the component of the least node.
+    The least label flows along the edges and against them, to a fixpoint: nodes that one label reaches both ways are a
+    component. Of the rest, edges whose ends have the same two labels go round again, until none are left; each round
+    ends at least one component of each part.
     """
-    left = cut(edges.select("repo", "src", "tgt").filter("src != tgt").distinct())
-    done: DataFrame | None = None
-    while True:
-        while True:
-            ins, outs = left.select("repo", F.col("tgt").alias("n")).distinct(), left.select("repo", F.col("src").alias("n")).distinct()
-            core = ins.join(outs, ["repo", "n"], "left_semi")
-            kept = cut(left.join(core.withColumnRenamed("n", "src"), ["repo", "src"], "left_semi").join(core.withColumnRenamed("n", "tgt"), ["repo", "tgt"], "left_semi"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if left.isEmpty():
-            break
-        own = left.select("repo", F.col("src").alias("node"), F.col("src").alias("label")).distinct()
-        back = spread(left.select("repo", F.col("tgt").alias("src"), F.col("src").alias("tgt")), own)
-        labels = cut(spread(left, own).join(back.withColumnRenamed("label", "back"), ["repo", "node"]))
+    left, done = cut(edges.select("repo", "src", "tgt").filter("src != tgt").distinct()), None
+    while done is None or not left.isEmpty():
+        labels = spread(left)
         found = labels.filter("label = back").select("repo", "node", "label")
         done = found if done is None else done.unionByName(found)
         rest = labels.filter("label != back")
         ends = left.join(rest.withColumnsRenamed({"node": "src", "label": "ls", "back": "bs"}), ["repo", "src"]).join(rest.withColumnsRenamed({"node": "tgt", "label": "lt", "back": "bt"}), ["repo", "tgt"])
         left = cut(ends.filter("ls = lt and bs = bt").select("repo", "src", "tgt"))
-    if done is None:
-        return left.select("repo", F.col("src").alias("node"), F.col("tgt").alias("component"))
-    sized = done.withColumn("n", F.count("*").over(Window.partitionBy("repo", "label")))
-    return sized.filter("n > 1").select("repo", "node", F.col("label").alias("component"))
+    named = done.groupBy("repo", "label").agg(F.min("node").alias("component"), F.count("*").alias("n")).filter("n > 1")
+    return done.join(named, ["repo", "label"]).select("repo", "node", "component")
+
 
+def spread(edges: DataFrame) -> DataFrame:
+    """edges(repo, src, tgt) -> repo, node, label, back: the least label from which each node is reached, and the least that it reaches, its own included.
 
-def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """The least label that reaches each node along edges."""
-    labels = cut(labels)
+    Labels are nodes in the order of a hash, so that no order of names makes a path slow. Besides a label each node keeps
+    a jump, a node up the way from which its label comes. In a round every node looks where its jump has got to, and takes
+    the least of what it and those before it see there: distances to the least label halve, and a ring of n
+    nodes takes about twice the logarithm of n rounds. Both ways go in one table.
+    """
+    ways = cut(edges.select("repo", F.lit(0).alias("way"), "src", "tgt").unionByName(edges.select("repo", F.lit(1).alias("way"), F.col("tgt").alias("src"), F.col("src").alias("tgt"))))
+    nodes = ways.select("repo", "way", F.explode(F.array("src", "tgt")).alias("node")).distinct()
+    state = cut(nodes.select("repo", "way", "node", F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node")).alias("label"), F.col("node").alias("jump")))
     while True:
-        sent = edges.join(labels.withColumnRenamed("node", "src"), ["repo", "src"]).select("repo", F.col("tgt").alias("node"), "label")
-        new = cut(labels.unionByName(sent).groupBy("repo", "node").agg(F.min("label").alias("label")))
-        if new.join(labels, ["repo", "node", "label"], "left_anti").isEmpty():
-            return new
-        labels = new
+        there = state.select("repo", "way", F.col("node").alias("jump"), F.col("label").alias("j_label"), F.col("jump").alias("j_jump"))
+        leapt = state.join(there, ["repo", "way", "jump"]).select("repo", "way", "node", F.struct(F.col("j_label").alias("label"), F.col("j_jump").alias("jump")).alias("got"), F.col("label").alias("was"))
+        sent = ways.join(leapt.select("repo", "way", F.col("node").alias("src"), "got"), ["repo", "way", "src"]).select("repo", "way", F.col("tgt").alias("node"), "got")
+        new = leapt.unionByName(sent, allowMissingColumns=True).groupBy("repo", "way", "node").agg(F.min("got").alias("got"), F.max("was").alias("was"))
+        new = cut(new.select("repo", "way", "node", "got.label", "got.jump", (F.col("got.label") != F.col("was")).alias("moved")))
+        state = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            break
+    label, back = (state.filter(F.col("way") == w).select("repo", "node", F.col("label.node").alias(c)) for w, c in ((0, "label"), (1, "back")))
+    return cut(label.join(back, ["repo", "node"]))
 
 
 def reach_sinks(edges: DataFrame, starts: DataFrame, sink: Column, hops: int = 4) -> DataFrame:
