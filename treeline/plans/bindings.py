@@ -7,6 +7,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.operators.common import cut
+
 REPO = "tpc"
 
 
@@ -50,10 +52,10 @@ class Tables:
         rows = self.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber").join(self.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey")
         return rows.select(F.lit(REPO).alias("repo"), "src_id", "tgt_id", F.lit("calls").alias("kind"), F.lit(1.0).alias("weight"), "file_path", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
-    def imports(self) -> DataFrame:
-        """Each module imports the other module that it calls most, ties by name."""
+    def imports(self, calls: DataFrame | None = None) -> DataFrame:
+        """Each module imports the other module that it calls most, ties by name. calls: calls(), where they are at hand."""
         src, tgt = F.substring_index("src_id", ".", 1), F.substring_index("tgt_id", ".", 1)
-        n = self.calls().select(src.alias("src_id"), tgt.alias("tgt_id")).filter("src_id != tgt_id").groupBy("src_id", "tgt_id").agg(F.count("*").alias("n"))
+        n = (self.calls() if calls is None else calls).select(src.alias("src_id"), tgt.alias("tgt_id")).filter("src_id != tgt_id").groupBy("src_id", "tgt_id").agg(F.count("*").alias("n"))
         top = n.groupBy("src_id").agg(F.min_by("tgt_id", F.struct(-F.col("n"), F.col("tgt_id"))).alias("tgt_id"))
         paths = self.nations().select(F.col("n").alias("src_id"), F.concat_ws("/", "r", "n", F.lit("__init__.py")).alias("file_path"))
         return top.join(F.broadcast(paths), "src_id").select(F.lit(REPO).alias("repo"), "src_id", "tgt_id", F.lit("imports").alias("kind"), F.lit(0.5).alias("weight"), "file_path", F.lit(0).cast("long").alias("seq"))
@@ -65,7 +67,8 @@ class Tables:
         return rows.select(F.lit(REPO).alias("repo"), F.substring_index("id", ".", 1).alias("src_id"), F.col("id").alias("tgt_id"), F.lit("handles").alias("kind"), F.lit(1.0).alias("weight"), "file_path", F.lit(0).cast("long").alias("seq"))
 
     def relations(self) -> DataFrame:
-        return self.calls().unionByName(self.imports()).unionByName(self.handles())
+        calls = cut(self.calls())
+        return calls.unionByName(self.imports(calls)).unionByName(self.handles())
 
     def seeds(self) -> DataFrame:
         """The richest supplier of each region."""
