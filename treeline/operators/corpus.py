@@ -108,11 +108,10 @@ def small_file_clusters(files: DataFrame, least: int = 4, below: int = 80) -> Da
     return files.filter(F.col("n_lines") < below).groupBy("repo", folder).agg(F.count("*").alias("small_files"), F.sum("n_lines").alias("small_lines")).filter(F.col("small_files") >= least)
 
 
-#: Extensions of source files, and folders that are no part of a project's structure. Fixed values.
+#: Extensions of source files, and folders that, besides hidden ones, are no part of a project's structure. Fixed values.
 STRUCTURE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "go", "java", "rs", "rb", "php")
 STRUCTURE_SKIPS = (
-    ".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build",
-    ".dao", ".codeindex", "htmlcov", ".tox", ".mypy_cache",
+    "venv", "node_modules", "__pycache__", "dist", "build", "htmlcov",
     "tests", "test", "__tests__", "fixtures", "examples", "docs",
 )
 #: Parts of names that speak of configuration, events and patterns, and of what only tests. Fixed values.
