@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeline.catalogue import audits, corpus, evidence, graph, portfolio, stores
+from treeline.catalogue import audits, corpus, evidence, graph, portfolio, scopes, stores
 
-PARTS = (graph, corpus, audits, evidence, portfolio, stores)
+PARTS = (graph, corpus, audits, evidence, portfolio, scopes, stores)
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
 """Facts of source files: symbols, calls, imports, inheritance, routes, router prefixes and HTTP clients.
 
-One nested row a file, read in Arrow batches: Python with the standard parser, scripts and Go by their calls with a
-string as first argument. What such a call means is decided by the lists below. A file that does not parse gives a row
-with its error. Names are joined up afterwards, by equi-joins over all files.
+One nested row a file, read in Arrow batches: Python with the standard parser, scripts, Java, Go and PHP by their scopes
+(`braces`), and routes of scripts and Go by their calls with a string as first argument. What such a call means is
+decided by the lists below. A file that does not parse gives a row with its error. Names are joined up afterwards, by equi-joins over all files.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from treeline.operators.braces import GO, JAVA, PHP, SCRIPT, brace_facts
+
 FACTS = (
     "repo string, rel_path string, error string, "
     "symbols array<struct<name:string,kind:string,signature:string,docstring:string,line_start:int,line_end:int,annotations:array<string>>>, "
@@ -163,8 +165,27 @@ def go_facts(content: str) -> dict:
     return {"routes": routes, "prefixes": [(m["var"], m["head"], m["text"], n) for n, m in enumerate(groups)]}
 
 
+def whole_script(content: str) -> dict:
+    return script_facts(content) | brace_facts(content, SCRIPT)
+
+
+def whole_go(content: str) -> dict:
+    return go_facts(content) | brace_facts(content, GO)
+
+
+def java_facts(content: str) -> dict:
+    return brace_facts(content, JAVA)
+
+
+def php_facts(content: str) -> dict:
+    return brace_facts(content, PHP)
+
+
 #: Extractors by language; more can be registered.
-EXTRACTORS: dict[str, Callable[[str], dict]] = {"python": python_facts, "typescript": script_facts, "tsx": script_facts, "javascript": script_facts, "go": go_facts}
+EXTRACTORS: dict[str, Callable[[str], dict]] = {
+    "python": python_facts, "typescript": whole_script, "tsx": whole_script, "javascript": whole_script,
+    "go": whole_go, "java": java_facts, "php": php_facts,
+}
 
 
 def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | None = None) -> DataFrame:

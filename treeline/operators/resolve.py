@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from treeline.functions.ids import entity_id, import_target, module_id, top_module
 
+#: What stands behind a class where it is made.
+CONSTRUCTORS = (".__init__", ".<init>", "::__construct")
+
 
 def local_packages(files: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """repo, top: top modules of the files and of the entities known before."""
@@ -37,7 +40,8 @@ def resolve_callees(calls: DataFrame, symbols: DataFrame, names: DataFrame) -> D
     """
     own = symbols.select("repo", "rel_path", F.col("name").alias("callee"))
     if "kind" in symbols.columns:
-        own = own.unionByName(symbols.filter("kind = 'class'").select("repo", "rel_path", F.concat("name", F.lit(".__init__")).alias("callee")))
+        made = F.explode(F.transform(F.array(*[F.lit(m) for m in CONSTRUCTORS]), lambda m: F.concat("name", m))).alias("callee")
+        own = own.unionByName(symbols.filter(F.col("kind").isin("class", "record", "enum")).select("repo", "rel_path", made))
     locals_ = own.withColumn("is_local", F.lit(True)).distinct()
     known = names.groupBy("repo", "rel_path", "name").agg(F.bool_or("external").alias("external"), F.max("target").alias("target"))
     full = known.withColumnsRenamed({"name": "callee", "external": "full_external", "target": "full_target"})
