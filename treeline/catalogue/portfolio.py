@@ -48,12 +48,14 @@ def test_corpus(t: Tables) -> DataFrame:
     return quality.test_corpus(t.customer.select(path.alias("rel_path"), (F.col("c_custkey") % 9).alias("n_lines")))
 
 
-@query("WITH k AS (SELECT 'check_'||s_suppkey||'.sh' AS name, s_suppkey FROM supplier), r AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber=7 AND l_quantity>20 GROUP BY 1) SELECT name, coalesce(n,0) AS runs, CASE WHEN coalesce(n,0)=0 THEN 'never' WHEN n>1 THEN 'duplicate' ELSE 'once' END AS state FROM k LEFT JOIN r ON l_suppkey=s_suppkey")
+@query("WITH r AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber IN (1,3,5,7) GROUP BY 1), k AS (SELECT s_suppkey, coalesce(n,0)+CASE WHEN s_suppkey%3=0 THEN 1 ELSE 0 END AS runs FROM supplier LEFT JOIN r ON l_suppkey=s_suppkey) SELECT 'ci/check_'||s_suppkey||'.sh' AS path, 'check_'||s_suppkey||'.sh' AS name, runs, CASE WHEN runs=0 THEN 'never' WHEN runs>1 THEN 'duplicate' ELSE 'once' END AS state FROM k")
 def check_executions(t: Tables) -> DataFrame:
-    """Suppliers as checkers; seventh line items run them, small ones only in a comment."""
-    line = F.concat(F.when(F.col("l_quantity") > 20, "  bash ").otherwise("# bash "), F.lit("ci/check_"), text_of("l_suppkey"), F.lit(".sh --all"))
-    checkers = t.supplier.select(F.concat(F.lit("check_"), text_of("s_suppkey"), F.lit(".sh")).alias("name"))
-    return quality.executions(t.lineitem.filter("l_linenumber = 7").select(line.alias("line")), checkers)
+    """Suppliers as checkers, every third registered; line items are lines of runners, which run them, name them or stand in a comment by their number."""
+    name = F.concat(F.lit("check_"), text_of("l_suppkey"), F.lit(".sh"))
+    shapes = ("  bash ci/@ --all", "# bash ci/@", "step unit $PY ci/@", "echo ci/@", "\"node\" 'ci/@'", "cov a b ci/@", "spawn all /opt/x@")
+    line = F.replace(F.get(F.array(*[F.lit(x) for x in shapes]), F.col("l_linenumber") - 1), F.lit("@"), name)
+    checkers = t.supplier.select("s_suppkey", F.concat(F.lit("check_"), text_of("s_suppkey"), F.lit(".sh")).alias("name")).withColumn("path", F.concat(F.lit("ci/"), "name"))
+    return quality.executions(t.lineitem.select(line.alias("line")), checkers, checkers.filter("s_suppkey % 3 = 0").select("path"))
 
 
 @query("SELECT 'ci/check_'||s_suppkey AS path, 'orphan' AS state FROM supplier WHERE s_suppkey%5=0 UNION ALL SELECT 'ci/check_'||s_suppkey, 'stale' FROM supplier WHERE s_suppkey%7=0 AND s_suppkey%5<>0")
@@ -74,13 +76,24 @@ def gate_signals(t: Tables) -> DataFrame:
     return evidence.gate_signals(t.documents.select(F.lit("docs").alias("repo"), F.concat(F.lit("ci/"), name).alias("rel_path"), content.alias("content")))
 
 
-@query("SELECT 'tpc' AS repo, 'ci/check_'||s_suppkey||'.py' AS rel_path, line_no, reason FROM supplier, LATERAL (VALUES (1, 'literal length'), (3, 'missing file')) v(line_no, reason) WHERE (line_no=1 AND s_suppkey%2=0) OR (line_no=3 AND s_suppkey%3=0)")
+@query(
+    "WITH s AS (SELECT s_suppkey AS k, 'ci/check_'||s_suppkey||'.py' AS checker, 'ci/run-'||s_suppkey||'.sh' AS runner FROM supplier) SELECT 'tpc' AS repo, rel_path, line_no, kind, phase, targets, detail FROM ("
+    "SELECT runner AS rel_path, 3 AS line_no, 'pytest_selector' AS kind, 'unit-'||k AS phase, ['test_a'||k||'.py','test_b.py'] AS targets, 'fast and not s'||k AS detail FROM s WHERE k%2=0"
+    " UNION ALL SELECT checker, 1, 'hardcoded_constant', NULL, CAST([] AS VARCHAR[]), 'assert not (len(rows) != '||k||')' FROM s WHERE k%5<2"
+    " UNION ALL SELECT checker, 3, 'vacuous_scan', NULL, CAST([] AS VARCHAR[]), 'lib/gone_'||k||'.py' FROM s WHERE k%3=0)"
+)
 def vacuous_checks(t: Tables) -> DataFrame:
-    """Suppliers as checks: every second asserts the length of a literal, every third scans a file that is not there."""
-    path = F.concat(F.lit("ci/check_"), text_of("s_suppkey"), F.lit(".py"))
-    content = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "assert len([1, 2]) == 2\n").otherwise("assert len(rows) == 2\n"), F.lit("x = 1\n"), F.when(F.col("s_suppkey") % 3 == 0, "open('gone.txt')\n").otherwise(F.concat(F.lit("open('"), path, F.lit("')\n"))))
-    files = readers.as_files(t.supplier.select(F.lit(REPO).alias("repo"), path.alias("rel_path"), content.alias("content")))
-    return quality.vacuous_checks(corpus.lines(files), files)
+    """Suppliers as a runner and a checker each: every second selects its tests, two of five write a size down, every third scans a file that is not there."""
+    k = text_of("s_suppkey")
+    tests = F.concat(F.lit("  $PY -m pytest core/tests/test_a"), k, F.lit(".py \\\n   tests/test_b.py \\\n"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("   -k 'fast and not s"), k, F.lit("'"))).otherwise("   -q"))
+    runner = F.concat(F.lit("pytest tests/test_out.py -k 'x'\nif selected unit-"), k, F.lit("; then\n"), tests, F.lit("\nfi\npytest tests/test_out.py -k 'x'\nif selected cut; then\npytest tests/t.py -k 'x' \\\nfi\n"))
+    sized = F.when(F.col("s_suppkey") % 5 < 2, F.concat(F.lit("  assert not (len(rows) != "), k, F.lit(")\n"))).otherwise("assert len(cells) == 4\n")
+    scan = F.concat(F.lit("grep -q word $ROOT/ci && rg -n 'a b' ${ROOT}/"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("lib/gone_"), k, F.lit(".py"))).otherwise(F.concat(F.lit("ci/run-"), k, F.lit(".sh"))))
+    checker = F.concat(sized, F.lit("# len(x) != 3\n"), scan)
+    rows = t.supplier.select(F.explode(F.array(F.struct(F.concat(F.lit("ci/run-"), k, F.lit(".sh")).alias("rel_path"), runner.alias("content")), F.struct(F.concat(F.lit("ci/check_"), k, F.lit(".py")).alias("rel_path"), checker.alias("content")))).alias("f"))
+    files = readers.as_files(rows.select(F.lit(REPO).alias("repo"), "f.rel_path", "f.content"))
+    runners, checkers = (files.join(evidence.gate_signals(files).filter(F.col("role") == role).select("repo", "rel_path"), ["repo", "rel_path"], "left_semi") for role in ("runner", "checker"))
+    return quality.vacuous_checks(corpus.lines(runners), corpus.lines(checkers), files)
 
 
 CELLS = (("lint", "style", r"(^|/)ruff\.toml$", "ruff check"), ("test", "unit", r"(^|/)pytest\.ini$", "pytest"), ("build", "image", r"(^|/)Dockerfile$", "docker build"))

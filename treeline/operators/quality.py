@@ -61,21 +61,77 @@ def test_corpus(files: DataFrame, milestone: str = "milestone") -> DataFrame:
     return rows.rollup("folder").agg(F.count("*").alias("files"), F.sum("n_lines").alias("lines"), (marked / F.count("*")).alias("milestone_share"))
 
 
-def executions(runner_lines: DataFrame, checkers: DataFrame) -> DataFrame:
-    """checkers(name) -> name, runs, state: lines of runners, comments apart, that hold the name as a word; 0 never runs, over 1 is a duplicate. Words of lines and names meet by equality."""
-    words = F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("line", F.lit(r"[\w./-]+"), F.lit(0)), lambda w: F.array(w, F.substring_index(w, "/", -1)))))).alias("name")
-    hits = runner_lines.filter(~F.trim("line").startswith("#")).select(words).join(checkers.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count("*").alias("runs"))
-    state = F.when(F.coalesce("runs", F.lit(0)) == 0, "never").when(F.col("runs") > 1, "duplicate").otherwise("once")
-    return checkers.select("name").distinct().join(hits, "name", "left").select("name", F.coalesce("runs", F.lit(0)).alias("runs"), state.alias("state"))
-
-
-def vacuous_checks(all_lines: DataFrame, files: DataFrame) -> DataFrame:
-    """repo, rel_path, line_no, reason: asserts of a literal's length, and scans of files that are not there."""
-    fixed = all_lines.filter(F.col("line").rlike(r"assert\s+len\((\[|\(|['\"]).*\)\s*[=><]")).select("repo", "rel_path", "line_no", F.lit("literal length").alias("reason"))
-    target = F.regexp_extract("line", r"(?:open|read_text|Path)\(['\"]([^'\"]+)['\"]", 1)
-    scans = all_lines.withColumn("target", target).filter("target != ''")
-    there = files.select("repo", F.col("rel_path").alias("target")).distinct()
-    return fixed.unionByName(scans.join(there, ["repo", "target"], "left_anti").select("repo", "rel_path", "line_no", F.lit("missing file").alias("reason")))
+#: Words after which a file is run, and steps whose second word is run. Fixed values.
+RUN_BY = r"(?<!\S)(?:bash|sh|python3?|node|\$PY|\$\{PY\})\s+(?=(\S+))"
+STEP = r"^(?:spawn|cov|step)\s+\S+\s+(\S+)"
+#: The head of a phase of a runner; a set's size that is written down; a file below the root that is scanned; tests and their selection. Fixed values.
+PHASE = r"^if selected ([a-z0-9-]+);"
+WRITTEN_SIZE = r"len\([^)]*\)\s*!=\s*(\d+)"
+SCANNED = r"(?:rg|grep)\b[^\n|]*?\$\{?ROOT\}?/((?U)[\w/.\-]+)"
+TESTS = r"((?U)[\w/.$\-{}]*tests?/[\w/.\-]+\.py)"
+SELECTED = r"-k\s+'([^']+)'"
+
+
+def executions(runner_lines: DataFrame, checkers: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """checkers(name, and path where they are registered by it) -> these columns, runs, state: 0 never runs, over 1 is a duplicate.
+
+    A line of a runner runs a checker if it is no comment and a word behind a program or a step ends with the name,
+    quotes apart; being registered counts as one more. With repo in both tables, lines run the checkers of their own
+    repository. Names are found in lines by one pass over all of them.
+    """
+    by, keys = by_repo(runner_lines, checkers), [c for c in ("repo", "path", "name") if c in checkers.columns]
+    clean = F.regexp_replace(F.trim("line"), "[\"']", "")
+    step = F.regexp_extract(clean, STEP, 1)
+    # a step may name its program first, and then the word behind that counts already
+    words = F.array_append(F.regexp_extract_all(clean, F.lit(RUN_BY), F.lit(1)), step)
+    rows = runner_lines.filter(~F.trim("line").startswith("#")).select(*by, clean.alias("line"), words.alias("words"))
+    met = contained(rows, "line", checkers.select(F.col("name").alias("pattern")))
+    hits = met.filter(F.exists("words", lambda w: F.endswith(w, F.col("pattern")))).groupBy(*by, F.col("pattern").alias("name")).agg(F.count("*").alias("lines"))
+    found = checkers.select(*keys).distinct().join(hits, [*by, "name"], "left")
+    runs = F.coalesce("lines", F.lit(0).cast("long"))
+    if registered is not None:
+        on = [*by_repo(registered, checkers), "path"]
+        found = found.join(registered.select(*on).distinct().withColumn("listed", F.lit(1)), on, "left")
+        runs = runs + F.coalesce("listed", F.lit(0))
+    state = F.when(runs == 0, "never").when(runs > 1, "duplicate").otherwise("once")
+    return found.select(*keys, runs.alias("runs"), state.alias("state"))
+
+
+def logical_lines(all_lines: DataFrame) -> DataFrame:
+    """all_lines(repo, rel_path, line_no, line) of runners -> repo, rel_path, line_no, phase, line: lines within phases, with those that a backslash continues joined. A phase begins at its head and ends at `fi`; a line that is cut off by either is dropped."""
+    text = F.regexp_replace("line", r"^\s+|\s+$", "")
+    head = F.regexp_extract(text, PHASE, 1)
+    rows = all_lines.select("repo", "rel_path", "line_no", text.alias("line"), F.when(head != "", head).when(text == "fi", "").alias("mark"))
+    over = Window.partitionBy("repo", "rel_path").orderBy("line_no")
+    rows = rows.withColumn("phase", F.last("mark", ignorenulls=True).over(over))
+    goes_on = F.col("mark").isNull() & F.endswith("line", F.lit("\\"))
+    rows = rows.withColumn("goes_on", goes_on).withColumn("n", F.sum(F.when(F.lag("goes_on", 1, False).over(over) & F.col("mark").isNull(), 0).otherwise(1)).over(over))
+    some = rows.filter(F.col("mark").isNull() & (F.coalesce("phase", F.lit("")) != ""))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", F.regexp_replace("line", r"\\$", "").alias("line"))))
+    joined = some.groupBy("repo", "rel_path", "phase", "n").agg(F.min("line_no").alias("line_no"), F.max_by("goes_on", "line_no").alias("open"), F.array_join(F.transform(parts, lambda p: p["line"]), " ").alias("line"))
+    return joined.filter("not open").select("repo", "rel_path", "line_no", "phase", "line")
+
+
+def vacuous_checks(runner_lines: DataFrame, checker_lines: DataFrame, files: DataFrame) -> DataFrame:
+    """repo, rel_path, line_no, kind, phase, targets, detail: candidates for checks that check nothing.
+
+    pytest_selector: a phase of a runner that runs tests by a selection, which may be empty; detail is the selection.
+    hardcoded_constant: a checker that compares a set's size with a number; detail is the line. vacuous_scan: a checker
+    that searches a file below the root which is neither a file nor a folder of the repository; detail is the file.
+    """
+    none = F.lit(None).cast("string")
+    no_targets = F.array().cast("array<string>")
+    place = ("repo", "rel_path", "line_no")
+    targets, selection = F.regexp_extract_all("line", F.lit(TESTS), F.lit(1)), F.regexp_extract("line", SELECTED, 1)
+    ran = logical_lines(runner_lines).filter(F.contains("line", F.lit("pytest")) & (F.size(targets) > 0) & (selection != ""))
+    ran = ran.select(*place, F.lit("pytest_selector").alias("kind"), "phase", F.transform(targets, lambda x: F.substring_index(x, "/", -1)).alias("targets"), selection.alias("detail"))
+    sized = checker_lines.filter(F.col("line").rlike(WRITTEN_SIZE) & ~F.trim("line").startswith("#"))
+    sized = sized.select(*place, F.lit("hardcoded_constant").alias("kind"), none.alias("phase"), no_targets.alias("targets"), F.substring(F.trim("line"), 1, 140).alias("detail"))
+    parts = F.split("rel_path", "/")
+    there = files.select("repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("wanted")).distinct()
+    scans = checker_lines.select(*place, F.explode(F.regexp_extract_all("line", F.lit(SCANNED), F.lit(1))).alias("detail")).withColumn("wanted", F.rtrim("detail", F.lit("/")))
+    scans = scans.join(there, ["repo", "wanted"], "left_anti").select(*place, F.lit("vacuous_scan").alias("kind"), none.alias("phase"), no_targets.alias("targets"), "detail")
+    return ran.unionByName(sized).unionByName(scans)
 
 
 def blast_radius(files: DataFrame, targets: DataFrame) -> DataFrame:
