@@ -54,6 +54,61 @@ def call_pairs(events: DataFrame) -> DataFrame:
     return events.groupBy("session").transformWithStateInPandas(LastEvent(), "session long, src string, tgt string", "Append", "None")
 
 
+class WaitingEvents(StatefulProcessor):
+    """Holds a session's events until the watermark has passed them, then gives their (before, this) pairs in order.
+
+    New events are appended to the state as they come; it is read once when a timer fires, which stands right behind
+    the earliest event that waits. So the state holds the events of one delay, whatever the session's length.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "name string")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, name string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for part in rows:
+            part = part[part["at"] > passed]
+            if len(part):
+                self.waiting.appendList(list(zip(part["at"].tolist(), part["event_id"].tolist(), part["name"].tolist(), strict=True)))
+                self.handle.registerTimer(int(part["at"].min()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        ready = [e for e in events if e[0] <= passed]
+        kept = events[len(ready) :]
+        if ready:
+            names = [e[2] for e in ready]
+            before = [self.last.get()[0] if self.last.exists() else None, *names[:-1]]
+            self.last.update((names[-1],))
+            if kept:
+                self.waiting.put(kept)
+                self.handle.registerTimer(kept[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
+            pairs = [(key[0], a, b) for a, b in zip(before, names, strict=True) if a is not None and a != b]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["session", "src", "tgt"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_call_pairs(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of events(session, ts, event_id, name) -> session, src, tgt, in the order of (ts, event_id) over all micro-batches.
+
+    Events wait until the watermark, the latest time seen less `late`, has passed them; those that come later still are
+    dropped. What lies within `late` of the latest event stays in the state until a later one comes, so a finite stream
+    ends with an event that is later by more than `late`. Events without a session, time, id or name do not count.
+    """
+    rows = events.filter("session is not null and ts is not null and event_id is not null and name is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select("session", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), "name")
+    return rows.groupBy("session").transformWithStateInPandas(WaitingEvents(), "session long, src string, tgt string", "Append", "EventTime")
+
+
 def maintain(files: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs apply(changed files, batch id) on each micro-batch; the batch id lets a repeated batch be told."""
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
