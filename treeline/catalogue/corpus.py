@@ -241,6 +241,31 @@ def trace_stream(t: Tables) -> DataFrame:
     return t.spark.read.parquet(at).groupBy("src", "tgt").agg(F.max_by("cnt", "batch").alias("cnt"))
 
 
+@query("WITH e AS (SELECT event_type AS tgt, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL) SELECT src, tgt, count(*) AS cnt FROM e WHERE src<>tgt GROUP BY 1,2")
+def trace_pairs_stream(t: Tables) -> DataFrame:
+    """Call pairs of a stream over the events table, which comes in two batches out of order: each waits for the watermark, and a last event beyond the delay lets all go."""
+    at, spark = f"{_scratch(t)}/pairs-{uuid.uuid4().hex}", t.spark
+    rows = t.events.select(F.col("user_id").cast("long").alias("session"), "ts", F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("name"))
+    span = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    days = (span["last"] - span["first"]).days + 2 if span["last"] else 2
+    last = rows.agg(F.max("ts").alias("ts")).filter("ts is not null")
+    closing = last.select(F.lit(-1).cast("long").alias("session"), (F.col("ts") + F.make_interval(days=F.lit(days + 1))).cast(rows.schema["ts"].dataType).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("name"))
+    odd = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    pairs = None
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (rows.filter(odd), rows.filter(~odd), closing):  # each part is a batch: the stream goes on from where it was
+            part.write.mode("append").parquet(f"{at}/in")
+            raw = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+            pairs = streams.ordered_call_pairs(raw, f"{days} days")
+            pairs.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(pairs.schema).parquet(f"{at}/out").groupBy("src", "tgt").agg(F.count("*").alias("cnt"))
+
+
 def _scratch(t: Tables) -> str:
     cut(t.spark.range(1))
     return t.spark.sparkContext.getCheckpointDir()
