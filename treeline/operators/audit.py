@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.text import SINKS, distinctive_segment, glob_column, is_sink, is_state_like, literal_segments, path_segments
-from treeline.operators.common import by_repo
+from treeline.operators.common import by_policy, by_repo
 from treeline.operators.graph import reach_sinks
 
 STRONG = ("web", "code", "shell")
@@ -158,11 +158,11 @@ def guard_share(handlers: DataFrame) -> DataFrame:
     return per.select("*", share.alias("share"), (share >= GUARD_FLOOR).alias("audited"))
 
 
-def audit_envelope(handlers: DataFrame, calls: DataFrame, sinks: tuple[str, ...] = SINKS) -> DataFrame:
-    """Unguarded handlers that reach a sink within four calls, in repos that guard at all."""
+def audit_envelope(handlers: DataFrame, calls: DataFrame, sinks: tuple[str, ...] = SINKS, policies: DataFrame | None = None) -> DataFrame:
+    """Unguarded handlers that reach a sink within four calls, in repos that guard at all. policies(repo, sinks) name the sinks of their repositories, in place of `sinks`."""
     audited = guard_share(handlers).filter("audited").select("repo")
     starts = handlers.filter(~F.col("guarded")).join(audited, "repo", "left_semi").select("repo", F.col("handler").alias("start"))
-    return reach_sinks(calls, starts, is_sink(F.col("tgt_id"), sinks)).withColumn("verdict", F.lit("suspect"))
+    return reach_sinks(by_policy(calls, policies, "sinks", sinks), starts, is_sink(F.col("tgt_id"), F.col("sinks"))).withColumn("verdict", F.lit("suspect"))
 
 
 GLOB = r"[*?\[]"

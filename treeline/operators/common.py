@@ -37,6 +37,16 @@ def by_repo(*tables: DataFrame) -> list[str]:
     return ["repo"] if all("repo" in t.columns for t in tables) else []
 
 
+def by_policy(rows: DataFrame, policies: DataFrame | None, what: str, default: tuple[str, ...]) -> DataFrame:
+    """rows with the patterns of their repository in the column `what`: those of policies(repo, what), the default where it has none."""
+    own = F.array(*[F.lit(d) for d in default])
+    if policies is None:
+        return rows.withColumn(what, own)
+    # one row a repository: of several policies of one repository the least is taken
+    each = policies.groupBy("repo").agg(F.min(F.when(F.size(what) > 0, F.col(what))).alias(what))
+    return rows.join(each, "repo", "left").withColumn(what, F.coalesce(what, own))
+
+
 def listed(df: DataFrame, most: int = LISTED) -> DataFrame:
     """A list that goes to every task. It is a parameter, not data: over `most` rows it is refused."""
     n = df.limit(most + 1).count()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.ids import chunk_id, entity_id, module_id, residual_chunk_id
+from treeline.functions.text import excluded
 
 SYMBOL_CHARS, RESIDUAL_CHARS = 8192, 2000
 CUT_MARK = "\n... (truncated)"
@@ -35,16 +36,29 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame, limit: int = SYMBOL_CHAR
     return rows.select("repo", chunk_id(entity_id(module, F.col("name"))).alias("id"), cut.alias("content"), F.col("rel_path").alias("file_path"), "line_start", "line_end", F.col("name").alias("symbol_name"))
 
 
+def gaps(spans: DataFrame) -> DataFrame:
+    """spans(repo, rel_path, line_start, line_end) -> repo, rel_path, gaps, last: the ranges of lines before and between spans, in order, and the last line that one covers.
+
+    A sweep: in the order of their starts, a span leaves a gap before it if it begins beyond all that the ones before it cover.
+    """
+    before = Window.partitionBy("repo", "rel_path").orderBy("line_start", "line_end").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.filter("line_start <= line_end and line_end >= 1").select("repo", "rel_path", "line_start", "line_end")
+    swept = rows.withColumn("open", F.greatest(F.coalesce(F.max("line_end").over(before), F.lit(0)), F.lit(0)) + 1)
+    gap = F.when(F.col("line_start") > F.col("open"), F.struct(F.col("open").cast("int").alias("from"), (F.col("line_start") - 1).cast("int").alias("to")))
+    return swept.groupBy("repo", "rel_path").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("line_end").cast("int").alias("last"))
+
+
 def residual_chunks(files: DataFrame, symbols: DataFrame, limit: int = RESIDUAL_CHARS) -> DataFrame:
     """One chunk a file of the lines that no symbol spans, in order, cut at `limit` characters.
 
-    Spans are gathered for each file and lines tested against them in place, so text is exploded only where it is kept.
+    A file's text stays whole and is split once: each gap is a slice of its lines, so the work grows with lines and
+    symbols, not with their product. An empty file has no chunk; spans that end before they begin cover nothing.
     """
-    spans = symbols.groupBy("repo", "rel_path").agg(F.collect_list(F.struct("line_start", "line_end")).alias("spans"))
-    joined = files.select("repo", "rel_path", "content").join(spans, ["repo", "rel_path"], "left")
-    numbered = F.transform(F.split("content", "\r?\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
-    free = F.filter(numbered, lambda x: ~F.exists(F.coalesce("spans", F.array()), lambda s: x["no"].between(s["line_start"], s["line_end"])))
-    rows = joined.select("repo", "rel_path", F.substring(F.array_join(F.transform(free, lambda x: x["line"]), "\n"), 1, limit).alias("content"))
+    joined = files.select("repo", "rel_path", F.split("content", "\r?\n").alias("lines")).join(gaps(symbols), ["repo", "rel_path"], "left")
+    tail = F.coalesce("last", F.lit(0)) + 1
+    rest = F.slice("lines", tail, F.greatest(F.size("lines") - tail + 1, F.lit(0)))
+    free = F.concat(F.flatten(F.transform(F.coalesce("gaps", F.array()), lambda g: F.slice("lines", g["from"], g["to"] - g["from"] + 1))), rest)
+    rows = joined.select("repo", "rel_path", F.substring(F.array_join(free, "\n"), 1, limit).alias("content"))
     return rows.filter(F.regexp_replace("content", r"\s+", "") != "").select("repo", residual_chunk_id(module_id(F.col("rel_path"))).alias("id"), "content", F.col("rel_path").alias("file_path"))
 
 
@@ -75,14 +89,34 @@ def tokens_index(files: DataFrame, pattern: str = r"(?<![\p{L}\p{N}_])([A-Z][A-Z
     return files.select("repo", F.explode(found).alias("token"), "rel_path")
 
 
-def index_coverage(files: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Per top folder: files, indexed ones, percent and status."""
+#: Sources of exclude patterns, in the order in which one is named as the reason.
+SOURCES = ("user", "detected", "builtin", "ignored")
+
+
+def index_coverage(files: DataFrame, indexed: DataFrame, folders: DataFrame | None = None, patterns: list[tuple[str, str]] = ()) -> DataFrame:
+    """Per top folder: files, indexed ones, percent, status and, with patterns, the reason.
+
+    folders(repo, top) are those on disk, which may hold nothing to read; patterns are (source, pattern) pairs. A folder
+    that a pattern excludes is `excluded`, whatever was indexed of it, and its reason is `source: pattern` of the first
+    one that does, by SOURCES and then as listed; unknown sources come last. Files at the root are in no folder.
+    """
     top = F.substring_index("rel_path", "/", 1).alias("top")
-    there = files.groupBy("repo", top).agg(F.count("*").alias("scannable"))
-    done = indexed.select("repo", "rel_path").distinct().groupBy("repo", top).agg(F.count("*").alias("indexed"))
-    rows = there.join(done, ["repo", "top"], "full").select("repo", "top", F.coalesce("scannable", F.lit(0)).alias("scannable"), F.coalesce("indexed", F.lit(0)).alias("indexed"))
+    inside = F.contains("rel_path", F.lit("/"))
+    there = files.filter(inside).groupBy("repo", top).agg(F.count("*").alias("scannable"))
+    done = indexed.filter(inside).select("repo", "rel_path").distinct().groupBy("repo", top).agg(F.count("*").alias("indexed"))
+    rows = there.join(done, ["repo", "top"], "full")
+    if folders is not None:
+        rows = rows.join(folders.select("repo", "top").distinct(), ["repo", "top"], "full")
+    rows = rows.select("repo", "top", F.coalesce("scannable", F.lit(0)).alias("scannable"), F.coalesce("indexed", F.lit(0)).alias("indexed"))
+    percent = F.lit(100.0) * F.col("indexed") / F.greatest("scannable", F.lit(1))
     status = F.when(F.col("scannable") == 0, "skipped").when(F.col("indexed") == 0, "none").when(F.col("indexed") < F.col("scannable"), "partial").otherwise("full")
-    return rows.select("*", (F.lit(100.0) * F.col("indexed") / F.greatest("scannable", F.lit(1))).alias("percent"), status.alias("status"))
+    if not patterns:
+        return rows.select("*", percent.alias("percent"), status.alias("status"))
+    place = {s: n for n, s in enumerate(SOURCES)}
+    ordered = sorted(patterns, key=lambda p: place.get(p[0], len(SOURCES)))
+    reason = F.coalesce(*[F.when(excluded(F.col("top"), [p]) | excluded(F.concat("top", F.lit("/")), [p]), F.lit(f"{source}: {p}")) for source, p in ordered])
+    out = reason.isNotNull()
+    return rows.select("*", F.when(~out, percent).alias("percent"), F.when(out, "excluded").otherwise(status).alias("status"), reason.alias("reason"))
 
 
 def folder_signals(files: DataFrame, samples: int = 5) -> DataFrame:
@@ -102,6 +136,14 @@ def structure_signature(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.to_json(F.array_sort(F.collect_set(F.substring_index("rel_path", "/", 1)))).alias("signature"))
 
 
+def needs_refresh(files: DataFrame, known: DataFrame) -> DataFrame:
+    """repo, signature, refresh: whether a repository's structure must be looked at again. known(repo, signature, done) is what the last look left; one that it lacks, that was not done or whose signature is another must."""
+    last = known.groupBy("repo").agg(F.max_by("signature", "done").alias("was"), F.bool_or("done").alias("done"))
+    rows = structure_signature(files).join(last, "repo", "left")
+    same = F.coalesce("done", F.lit(False)) & F.col("was").eqNullSafe(F.col("signature"))
+    return rows.select("repo", "signature", (~same).alias("refresh"))
+
+
 def small_file_clusters(files: DataFrame, least: int = 4, below: int = 80) -> DataFrame:
     """Folders with at least `least` files of under `below` lines."""
     folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("folder")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from treeline.functions.text import GATES, STATE_COLUMNS, has_gate, is_read_shaped
+from treeline.functions.text import GATES, STATE_COLUMNS, has_any, has_gate, is_read_shaped
 from treeline.operators import facts
+from treeline.operators.common import by_policy
 from treeline.operators.corpus import line_context, lines
 from treeline.operators.facts import text_of
 from treeline.operators.statements import lines_of, schema_events, written_literals
@@ -158,15 +159,14 @@ def declarations(files: DataFrame) -> DataFrame:
     return in_tasks(files.filter("kind = 'sql'").select("repo", "rel_path", "content"), EVENTS, lambda repo, path, text: [e | {"repo": repo, "rel_path": path} for e in schema_events(text or "")])
 
 
-def state_events(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS, events: DataFrame | None = None) -> DataFrame:
+def state_events(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS, events: DataFrame | None = None, policies: DataFrame | None = None) -> DataFrame:
     """repo, table, column, values, is_check, is_replace, default_value, seq from migrations in file order: of a file checks first, then defaults, then enum types.
 
-    Checks of one statement on one column are taken together. seq compares by file, sort and place, so nothing is numbered over a whole repository.
+    policies(repo, state_columns) say for their repositories which columns hold states, in place of `columns`. Checks of one statement on one column are taken together. seq compares by file, sort and place, so nothing is numbered over a whole repository.
     """
     rows = events if events is not None else declarations(files)
-    state = F.exists(F.array(*[F.lit(c) for c in columns]), lambda c: F.contains(F.lower("column"), c))
     phase = F.when(F.col("event") == "check", 1).when(F.col("event") == "default", 2).when(F.col("event") == "enum", 3)
-    known = rows.withColumn("phase", phase).filter(phase.isNotNull() & state)
+    known = by_policy(rows.withColumn("phase", phase).filter(phase.isNotNull()), policies, "state_columns", columns).filter(has_any(F.col("column"), F.col("state_columns")))
     together = F.when(F.col("phase") == 1, F.col("owner_at")).otherwise(-2 - F.col("position"))
     ordered = F.array_sort(F.collect_list(F.struct("position", "values", "is_replace")))
     grouped = known.groupBy("repo", "rel_path", "table", "column", "phase", together.alias("statement")).agg(ordered.alias("parts"))
@@ -205,8 +205,8 @@ def literal_writes(files: DataFrame) -> DataFrame:
     return in_tasks(some, "repo string, table string, column string, value string, place string", rows)
 
 
-def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, found: DataFrame | None = None) -> DataFrame:
-    """repo, rel_path, handler, line_no, guarded: functions with a decorator that registers a route on a variable, and whether their decorators or their signature name a gate. found: facts of the files."""
+def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, found: DataFrame | None = None, policies: DataFrame | None = None) -> DataFrame:
+    """repo, rel_path, handler, line_no, guarded: functions with a decorator that registers a route on a variable, and whether their decorators or their signature name a gate. found: facts of the files; policies(repo, gates) name the gates of their repositories, in place of `gates`."""
     facts_ = found if found is not None else facts.extract(files.filter(F.col("rel_path").endswith(".py")))
 
     def registers(decorator: Column) -> Column:
@@ -215,7 +215,7 @@ def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, found: Dat
 
     rows = facts.fact_table(facts_, "symbols").filter((F.col("kind") != "class") & F.exists("annotations", registers))
     told = F.array_join(F.concat("annotations", F.array("signature")), "\n")
-    return rows.select("repo", "rel_path", F.substring_index("name", ".", -1).alias("handler"), F.col("line_start").alias("line_no"), has_gate(told, gates).alias("guarded"))
+    return by_policy(rows, policies, "gates", gates).select("repo", "rel_path", F.substring_index("name", ".", -1).alias("handler"), F.col("line_start").alias("line_no"), has_gate(told, F.col("gates")).alias("guarded"))
 
 
 def gate_signals(files: DataFrame) -> DataFrame:

@@ -25,6 +25,26 @@ def coverage_denominator(coverage: DataFrame, files: DataFrame, least: float = 0
     return rows.select("repo", "on_disk", "in_report", share.alias("share"), (share >= least).alias("complete"))
 
 
+def coverage_proof(coverage: DataFrame, sources: DataFrame, reports: DataFrame, least: float = 0.9, named: int = 5) -> DataFrame:
+    """Whether a repository's figures may be read: reports(repo, report, mtime), sources(repo, rel_path, mtime) -> repo, report, on_disk, in_report, share, newer, newest, state.
+
+    The latest report of a repository counts, of equally late ones that of the least name. `no_sources` without a file
+    on disk, `stale` if any source is newer than the report (`newest` names the latest of them), `empty` without a
+    covered file, `subset` if under `least` of the sources are covered, else `proven`. Times that are unknown are not newer.
+    """
+    chosen = reports.groupBy("repo").agg(F.min(F.struct((-F.coalesce(F.unix_micros("mtime"), F.lit(-(2**62)))).alias("late"), "report", "mtime")).alias("r")).select("repo", "r.report", F.col("r.mtime").alias("read_at"))
+    each = sources.groupBy("repo", "rel_path").agg(F.max("mtime").alias("mtime")).join(chosen.select("repo", "read_at"), "repo", "left_outer")
+    late = each.withColumn("late", F.coalesce(F.col("mtime") > F.col("read_at"), F.lit(False)))
+    there = late.groupBy("repo").agg(F.count("*").alias("on_disk"), F.count_if("late").alias("newer"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("mtime").desc(), "rel_path"))
+    few = late.filter("late").withColumn("place", place).filter(F.col("place") <= named).groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rel_path"))), lambda x: x["rel_path"]).alias("newest"))
+    told = coverage.groupBy("repo").agg(F.countDistinct("file").alias("in_report"))
+    rows = chosen.join(there, "repo", "left").join(told, "repo", "left").join(few, "repo", "left").fillna(0, ["on_disk", "newer", "in_report"])
+    share = F.col("in_report") / F.greatest("on_disk", F.lit(1))
+    state = F.when(F.col("on_disk") == 0, "no_sources").when(F.col("newer") > 0, "stale").when(F.col("in_report") == 0, "empty").when(share < least, "subset").otherwise("proven")
+    return rows.select("repo", "report", "on_disk", "in_report", share.alias("share"), "newer", F.coalesce("newest", F.array().cast("array<string>")).alias("newest"), state.alias("state"))
+
+
 def coverage_rank(coverage: DataFrame, fan_in: DataFrame, weak: float = 80.0, considered: int = 60) -> DataFrame:
     """The `considered` worst files of each repository at or below `weak` percent, by fan-in and coverage bands; an unknown fan-in ranks last, none at all is dead."""
     by = by_repo(coverage, fan_in)

@@ -99,10 +99,10 @@ def audit_configs(files: DataFrame) -> DataFrame:
     return keys.unionByName(finding(unread, "configs", F.concat_ws(":", F.lit("const"), "rel_path", "name"), "constants"))
 
 
-def audit_states(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS) -> DataFrame:
-    """Declared values that nothing writes or reads, and writes that no check allows; what a later migration drops is neither."""
+def audit_states(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS, policies: DataFrame | None = None) -> DataFrame:
+    """Declared values that nothing writes or reads, and writes that no check allows; what a later migration drops is neither. A policy's own state columns hold in its repository."""
     events = cut(evidence.declarations(files))
-    states = evidence.state_events(files, columns, events)
+    states = evidence.state_events(files, columns, events, policies)
     domains = cut(audit.retired(audit.fold_domains(states), states, evidence.drop_events(files, events)))
     uses = evidence.literal_uses(files, domains.select("repo", F.explode("values").alias("value")), events)
     name = F.concat(F.lit("state:"), F.concat_ws(".", "table", "column"), F.lit("='"), F.col("value"), F.lit("'"))
@@ -110,21 +110,25 @@ def audit_states(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS) ->
     return finding(audit.audit_states(domains, uses), "states", name, "schema").unionByName(finding(bad, "states", F.regexp_replace(name, "^state", "write"), "statements"))
 
 
-def audit_envelope(files: DataFrame) -> DataFrame:
-    handlers = evidence.routed_handlers(files)
+def audit_envelope(files: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Unguarded handlers that reach a sink. A policy's own gates and sinks hold in its repository."""
+    handlers = evidence.routed_handlers(files, policies=policies)
     calls = facts.fact_table(facts.extract(files.filter(~is_test_by_tokens(F.col("rel_path")))), "calls")
     links = calls.select("repo", F.col("caller").alias("src_id"), F.col("callee").alias("tgt_id"))
-    guarded = audit.audit_envelope(handlers, links)
+    guarded = audit.audit_envelope(handlers, links, policies=policies)
     return finding(guarded, "envelope", F.col("start"), "handlers")
 
 
 #: Audit tables by name; callers choose among them.
-AUDITS: dict[str, Callable[[DataFrame], DataFrame]] = {"endpoints": audit_endpoints, "configs": audit_configs, "states": audit_states, "envelope": audit_envelope}
+AUDITS: dict[str, Callable[..., DataFrame]] = {"endpoints": audit_endpoints, "configs": audit_configs, "states": audit_states, "envelope": audit_envelope}
+#: Those that take a repository's own patterns.
+PATTERNED = ("states", "envelope")
 
 
-def audit_report(files: DataFrame, exemptions: DataFrame, tables: tuple[str, ...] = tuple(AUDITS)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """findings with exemptions, their rollup, and stale exemptions."""
-    found = cut(reduce(DataFrame.unionByName, [AUDITS[t](files) for t in tables]))
+def audit_report(files: DataFrame, exemptions: DataFrame, tables: tuple[str, ...] = tuple(AUDITS), policies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """findings with exemptions, their rollup, and stale exemptions. policies are rows of readers.policy_files: the patterns of their repositories."""
+    own = None if policies is None else cut(policies.select("repo", "gates", "sinks", "state_columns"))
+    found = cut(reduce(DataFrame.unionByName, [AUDITS[t](files, policies=own) if t in PATTERNED else AUDITS[t](files) for t in tables]))
     judged = audit.apply_exemptions(found, exemptions)
     return judged, audit.audit_rollup(judged), audit.stale_exemptions(found, exemptions)
 
