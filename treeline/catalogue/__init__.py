@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeline.catalogue import audits, corpus, evidence, graph, portfolio, scopes, stores
+from treeline.catalogue import audits, corpus, evidence, graph, portfolio, proofs, scopes, stores
 
-PARTS = (graph, corpus, audits, evidence, portfolio, scopes, stores)
+PARTS = (graph, corpus, audits, evidence, portfolio, proofs, scopes, stores)
 
 
 def queries() -> dict:
