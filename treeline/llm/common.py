@@ -59,6 +59,18 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def first_features(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """Sampled rows(draw, at, ...) in the order of their draws, until the features in `at` are over `most` in all; rows of one draw go together.
+
+    rows are a sample of bounded length, so their draws and sizes may go to the driver; `most` bounds what follows them.
+    """
+    rows = written(rows, what)
+    sizes = rows.select("draw", F.size("at").alias("n")).toArrow().sort_by("draw")
+    total = np.cumsum(sizes["n"].to_numpy())
+    over = int(np.searchsorted(total, most, side="right"))
+    return rows if over == len(total) else rows.filter(F.col("draw") < F.lit(sizes["draw"][over].as_py()))
+
+
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")

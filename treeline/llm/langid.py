@@ -5,11 +5,12 @@ document frequency. The model is trained by follow-the-regularised-leader with a
 sparse), on a bounded sample per language, and its softmax is then cooled or warmed by one temperature fitted on
 sampled rows that the training has not seen.
 
-The sample, at most about PER_LANGUAGE documents of each language and SAMPLE of all, by the smallest hashes, is the
-only bound; every whole text is scored.
+What teaches is bounded by four parameters: the LANGUAGES most frequent languages, of them about PER_LANGUAGE documents
+each and SAMPLE in all, by the smallest hashes and one row of each document, and FEATURES distinct n-grams of them all.
+Every whole text is scored.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is everything where there is nothing
-to learn from; rows without a language teach nothing; repeated rows are scored alike; an empty table gives an empty
+to learn from; rows without a language teach nothing; of several rows of one doc_id and language the text of the least hash teaches; repeated rows are scored alike; an empty table gives an empty
 result; other columns are never read.
 """
 
@@ -22,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import per_row, small_batches
+from treeline.llm.common import first_features, per_row, small_batches
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 900
 #: Documents of all languages together in the sample.
 SAMPLE = 20_000
+#: Languages that are learned, the most frequent first; the model is this wide at most.
+LANGUAGES = 256
+#: Distinct n-grams of all sampled documents together: what goes to the driver.
+FEATURES = 16_000_000
 UNDETERMINED = "und"
 
 
@@ -137,7 +142,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs(doc_id, text, lang): the rows to learn from."""
     small_batches(docs.sparkSession)
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {lang: n for lang, n in known.groupBy("lang").count().collect()}  # one row a language
+    counts = {lang: n for lang, n in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit([])
     per_language = min(per_language, max(1, SAMPLE // len(counts)))
@@ -152,9 +157,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
         return each
 
-    sample = known.withColumn("draw", draw).filter(F.col("draw") < chance[F.col("lang")]).select("lang", "text", "draw", F.xxhash64("text").alias("hash"))
+    drawn = known.withColumn("draw", draw).filter(F.col("draw") < chance[F.col("lang")])
+    sample = drawn.groupBy("lang", "doc_id", "draw").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")).select("lang", "t.text", "draw", "t.hash")
     rows = sample.mapInArrow(per_row(make, out), "lang string, draw double, hash long, at array<int>, share array<float>").filter(F.size("at") > 0)
-    got = rows.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("hash", "ascending")])
+    got = first_features(rows, FEATURES, "language-sample").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("hash", "ascending")])
     arrays = lambda c: [x.values.to_numpy() for x in got[c]]
     return fit(list(zip(got["lang"].to_pylist(), arrays("at"), arrays("share"), strict=True)))
 

@@ -8,8 +8,12 @@ sample of labelled rows; the output's bias is then set back to the labels' true
 Because the output is linear in the mean, scoring needs one number a feature: the difference of the two classes'
 products with its vector.
 
+What teaches is bounded by two parameters: PER_CLASS documents of a class, one row of each document, and FEATURES
+distinct features of them all; every whole text is scored.
+
 Defined cases: null, empty and wordless texts have no features and get the bias alone; labels other than 0 and 1 and
-labels of unknown documents teach nothing, nor do those of a document that is labelled both ways; without labels every score is 0.5; repeated rows are scored alike; an empty
+labels of unknown documents teach nothing, nor do those of a document that is labelled both ways; of several texts of one
+doc_id the one of the least hash teaches; without labels every score is 0.5; repeated rows are scored alike; an empty
 table gives an empty result; other columns are never read.
 """
 
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import per_row, small_batches
+from treeline.llm.common import first_features, per_row, small_batches
 from treeline.llm.langid import crc_mod, softmax
 
 BUCKETS = 1 << 16
 DIMENSIONS = 10
 PER_CLASS = 1500
+#: Distinct features of all sampled documents together: what goes to the driver.
+FEATURES = 16_000_000
 
 
 #: Weights of a byte by its place in a word; words are hashed as weighted sums, places beyond the table start it again.
@@ -129,8 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(sample), "doc_id").select("quality", "draw", F.xxhash64("text").alias("hash"), "text")  # at most 2 * per_class rows
-    got = rows.mapInArrow(per_row(make, out), "quality int, draw long, hash long, at array<int>, n array<int>").toArrow().sort_by([("draw", "ascending"), ("hash", "ascending")])
+    drawn = texts.join(F.broadcast(sample), "doc_id").groupBy("quality", "doc_id", "draw").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    rows = drawn.select("quality", "draw", "t.hash", "t.text")  # at most 2 * per_class rows
+    taught = first_features(rows.mapInArrow(per_row(make, out), "quality int, draw long, hash long, at array<int>, n array<int>"), FEATURES, "quality-sample")
+    got = taught.toArrow().sort_by([("draw", "ascending"), ("hash", "ascending")])
     arrays = lambda c: [x.values.to_numpy() for x in got[c]]
     return fit(list(zip(got["quality"].to_pylist(), arrays("at"), arrays("n"), strict=True)), counts[1] / (counts[0] + counts[1]))
 
