@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from treeline.functions.text import GATES, STATE_COLUMNS, has_any, has_gate, is_read_shaped
 from treeline.operators import facts
-from treeline.operators.common import by_policy
+from treeline.operators.common import by_policy, spread, stepped
 from treeline.operators.corpus import line_context, lines
 from treeline.operators.facts import text_of
 from treeline.operators.statements import lines_of, schema_events, written_literals
@@ -142,16 +142,15 @@ EVENTS = "repo string, rel_path string, event string, table string, column strin
 
 
 def in_tasks(rows: DataFrame, schema: str, of_row: Callable[..., list[dict]]) -> DataFrame:
-    """of_row(*values) -> rows of schema, for each row, in Arrow batches."""
+    """of_row(*values) -> rows of schema, for each row, in Arrow batches. Rows are dealt over tasks first: reading them in Python takes far longer than bringing them."""
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                found = [r for row in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True) for r in of_row(*row)]
-                yield pa.RecordBatch.from_pylist(found, schema=pa.schema(fields))
+        for batch in stepped(batches, 64):
+            found = [r for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in of_row(*row)]
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema(fields))
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows, *rows.columns).mapInArrow(run, schema)
 
 
 def declarations(files: DataFrame) -> DataFrame:

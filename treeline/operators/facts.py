@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from treeline.operators.braces import GO, JAVA, PHP, SCRIPT, brace_facts
+from treeline.operators.common import spread, stepped
 
 FACTS = (
     "repo string, rel_path string, error string, "
@@ -50,6 +51,15 @@ def call_type(func: ast.expr) -> str:
     return "static_method" if isinstance(func, ast.Attribute) and isinstance(func.value, ast.Name) and func.value.id[:1].isupper() else "method"
 
 
+def source_of(node: ast.expr) -> str:
+    """ast.unparse, without its cost for names and dotted names."""
+    parts, at = [], node
+    while isinstance(at, ast.Attribute):
+        parts.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(parts)]) if isinstance(at, ast.Name) else ast.unparse(node)
+
+
 def text_of(node: ast.expr | None) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
@@ -84,7 +94,7 @@ def python_facts(content: str) -> dict:
     found: dict[str, list] = {n: [] for n in ("symbols", "calls", "imports", "inheritances", "routes", "prefixes")}
 
     def called(node: ast.Call, scope: tuple[str, ...], owner: str, base: str, types: dict[str, str]) -> None:
-        kind, callee = call_type(node.func), ast.unparse(node.func)
+        kind, callee = call_type(node.func), source_of(node.func)
         head, _, rest = callee.partition(".")
         lead = {"self": owner, "super()": base or "super"}.get(head) or types.get(head)
         callee = f"{lead}.{rest}" if rest and lead else callee
@@ -96,9 +106,9 @@ def python_facts(content: str) -> dict:
                 name, is_class = ".".join((*scope, child.name)), isinstance(child, ast.ClassDef)
                 kind = "class" if is_class else "method" if owner else "function"
                 signature = "" if is_class else f"{child.name}({ast.unparse(child.args)})"
-                found["symbols"].append((name, kind, signature, ast.get_docstring(child) or "", child.lineno, child.end_lineno, [ast.unparse(d) for d in child.decorator_list]))
+                found["symbols"].append((name, kind, signature, ast.get_docstring(child) or "", child.lineno, child.end_lineno, [source_of(d) for d in child.decorator_list]))
                 if is_class:
-                    bases = [ast.unparse(b) for b in child.bases]
+                    bases = [source_of(b) for b in child.bases]
                     found["inheritances"] += [(name, b) for b in bases]
                     walk(child, (*scope, child.name), name, bases[0] if bases else "", types)
                 else:
@@ -109,7 +119,7 @@ def python_facts(content: str) -> dict:
                 found["imports"] += [(a.name, [], [], False, a.asname) for a in child.names]
             elif isinstance(child, ast.ImportFrom):
                 found["imports"].append(("." * child.level + (child.module or ""), [a.name for a in child.names], [a.asname or a.name for a in child.names], True, None))
-            elif isinstance(child, ast.Assign) and isinstance(child.value, ast.Call) and ast.unparse(child.value.func).split(".")[-1] == "APIRouter":
+            elif isinstance(child, ast.Assign) and isinstance(child.value, ast.Call) and source_of(child.value.func).split(".")[-1] == "APIRouter":
                 prefix = next((text_of(k.value) for k in child.value.keywords if k.arg == "prefix"), None)
                 found["prefixes"] += [(t.id, "", prefix or "", child.lineno) for t in child.targets if isinstance(t, ast.Name)]
             if isinstance(child, ast.Call) and (isinstance(child.func, ast.Name | ast.Attribute)):
@@ -189,7 +199,7 @@ EXTRACTORS: dict[str, Callable[[str], dict]] = {
 
 
 def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | None = None) -> DataFrame:
-    """files(repo, rel_path, language, content) -> one row of FACTS a file that an extractor knows."""
+    """files(repo, rel_path, language, content) -> one row of FACTS a file that an extractor knows. Files are dealt over tasks first: parsing takes far longer than reading."""
     own = extractors or EXTRACTORS
     schema = StructType.fromDDL(FACTS)
     types = [to_arrow_type(f.dataType) for f in schema]
@@ -199,7 +209,7 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | Non
         return [dict(zip(names, r, strict=True)) for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in stepped(batches):
             rows = []
             for repo, path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
@@ -210,7 +220,7 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | Non
             columns = list(zip(*rows, strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
-    return files.filter(F.col("language").isin(*own)).select("repo", "rel_path", "language", "content").mapInArrow(run, FACTS)
+    return spread(files.filter(F.col("language").isin(*own)).select("repo", "rel_path", "language", "content"), "repo", "rel_path").mapInArrow(run, FACTS)
 
 
 def fact_table(facts: DataFrame, name: str) -> DataFrame:

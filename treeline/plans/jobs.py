@@ -111,9 +111,10 @@ def audit_states(files: DataFrame, columns: tuple[str, ...] = STATE_COLUMNS, pol
 
 
 def audit_envelope(files: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """Unguarded handlers that reach a sink. A policy's own gates and sinks hold in its repository."""
-    handlers = evidence.routed_handlers(files, policies=policies)
-    calls = facts.fact_table(facts.extract(files.filter(~is_test_by_tokens(F.col("rel_path")))), "calls")
+    """Unguarded handlers that reach a sink. A policy's own gates and sinks hold in its repository. Each file is parsed once."""
+    found, path = cut(facts.extract(files)), F.col("rel_path")
+    handlers = cut(evidence.routed_handlers(files, found=found.filter(path.endswith(".py")), policies=policies))
+    calls = facts.fact_table(found.filter(~is_test_by_tokens(path)), "calls")
     links = calls.select("repo", F.col("caller").alias("src_id"), F.col("callee").alias("tgt_id"))
     guarded = audit.audit_envelope(handlers, links, policies=policies)
     return finding(guarded, "envelope", F.col("start"), "handlers")
