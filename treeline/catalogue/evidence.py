@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treeline.functions.text import EVIDENCE, LANGUAGES, TEST_TOKENS
 from treeline.operators import corpus, evidence, facts, impact
 from treeline.operators import resolve as names
+from treeline.operators.common import cut
 from treeline.plans.bindings import Tables, with_tables
 from treeline.sources import readers
 
@@ -311,7 +312,7 @@ def envelope_audit(t: Tables) -> DataFrame:
 @query(with_tables("cust") + "SELECT 'tpc' AS repo, caller_id, callee, call_type FROM (SELECT 'api.c'||key||'.a'||key AS caller_id, 'work'||key AS callee, 'function' AS call_type FROM cust UNION ALL SELECT 'api.c'||key||'.work'||key, CASE WHEN balance<0 THEN 'store.purge' ELSE 'store.read' END, 'method' FROM cust UNION ALL SELECT 'api.c'||key, v, 'method' FROM cust, (VALUES ('router.get'),('router.post')) d(v) UNION ALL SELECT 'api.c'||key, 'Depends.__init__', 'constructor' FROM cust)")
 def caller_ids(t: Tables) -> DataFrame:
     """Every call with its caller's id: a function of the file, else the module. Decorators and defaults are called by what stands around."""
-    found = facts.extract(handler_files(t))
+    found = cut(facts.extract(handler_files(t)))
     calls = names.resolve_callers(facts.fact_table(found, "calls").withColumn("caller", F.when(F.col("call_type") == "constructor", "").when(F.col("callee").startswith("router."), "").otherwise(F.col("caller"))), facts.fact_table(found, "symbols"))
     return calls.select("repo", "caller_id", "callee", "call_type")
 
