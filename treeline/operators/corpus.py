@@ -71,11 +71,13 @@ def line_context(rows: DataFrame, hit: Column, before: int = 2, after: int = 2)
 def decorators_above(symbols: DataFrame, all_lines: DataFrame, reach: int = 8) -> DataFrame:
     """repo, rel_path, name, decorators: those that stand above a symbol, up to `reach` lines, until a line that is neither comment, blank nor decorator.
 
-    Files in which any symbol has annotations are left alone.
+    Files in which any symbol has annotations are left alone. A symbol asks for its own few lines by number, so a file's
+    symbols do not meet all of its lines.
     """
-    bare = symbols.groupBy("repo", "rel_path").agg(F.max(F.size("annotations")).alias("most")).filter("most <= 0").select("repo", "rel_path")
-    asked = symbols.join(bare, ["repo", "rel_path"]).select("repo", "rel_path", "name", "line_start")
-    near = asked.join(all_lines, ["repo", "rel_path"]).filter((F.col("line_no") < F.col("line_start")) & (F.col("line_no") >= F.col("line_start") - reach))
+    most = F.max(F.size("annotations")).over(Window.partitionBy("repo", "rel_path"))
+    asked = symbols.select("repo", "rel_path", "name", "line_start", most.alias("most")).filter("most <= 0 and line_start > 1")
+    above = F.explode(F.sequence(F.greatest(F.col("line_start") - reach, F.lit(1)), F.col("line_start") - 1)).alias("line_no")
+    near = asked.select("repo", "rel_path", "name", "line_start", above).join(all_lines, ["repo", "rel_path", "line_no"])
     decorator = F.regexp_extract(F.trim("line"), r"^@([\w.]+)", 1)
     stops = ~F.trim("line").rlike(r"^$|^@|^#|^//|^/?\*")
     up = Window.partitionBy("repo", "rel_path", "name", "line_start").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, 0)
