@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from treeline import catalogue
-from treeline.operators import corpus, evidence, facts
+from treeline.operators import corpus, evidence, facts, vectors
 from treeline.operators.common import stepped
 from treeline.plans import jobs
 from treeline.sources import readers
@@ -62,3 +63,25 @@ def test_decorators_above_meet_lines_by_number(spark):
     assert {(r["name"], tuple(r["decorators"])) for r in got.collect()} == {("f", ("top", "a.b")), ("g", ("late",))}
     joins = [line for line in plan(got).split("== Physical Plan ==")[1].splitlines() if "Join" in line]
     assert joins and all("line_no" in j for j in joins)
+
+
+def test_best_scores_equal_a_whole_sort_and_copies_tie():
+    rng = np.random.default_rng(3)
+    units, asked, own = np.repeat(rng.standard_normal((9, 21)), 37, axis=0), rng.standard_normal((30, 21)), rng.permutation(333)
+    units[:37], asked[4] = np.nan, 0.0
+    scores = np.array([[(u * a).sum() for u in units] for a in asked])
+    assert all(len(set(r[37 * i : 37 * i + 37])) == 1 for r in scores for i in range(1, 9))
+    order = np.lexsort((np.broadcast_to(own, scores.shape), np.where(np.isnan(scores), np.inf, -scores)), axis=1)
+    for k in (1, 50, 333, 400):
+        row, col, told = vectors.best_of(units, asked, own, k)
+        assert row.tolist() == np.repeat(np.arange(30), min(k, 333)).tolist() and col.tolist() == order[:, :k].ravel().tolist()
+        assert np.array_equal(told, scores[row, col], equal_nan=True)
+
+
+def test_blocks_and_batches_of_vectors_are_small(spark):
+    rows = spark.range(3000).coalesce(1).select("id", F.array_repeat(F.col("id") + 1.0, 200).alias("vec"))
+    sizes = [r["n"] for r in vectors.blocks_of(rows, "id").select(F.length("units").alias("n")).collect()]
+    assert sum(sizes) == 3000 * 200 * 8 and max(sizes) <= 2 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    got = vectors.topk(rows, rows.filter("id < 2").withColumnRenamed("id", "qid"), 3)
+    assert "rangepartitioning(id" not in plan(got) and "hashpartitioning(id" in plan(got) and got.count() == 6
