@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from treeline import catalogue
 from treeline.operators import corpus, evidence, facts, vectors
 from treeline.operators.common import stepped
-from treeline.plans import jobs
+from treeline.plans import jobs, retrieve
 from treeline.sources import readers
 
 
@@ -85,3 +86,21 @@ def test_blocks_and_batches_of_vectors_are_small(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
     got = vectors.topk(rows, rows.filter("id < 2").withColumnRenamed("id", "qid"), 3)
     assert "rangepartitioning(id" not in plan(got) and "hashpartitioning(id" in plan(got) and got.count() == 6
+
+
+def test_an_exact_retrieval_lists_no_vectors(spark, monkeypatch):
+    """Lists are for searches of the nearest ones: an exact search of them joins most lists with most queries."""
+    monkeypatch.setattr(retrieve.inverted, "built", lambda *a, **k: pytest.fail("built"))
+    shape = "repo string, id string, kind string, description string"
+    entities = spark.createDataFrame([("r", "a.red", "function", "function red"), ("r", "a.blue", "function", "function blue")], shape)
+    relations = spark.createDataFrame([("r", "a.red", "a.blue", "calls", "a.py")], "repo string, src_id string, tgt_id string, kind string, file_path string")
+    chunks = spark.createDataFrame([("r", "d1", "blue sky"), ("r", "d2", "red rose")], "repo string, id string, content string")
+    asked = spark.createDataFrame([(1, "red rose")], "qid long, text string")
+    got = retrieve.retrieve(asked, entities, relations, chunks, 1).collect()
+    assert [r["qid"] for r in got] == [1] and "red rose" in got[0]["context"] and "function a.red" in got[0]["context"] and "a.red -calls-> a.blue" in got[0]["context"]
+
+
+def test_one_split_of_texts_is_embedded_by_many_tasks(spark):
+    rows = spark.range(400).coalesce(1).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("id"), F.lit("x").alias("owner"), F.lit("a b").alias("text"))
+    got = per_task(vectors.embed(rows))
+    assert sum(got) == 400 and len(got) >= 4 and max(got) < 200
