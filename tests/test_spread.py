@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline import catalogue
-from treeline.operators import corpus, evidence, facts, vectors
+from treeline.operators import corpus, evidence, facts, graph, vectors
 from treeline.operators.common import stepped
 from treeline.plans import jobs, retrieve
 from treeline.sources import readers
@@ -104,3 +104,22 @@ def test_one_split_of_texts_is_embedded_by_many_tasks(spark):
     rows = spark.range(400).coalesce(1).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("id"), F.lit("x").alias("owner"), F.lit("a b").alias("text"))
     got = per_task(vectors.embed(rows))
     assert sum(got) == 400 and len(got) >= 4 and max(got) < 200
+
+
+def small_graph(spark, n=30):
+    """Each relation twice: callers f0, f1, ... of g, which calls out; only callers and g are entities."""
+    named = lambda c: F.concat(F.lit("m.f"), F.col(c).cast("string"))
+    edge = lambda rows, a, b: rows.select(F.lit("r").alias("repo"), a.alias("src_id"), b.alias("tgt_id"), F.lit("calls").alias("kind"), F.lit(1.0).alias("weight"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_path"), F.col("id").alias("seq"))
+    rel = edge(spark.range(n), named("id"), F.lit("m.g")).unionByName(edge(spark.range(2), F.lit("m.g"), F.lit("ext.x"))).unionByName(edge(spark.range(1), F.lit("ext.x"), F.lit("far.y")))
+    ents = spark.range(n).select(named("id").alias("id")).unionByName(spark.range(1).select(F.lit("m.g").alias("id"))).select(F.lit("r").alias("repo"), "id")
+    return rel.unionByName(rel), ents
+
+
+def test_a_walk_both_ways_writes_each_edge_once(spark, monkeypatch):
+    rel, ents = small_graph(spark)
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(real(df)) or written[-1])
+    seeds = spark.createDataFrame([("r", "q", "m.f1")], "repo string, seed string, id string")
+    got = {(r["id"], r["depth"]) for r in graph.khop(rel, seeds, 3, "both", ents).collect()}
+    assert got == {("m.f1", 0), ("m.g", 1), ("ext.x", 2)} | {(f"m.f{i}", 2) for i in range(30) if i != 1}
+    assert max(df.count() for df in written) <= rel.count()
