@@ -123,3 +123,10 @@ def test_a_walk_both_ways_writes_each_edge_once(spark, monkeypatch):
     got = {(r["id"], r["depth"]) for r in graph.khop(rel, seeds, 3, "both", ents).collect()}
     assert got == {("m.f1", 0), ("m.g", 1), ("ext.x", 2)} | {(f"m.f{i}", 2) for i in range(30) if i != 1}
     assert max(df.count() for df in written) <= rel.count()
+
+
+def test_files_are_gathered_for_phantoms_alone(spark):
+    rel, ents = small_graph(spark)
+    got = graph.phantoms(ents, rel)
+    assert {(r["id"], tuple(r["responsible_files"])) for r in got.collect()} == {("ext.x", ("f0", "f1")), ("far.y", ("f0",))}
+    assert "LeftAnti" not in plan(got)
