@@ -130,3 +130,13 @@ def test_files_are_gathered_for_phantoms_alone(spark):
     got = graph.phantoms(ents, rel)
     assert {(r["id"], tuple(r["responsible_files"])) for r in got.collect()} == {("ext.x", ("f0", "f1")), ("far.y", ("f0",))}
     assert "LeftAnti" not in plan(got)
+
+
+def test_a_neighbourhood_collapses_its_own_relations(spark, monkeypatch, sf):
+    rel, _ = small_graph(spark)
+    reached = spark.createDataFrame([("r", "q", "m.g"), ("r", "q", "ext.x"), ("r", "p", "m.f2")], "repo string, seed string, id string")
+    assert {(r["src_id"], r["tgt_id"]) for r in graph.among(rel, reached).collect()} == {("m.f2", "m.g"), ("m.g", "ext.x")}
+    seen, real = [], graph.collapse_edges
+    monkeypatch.setattr(graph, "collapse_edges", lambda r: seen.append(r) or real(r))
+    catalogue.queries()["symbol_neighbourhood"](spark, sf)
+    assert [r.count() for r in seen] < [spark.read.parquet(f"{sf}/lineitem.parquet").count() // 2]
