@@ -12,6 +12,7 @@ from treeline.operators import corpus, evidence, facts, graph, vectors
 from treeline.operators.common import stepped
 from treeline.plans import jobs, retrieve
 from treeline.sources import readers
+from treeline.streaming import deltas
 
 
 def tree(spark, n):
@@ -140,3 +141,12 @@ def test_a_neighbourhood_collapses_its_own_relations(spark, monkeypatch, sf):
     monkeypatch.setattr(graph, "collapse_edges", lambda r: seen.append(r) or real(r))
     catalogue.queries()["symbol_neighbourhood"](spark, sf)
     assert [r.count() for r in seen] < [spark.read.parquet(f"{sf}/lineitem.parquet").count() // 2]
+
+
+def test_deltas_meet_their_state_in_one_shuffle(spark):
+    old = spark.createDataFrame([("r", "a", 2, 1), ("r", "b", 5, 5)], "repo string, id string, n long, calls long")
+    more = spark.createDataFrame([("r", "a", 1, 0), ("r", "a", -1, -1), ("r", "c", 4, None)], "repo string, id string, n int, calls int")
+    got = deltas.folded(old, more, ["repo", "id"], ("n", "calls"))
+    physical = plan(got).split("== Physical Plan ==")[1]
+    assert "Join" not in physical and physical.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect())) == [("r", "a", 2, 1, 2, 0), ("r", "b", 5, 5, 5, 5), ("r", "c", 0, 0, 4, 0)]

@@ -45,12 +45,12 @@ def state(store: Store, table: str, schema: str, repos: list[str]) -> DataFrame:
 
 
 def folded(old: DataFrame, changes: DataFrame, keys: list[str], counts: tuple[str, ...]) -> DataFrame:
-    """keys, and for each count c what it was (was_c) and is now (c): old and changes hold a row a key, changes the differences."""
-    was = old.select(*keys, *[F.col(c).alias(f"was_{c}") for c in counts])
-    more = changes.select(*keys, *[F.col(c).alias(f"by_{c}") for c in counts])
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    joined = was.join(more, keys, "full")
-    return joined.select(*keys, *[zero(F.col(f"was_{c}")).alias(f"was_{c}") for c in counts], *[(zero(F.col(f"was_{c}")) + zero(F.col(f"by_{c}"))).alias(c) for c in counts])
+    """keys, and for each count c what it was (was_c) and is now (c): old holds a row a key, changes hold differences, any number of rows a key. Both are summed in one shuffle."""
+    zero = F.lit(0).cast("long")
+    was = old.select(*keys, *[F.col(c).alias(f"was_{c}") for c in counts], *[zero.alias(f"by_{c}") for c in counts])
+    more = changes.select(*keys, *[zero.alias(f"was_{c}") for c in counts], *[F.col(c).cast("long").alias(f"by_{c}") for c in counts])
+    each = was.unionByName(more).groupBy(*keys).agg(*[F.coalesce(F.sum(f"{w}_{c}"), zero).alias(f"{w}_{c}") for w in ("was", "by") for c in counts])
+    return each.select(*keys, *[F.col(f"was_{c}") for c in counts], *[(F.col(f"was_{c}") + F.col(f"by_{c}")).alias(c) for c in counts])
 
 
 def turned(now: Column, before: Column) -> Column:
@@ -73,7 +73,7 @@ def fold(store: Store, batch_id: int, edges: DataFrame, entities: DataFrame | No
     if int(store.properties(version).get("batch", -1)) >= batch_id:
         return
     keys = ["repo", "src_id", "tgt_id"]
-    more = cut(edges.groupBy(*keys).agg(F.sum("n").cast("long").alias("n"), F.sum(F.when(F.col("kind") == "calls", F.col("n")).otherwise(0)).cast("long").alias("calls")).filter("n != 0 or calls != 0"))
+    more = edges.select(*keys, "n", F.when(F.col("kind") == "calls", F.col("n")).otherwise(0).alias("calls"))
     marks = [F.sum("n").cast("long").alias("real"), *[F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).cast("long").alias(c) for c in ("need", "large", "sized")]]
     known = entities.groupBy("repo", "id").agg(*marks) if entities is not None else store.spark.createDataFrame([], "repo string, id string, real long, need long, large long, sized long")
     known = cut(known)
@@ -88,7 +88,7 @@ def fold(store: Store, batch_id: int, edges: DataFrame, entities: DataFrame | No
     ends = change.select("repo", F.explode(F.array_distinct(F.array("src_id", "tgt_id"))).alias("id"), "tgt_id", "edge", "call")
     here = F.col("id") == F.col("tgt_id")
     ends = ends.select("repo", "id", F.col("edge").alias("ends"), F.when(here, F.col("edge")).otherwise(0).alias("ins"), F.when(here, F.col("call")).otherwise(0).alias("callers"))
-    moved = known.unionByName(ends, allowMissingColumns=True).groupBy("repo", "id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in MARKS])
+    moved = known.unionByName(ends, allowMissingColumns=True)
     node = cut(folded(state(store, "node_state", NODES, repos), moved, ["repo", "id"], MARKS))
     now, before = node_counts(F.col), node_counts(lambda c: F.col(f"was_{c}"))
     node_sums = node.groupBy("repo").agg(*[F.sum(turned(now[c], before[c])).alias(c) for c in now])
