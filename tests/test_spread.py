@@ -150,3 +150,21 @@ def test_deltas_meet_their_state_in_one_shuffle(spark):
     physical = plan(got).split("== Physical Plan ==")[1]
     assert "Join" not in physical and physical.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, got.collect())) == [("r", "a", 2, 1, 2, 0), ("r", "b", 5, 5, 5, 5), ("r", "c", 0, 0, 4, 0)]
+
+
+def test_plain_code_is_read_without_unparsing(monkeypatch):
+    import ast
+    import inspect
+
+    text = "import a, b as c\n@router.get('/a1', tags=t.x)\n@own\ndef f(x: int, y: a.B = 3, z='q', *, k=None):\n    'doc'\n    return [g(x) for i in h(y) if not p.q(z)] or (lambda: r())()\n"
+    for code in (text, inspect.getsource(facts), inspect.getsource(evidence), inspect.getsource(ast)):
+        nodes = list(ast.walk(ast.parse(code)))
+        defs = [n for n in nodes if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+        assert all(facts.arguments_of(n.args) == ast.unparse(n.args) and all(facts.source_of(d) == ast.unparse(d) for d in n.decorator_list) for n in defs)
+        assert all(facts.source_of(n) == ast.unparse(n) for n in nodes if isinstance(n, ast.Call))
+        found = facts.python_facts(code)
+        assert sorted(c[3] for c in found["calls"]) == sorted(n.lineno for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Name | ast.Attribute))
+        assert len(found["symbols"]) == len(defs) + sum(isinstance(n, ast.ClassDef) for n in nodes)
+    monkeypatch.setattr(ast, "unparse", lambda *a: pytest.fail("unparsed"))
+    got = facts.python_facts("@router.get('/a1')\n@own\ndef a(x: int, user=Depends(current_user, 2)):\n    return a.b(x)\n")
+    assert got["symbols"][0][2] == "a(x: int, user=Depends(current_user, 2))" and got["symbols"][0][6] == ["router.get('/a1')", "own"]

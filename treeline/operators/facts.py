@@ -11,6 +11,8 @@ import ast
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,13 +53,71 @@ def call_type(func: ast.expr) -> str:
     return "static_method" if isinstance(func, ast.Attribute) and isinstance(func.value, ast.Name) and func.value.id[:1].isupper() else "method"
 
 
+def plain_source(node: ast.expr) -> str | None:
+    """What ast.unparse says of names, dotted names, texts, whole numbers and calls of these; None for all else."""
+    if type(node) is ast.Name:
+        return node.id
+    if type(node) is ast.Constant:
+        return repr(node.value) if node.kind is None and (node.value is None or type(node.value) in (str, int, bool)) else None
+    if type(node) is ast.Attribute:
+        under = plain_source(node.value) if type(node.value) in (ast.Name, ast.Attribute) else None
+        return None if under is None else f"{under}.{node.attr}"
+    if type(node) is not ast.Call or type(node.func) not in (ast.Name, ast.Attribute):
+        return None
+    parts = [plain_source(a) for a in node.args]
+    named = [(k.arg, plain_source(k.value)) for k in node.keywords]
+    func = plain_source(node.func)
+    if func is None or None in parts or any(a is None or v is None for a, v in named):
+        return None
+    return f"{func}({', '.join([*parts, *(f'{a}={v}' for a, v in named)])})"
+
+
 def source_of(node: ast.expr) -> str:
-    """ast.unparse, without its cost for names and dotted names."""
-    parts, at = [], node
-    while isinstance(at, ast.Attribute):
-        parts.append(at.attr)
-        at = at.value
-    return ".".join([at.id, *reversed(parts)]) if isinstance(at, ast.Name) else ast.unparse(node)
+    """ast.unparse, without its cost for what is written plainly."""
+    plain = plain_source(node)
+    return ast.unparse(node) if plain is None else plain
+
+
+def arguments_of(args: ast.arguments) -> str:
+    """ast.unparse of arguments, without its cost for those with plain annotations and defaults."""
+    if args.posonlyargs or args.vararg or args.kwonlyargs or args.kwarg:
+        return ast.unparse(args)
+    parts, without = [], len(args.args) - len(args.defaults)
+    for i, a in enumerate(args.args):
+        kind = "" if a.annotation is None else plain_source(a.annotation)
+        default = "" if i < without else plain_source(args.defaults[i - without])
+        if kind is None or default is None:
+            return ast.unparse(args)
+        parts.append(a.arg + (f": {kind}" if a.annotation is not None else "") + (f"={default}" if i >= without else ""))
+    return ", ".join(parts)
+
+
+def docstring_of(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+    first = node.body[0] if node.body else None
+    return ast.get_docstring(node) or "" if type(first) is ast.Expr and type(first.value) is ast.Constant else ""
+
+
+#: Nodes under which nothing stands, and fields that hold only such nodes or none: not worth a visit. Fixed values.
+LEAVES, BARE_FIELDS = (ast.Name, ast.Constant), ("ctx", "op", "ops", "names")
+#: Nodes that are symbols. Fixed values.
+SYMBOLS = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+@cache
+def inner_fields(kind: type) -> tuple[str, ...]:
+    return tuple(f for f in kind._fields if f not in BARE_FIELDS)
+
+
+def inner_nodes(node: ast.AST) -> list[ast.AST]:
+    """ast.iter_child_nodes without leaves."""
+    found = []
+    for name in inner_fields(type(node)):
+        value = getattr(node, name, None)
+        if type(value) is list:
+            found += [v for v in value if isinstance(v, ast.AST) and type(v) not in LEAVES]
+        elif isinstance(value, ast.AST) and type(value) not in LEAVES:
+            found.append(value)
+    return found
 
 
 def text_of(node: ast.expr | None) -> str | None:
@@ -101,12 +161,12 @@ def python_facts(content: str) -> dict:
         found["calls"].append((".".join(scope), f"{callee}.__init__" if kind == "constructor" else callee, kind, node.lineno, len(node.args) + len(node.keywords)))
 
     def walk(node: ast.AST, scope: tuple[str, ...], owner: str, base: str, types: dict[str, str]) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+        for child in inner_nodes(node):
+            if isinstance(child, SYMBOLS):
                 name, is_class = ".".join((*scope, child.name)), isinstance(child, ast.ClassDef)
                 kind = "class" if is_class else "method" if owner else "function"
-                signature = "" if is_class else f"{child.name}({ast.unparse(child.args)})"
-                found["symbols"].append((name, kind, signature, ast.get_docstring(child) or "", child.lineno, child.end_lineno, [source_of(d) for d in child.decorator_list]))
+                signature = "" if is_class else f"{child.name}({arguments_of(child.args)})"
+                found["symbols"].append((name, kind, signature, docstring_of(child), child.lineno, child.end_lineno, [source_of(d) for d in child.decorator_list]))
                 if is_class:
                     bases = [source_of(b) for b in child.bases]
                     found["inheritances"] += [(name, b) for b in bases]
@@ -115,15 +175,16 @@ def python_facts(content: str) -> dict:
                     found["routes"] += decorated_routes(child, name)
                     walk(child, (*scope, child.name), owner, base, dict(filter(None, map(typed, child.body))))
                 continue
-            if isinstance(child, ast.Import):
+            if isinstance(child, ast.Call):
+                if type(child.func) in (ast.Name, ast.Attribute):
+                    called(child, scope, owner, base, types)
+            elif isinstance(child, ast.Import):
                 found["imports"] += [(a.name, [], [], False, a.asname) for a in child.names]
             elif isinstance(child, ast.ImportFrom):
                 found["imports"].append(("." * child.level + (child.module or ""), [a.name for a in child.names], [a.asname or a.name for a in child.names], True, None))
             elif isinstance(child, ast.Assign) and isinstance(child.value, ast.Call) and source_of(child.value.func).split(".")[-1] == "APIRouter":
                 prefix = next((text_of(k.value) for k in child.value.keywords if k.arg == "prefix"), None)
                 found["prefixes"] += [(t.id, "", prefix or "", child.lineno) for t in child.targets if isinstance(t, ast.Name)]
-            if isinstance(child, ast.Call) and (isinstance(child.func, ast.Name | ast.Attribute)):
-                called(child, scope, owner, base, types)
             walk(child, scope, owner, base, types)
 
     tree = ast.parse(content)
@@ -204,9 +265,12 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | Non
     schema = StructType.fromDDL(FACTS)
     types = [to_arrow_type(f.dataType) for f in schema]
 
-    def nested(kind: pa.DataType, rows: list[tuple]) -> list[dict]:
-        names = [kind.value_type.field(i).name for i in range(kind.value_type.num_fields)]
-        return [dict(zip(names, r, strict=True)) for r in rows]
+    def nested(kind: pa.DataType, lists: list[list[tuple]]) -> pa.Array:
+        """Lists of tuples as lists of structures, field by field: no dictionary a fact."""
+        parts = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+        columns = list(zip(*chain.from_iterable(lists), strict=True)) or [()] * len(parts)
+        values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, parts, strict=True)], fields=parts)
+        return pa.ListArray.from_arrays(pa.array(accumulate(map(len, lists), initial=0), pa.int32()), values, type=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stepped(batches):
@@ -216,9 +280,10 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | Non
                     facts, error = own[language](content or ""), None
                 except (SyntaxError, ValueError, RecursionError) as e:
                     facts, error = {}, str(e)[:200]
-                rows.append((repo, path, error, *(nested(t, facts.get(f.name, [])) for f, t in zip(schema[3:], types[3:], strict=True))))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+                rows.append((repo, path, error, facts))
+            *told, found = zip(*rows, strict=True)
+            lists = [nested(t, [own_facts.get(f.name, []) for own_facts in found]) for f, t in zip(schema[3:], types[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(told, types[:3], strict=True)), *lists], names=schema.names)
 
     return spread(files.filter(F.col("language").isin(*own)).select("repo", "rel_path", "language", "content"), "repo", "rel_path").mapInArrow(run, FACTS)
 
