@@ -168,3 +168,32 @@ def test_plain_code_is_read_without_unparsing(monkeypatch):
     monkeypatch.setattr(ast, "unparse", lambda *a: pytest.fail("unparsed"))
     got = facts.python_facts("@router.get('/a1')\n@own\ndef a(x: int, user=Depends(current_user, 2)):\n    return a.b(x)\n")
     assert got["symbols"][0][2] == "a(x: int, user=Depends(current_user, 2))" and got["symbols"][0][6] == ["router.get('/a1')", "own"]
+
+
+def test_context_is_read_inside_each_file(spark):
+    big = "\n".join(f"x = '{n}'" if n % 2 else f"y{n}" for n in range(50_000))
+    texts = [("r", "a.py", "p = 'a'\r\nq\n\nr = \"b\"\ns"), ("r", "b.py", "'one'"), ("r", "c.py", ""), ("r", "d.py", None), ("r", "big.py", big)]
+    files = readers.as_files(spark.createDataFrame(texts, "repo string, rel_path string, content string"))
+    quoted = lambda line: line.rlike("['\"]")
+    for before, after in ((2, 2), (0, 1), (3, 0)):
+        got = corpus.hits_in_context(files, quoted, "is_test", before=before, after=after)
+        want = corpus.line_context(corpus.lines(files), quoted(F.col("line")), before, after)
+        columns = ("rel_path", "line_no", "line", "context")
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+        assert got.count() == 25_003 and "Exchange" not in plan(got)
+
+
+def test_uses_of_literals_shuffle_no_lines(spark):
+    files = readers.as_files(spark.createDataFrame([("r", "a.py", "if s == 'open':\n    s = \"shut\""), ("r", "t/test_a.py", "'open'"), ("r", "1.sql", "CREATE TABLE t (\n s text CHECK (s IN ('open',\n 'shut'))\n);\nSELECT 'open';")], "repo string, rel_path string, content string"))
+    wanted = spark.createDataFrame([("r", "open"), ("r", "shut"), ("q", "open")], "repo string, value string")
+    got = evidence.literal_uses(files, wanted)
+    assert "Window" not in plan(got)
+    assert {tuple(r)[:6] for r in got.collect()} == {("r", "open", "a.py", 1, False, True), ("r", "shut", "a.py", 2, False, False), ("r", "open", "t/test_a.py", 1, True, False), ("r", "open", "1.sql", 5, False, False)}
+
+
+def test_a_report_brings_its_files_once(spark, monkeypatch):
+    told, real = [], jobs.AUDITS["states"]
+    monkeypatch.setitem(jobs.AUDITS, "states", lambda files, **k: told.append(files) or real(files, **k))
+    exempt = spark.createDataFrame([], "repo string, table string, entry string, reason string, ord int")
+    jobs.audit_report(tree(spark, 3).filter(F.length("content") > 1), exempt, ("states",))
+    assert "Range" not in plan(told[0]) and told[0].count() == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def line_context(rows: DataFrame, hit: Column, before: int = 2, after: int = 2)
     return rows.withColumn("context", F.array_join(F.collect_list("line").over(window), "\n")).filter(hit)
 
 
+def hits_in_context(files: DataFrame, hit: Callable[[Column], Column], *carry: str, before: int = 2, after: int = 2) -> DataFrame:
+    """repo, rel_path, the columns of `carry`, line_no, line, context of the lines for which hit(line) holds: line_context of lines(files), read inside each file, so that no line is shuffled."""
+    def found(line: Column, at: Column) -> Column:
+        first = F.greatest(at + 1 - before, F.lit(1))
+        near = F.array_join(F.slice("lines", first, at + 2 + after - first), "\n")
+        return F.when(hit(line), F.struct((at + 1).alias("line_no"), line.alias("line"), near.alias("context")))
+
+    split = files.select("repo", "rel_path", *carry, F.split("content", "\r?\n").alias("lines"))
+    each = F.explode(F.filter(F.transform("lines", found), lambda h: h.isNotNull())).alias("h")
+    return split.select("repo", "rel_path", *carry, each).select("repo", "rel_path", *carry, "h.*")
+
+
 def decorators_above(symbols: DataFrame, all_lines: DataFrame, reach: int = 8) -> DataFrame:
     """repo, rel_path, name, decorators: those that stand above a symbol, up to `reach` lines, until a line that is neither comment, blank nor decorator.
 

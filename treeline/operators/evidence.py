@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from treeline.functions.text import GATES, STATE_COLUMNS, has_any, has_gate, is_read_shaped
 from treeline.operators import facts
 from treeline.operators.common import by_policy, spread, stepped
-from treeline.operators.corpus import line_context, lines
+from treeline.operators.corpus import hits_in_context, lines
 from treeline.operators.facts import text_of
 from treeline.operators.statements import lines_of, schema_events, written_literals
 
@@ -185,11 +185,11 @@ def drop_events(files: DataFrame, events: DataFrame | None = None) -> DataFrame:
 
 def literal_uses(files: DataFrame, wanted: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """wanted(repo, value) -> uses: repo, value, rel_path, line_no, is_test, is_read, context of two lines to either side. Lines that declare a value do not use it; other lines of SQL do."""
-    rows = line_context(lines(files), F.col("line").rlike("['\"]"))
+    rows = hits_in_context(files, lambda line: line.rlike("['\"]"), "is_test")
+    values = F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(f"{q}([^{q}]+){q}"), F.lit(1)) for q in ("'", '"')]))
+    kept = rows.withColumn("value", F.explode(values)).join(wanted.select("repo", "value").distinct(), ["repo", "value"], "left_semi")
     declared = (events if events is not None else declarations(files)).filter(F.col("event").isin("check", "default", "enum"))
-    rows = rows.join(declared.select("repo", "rel_path", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct(), ["repo", "rel_path", "line_no"], "left_anti")
-    each = rows.select("repo", "rel_path", "line_no", "line", "context", F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(f"{q}([^{q}]+){q}"), F.lit(1)) for q in ("'", '"')]))).alias("value"))
-    kept = each.join(wanted.select("repo", "value").distinct(), ["repo", "value"], "left_semi").join(files.select("repo", "rel_path", "is_test"), ["repo", "rel_path"])
+    kept = kept.join(declared.select("repo", "rel_path", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct(), ["repo", "rel_path", "line_no"], "left_anti")
     return kept.select("repo", "value", "rel_path", "line_no", "is_test", is_read_shaped(F.col("line")).alias("is_read"), "context")
 
 

@@ -129,6 +129,8 @@ PATTERNED = ("states", "envelope")
 def audit_report(files: DataFrame, exemptions: DataFrame, tables: tuple[str, ...] = tuple(AUDITS), policies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """findings with exemptions, their rollup, and stale exemptions. policies are rows of readers.policy_files: the patterns of their repositories."""
     own = None if policies is None else cut(policies.select("repo", "gates", "sinks", "state_columns"))
+    # audits read the files many times, and most want few of their columns
+    files = cut(files.drop("sha256", "n_lines", "bytes"))
     found = cut(reduce(DataFrame.unionByName, [AUDITS[t](files, policies=own) if t in PATTERNED else AUDITS[t](files) for t in tables]))
     judged = audit.apply_exemptions(found, exemptions)
     return judged, audit.audit_rollup(judged), audit.stale_exemptions(found, exemptions)
