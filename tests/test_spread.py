@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from treeline import catalogue
+from treeline.functions.text import has_any
 from treeline.operators import corpus, evidence, facts, graph, vectors
 from treeline.operators.common import stepped
 from treeline.plans import jobs, retrieve
@@ -53,6 +56,68 @@ def test_envelope_parses_each_file_once(spark, monkeypatch):
     assert len(calls) == 1 and "MapInArrow" not in plan(got) and {r["id"] for r in got.collect()} == {"a"}
 
 
+NESTED = """@top
+class A(B):
+    "doc"
+    @app.get('/m')
+    def m(self, x: int = 1, *, y=(1, 2)): return [lambda: 1 for _ in x]
+    if x:
+        async def n(a, /): pass
+    elif y:
+        class C:
+            def k(): "k"
+    else:
+        def o(): pass
+try:
+    def p():
+        with q as r:
+            def s(): return t.u(1)
+except E:
+    def v(): pass
+else:
+    def w(): pass
+finally:
+    @a.b(c="d")
+    def z(): pass
+for i in j:
+    while k:
+        @x[0]
+        def l(): pass
+    else:
+        def y(): pass
+match m:
+    case 1:
+        def first(): pass
+    case _:
+        def other[T](): pass
+"""
+
+
+def test_symbols_alone_are_those_of_all_facts():
+    for text in (NESTED, "", "x = 1\n", Path(facts.__file__).read_text(), Path(jobs.__file__).read_text()):
+        assert facts.python_symbols(text) == {"symbols": facts.python_facts(text)["symbols"]}
+    with pytest.raises(SyntaxError):
+        facts.python_symbols("def f(:\n")
+
+
+def test_handlers_need_no_other_facts(spark):
+    """A sum of 1,500 terms and a chain of 1,200 branches are deeper than Python's stack: neither is visited."""
+    handler = "@app.get('/x')\ndef {}(user=Depends(current_user)):\n    return {}\n"
+    branches = "if a:\n    pass\n" + "elif b:\n    pass\n" * 1200 + "else:\n    @r.post('/y')\n    def far(): pass\n"
+    texts = {"plain": handler.format("plain", 1), "deep": handler.format("deep", "+".join(["1"] * 1500)), "far": branches, "broken": handler.format("broken", "("), "none": "def none(): pass\n", "null": None}
+    files = readers.as_files(spark.createDataFrame([("r", f"a/{n}.py", t) for n, t in texts.items()], "repo string, rel_path string, content string"))
+    got = evidence.routed_handlers(files)
+    assert {(r["handler"], r["rel_path"], r["line_no"], r["guarded"]) for r in got.collect()} == {("plain", "a/plain.py", 2, True), ("deep", "a/deep.py", 2, True), ("far", "a/far.py", 2405, False)}
+    assert "Contains(content" in plan(got).split("== Physical Plan ==")[1]
+
+
+def test_parts_are_looked_for_in_a_text_lowered_once(spark):
+    rows = spark.createDataFrame([("xAuthX", ["acl", "auth"]), ("x", ["acl"]), ("x", []), (None, ["acl"]), ("x", None)], "t string, p array<string>")
+    found = rows.select(has_any(F.col("t"), F.col("p")).alias("own"), has_any(F.col("t"), ("auth",)).alias("fixed"))
+    assert [tuple(r) for r in found.collect()] == [(True, True), (False, False), (False, False), (None, None), (None, False)]
+    assert "Contains(lower" not in plan(found)
+
+
 def test_callers_are_read_from_facts_that_are_written(spark, sf):
     assert "MapInArrow" not in plan(catalogue.queries()["caller_ids"](spark, sf))
 

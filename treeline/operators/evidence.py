@@ -205,8 +205,11 @@ def literal_writes(files: DataFrame) -> DataFrame:
 
 
 def routed_handlers(files: DataFrame, gates: tuple[str, ...] = GATES, found: DataFrame | None = None, policies: DataFrame | None = None) -> DataFrame:
-    """repo, rel_path, handler, line_no, guarded: functions with a decorator that registers a route on a variable, and whether their decorators or their signature name a gate. found: facts of the files; policies(repo, gates) name the gates of their repositories, in place of `gates`."""
-    facts_ = found if found is not None else facts.extract(files.filter(F.col("rel_path").endswith(".py")))
+    """repo, rel_path, handler, line_no, guarded: functions with a decorator that registers a route on a variable, and whether their decorators or their signature name a gate. found: facts of the files; policies(repo, gates) name the gates of their repositories, in place of `gates`.
+
+    Without facts at hand, files are parsed for their symbols alone, and only those that hold an @, without which nothing is decorated.
+    """
+    facts_ = found if found is not None else facts.extract(files.filter(F.col("rel_path").endswith(".py") & F.contains("content", F.lit("@"))), facts.SYMBOLS_ALONE)
 
     def registers(decorator: Column) -> Column:
         called = F.split(F.substring_index(decorator, "(", 1), r"\.")

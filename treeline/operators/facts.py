@@ -138,6 +138,37 @@ def decorated_routes(node: ast.FunctionDef | ast.AsyncFunctionDef, name: str) ->
             yield d.func.value.id, m, path, name, d.lineno, d.end_lineno
 
 
+def symbol_of(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef, name: str, owner: str) -> tuple:
+    is_class = isinstance(node, ast.ClassDef)
+    kind = "class" if is_class else "method" if owner else "function"
+    signature = "" if is_class else f"{node.name}({arguments_of(node.args)})"
+    return name, kind, signature, docstring_of(node), node.lineno, node.end_lineno, [source_of(d) for d in node.decorator_list]
+
+
+#: Fields of statements in which statements stand, or clauses that hold statements. Fixed values.
+BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+@cache
+def inner_blocks(kind: type) -> tuple[str, ...]:
+    return tuple(f for f in kind._fields if f in BLOCKS)
+
+
+def python_symbols(content: str) -> dict:
+    """The symbols of python_facts and nothing else, in the same order: no expression is visited, so none is too deep, and blocks may nest as deep as the parser takes them."""
+    found, waiting = [], [(ast.parse(content), (), "")]
+    while waiting:
+        node, scope, owner = waiting.pop()
+        if isinstance(node, SYMBOLS):
+            scope = (*scope, node.name)
+            name = ".".join(scope)
+            found.append(symbol_of(node, name, owner))
+            owner = name if isinstance(node, ast.ClassDef) else owner
+        inner = [child for block in inner_blocks(type(node)) for child in getattr(node, block)]
+        waiting += [(child, scope, owner) for child in reversed(inner) if inner_blocks(type(child))]
+    return {"symbols": found}
+
+
 def typed(node: ast.stmt) -> tuple[str, str] | None:
     """The variable of `x = Class(...)` or `x: Class = ...`, and its class."""
     if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call) and isinstance(node.value.func, ast.Name):
@@ -164,9 +195,7 @@ def python_facts(content: str) -> dict:
         for child in inner_nodes(node):
             if isinstance(child, SYMBOLS):
                 name, is_class = ".".join((*scope, child.name)), isinstance(child, ast.ClassDef)
-                kind = "class" if is_class else "method" if owner else "function"
-                signature = "" if is_class else f"{child.name}({arguments_of(child.args)})"
-                found["symbols"].append((name, kind, signature, docstring_of(child), child.lineno, child.end_lineno, [source_of(d) for d in child.decorator_list]))
+                found["symbols"].append(symbol_of(child, name, owner))
                 if is_class:
                     bases = [source_of(b) for b in child.bases]
                     found["inheritances"] += [(name, b) for b in bases]
@@ -257,6 +286,8 @@ EXTRACTORS: dict[str, Callable[[str], dict]] = {
     "python": python_facts, "typescript": whole_script, "tsx": whole_script, "javascript": whole_script,
     "go": whole_go, "java": java_facts, "php": php_facts,
 }
+#: For those who read the symbols of Python files and no other facts, at about half the cost.
+SYMBOLS_ALONE: dict[str, Callable[[str], dict]] = {"python": python_symbols}
 
 
 def extract(files: DataFrame, extractors: dict[str, Callable[[str], dict]] | None = None) -> DataFrame:
