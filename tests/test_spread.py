@@ -262,3 +262,14 @@ def test_a_report_brings_its_files_once(spark, monkeypatch):
     exempt = spark.createDataFrame([], "repo string, table string, entry string, reason string, ord int")
     jobs.audit_report(tree(spark, 3).filter(F.length("content") > 1), exempt, ("states",))
     assert "Range" not in plan(told[0]) and told[0].count() == 3
+
+
+def test_blocks_are_filled_whatever_the_batches(spark):
+    """Batches of 7 rows do not make a block longer than the 10 vectors that fit it."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(33).coalesce(1).select("id", F.array_repeat(F.col("id") + 1.0, 20).alias("vec"))
+        assert [len(r["keys"]) for r in vectors.blocks_of(rows, "id", 205).select("keys").collect()] == [10, 10, 10, 3]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
