@@ -264,6 +264,74 @@ def test_a_report_brings_its_files_once(spark, monkeypatch):
     assert "Range" not in plan(told[0]) and told[0].count() == 3
 
 
+def test_rounds_answer_every_conversation(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    want = {r["conv_id"]: r["n"] for r in turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n")).collect()}
+    got = catalogue.queries()["retrieve_rounds"](spark, sf).select("question", "sub_questions").collect()
+    assert len(got) == len(want) and {r["question"]: r["sub_questions"] for r in got} == want and sum(want.values()) == turns.filter("role = 'user'").count()
+
+
+def test_a_question_without_follow_ups_is_covered(spark):
+    shape = "repo string, id string, kind string, description string"
+    entities = spark.createDataFrame([("r", "a.red", "function", "function red")], shape)
+    relations = spark.createDataFrame([], "repo string, src_id string, tgt_id string, kind string, file_path string")
+    chunks = spark.createDataFrame([("r", "d1", "blue sky")], "repo string, id string, content string")
+    asked = spark.createDataFrame([(1, 0, "blue sky"), (1, 2, "red"), (None, 0, "red")], "question long, round int, text string")
+    every = spark.createDataFrame([(1,), (1,), (2,), (None,)], "question long")
+    got = {r["question"]: r for r in retrieve.retrieve_rounds(asked, entities, relations, chunks, 1, questions=every).collect()}
+    assert {q: (r["sub_questions"], r["covered"], r["coverage"]) for q, r in got.items()} == {1: (2, 2, 1.0), 2: (0, 0, 1.0), None: (1, 1, 1.0)}
+    assert got[2]["context"] == "" and got[1]["context"].count("## Follow-up: ") == 2
+
+
+def blocks(spark, n, seed, key, most):
+    """Vectors of 16 distinct directions and as many again, a third of them copies, in blocks of about `most` values."""
+    rng = np.random.default_rng(seed)
+    vecs = np.concatenate([np.repeat(rng.standard_normal((16, 24)), n // 48, axis=0), rng.standard_normal((n - n // 48 * 16, 24))])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.permutation(vecs).tolist())], f"{key} long, vec array<double>")
+    return rows, vectors.blocks_of(rows.coalesce(1), key, most)
+
+
+def test_a_task_hands_on_the_best_of_all_its_blocks(spark, monkeypatch):
+    """Blocks after the first are cut by a query's k-th hit so far; results are those of scoring all pairs, and rows grow with tasks, not with blocks."""
+    rows, own = blocks(spark, 900, 1, "id", 24 * 70)
+    asked, theirs = blocks(spark, 120, 2, "qid", 24 * 50)
+    pairs = own.join(F.broadcast(theirs.withColumnsRenamed({"keys": "qkeys", "units": "qunits"})), "dim").coalesce(1)
+    scored = rows.crossJoin(asked.withColumnRenamed("vec", "other")).select("qid", "id", vectors.cosine(F.col("vec"), F.col("other")).alias("score"))
+    want = {(r["qid"], r["rank"]): (r["id"], round(r["score"], 12)) for r in vectors.ranked(scored.withColumn("score", F.round("score", 12)), 5).collect()}
+    for held, least, most in ((2_000_000, 600, 600), (1, 601, 120 * 5 * 13)):
+        monkeypatch.setattr(vectors, "HELD", held)
+        hits = vectors.met(pairs, 5)
+        assert least <= hits.count() <= most
+        assert {(r["qid"], r["rank"]): (r["id"], round(r["score"], 12)) for r in vectors.ranked(hits.withColumn("score", F.round("score", 12)), 5).collect()} == want
+
+
+def test_single_precision_loses_no_near_tie():
+    """Vectors that single precision cannot tell apart, one of huge and one of tiny length, and a floor."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(64) / 8
+    units = base + rng.standard_normal((700, 64)) * 1e-9
+    units[5], units[6] = base * 1e-40, base * 1e3
+    asked, own = np.concatenate([base[None], base[None] * 1e-42, rng.standard_normal((3, 64))]), rng.permutation(700)
+    scores = np.array([[(u * a).sum() for u in units] for a in asked])
+    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :7]
+    for floor in (None, np.take_along_axis(scores, order, axis=1)[:, 6]):
+        row, col, told = vectors.best_of(units, asked, own, 7, floor)
+        assert row.tolist() == np.repeat(np.arange(5), 7).tolist() and col.tolist() == order.ravel().tolist() and np.array_equal(told, scores[row, col])
+
+
+def test_hashed_texts_are_sums_of_their_words():
+    import zlib
+
+    texts = ["a b  A\u2003c", "", None, "é 😀 x x x", " \n"]
+    want = np.zeros((5, 7))
+    for row, text in zip(want, texts, strict=True):
+        for word in (text or "").lower().split():
+            h = zlib.crc32(word.encode())
+            row[h % 7] += 1 if h >> 16 & 1 else -1
+    got = vectors.hashing_embedder(7)(texts)
+    assert got == (want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), vectors.LEAST_NORM)).tolist() and vectors.hashing_embedder(7)([]) == []
+
+
 def test_blocks_are_filled_whatever_the_batches(spark):
     """Batches of 7 rows do not make a block longer than the 10 vectors that fit it."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -273,3 +341,14 @@ def test_blocks_are_filled_whatever_the_batches(spark):
         assert [len(r["keys"]) for r in vectors.blocks_of(rows, "id", 205).select("keys").collect()] == [10, 10, 10, 3]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_few_vectors_with_many_copies_are_searched_whole(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(np.repeat(rng.standard_normal((9, 6)), 40, axis=0)[rng.permutation(360)].tolist())], "id long, vec array<float>")
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((50, 6)).tolist())], "qid long, vec array<float>")
+    want = sorted(map(tuple, vectors.topk(rows, asked, 7).select("qid", "rank", "id", "score").collect()))
+    assert len(want) == 350 and vectors.first_copies(rows, 7).count() == 63
+    for most in (32, 0):
+        monkeypatch.setattr(vectors, "BROADCAST_BLOCKS", most)
+        assert sorted(map(tuple, vectors.topk_of_few(rows, asked, 7).select("qid", "rank", "id", "score").collect())) == want
